@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality
-from .common import table
+from . import counting, licenses, packing, quality, wavelet
+from .common import materialise, table
+from .tokens import vocabulary
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.stored(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = materialise(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json")))
+    return packing.packed(parts).drop("copy")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,5 +55,5 @@ b AS (SELECT *, ({quality.BASE}) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {rules}) AS kept FROM b"""
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op6_wavelet_shards, op7_token_counts, op9_best_fit_packing, op10_quality_rules)}
 ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op10_quality_rules": _op10_sql()}
