@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, licenses, packing, quality, wavelet
+from . import counting, licenses, mixing, packing, quality, substrings, wavelet
 from .common import materialise, table
 from .tokens import vocabulary
 
 
+def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
@@ -55,5 +64,5 @@ b AS (SELECT *, ({quality.BASE}) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {rules}) AS kept FROM b"""
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op6_wavelet_shards, op7_token_counts, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op9_best_fit_packing, op10_quality_rules)}
 ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op10_quality_rules": _op10_sql()}
