@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,7 +69,8 @@ class PieceEncoder(dict):
         self.by_word = own.get("normalizer") is not None
         self.special = [x["content"] for x in own["added_tokens"]]
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.pack = struct.Struct("<H" if self.dtype.itemsize == 2 else "<I").pack
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model._resize_cache(0)  # this dict is the cache
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -80,8 +81,8 @@ class PieceEncoder(dict):
 
     def _unit(self, unit: str) -> bytes:
         """The ids of one unit of the pre-tokenizer, from the library's model alone."""
-        letters = unit.encode().decode("latin-1").translate(_LETTERS)
-        return b"".join([self.pack(x.id) for x in self.model.tokenize(letters)])
+        letters = unit.replace(" ", "Ġ") if unit.isascii() else unit.encode().decode("latin-1").translate(_LETTERS)
+        return array(self.code, [x.id for x in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, piece: str | bytes) -> bytes:
         """A piece is a word (bytes, or a string that a space precedes) or the head of a text (a 1-tuple)."""

@@ -68,12 +68,12 @@ class WaveletMatrix:
 
     def values(self, dtype: np.dtype) -> np.ndarray:
         """The whole sequence, plane by plane from the bottom."""
-        x = np.zeros(self.n, dtype)
+        x, i = np.zeros(self.n, dtype), np.arange(self.n, dtype=np.int32 if self.n < 1 << 31 else np.int64)
         for level, (bits, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            one = _bools(bits, self.n)
-            high = x[z:] | x.dtype.type(1 << level)
-            base = pc.replace_with_mask(pa.array(np.empty(self.n, dtype)), pc.invert(one), pa.array(x[:z]))
-            x = pc.replace_with_mask(base, one, pa.array(high)).to_numpy(zero_copy_only=False)
+            one = np.unpackbits(bits, count=self.n, bitorder="little")
+            ones = np.cumsum(one, dtype=i.dtype)
+            x[z:] |= x.dtype.type(1 << level)
+            x = x.take(np.where(one, ones + i.dtype.type(z - 1), i - ones))
         return x
 
     def _ones(self, plane: int, i: np.ndarray) -> np.ndarray:
