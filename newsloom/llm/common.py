@@ -106,13 +106,18 @@ def window_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.n
     return mixed(out)
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of equal keys, from batches sorted by them. A run may span batches."""
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Tables of equal keys with at least ``least`` rows, from batches sorted by the keys. A run may span batches."""
     held: list[pa.RecordBatch] = []
 
     def key(b: pa.RecordBatch, i: int) -> tuple:
         return tuple(b.column(k)[i].as_py() for k in keys)
 
+    def whole() -> Iterator[pa.Table]:
+        if held and sum(b.num_rows for b in held) >= least:
+            yield pa.Table.from_batches(held)
+        held.clear()
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -120,25 +125,28 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         for k in keys:
             c = b.column(k)
             if b.num_rows > 1:
-                new[1:] |= pa.compute.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).fill_null(True).to_numpy(zero_copy_only=False)
-        starts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
-        for at, stop in zip(starts, starts[1:], strict=False):
-            if at == 0 and held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
-                yield pa.Table.from_batches(held)
-                held = []
-            elif at:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(at, stop - at))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def in_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, n: int | None = None) -> DataFrame:
-    """Apply f to the rows of each key, sorted by keys and order; many small keys share a task."""
+                here, before, gone = c.slice(1), c.slice(0, b.num_rows - 1), c.is_null().to_numpy(zero_copy_only=False)
+                new[1:] |= pa.compute.not_equal(here, before).fill_null(False).to_numpy(zero_copy_only=False) | (gone[1:] != gone[:-1])
+        starts = np.concatenate([[0], np.flatnonzero(new)])
+        sizes = np.diff(np.append(starts, b.num_rows))
+        if held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
+            yield from whole()
+        if len(starts) == 1:
+            held.append(b)
+            continue
+        held.append(b.slice(0, int(sizes[0])))
+        yield from whole()
+        for i in (np.flatnonzero(sizes[1:-1] >= least) + 1).tolist():
+            yield pa.Table.from_batches([b.slice(int(starts[i]), int(sizes[i]))])
+        held.append(b.slice(int(starts[-1])))
+    yield from whole()
+
+
+def in_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, n: int | None = None, least: int = 1) -> DataFrame:
+    """Apply f to the rows of each key that has at least ``least``, sorted by keys and order; many small keys share a task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, keys):
+        for run in runs(batches, keys, least):
             yield from f(run)
 
     return df.repartition(n or partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
@@ -157,12 +165,27 @@ def buffered(out: Iterable[dict[str, list]], schema: pa.Schema, rows: int = 5000
         yield pa.RecordBatch.from_pydict(held, schema=schema)
 
 
-def min_labels(edges: DataFrame, vertices: DataFrame, materialised: bool = True) -> DataFrame:
-    """Connected components of edges (a, b): (id, component) for every id in vertices.
+def joined(links: np.ndarray) -> np.ndarray:
+    """The smallest index that each row of a symmetric boolean matrix reaches."""
+    label = np.full(len(links), -1, np.int64)
+    for i in range(len(links)):
+        if label[i] < 0:
+            seen = np.zeros(len(links), bool)
+            seen[i] = True
+            edge = seen
+            while edge.any():
+                reached = links[edge].any(0)
+                edge = reached & ~seen
+                seen |= reached
+            label[seen] = i
+    return label
+
+
+def min_labels(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b): (id, component) for every id in an edge.
 
     Rounds of large-star and small-star: each vertex links its neighbours to its
-    smallest one, which halves depths and never holds a vertex's neighbours in one
-    row. Ids that no edge has are their own component.
+    smallest one, which halves depths and never holds a vertex's neighbours in one row.
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     before = None
@@ -177,7 +200,8 @@ def min_labels(edges: DataFrame, vertices: DataFrame, materialised: bool = True)
         if now == before:
             break
         before = now
-    return vertices.join(e.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("u")), "id", "left").select("id", F.coalesce("u", "id").alias("component"))
+    out = e.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
+    return out.union(e.select("u", "u").distinct())
 
 
 def chunked(docs: DataFrame, target: int = 8 << 20) -> tuple[DataFrame, int, int]:
