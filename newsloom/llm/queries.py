@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, forest, licenses, mixing, packing, quality, subspaces, substrings, wavelet
+from . import counting, forest, licenses, mixing, packing, quality, scoring, subspaces, substrings, wavelet
 from .common import materialise, table
 from .tokens import vocabulary
 
@@ -38,6 +38,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = materialise(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json")))
     return packing.packed(parts).drop("copy")
@@ -72,5 +76,5 @@ b AS (SELECT *, ({quality.BASE}) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {rules}) AS kept FROM b"""
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op8_attention_scores, op9_best_fit_packing, op10_quality_rules)}
 ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op4_embedding_near_dedup": subspaces.ORACLE_SQL, "op10_quality_rules": _op10_sql()}

@@ -55,9 +55,10 @@ class PieceEncoder(dict):
     """
 
     limit = 900_000
-    _loaded: dict[str, PieceEncoder] = {}
+    _loaded: dict[tuple[str, bool], PieceEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
+        """special: whether special strings inside texts become their ids, as is the library's default."""
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -67,17 +68,18 @@ class PieceEncoder(dict):
         with open(path, encoding="utf-8") as f:
             own = json.load(f)
         self.by_word = own.get("normalizer") is not None
-        self.special = [x["content"] for x in own["added_tokens"]]
+        self.special = [x["content"] for x in own["added_tokens"]] if special else []
+        self.library.encode_special_tokens = not special
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model._resize_cache(0)  # this dict is the cache
 
     @classmethod
-    def of(cls, path: str) -> PieceEncoder:
+    def of(cls, path: str, special: bool = True) -> PieceEncoder:
         """One encoder for each file and Python process."""
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        if (path, special) not in cls._loaded:
+            cls._loaded[path, special] = cls(path, special)
+        return cls._loaded[path, special]
 
     def _unit(self, unit: str) -> bytes:
         """The ids of one unit of the pre-tokenizer, from the library's model alone."""
