@@ -1,25 +1,58 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of ``documents``. ``run`` writes each stage's result as Parquet in
-the shared checkpoint folder and reads it back as the next one's input.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``. ``run`` writes each stage's result as Parquet in the shared
+checkpoint folder and reads it back as the next one's input.
+
+Defined results: rows without doc_id stay through the filtering stages where they pass
+the rules; rows that repeat a doc_id count as one document from the mix on; empty tables
+stay empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import quality
-from newsloom.llm.common import table, written
+from newsloom.llm import forest, mixing, packing, quality, substrings
+from newsloom.llm.common import materialise, table, written
+from newsloom.llm.tokens import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judged(docs).where("kept").select(*COLUMNS)
+    """Documents that the quality rules reject go."""
+    return quality.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays."""
+    gone = forest.linked(docs).where("NOT kept").select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go; texts that lose none are unchanged, and documents left without a word go."""
+    cut = substrings.deduplicated(docs, as_is=True).where("n_words > n_removed").select("doc_id", F.col("kept").alias("text"))
+    rest = docs.select(F.col("doc_id").alias("id"), "lang", "source").dropDuplicates(["id"])
+    joined = cut.join(rest, F.col("doc_id").eqNullSafe(F.col("id")))
+    return joined.select("doc_id", "text", "lang", "source", F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    own = docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(taken.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
+    return own.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.packed(materialise(packing.pieces(docs, vocabulary("word_bpe_49k.json"))))
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_passages), ("mixing sources to target weights", mix), ("best-fit packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ than WIDE are split by a hash of their homes. Vectors that are equal with equal
 are one class before all that.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
-those without a label, link with nothing; vectors of different lengths never link; rows
+those without a label or vec_id, link with nothing; vectors of different lengths never link; rows
 with an id that repeats are copies like others; extra columns are ignored; an empty table
 gives no row.
 """
@@ -64,7 +64,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known = b.column("label").is_valid().to_pylist()
+            known = pa.compute.and_(b.column("label").is_valid(), b.column("vec_id").is_valid()).to_pylist()
             raw = [v.tobytes() if v is not None and ok else None for v, ok in zip(_vectors(b.column("embedding")), known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(raw, pa.binary())], names=["vec_id", "label", "raw"])
 

@@ -15,7 +15,8 @@ compared by 64-bit hashes of 64-bit word hashes: among N distinct windows the ch
 any false match is about N^2 / 2^65 (5e-4 for 1.4e8); K and the hash's base are parameters.
 
 Defined results: a null, empty or short text keeps all its words; of rows with equal
-doc_ids none is earlier than the other, so both keep what they share; extra columns are
+doc_ids none is earlier than the other, so both keep what they share; rows without doc_id
+come last; extra columns are
 ignored; an empty table gives no row.
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import U64, WordHashes, chunked, partitions, window_hashes, words_of
 
 K = 13
+LAST = 2**63 - 1  # stands for a missing doc_id
 _hashes = WordHashes()
 
 
@@ -39,6 +41,7 @@ class Block:
     """The windows of a chunk: hashes, and of each distinct one its first document."""
 
     def __init__(self, doc_ids: list[int], texts: list[str | None], k: int, parts: int):
+        doc_ids = [LAST if d is None else d for d in doc_ids]
         order = sorted(range(len(doc_ids)), key=lambda i: doc_ids[i])
         self.doc_ids = np.array([doc_ids[i] for i in order], np.int64)
         self.order, each = order, []
@@ -99,8 +102,11 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return out
 
 
-def deduplicated(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept) with the kept words joined by one space."""
+def deduplicated(docs: DataFrame, k: int = K, as_is: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, kept) with the kept words joined by one space.
+
+    as_is: a text that loses no word is kept unchanged.
+    """
     chunks, _, size = chunked(docs)
     parts = max(partitions(docs.sparkSession), size // (12 << 20))
 
@@ -132,7 +138,8 @@ def deduplicated(docs: DataFrame, k: int = K) -> DataFrame:
             w = words_of(texts[i])
             spans = factors(hit, k) if hit.any() else []
             kept = [x for x, gone in zip(w, covered(spans, len(w)).tolist(), strict=True) if not gone] if spans else w
-            rows.append((doc, len(w), len(w) - len(kept), [{"start": a, "length": n} for a, n in spans], b" ".join(kept).decode("utf-8", "surrogatepass")))
+            text = (texts[i] or "") if as_is and not spans else b" ".join(kept).decode("utf-8", "surrogatepass")
+            rows.append((None if doc == LAST else doc, len(w), len(w) - len(kept), [{"start": a, "length": n} for a, n in spans], text))
         span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), span, pa.string()))], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 

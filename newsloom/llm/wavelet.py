@@ -15,7 +15,7 @@ can write to will do, and a lost task is simply run again.
 
 Defined results: a null text is empty and has the end id alone; documents with equal
 doc_ids stay apart, in the order of their texts; an empty table gives no shard and no row;
-a document longer than a shard is a shard of its own.
+a document longer than a shard is a shard of its own; rows without doc_id are left out.
 """
 
 from __future__ import annotations
@@ -233,7 +233,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard: i
         if held:
             yield out()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     files = ordered.mapInArrow(encode, "part int, shard int, first_doc long, n_tokens long, file binary")
     files.write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
