@@ -129,3 +129,34 @@ class PieceEncoder(dict):
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         for t in texts:
             yield np.frombuffer(self.raw(t), self.dtype)
+
+
+class WordEncoder(PieceEncoder):
+    """The ids of words (bytes without white space), each after a space; special strings are ordinary text."""
+
+    _loaded: dict = {}
+
+    def __init__(self, path: str, special: bool = False):
+        super().__init__(path, special)
+        vocabulary = self.library.get_vocab()
+        self.end = max(vocabulary.values())
+        #: Whether an id begins a word (or is the end id).
+        self.begins = np.zeros(self.end + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ") or i == self.end]] = True
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        if plain := _PLAIN.fullmatch(text):
+            letters, signs = plain.groups()
+            out = self[letters.encode()] + self._unit(signs) if signs else self._unit(" " + letters)
+        else:
+            out = np.array(self.library.encode(" " + text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[word] = out
+        return out
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            here = {x: self[x] for x in words}
+            self.clear()
+            self.update(here)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), self.dtype)
