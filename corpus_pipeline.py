@@ -34,10 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; texts that lose none are unchanged, and documents left without a word go."""
-    cut = substrings.deduplicated(docs, as_is=True).where("n_words > n_removed").select("doc_id", F.col("kept").alias("text"))
-    rest = docs.select(F.col("doc_id").alias("id"), "lang", "source").dropDuplicates(["id"])
-    joined = cut.join(rest, F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.select("doc_id", "text", "lang", "source", F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    cut = substrings.deduplicated(docs, as_is=True, more=("lang", "source")).where("n_words > n_removed")
+    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -204,8 +204,8 @@ def min_labels(edges: DataFrame) -> DataFrame:
     return out.union(e.select("u", "u").distinct())
 
 
-def chunked(docs: DataFrame, target: int = 8 << 20) -> tuple[DataFrame, int, int]:
-    """(chunk, doc_id, text) dealt by a hash of doc_id, the number of chunks, and the bytes of all texts.
+def chunked(docs: DataFrame, target: int = 8 << 20, more: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+    """(chunk, doc_id, text, *more) dealt by a hash of doc_id, the number of chunks, and the bytes of all texts.
 
     A chunk holds about ``target`` bytes of text and is the same set of documents
     whenever it is made, so a lost task or a second pass sees what the first one saw.
@@ -213,5 +213,5 @@ def chunked(docs: DataFrame, target: int = 8 << 20) -> tuple[DataFrame, int, int
     n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(4 * n, -(-size // target))
-    out = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long"), "text")
+    out = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long"), "text", *more)
     return out.repartition(n, "chunk"), chunks, size

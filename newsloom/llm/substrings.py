@@ -102,12 +102,13 @@ def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
     return out
 
 
-def deduplicated(docs: DataFrame, k: int = K, as_is: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept) with the kept words joined by one space.
+def deduplicated(docs: DataFrame, k: int = K, as_is: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, kept, *more) with the kept words joined by one space.
 
-    as_is: a text that loses no word is kept unchanged.
+    as_is: a text that loses no word is kept unchanged. more: columns of docs to carry along.
     """
-    chunks, _, size = chunked(docs)
+    chunks, _, size = chunked(docs, more=more)
+    carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*more).schema)
     parts = max(partitions(docs.sparkSession), size // (12 << 20))
 
     def index(t: pa.Table) -> pa.Table:
@@ -141,11 +142,15 @@ def deduplicated(docs: DataFrame, k: int = K, as_is: bool = False) -> DataFrame:
             text = (texts[i] or "") if as_is and not spans else b" ".join(kept).decode("utf-8", "surrogatepass")
             rows.append((None if doc == LAST else doc, len(w), len(w) - len(kept), [{"start": a, "length": n} for a, n in spans], text))
         span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), span, pa.string()))], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
+        out = pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), span, pa.string()))], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
+        order = pa.array(own.order, pa.int64())
+        for c in more:
+            out = out.append_column(c, t.column(c).take(order))
+        return out
 
     sent = chunks.groupBy("chunk").applyInArrow(index, "part int, chunk int, docs binary, n binary, hashes binary")
     answers = sent.repartition(partitions(docs.sparkSession), "part").groupBy("part").applyInArrow(look_up, "chunk int, part int, bits binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(parse, "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept string")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(parse, "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept string" + carried)
 
 
 def digest(rows: DataFrame) -> DataFrame:
