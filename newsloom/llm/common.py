@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,19 +65,68 @@ def slices(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, li
         at = stop
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all of them when it is full, so memory is bounded."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+_BASE = 0x9E3779B97F4A7C15
+_SEGMENT = 1 << 17
+_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
-    limit = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def _grown(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, up to the n-th."""
+    for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        p = _powers[k]
+        while len(p) <= n:
+            p = np.concatenate([p, p * U64(pow(b, len(p), 1 << 64))])
+        _powers[k] = p
+    return _powers
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+
+class Words:
+    """The words of many texts: 64-bit hashes, places in ``raw``, and the number of each text.
+
+    A word's hash is a polynomial over its bytes (through a table of random numbers),
+    taken from prefix sums of a stretch of text, so no word becomes a Python object.
+    """
+
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        self.raw = b"\n".join([*parts, b""])
+        if lower:
+            self.raw = self.raw.lower()
+        a = np.frombuffer(self.raw, np.uint8)
+        hashes, starts, ends, at = [], [], [], 0
+        while at < len(a):
+            stop = min(at + _SEGMENT, len(a))
+            while stop < len(a):  # end at white space
+                last = np.flatnonzero(_SPACE[a[max(at, stop - 4096) : stop]])
+                if len(last):
+                    stop = max(at, stop - 4096) + int(last[-1]) + 1
+                    break
+                stop = min(stop + 4096, len(a))
+            x = a[at:stop]
+            space = np.ones(len(x) + 2, np.int8)
+            space[1:-1] = _SPACE[x]
+            edge = np.diff(space)
+            s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+            if len(s):
+                power, inverse = _grown(len(x))
+                sums = np.zeros(len(x) + 1, U64)
+                np.cumsum(_BYTES[x] * power[: len(x)], out=sums[1:])
+                hashes.append(mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64)))
+                starts.append(s + at)
+                ends.append(e + at)
+            at = stop
+        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        self.hash, self.start, self.end = join(hashes, U64), join(starts, np.int64), join(ends, np.int64)
+        limits = np.cumsum([len(x) + 1 for x in parts])
+        self.counts = np.diff(np.concatenate([[0], np.searchsorted(self.start, limits)])) if len(parts) else np.empty(0, np.int64)
+
+    def word(self, i: int) -> bytes:
+        return self.raw[self.start[i] : self.end[i]]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

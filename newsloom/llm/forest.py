@@ -30,12 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, in_runs, joined, materialise, min_labels, mixed, slices, window_hashes, words_of
+from .common import U64, Words, in_runs, joined, materialise, min_labels, mixed, slices, window_hashes, words_of
 
 K, SIMILARITY, TREES, DEPTH, RECALL = 5, 0.8, 20, 5, 0.9999
 SKETCH, WIDE, BLOCK, BLOCK_SHINGLES = 64, 2048, 1500, 4_000_000
 
-_hashes = WordHashes()
 _factors = mixed(np.arange(1, TREES * DEPTH + 1, dtype=U64)) | U64(1)
 
 
@@ -47,13 +46,19 @@ def depth(similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEP
     return x
 
 
-def shingles(text: str | None, k: int = K) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    w = words_of(text)
-    if not w:
-        return np.empty(0, U64)
-    out = window_hashes(_hashes.of(w), min(k, len(w)))
-    return np.unique(out if len(w) >= k else mixed(out + U64(len(w))))
+def shingle_sets(texts: list[str | None], k: int = K) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    w = Words(texts)
+    all_, out, at = window_hashes(w.hash, k), [], 0
+    for n in w.counts.tolist():
+        if n >= k:
+            out.append(np.unique(all_[at : at + n - k + 1]))
+        elif n:
+            out.append(mixed(window_hashes(w.hash[at : at + n], n) + U64(n)))
+        else:
+            out.append(np.empty(0, U64))
+        at += n
+    return out
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
@@ -63,7 +68,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in slices(b.column("text"), 1 << 19):
-                sets = [shingles(t, k) for t in texts]
+                sets = shingle_sets(texts, k)
                 full = [s for s in sets if len(s)]
                 low = np.empty((len(full), len(_factors)), np.uint32)
                 if full:
@@ -158,7 +163,7 @@ def verified(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     def verify(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         rep, copies, first = t.column("rep").to_numpy(), t.column("copies").to_numpy(), t.column("own").to_numpy() == i
-        sets = [shingles(x, k) for x in t.column("text").to_pylist()]
+        sets = [s for _, texts in slices(t.column("text").combine_chunks(), 1 << 20) for s in shingle_sets(texts, k)]
         if i == j:
             links = similar(sets, None, similarity)
         else:

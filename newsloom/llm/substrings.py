@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, chunked, partitions, window_hashes, words_of
+from .common import U64, Words, chunked, partitions, window_hashes, words_of
 
 K = 13
 LAST = 2**63 - 1  # stands for a missing doc_id
-_hashes = WordHashes()
 
 
 class Block:
@@ -44,15 +43,14 @@ class Block:
         doc_ids = [LAST if d is None else d for d in doc_ids]
         order = sorted(range(len(doc_ids)), key=lambda i: doc_ids[i])
         self.doc_ids = np.array([doc_ids[i] for i in order], np.int64)
-        self.order, each = order, []
-        self.lengths = np.zeros(len(order), np.int64)
-        for n, i in enumerate(order):
-            w = words_of(texts[i])
-            self.lengths[n] = len(w)
-            each.append(window_hashes(_hashes.of(w), k) if len(w) >= k else np.empty(0, U64))
-        sizes = np.array([len(x) for x in each], np.int64)
+        self.order = order
+        w = Words([texts[i] for i in order])
+        self.lengths = w.counts
+        sizes = np.maximum(w.counts - k + 1, 0)
         self.ends = np.cumsum(sizes)
-        h = np.concatenate(each) if each else np.empty(0, U64)
+        word = np.repeat(np.arange(len(order)), w.counts)
+        h = window_hashes(w.hash, k)
+        h = h[word[: len(h)] == word[k - 1 :]] if len(h) else h
         # Equal doc_ids count as one document.
         self.doc = np.repeat(np.searchsorted(self.doc_ids, self.doc_ids, side="left"), sizes)
         by = np.argsort(h)
@@ -135,12 +133,15 @@ def deduplicated(docs: DataFrame, k: int = K, as_is: bool = False, more: tuple[s
         texts = t.column("text").to_pylist()
         own = Block(t.column("doc_id").to_pylist(), texts, k, parts)
         rows = []
-        for i, doc, hit in zip(own.order, own.doc_ids.tolist(), own.hits(dict(zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True))), strict=True):
-            w = words_of(texts[i])
+        for i, doc, n, hit in zip(own.order, own.doc_ids.tolist(), own.lengths.tolist(), own.hits(dict(zip(answers.column("part").to_pylist(), answers.column("bits").to_pylist(), strict=True))), strict=True):
             spans = factors(hit, k) if hit.any() else []
-            kept = [x for x, gone in zip(w, covered(spans, len(w)).tolist(), strict=True) if not gone] if spans else w
-            text = (texts[i] or "") if as_is and not spans else b" ".join(kept).decode("utf-8", "surrogatepass")
-            rows.append((None if doc == LAST else doc, len(w), len(w) - len(kept), [{"start": a, "length": n} for a, n in spans], text))
+            if spans or not as_is:
+                w = words_of(texts[i])
+                kept = [x for x, gone in zip(w, covered(spans, n).tolist(), strict=True) if not gone] if spans else w
+                left, text = len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")
+            else:
+                left, text = n, texts[i] or ""
+            rows.append((None if doc == LAST else doc, n, n - left, [{"start": a, "length": m} for a, m in spans], text))
         span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
         out = pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), span, pa.string()))], names=["doc_id", "n_words", "n_removed", "spans", "kept"])
         order = pa.array(own.order, pa.int64())

@@ -134,6 +134,7 @@ class PieceEncoder(dict):
 class WordEncoder(PieceEncoder):
     """The ids of words (bytes without white space), each after a space; special strings are ordinary text."""
 
+    limit = 600_000
     _loaded: dict = {}
 
     def __init__(self, path: str, special: bool = False):
@@ -155,8 +156,9 @@ class WordEncoder(PieceEncoder):
         return out
 
     def ids(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), self.dtype)
+
+    def forget(self) -> None:
+        """Make room once the limit is passed."""
         if len(self) > self.limit:
-            here = {x: self[x] for x in words}
             self.clear()
-            self.update(here)
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), self.dtype)

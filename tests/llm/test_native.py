@@ -66,3 +66,22 @@ def test_license_scan(spark, small, edge, none):
     assert licenses.scan(edge).collect() == []
     rows = licenses.scan(small).collect()
     assert {r.doc_id for r in rows} >= {r.doc_id for r in small.where("text LIKE '%Released under the MIT License.%'").select("doc_id").collect()}
+
+
+def test_vectorised_words():
+    import random
+
+    from newsloom.llm import common
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(" \t\n\x0b\x0c\r\x85\xa0aéBZ中b") for _ in range(rng.randint(0, 80))) for _ in range(300)] + [None, "", "x" * 300_000, "a " * 90_000]
+    for lower in (False, True):
+        w = common.Words(texts, lower)
+        want = [[x.lower() if lower else x for x in common.words_of(t)] for t in texts]
+        assert w.counts.tolist() == [len(x) for x in want]
+        flat = [x for d in want for x in d]
+        assert [w.word(i) for i in range(len(flat))] == flat
+        seen = {}
+        for h, x in zip(w.hash.tolist(), flat, strict=True):
+            assert seen.setdefault(x, h) == h
+        assert len(set(seen.values())) == len(seen)
