@@ -134,7 +134,7 @@ class PieceEncoder(dict):
 class WordEncoder(PieceEncoder):
     """The ids of words (bytes without white space), each after a space; special strings are ordinary text."""
 
-    limit = 600_000
+    limit = 250_000
     _loaded: dict = {}
 
     def __init__(self, path: str, special: bool = False):
@@ -158,7 +158,9 @@ class WordEncoder(PieceEncoder):
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), self.dtype)
 
-    def forget(self) -> None:
-        """Make room once the limit is passed."""
+    def forget(self, but: list[bytes]) -> None:
+        """Once the limit is passed, keep only these words."""
         if len(self) > self.limit:
+            here = {x: self[x] for x in but}
             self.clear()
+            self.update(here)
