@@ -181,7 +181,7 @@ def assigned(history: DataFrame, new: DataFrame, config: Config = Config()) -> D
     place depends on all rows of its topic before it; topics run in parallel.
     """
 
-    def run(key, stored: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, stored: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
         past = [_item(r, True) for r in stored.itertuples(index=False)]
         state, rows = Topic(config, past), []
         for r in sorted(fresh.itertuples(index=False), key=lambda r: (r.micros, _number(str(r.news_id)), str(r.news_id))):
@@ -221,7 +221,7 @@ def applied(history: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame
 def lifecycle(news: DataFrame, threshold: float = 0.75, days: float = 14, centroid_share: float = 0.6) -> DataFrame:
     """(news_id, cluster): online clusters that close after ``days`` without a row; similarity mixes centroid and closest member."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         open_: list[dict] = []
         out, made = [], 0
         for r in rows.sort_values(["micros", "row_pos"]).itertuples(index=False):
@@ -252,7 +252,7 @@ def lifecycle(news: DataFrame, threshold: float = 0.75, days: float = 14, centro
 def nearest_topic(news: DataFrame, threshold: float = 0.75, days: float = 5) -> DataFrame:
     """(news_id, cluster): each row joins its most similar earlier row's group if similar and recent enough, else opens one."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         seen: list[tuple[int, np.ndarray, str]] = []
         out, made = [], 0
         for r in rows.sort_values(["micros", "row_pos"]).itertuples(index=False):
