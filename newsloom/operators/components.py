@@ -1,17 +1,24 @@
 """Connected components and distributed ranks.
 
 Labels spread by alternating large-star and small-star rounds, so the number of rounds
-grows with the logarithm of a component's size, and no task holds a component. Each round
+grows with the logarithm of a component's size, and no task holds a component. Before
+and after each round every task contracts the edges it has, in batches of bounded size, to
+stars around its smallest ids; that only replaces paths by shorter ones. Each round
 is cut off with checkpoint(), which survives lost executors.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BATCH = 1 << 20  # edges that a task contracts at once
+
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and read it back from there."""
@@ -21,17 +28,58 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stars(v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the same components: each id with the smallest one that these edges reach."""
+    ids, index = np.unique(np.concatenate([v, u]), return_inverse=True)
+    a, b = index[: len(v)], index[len(v) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(ids))
+    return ids[far], ids[label[far]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(v, u) with u < v, of the same components as edges (v, u)."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            v, u = stars(*(np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_pydict({"v": pa.array(v, pa.int64()), "u": pa.array(u, pa.int64())})
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= BATCH:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return edges.select(F.col("v").cast("long"), F.col("u").cast("long")).where("v IS NOT NULL AND u IS NOT NULL").mapInArrow(contract, "v long, u long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): for every id of an edge the smallest id it reaches."""
-    e = materialise(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("v <> u").distinct())
-    before = None
+    """(id, component): for every id of an edge the smallest id it reaches; edges from an id to itself count for nothing."""
+    own = edges.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("u"))
+    e, before = materialise(contracted(own.where("v <> u")).distinct()), None
     while True:
         both = e.union(e.select("u", "v").toDF("v", "u"))
         low = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
         large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        both = F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
-        e = materialise(large.join(low, "v").select(F.explode(both).alias("s")).select("s.v", "s.u").where("v <> u").distinct())
+        ends = F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
+        e = materialise(contracted(large.join(low, "v").select(F.explode(ends).alias("s")).select("s.v", "s.u").where("v <> u")).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
             return e.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component")).union(e.select("u", "u").distinct())
