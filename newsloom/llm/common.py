@@ -16,6 +16,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.components import components, materialise  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
@@ -33,14 +35,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read it back from there."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="newsloom-")
@@ -230,26 +224,8 @@ def joined(links: np.ndarray) -> np.ndarray:
 
 
 def min_labels(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): (id, component) for every id in an edge.
-
-    Rounds of large-star and small-star: each vertex links its neighbours to its
-    smallest one, which halves depths and never holds a vertex's neighbours in one row.
-    """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
-    before = None
-    while True:
-        both = e.union(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        small_low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(small_low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("s")).select("s.v", "s.u").where("v <> u").distinct()
-        e = materialise(small)
-        now = e.agg(F.count("*"), F.sum(F.hash("v", "u").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    out = e.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component"))
-    return out.union(e.select("u", "u").distinct())
+    """(id, component) for every id in an edge (a, b): the smallest id it reaches."""
+    return components(edges)
 
 
 def chunked(docs: DataFrame, target: int = 8 << 20, more: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
