@@ -80,7 +80,7 @@ def _grown(n: int) -> list[np.ndarray]:
 
 
 class Words:
-    """The words of many texts: 64-bit hashes, places in ``raw``, and the number of each text.
+    """The words of many texts: 64-bit hashes, places in ``raw``, and the number and bytes of each text.
 
     A word's hash is a polynomial over its bytes (through a table of random numbers),
     taken from prefix sums of a stretch of text, so no word becomes a Python object.
@@ -116,7 +116,8 @@ class Words:
             at = stop
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
         self.hash, self.start, self.end = join(hashes, U64), join(starts, np.int64), join(ends, np.int64)
-        limits = np.cumsum([len(x) + 1 for x in parts])
+        self.sizes = np.array([len(x) for x in parts], np.int64)
+        limits = np.cumsum(self.sizes + 1)
         self.counts = np.diff(np.concatenate([[0], np.searchsorted(self.start, limits)])) if len(parts) else np.empty(0, np.int64)
 
     def word(self, i: int) -> bytes:

@@ -4,14 +4,15 @@
 places where the library's own pre-tokenizer always starts a new unit, whatever stands
 around them, has the library encode each distinct piece once, and joins the ids:
 
-* byte-level vocabularies: before a space that a non-space character follows. A run of
-  white space gives its last space to the next word and the rest is a unit of its own,
-  at the end of a text as before such a space.
+* byte-level vocabularies: before the last space of white space that a word follows, or
+  before the word if that white space ends otherwise. The rest of the white space is one
+  unit, or its last character is one of its own where the word takes no space.
 * word vocabularies (they have a normalizer, and white space is dropped): at ASCII white space.
 
 A plain piece, Latin letters and then signs, goes straight to the library's model as one
-or two units; any other piece goes through the whole library, and so does a whole text
-that holds one of the vocabulary's special strings.
+or two units; any other piece goes through the whole library. So does a whole text that
+holds one of the vocabulary's special strings, or, for byte-level vocabularies, white
+space outside ASCII.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_SPACE = re.compile(r" (?=\S)")
-_RAGGED = re.compile(r" (?:\s|$)")
+from .common import U64, Words
+
 #: Letters, then other signs: two units of either vocabulary's pre-tokenizer (an apostrophe may start a contraction).
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,6 +39,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+#: UTF-8 of white space other than U+0020 and U+0009..U+000D, and of control characters that may count as such.
+_ODD_BYTES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]")
 
 
 def vocabulary(name: str) -> str:
@@ -51,7 +55,7 @@ class PieceEncoder(dict):
     """ids(text) as ``tokenizers`` gives them with add_special_tokens=False.
 
     As a dict it holds the ids (as bytes) of pieces seen. When it is full, all but
-    the pieces of the present text are forgotten.
+    the pieces of the present texts are forgotten.
     """
 
     limit = 900_000
@@ -86,49 +90,94 @@ class PieceEncoder(dict):
         letters = unit.replace(" ", "Ġ") if unit.isascii() else unit.encode().decode("latin-1").translate(_LETTERS)
         return array(self.code, [x.id for x in self.model.tokenize(letters)]).tobytes()
 
-    def __missing__(self, piece: str | bytes) -> bytes:
-        """A piece is a word (bytes, or a string that a space precedes) or the head of a text (a 1-tuple)."""
-        if isinstance(piece, tuple):
-            text, lead = piece[0], ""
-        elif self.by_word:
-            text, lead = piece.decode("utf-8", "surrogatepass"), ""
-        else:
-            text, lead = piece, " "
+    def __missing__(self, piece: bytes) -> bytes:
+        """The ids of a word, which its space may precede."""
+        text = piece.decode("utf-8", "surrogatepass")
         if plain := _PLAIN.fullmatch(text):
-            word, signs = plain.groups()
-            if signs:
-                part = (word,) if isinstance(piece, tuple) else word.encode() if self.by_word else word
-                out = self[part] + self._unit(signs)
-            else:
-                out = self._unit(lead + (word.lower() if self.by_word else word))
+            lead, word, signs = plain.groups()
+            out = self[(lead + word).encode()] + self._unit(signs) if signs else self._unit(lead + (word.lower() if self.by_word else word))
         else:
-            out = np.array(self.library.encode(lead + text, add_special_tokens=False).ids, self.dtype).tobytes()
+            out = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         self[piece] = out
         return out
 
-    def raw(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian integers of dtype."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if self.by_word:
-            pieces: list = text.encode("utf-8", "surrogatepass").split()
-        else:
-            pieces = _SPACE.split(text) if _RAGGED.search(text) else text.split(" ")
-            if pieces[0]:
-                pieces[0] = (pieces[0],)
-            else:
-                del pieces[0]
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        ids, counts = self.many(texts)
+        yield from np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else ()
+
+    def _space(self, run: bytes, word_has_space: bool, last: bool) -> bytes:
+        """The ids of white space: before a word that takes the last space itself, before one that doesn't, or at the end."""
+        unit = lambda x: array(self.code, [t.id for t in self.model.tokenize(x.decode("latin-1").translate(_LETTERS))]).tobytes() if x else b""
+        return unit(run) if word_has_space or last else unit(run[:-1]) + unit(run[-1:])
+
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each text's ids.
+
+        Each distinct word of the texts is looked up once; ids are put together by index.
+        """
+        w = Words(texts)
+        whole = [i for i, t in enumerate(texts) if t and any(s in t for s in self.special)] if any(s.encode() in w.raw for s in self.special) else []
+        if not self.by_word and any(x in w.raw for x in _ODD_BYTES):
+            whole = sorted({*whole, *(i for i, t in enumerate(texts) if t and _ODD.search(t))})
+        if whole:
+            special = {i: np.array(self.library.encode(texts[i], add_special_tokens=False).ids, self.dtype) for i in whole}
+            ids, counts = self.many([None if i in special else t for i, t in enumerate(texts)])
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            parts = [special.get(i, p) for i, p in enumerate(parts)]
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        n, raw = len(w.hash), w.raw
+        a = np.frombuffer(raw, np.uint8)
+        spaced = np.zeros(n, bool)
+        inner = w.start > 0
+        spaced[inner] = a[w.start[inner] - 1] == 32
+        key = w.hash if self.by_word else w.hash ^ (spaced.astype(U64) * U64(0xA0761D6478BD642F))
+        distinct, index = np.unique(key, return_inverse=True)
+        some = np.empty(len(distinct), np.int64)
+        some[index] = np.arange(n)
+        from_ = w.start[some] if self.by_word else w.start[some] - spaced[some]
+        words = [raw[x:z] for x, z in zip(from_.tolist(), w.end[some].tolist(), strict=True)]
+        items = list(map(self.__getitem__, words))
         if len(self) > self.limit:
-            here = {x: self[x] for x in pieces}
+            here = {x: self[x] for x in words}
             self.clear()
             self.update(here)
-        return b"".join(map(self.__getitem__, pieces))
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        for t in texts:
-            yield np.frombuffer(self.raw(t), self.dtype)
+        ends = np.cumsum(w.counts)
+        sizes = w.sizes
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        order, doc = index, np.repeat(np.arange(len(texts)), w.counts)
+        if not self.by_word:
+            # White space that is no word's own space, before words and at the ends of texts.
+            before = np.empty(n, np.int64)
+            before[1:] = w.end[:-1]
+            first = (ends - w.counts)[w.counts > 0]
+            before[first] = begin[w.counts > 0]
+            gap = w.start - before - spaced
+            at = np.flatnonzero(gap > 0)
+            last = np.where(w.counts > 0, np.concatenate([[0], w.end])[ends], begin)
+            tail = np.flatnonzero(begin + sizes > last)
+            known: dict[tuple[bytes, bool, bool], int] = {}
+            number = []
+            for x, k, sp in zip(before[at].tolist(), gap[at].tolist(), spaced[at].tolist(), strict=True):
+                number.append(known.setdefault((raw[x : x + k], sp, False), len(known)))
+            for x, z in zip(last[tail].tolist(), (begin + sizes)[tail].tolist(), strict=True):
+                number.append(known.setdefault((raw[x:z], False, True), len(known)))
+            if number:
+                items += [self._space(*k) for k in known]
+                number = np.array(number, np.int64) + len(distinct)
+                place = np.concatenate([at, ends[tail]])
+                owner = np.concatenate([doc[at], tail])
+                # A text's end comes before the next text's first word, and before its white space.
+                rank = np.lexsort((np.concatenate([np.ones(len(at), int), np.zeros(len(tail), int)]), owner, place))
+                order = np.insert(index, place[rank], number[rank])
+                doc = np.insert(doc, place[rank], owner[rank])
+        lengths = np.fromiter(map(len, items), np.int64, len(items)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(items), self.dtype)
+        starts = np.cumsum(lengths) - lengths
+        size = lengths[order]
+        total = int(size.sum())
+        shift = starts[order] - (np.cumsum(size) - size)
+        ids = flat[np.repeat(shift, size) + np.arange(total)] if total else np.empty(0, self.dtype)
+        return ids, np.bincount(doc, size, len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
 
 
 class WordEncoder(PieceEncoder):
@@ -146,13 +195,11 @@ class WordEncoder(PieceEncoder):
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ") or i == self.end]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "surrogatepass")
-        if plain := _PLAIN.fullmatch(text):
-            letters, signs = plain.groups()
-            out = self[letters.encode()] + self._unit(signs) if signs else self._unit(" " + letters)
-        else:
-            out = np.array(self.library.encode(" " + text, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[word] = out
+        """A word is kept without its space; the letters of one with signs are kept with it."""
+        if word[:1] == b" ":
+            return super().__missing__(word)
+        out = self[word] = super().__missing__(b" " + word)
+        del self[b" " + word]
         return out
 
     def ids(self, words: list[bytes]) -> np.ndarray:

@@ -207,11 +207,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard: i
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = PieceEncoder.of(vocabulary), 0
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], encoder.dtype)
         ids, lengths, held, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            x = Shard.of(ids, lengths, np.frombuffer(b"".join(held), encoder.dtype))
+            x = Shard.of(ids, lengths, np.concatenate(held))
             return pa.RecordBatch.from_pydict({"part": [part], "shard": [number], "first_doc": [ids[0]], "n_tokens": [size], "file": [x.dump()]}, schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())])
@@ -220,15 +220,16 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard: i
         part = TaskContext.get().partitionId()
         for b in batches:
             for at, texts in slices(b.column("text")):
-                for doc, text in zip(b.column("doc_id").slice(at, len(texts)).to_pylist(), texts, strict=True):
-                    raw = encoder.raw(text) + end
-                    n = len(raw) // encoder.dtype.itemsize
+                all_, counts = encoder.many(texts)
+                ends = np.cumsum(counts)
+                for doc, a, z in zip(b.column("doc_id").slice(at, len(texts)).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    n = z - a + 1
                     if held and size + n > shard:
                         yield out()
                         ids, lengths, held, size, number = [], [], [], 0, number + 1
                     ids.append(doc)
                     lengths.append(n)
-                    held.append(raw)
+                    held += [all_[a:z], end]
                     size += n
         if held:
             yield out()

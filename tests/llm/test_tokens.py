@@ -28,6 +28,14 @@ def test_pieces_give_the_librarys_ids(path, small):
     want = encoder.library.encode_batch(texts, add_special_tokens=False)
     for text, got, w in zip(texts, encoder.encode(texts), want, strict=True):
         assert got.tolist() == w.ids, text
+    for text, w in zip(texts[:300], want, strict=False):
+        assert [x.tolist() for x in encoder.encode([text])] == [w.ids], text
+    plain = " \t\n\x0ba.'sÀ1"  # no text of these goes through the library whole
+    texts = ["".join(rng.choice(plain) for _ in range(rng.randint(0, 40))) for _ in range(6000)]
+    for at in range(0, len(texts), 1500):
+        some = [*texts[at : at + 1500], None, ""]
+        want = encoder.library.encode_batch([t or "" for t in some], add_special_tokens=False)
+        assert [g.tolist() for g in encoder.encode(some)] == [w.ids for w in want]
 
 
 def test_wavelet_matrix_operations():
