@@ -54,8 +54,9 @@ def vocabulary(name: str) -> str:
 class PieceEncoder(dict):
     """ids(text) as ``tokenizers`` gives them with add_special_tokens=False.
 
-    As a dict it holds the ids (as bytes) of pieces seen. When it is full, all but
-    the pieces of the present texts are forgotten.
+    As a dict it holds the ids (as bytes) of pieces seen, by the 64-bit hash of a piece:
+    among N distinct pieces the chance of any mix-up is about N^2 / 2^65. When it is
+    full, all but the pieces of the present texts are forgotten.
     """
 
     limit = 900_000
@@ -90,16 +91,13 @@ class PieceEncoder(dict):
         letters = unit.replace(" ", "Ġ") if unit.isascii() else unit.encode().decode("latin-1").translate(_LETTERS)
         return array(self.code, [x.id for x in self.model.tokenize(letters)]).tobytes()
 
-    def __missing__(self, piece: bytes) -> bytes:
+    def _piece(self, piece: bytes) -> bytes:
         """The ids of a word, which its space may precede."""
         text = piece.decode("utf-8", "surrogatepass")
         if plain := _PLAIN.fullmatch(text):
             lead, word, signs = plain.groups()
-            out = self[(lead + word).encode()] + self._unit(signs) if signs else self._unit(lead + (word.lower() if self.by_word else word))
-        else:
-            out = np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[piece] = out
-        return out
+            return self._unit(lead + (word.lower() if self.by_word else word)) + (self._unit(signs) if signs else b"")
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         ids, counts = self.many(texts)
@@ -135,12 +133,12 @@ class PieceEncoder(dict):
         some = np.empty(len(distinct), np.int64)
         some[index] = np.arange(n)
         from_ = w.start[some] if self.by_word else w.start[some] - spaced[some]
-        words = [raw[x:z] for x, z in zip(from_.tolist(), w.end[some].tolist(), strict=True)]
-        items = list(map(self.__getitem__, words))
+        items = list(map(self.get, distinct.tolist()))
+        for i in [i for i, x in enumerate(items) if x is None]:
+            items[i] = self[int(distinct[i])] = self._piece(raw[from_[i] : w.end[some[i]]])
         if len(self) > self.limit:
-            here = {x: self[x] for x in words}
             self.clear()
-            self.update(here)
+            self.update(zip(distinct.tolist(), items, strict=True))
         ends = np.cumsum(w.counts)
         sizes = w.sizes
         begin = np.cumsum(sizes + 1) - sizes - 1
@@ -195,11 +193,7 @@ class WordEncoder(PieceEncoder):
         self.begins[[i for token, i in vocabulary.items() if token.startswith("Ġ") or i == self.end]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        """A word is kept without its space; the letters of one with signs are kept with it."""
-        if word[:1] == b" ":
-            return super().__missing__(word)
-        out = self[word] = super().__missing__(b" " + word)
-        del self[b" " + word]
+        out = self[word] = self._piece(b" " + word)
         return out
 
     def ids(self, words: list[bytes]) -> np.ndarray:

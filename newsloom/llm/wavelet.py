@@ -71,9 +71,15 @@ class WaveletMatrix:
         x, i = np.zeros(self.n, dtype), np.arange(self.n, dtype=np.int32 if self.n < 1 << 31 else np.int64)
         for level, (bits, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = np.unpackbits(bits, count=self.n, bitorder="little")
-            ones = np.cumsum(one, dtype=i.dtype)
             x[z:] |= x.dtype.type(1 << level)
-            x = x.take(np.where(one, ones + i.dtype.type(z - 1), i - ones))
+            if (self.n - z) * 16 < self.n:  # few ones: two masked copies are cheaper than a gather
+                y, mask = np.empty_like(x), one.view(bool)
+                y[~mask] = x[:z]
+                y[mask] = x[z:]
+                x = y
+            else:
+                ones = np.cumsum(one, dtype=i.dtype)
+                x = x.take(np.where(one, ones + i.dtype.type(z - 1), i - ones))
         return x
 
     def _ones(self, plane: int, i: np.ndarray) -> np.ndarray:
@@ -219,7 +225,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard: i
 
         part = TaskContext.get().partitionId()
         for b in batches:
-            for at, texts in slices(b.column("text")):
+            for at, texts in slices(b.column("text"), 8 << 20):
                 all_, counts = encoder.many(texts)
                 ends = np.cumsum(counts)
                 for doc, a, z in zip(b.column("doc_id").slice(at, len(texts)).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
