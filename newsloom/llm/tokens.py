@@ -78,6 +78,7 @@ class PieceEncoder(dict):
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model._resize_cache(0)  # this dict is the cache
+        self.signs: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, special: bool = True) -> PieceEncoder:
@@ -94,9 +95,13 @@ class PieceEncoder(dict):
     def _piece(self, piece: bytes) -> bytes:
         """The ids of a word, which its space may precede."""
         text = piece.decode("utf-8", "surrogatepass")
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return self._unit(text.lower() if self.by_word else text)
         if plain := _PLAIN.fullmatch(text):
             lead, word, signs = plain.groups()
-            return self._unit(lead + (word.lower() if self.by_word else word)) + (self._unit(signs) if signs else b"")
+            if signs and signs not in self.signs:
+                self.signs[signs] = self._unit(signs)
+            return self._unit(lead + (word.lower() if self.by_word else word)) + (self.signs[signs] if signs else b"")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -138,6 +143,7 @@ class PieceEncoder(dict):
             items[i] = self[int(distinct[i])] = self._piece(raw[from_[i] : w.end[some[i]]])
         if len(self) > self.limit:
             self.clear()
+            self.signs.clear()
             self.update(zip(distinct.tolist(), items, strict=True))
         ends = np.cumsum(w.counts)
         sizes = w.sizes

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, slices
+from .common import materialise, partitions, shared_folder, slices
 from .tokens import PieceEncoder
 
 MAGIC, BLOCK, SHARD = b"NLW1", 512, 1 << 20
@@ -59,6 +59,10 @@ class WaveletMatrix:
         planes, zeros = [], []
         for level in range(levels - 1, -1, -1):
             bits = np.packbits(((x >> x.dtype.type(level)) & x.dtype.type(1)).astype(bool), bitorder="little")
+            if level == 0:  # nothing below needs the order
+                zeros.append(len(x) - int(np.bitwise_count(bits).sum()))
+                planes.append(bits)
+                break
             one, a = _bools(bits, len(x)), pa.array(x)
             low = a.filter(pc.invert(one)).to_numpy(zero_copy_only=False)
             planes.append(bits)
@@ -71,8 +75,11 @@ class WaveletMatrix:
         x, i = np.zeros(self.n, dtype), np.arange(self.n, dtype=np.int32 if self.n < 1 << 31 else np.int64)
         for level, (bits, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = np.unpackbits(bits, count=self.n, bitorder="little")
+            if level == 0:
+                x = one.astype(dtype)
+                continue
             x[z:] |= x.dtype.type(1 << level)
-            if (self.n - z) * 16 < self.n:  # few ones: two masked copies are cheaper than a gather
+            if (self.n - z) * 8 < self.n:  # few ones: two masked copies are cheaper than a gather
                 y, mask = np.empty_like(x), one.view(bool)
                 y[~mask] = x[:z]
                 y[mask] = x[z:]
@@ -261,7 +268,7 @@ def read(spark, path: str) -> DataFrame:
 
     docs = shards.select("part", "shard", "file").mapInArrow(decode, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # Ids before each shard: of the range partitions before its own, and of the shards before it in that.
-    sizes = shards.select("part", "shard", "n_tokens")
+    sizes = materialise(shards.select("part", "shard", "n_tokens"))
     by_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("parts_before"))
     before = sizes.select("part", "shard", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("shards_before")).join(by_part, "part")
     return docs.join(before, ["part", "shard"]).select("doc_id", (F.col("parts_before") + F.col("shards_before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
