@@ -109,7 +109,7 @@ def imported(rows: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, Data
     return good, errors
 
 
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"lenta_csv": import_files, "csv": csv_table}
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"article_csv": import_files, "csv": csv_table}
 
 
 def read(spark: SparkSession, kind: str, path: str) -> DataFrame:
