@@ -6,6 +6,8 @@ before a non-space character, see ``tokens``) and both chunks have a token bound
 two are spliced. If an overlap holds no such place, it is widened, twice as far each time,
 up to the whole chunk; what then still has none is joined with the next chunk and encoded
 as one. Only the library's own offsets are used, so counts equal those of the whole text.
+Shorter texts are counted from the library's ids of their distinct pieces (``tokens``), or,
+for a vocabulary with another pre-tokenizer, encoded whole.
 
 Defined results: a null text is empty and has no token; special strings inside texts are
 handled as the library does by default (none crosses a splice: it holds no space); rows
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .tokens import PieceEncoder
 
 CHUNK, OVERLAP = 1 << 16, 256
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
@@ -85,14 +88,16 @@ def counted(docs: DataFrame, vocabulary: str, limit: int = 1024, chunk: int = CH
         else:
             from tokenizers import Tokenizer
 
-            library = Tokenizer.from_file(vocabulary)
+            pieces = PieceEncoder.of(vocabulary) if PieceEncoder.suits(vocabulary) else None
+            library = pieces.library if pieces is not None else Tokenizer.from_file(vocabulary)
 
             def many(texts: list[str]) -> list[int]:
-                small = iter(library.encode_batch_fast([t for t in texts if len(t) <= chunk], add_special_tokens=False))
-                return [len(next(small)) if len(t) <= chunk else count_huge(library, t, chunk, overlap) for t in texts]
+                small = [t for t in texts if len(t) <= chunk]
+                n = iter(pieces.many(small)[1].tolist() if pieces is not None else [len(x) for x in library.encode_batch_fast(small, add_special_tokens=False)])
+                return [next(n) if len(t) <= chunk else count_huge(library, t, chunk, overlap) for t in texts]
 
         for b in batches:
-            n = [x for _, texts in slices(b.column("text"), 1 << 19) for x in many([t or "" for t in texts])]
+            n = [x for _, texts in slices(b.column("text")) for x in many([t or "" for t in texts])]
             size = pa.compute.fill_null(pa.compute.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": size, "n_tokens": pa.array(n, pa.int64())})
 

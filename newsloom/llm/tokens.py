@@ -80,6 +80,19 @@ class PieceEncoder(dict):
         self.model._resize_cache(0)  # this dict is the cache
         self.signs: dict[str, bytes] = {}
 
+    @staticmethod
+    def suits(path: str) -> bool:
+        """Whether a vocabulary's pre-tokenizer is one of the two whose cuts are known here."""
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        pre, normal = own.get("pre_tokenizer") or {}, own.get("normalizer")
+        if own["model"].get("type", "BPE") != "BPE" or own["model"].get("dropout"):
+            return False
+        if normal is None:
+            return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        steps = [x["type"] for x in normal.get("normalizers", [])]
+        return steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+
     @classmethod
     def of(cls, path: str, special: bool = True) -> PieceEncoder:
         """One encoder for each file and Python process."""

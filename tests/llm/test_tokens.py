@@ -84,6 +84,18 @@ def test_resynchronisation(library, chunk, overlap):
         assert counting.count_huge(library, t, chunk, overlap) == len(library.encode(t, add_special_tokens=False).ids)
 
 
+def test_other_vocabularies_are_encoded_whole(edge, tmp_path):
+    assert PieceEncoder.suits(BYTE) and PieceEncoder.suits(WORDS)
+    t = Tokenizer.from_file(BYTE)
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    t.pre_tokenizer = ByteLevel(add_prefix_space=True)
+    t.save(str(tmp_path / "v.json"))
+    assert not PieceEncoder.suits(str(tmp_path / "v.json"))
+    for r in counting.counted(edge.where("doc_id <> 4"), str(tmp_path / "v.json")).join(edge.select("doc_id", "text"), "doc_id").collect():
+        assert r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False).ids)
+
+
 def test_sentencepiece_counts(edge):
     import sentencepiece
 
