@@ -99,3 +99,13 @@ def ranked(rows: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     sizes = place.groupBy(part.alias("_part")).count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     return place.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + at).drop("_part", "_before", "_at")
+
+
+def cumulative(rows: DataFrame, sums: dict[str, str], *order: Column) -> DataFrame:
+    """rows with running sums (new name: column) in a total order, both ends included: within range partitions, plus what stands before each."""
+    place = materialise(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    totals = place.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = totals.select("_part", *[(F.sum(f"_{n}").over(Window.orderBy("_part")) - F.col(f"_{n}")).alias(f"_{n}") for n in sums])
+    here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = place.join(F.broadcast(before), "_part")  # one row for each partition
+    return out.select(*rows.columns, *[(F.sum(c).over(here) + F.col(f"_{n}")).alias(n) for n, c in sums.items()])

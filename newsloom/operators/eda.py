@@ -101,12 +101,23 @@ def batches(rows: DataFrame, size: int, *order: Column) -> DataFrame:
     return ranked(rows, *order, name="_rank").withColumn("batch", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
 
+def contiguous(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """``part`` from 1 to n in order, of sizes that differ by one at most, larger ones first."""
+    from .components import ranked
+
+    x = ranked(rows, *order, name="_rank").crossJoin(F.broadcast(rows.agg(F.count("*").alias("_all"))))
+    size, more = F.floor(F.col("_all") / n), F.col("_all") % n
+    early = F.floor(F.col("_rank") / (size + 1)) + 1
+    late = more + F.floor((F.col("_rank") - more * (size + 1)) / F.greatest(size, F.lit(1))) + 1
+    return x.withColumn("part", F.when(F.col("_rank") < more * (size + 1), early).otherwise(late).cast("long")).drop("_rank", "_all")
+
+
 def budgeted(clusters: DataFrame, least: int, most: int, *order: Column) -> DataFrame:
     """Clusters taken in order while their sizes fit ``most``, until ``least`` is reached.
 
-    A greedy fold over one small row for each cluster.
+    A greedy fold over one small row for each cluster that could fit.
     """
-    rows = clusters.agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("cluster").alias("cluster"), F.col("size").cast("long").alias("size")))).alias("a"))
+    rows = clusters.where(F.col("size") <= most).agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("cluster").alias("cluster"), F.col("size").cast("long").alias("size")))).alias("a"))
     kind = dict(clusters.dtypes)["cluster"]
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast(f"array<{kind}>").alias("taken"))
     fold = F.aggregate("a", zero, lambda s, x: F.when((s["n"] < least) & (s["n"] + x["size"] <= most), F.struct((s["n"] + x["size"]).alias("n"), F.array_append(s["taken"], x["cluster"]).alias("taken"))).otherwise(s))

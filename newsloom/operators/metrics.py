@@ -72,10 +72,13 @@ def multiclass(counts: DataFrame) -> DataFrame:
 
 def auc(rows: DataFrame, truth: str, score: str) -> DataFrame:
     """ROC AUC from rank sums with ties at their mean rank, and average precision."""
+    from .components import cumulative
+
     by = rows.groupBy(F.col(score).alias("s")).agg(F.sum(truth).alias("pos"), F.count("*").alias("n"))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.withColumn("rank", F.sum("n").over(up) - (F.col("n") - 1) / 2.0).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    by = cumulative(by, {"upto": "n", "pos_upto": "pos"}, F.col("s").asc())
+    total = by.agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    by = by.crossJoin(F.broadcast(total)).withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0)
+    by = by.withColumn("tp", F.col("all_pos") - F.col("pos_upto") + F.col("pos")).withColumn("seen", F.col("all_n") - F.col("upto") + F.col("n"))
     x = by.agg(F.sum("pos").alias("p"), F.sum("n").alias("n"), F.sum(F.col("pos") * F.col("rank")).alias("ranks"), F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("ap"))
     return x.select(((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("roc_auc"), (F.col("ap") / F.col("p")).alias("average_precision"))
 

@@ -105,7 +105,9 @@ def feed(articles: DataFrame, start: str, end: str, organization: str | None = N
 
 
 def page(clusters: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
-    return clusters.withColumn("place", F.row_number().over(Window.orderBy(*order))).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    """Places offset + 1 to offset + limit; only so many rows of each task are looked at."""
+    first = clusters.orderBy(*order).limit(offset + limit)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") > offset)
 
 
 def adjacent_dates(articles: DataFrame, start: str, end: str) -> DataFrame:

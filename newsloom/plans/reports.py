@@ -540,7 +540,7 @@ def t10_budgeted_clusters(spark, sf):
 
 @query("SELECT doc_id::BIGINT AS doc_id, ntile(7) OVER (ORDER BY doc_id)::BIGINT AS part FROM documents")
 def t11_contiguous_split(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.ntile(7).over(Window.orderBy("doc_id")).cast("long").alias("part"))
+    return E.contiguous(table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id")), 7, F.col("doc_id"))
 
 
 @query("SELECT a::BIGINT AS a, b::BIGINT AS b FROM band ORDER BY round(abs(0.25 - sim), 9), days, a, b LIMIT 30", "band")
