@@ -107,7 +107,7 @@ def deduplicated(docs: DataFrame, k: int = K, as_is: bool = False, more: tuple[s
     """
     chunks, _, size = chunked(docs, more=more)
     carried = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*more).schema)
-    parts = max(4 * partitions(docs.sparkSession), size // (4 << 20))
+    parts = max(partitions(docs.sparkSession), size // (6 << 20))
 
     def index(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
