@@ -167,7 +167,7 @@ class Shard:
         out = [struct.pack("<IQIB", len(self.doc_ids), m.n, len(self.alphabet), len(m.planes)), self.doc_ids.tobytes(), self.ends.tobytes(), self.alphabet.tobytes()]
         for bits, z, before in zip(m.planes, m.zeros, m.before, strict=True):
             out += [struct.pack("<Q", z), before.tobytes(), bits.tobytes()]
-        return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+        return MAGIC + zstandard.ZstdCompressor(level=-3).compress(b"".join(out))
 
     @classmethod
     def load(cls, file: bytes) -> Shard:
@@ -260,10 +260,10 @@ def read(spark, path: str) -> DataFrame:
         for b in batches:
             for part, number, file in zip(*(b.column(c).to_pylist() for c in ("part", "shard", "file")), strict=True):
                 s = Shard.load(file)
-                ids = s.ids().astype("<u4").tobytes()
+                ids = s.ids().astype("<u4", copy=False)
                 ends = s.ends.astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(ids[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(ends), pa.int32()), "shard": pa.array([number] * len(ends), pa.int32()), "doc_id": s.doc_ids, "at": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
 
     docs = shards.select("part", "shard", "file").mapInArrow(decode, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
