@@ -149,17 +149,43 @@ def window_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.n
     return mixed(out)
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
-    """Tables of equal keys with at least ``least`` rows, from batches sorted by the keys. A run may span batches."""
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1, most: int = 0) -> Iterator[pa.Table]:
+    """Tables of equal keys with at least ``least`` rows, from batches sorted by the keys. A run may span batches.
+
+    With ``most``, a run of more rows comes in pieces of about that many; each piece begins
+    with the run's first row and has ``split`` in its schema's metadata.
+    """
     held: list[pa.RecordBatch] = []
+    first: pa.RecordBatch | None = None  # of a run that has been split
 
     def key(b: pa.RecordBatch, i: int) -> tuple:
         return tuple(b.column(k)[i].as_py() for k in keys)
 
+    def piece() -> pa.Table:
+        own = pa.Table.from_batches([first, *held])
+        return own.replace_schema_metadata({"split": "1"})
+
     def whole() -> Iterator[pa.Table]:
-        if held and sum(b.num_rows for b in held) >= least:
+        nonlocal first
+        if first is not None:
+            if held:
+                yield piece()
+        elif held and sum(b.num_rows for b in held) >= least:
             yield pa.Table.from_batches(held)
         held.clear()
+        first = None
+
+    def more(b: pa.RecordBatch) -> Iterator[pa.Table]:
+        nonlocal first
+        held.append(b)
+        while most and sum(x.num_rows for x in held) > most:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            new = first is None
+            first = rows.slice(0, 1) if new else first
+            held[:] = [rows.slice(int(new), most)]
+            yield piece()
+            rest = rows.slice(int(new) + most)
+            held[:] = [rest] if rest.num_rows else []
 
     for b in batches:
         if not b.num_rows:
@@ -172,24 +198,25 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) ->
                 new[1:] |= pa.compute.not_equal(here, before).fill_null(False).to_numpy(zero_copy_only=False) | (gone[1:] != gone[:-1])
         starts = np.concatenate([[0], np.flatnonzero(new)])
         sizes = np.diff(np.append(starts, b.num_rows))
-        if held and key(held[-1], held[-1].num_rows - 1) != key(b, 0):
+        last = held[-1] if held else first
+        if last is not None and key(last, last.num_rows - 1) != key(b, 0):
             yield from whole()
+        yield from more(b.slice(0, int(sizes[0])))
         if len(starts) == 1:
-            held.append(b)
             continue
-        held.append(b.slice(0, int(sizes[0])))
         yield from whole()
         for i in (np.flatnonzero(sizes[1:-1] >= least) + 1).tolist():
-            yield pa.Table.from_batches([b.slice(int(starts[i]), int(sizes[i]))])
-        held.append(b.slice(int(starts[-1])))
+            yield from more(b.slice(int(starts[i]), int(sizes[i])))
+            yield from whole()
+        yield from more(b.slice(int(starts[-1])))
     yield from whole()
 
 
-def in_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, n: int | None = None, least: int = 1) -> DataFrame:
+def in_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa.Table], Iterable[pa.RecordBatch]], schema: str, n: int | None = None, least: int = 1, most: int = 0) -> DataFrame:
     """Apply f to the rows of each key that has at least ``least``, sorted by keys and order; many small keys share a task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches, keys, least):
+        for run in runs(batches, keys, least, most):
             yield from f(run)
 
     return df.repartition(n or partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)

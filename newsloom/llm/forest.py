@@ -12,8 +12,8 @@ prefix and agrees in half of 64 signature bytes (a pair at 0.8 does so but for o
 Those links only decide which texts meet: the components of the candidate graph are
 split into blocks by a hash, each pair of blocks is one task, and there the exact
 similarity of all its pairs is counted from the shingles, without emitting a row for
-each pair. Subtrees of more than WIDE classes are linked without the signature test,
-so nothing is capped.
+each pair. Subtrees of more than WIDE classes are read in pieces and linked without the
+signature test, so nothing is capped and no task holds more than a piece.
 
 Defined results: null and empty texts link with nothing; rows without doc_id are left
 out; repeated rows are copies of each other; extra columns are ignored; an empty table
@@ -103,7 +103,7 @@ def candidates(classes: DataFrame, x: int) -> DataFrame:
     def climb(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """One subtree below a shortest prefix."""
         rep = t.column("rep").to_numpy()
-        if len(rep) > WIDE:
+        if t.schema.metadata and b"split" in t.schema.metadata:
             hub = np.full(len(rep), rep.min())
         else:
             s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
@@ -118,7 +118,7 @@ def candidates(classes: DataFrame, x: int) -> DataFrame:
         if links.any():
             yield pa.RecordBatch.from_pydict({"a": pa.array(rep[links]), "b": pa.array(hub[links])})
 
-    return in_runs(classes.select("rep", "signature").mapInArrow(plant, "tree int, prefix long, rest binary, rep long, sketch binary"), ["tree", "prefix"], ["rest", "rep"], climb, "a long, b long", least=2).distinct()
+    return in_runs(classes.select("rep", "signature").mapInArrow(plant, "tree int, prefix long, rest binary, rep long, sketch binary"), ["tree", "prefix"], ["rest", "rep"], climb, "a long, b long", least=2, most=WIDE).distinct()
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> np.ndarray:

@@ -10,8 +10,9 @@ A block's range join is dealt by grid cells: the signs of its first coordinates,
 as the largest label needs for cells of about CELL vectors. A vector is at home in its
 cell and also visits each cell that its ball of the budget's radius reaches. Within a
 task, distances in the block are one matrix product. A pair is counted once: in the home
-cell of its smaller id, in the first block whose budget it meets. Cells with more homes
-than WIDE are split by a hash of their homes. Vectors that are equal with equal labels
+cell of its smaller id, in the first block whose budget it meets. Cells with more rows
+than WIDE are split by a hash, and each part of the homes meets each part of the rows, so
+no task holds a whole cell. Vectors that are equal with equal labels
 are one class before all that.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
@@ -106,7 +107,8 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
 
     def join(t: pa.Table) -> Iterator[pa.RecordBatch]:
         dim, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
-        rep, copies, home = (t.column(c).to_numpy() for c in ("rep", "copies", "home"))
+        rep, copies, home, probe = (t.column(c).to_numpy() for c in ("rep", "copies", "home", "probe"))
+        probe = np.flatnonzero(probe)
         raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), np.float64).reshape(-1, dim)
         y = np.frombuffer(b"".join(t.column("turned").to_pylist()), np.float32).reshape(-1, dim)
         unit = raw / np.abs(raw).max(1, keepdims=True)
@@ -118,10 +120,10 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
         n, at = np.zeros(len(rep), np.int64), np.flatnonzero(home)
         pairs = []
         for h in np.array_split(at, -(-len(at) // 256)) if len(at) else []:
-            near = square[h, None] + square[None, :] - 2 * (part[h] @ part.T) <= limit + 1e-5
-            near &= rep[h, None] < rep[None, :]
+            near = square[h, None] + square[None, probe] - 2 * (part[h] @ part[probe].T) <= limit + 1e-5
+            near &= rep[h, None] < rep[None, probe]
             i, j = np.nonzero(near)
-            i = h[i]
+            i, j = h[i], probe[j]
             for s in range(0, len(i), 1 << 16):
                 p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 first = np.full(len(p), -1)
@@ -154,7 +156,7 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
         some = n > 0
         yield pa.RecordBatch.from_pydict({"rep": pa.array(rep[some]), "hub": pa.array(rep[order][label][place[some]]), "n": pa.array(n[some])})
 
-    return in_runs(rows, ["label", "dim", "block", "cell", "part"], ["rep", "home"], join, "rep long, hub long, n long", least=2)
+    return in_runs(rows, ["label", "dim", "block", "cell", "i", "j"], ["rep", "home"], join, "rep long, hub long, n long", least=2)
 
 
 def linked(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -165,10 +167,16 @@ def linked(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     signs = max(0, (-(-most // CELL) - 1).bit_length())
     cells = dealt(reps, signs, cosine)
     key = ["label", "dim", "block", "cell"]
-    wide = cells.where("home").groupBy(*key).count().where(F.col("count") > WIDE).select(*key, F.ceil(F.col("count") / F.lit(WIDE)).cast("int").alias("parts"))
-    split = cells.join(wide, key, "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int"))
-    split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("home", F.col("home") & (F.col("own") == F.col("part")))
-    found = materialise(verified(split.select(*key, "part", "home", "rep", "copies", "raw", "turned"), cosine))
+    wide = cells.groupBy(*key).count().where(F.col("count") > WIDE).select(*key, F.ceil(F.col("count") / F.lit(WIDE)).cast("int").alias("parts"))
+    split = cells.join(wide, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    # Of a wide cell each part of its homes meets each part of all its rows.
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    role = lambda i, j, home, probe: F.struct(i.alias("i"), j.alias("j"), home.alias("as_home"), probe.alias("as_probe"))
+    yes, no = F.lit(True), F.lit(False)
+    homes = F.when(F.col("home"), F.transform(every, lambda x: role(F.col("own"), x, yes, no))).otherwise(F.filter(F.transform(every, lambda x: role(F.col("own"), x, yes, no)), lambda x: no))
+    roles = F.when(F.col("parts") == 1, F.array(role(F.lit(0), F.lit(0), F.col("home"), yes))).otherwise(F.concat(homes, F.transform(every, lambda x: role(x, F.col("own"), no, yes))))
+    split = split.withColumn("role", F.explode(roles))
+    found = materialise(verified(split.select(*key, "role.i", "role.j", F.col("role.as_home").alias("home"), F.col("role.as_probe").alias("probe"), "rep", "copies", "raw", "turned"), cosine))
     n = found.groupBy("rep").agg(F.sum("n").alias("n"))
     reach = min_labels(found.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("rep"), "component")
     out = read.join(reps, ["label", "raw"], "left").join(n, "rep", "left").join(reach, "rep", "left")

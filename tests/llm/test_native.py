@@ -85,3 +85,32 @@ def test_vectorised_words():
         for h, x in zip(w.hash.tolist(), flat, strict=True):
             assert seen.setdefault(x, h) == h
         assert len(set(seen.values())) == len(seen)
+
+
+def test_runs_span_batches_and_split():
+    import random
+
+    import pyarrow as pa
+
+    from newsloom.llm import common
+
+    rng = random.Random(3)
+    for _ in range(60):
+        keys = sorted(rng.choice([None, 1, 2, 3, 3, 3, 4]) or 0 for _ in range(rng.randint(0, 60)))
+        rows = list(enumerate(keys))
+        batches, at = [], 0
+        while at < len(rows):
+            n = rng.randint(1, 9)
+            part = rows[at : at + n]
+            batches.append(pa.RecordBatch.from_pydict({"k": pa.array([k for _, k in part], pa.int64()), "v": pa.array([v for v, _ in part], pa.int64())}))
+            at += n
+        want = {k: [v for v, x in rows if x == k] for k in set(keys)}
+        got = [(t.column("k")[0].as_py(), t.column("v").to_pylist()) for t in common.runs(batches, ["k"], 2)]
+        assert got == [(k, v) for k, v in sorted(want.items()) if len(v) >= 2]
+        pieces: dict = {}
+        for t in common.runs(batches, ["k"], 2, 5):
+            k, v = t.column("k")[0].as_py(), t.column("v").to_pylist()
+            split = bool(t.schema.metadata and b"split" in t.schema.metadata)
+            assert len(v) <= 6 and v[0] == want[k][0] and split == (len(want[k]) > 5)
+            pieces.setdefault(k, set()).update(v)
+        assert pieces == {k: set(v) for k, v in want.items() if len(v) >= 2}
