@@ -29,6 +29,7 @@ from .common import slices
 from .tokens import PieceEncoder
 
 CHUNK, OVERLAP = 1 << 16, 256
+KNOWN = 300_000  # pieces that a worker remembers
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -89,6 +90,8 @@ def counted(docs: DataFrame, vocabulary: str, limit: int = 1024, chunk: int = CH
             from tokenizers import Tokenizer
 
             pieces = PieceEncoder.of(vocabulary) if PieceEncoder.suits(vocabulary) else None
+            if pieces is not None:
+                pieces.limit = KNOWN
             library = pieces.library if pieces is not None else Tokenizer.from_file(vocabulary)
 
             def many(texts: list[str]) -> list[int]:
