@@ -30,7 +30,7 @@ def s01_typed_scan(spark, sf):
 
 @query("SELECT regexp_replace(trim(' ' || doc_id::DOUBLE::VARCHAR || ' '), '\\.0$', '') AS news_id FROM documents")
 def p01_news_ids(spark, sf):
-    return table(spark, sf, "documents").where("doc_id < 10000000").select(T.news_id(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".0 "))).alias("news_id"))
+    return table(spark, sf, "documents").select(T.news_id(F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".0 "))).alias("news_id"))
 
 
 @query("SELECT news_id, topic, length(title || chr(10) || chr(10) || text)::BIGINT AS model_length, " + TS.format(x="published_at") + " AS published_at FROM news", "news")
