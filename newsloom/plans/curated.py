@@ -11,7 +11,7 @@ from newsloom.operators import ledger as L
 from newsloom.operators import prepare as R
 from newsloom.operators import search as S
 from newsloom.operators import summary as Y
-from newsloom.operators.components import materialise
+from newsloom.operators.components import materialise, ranked
 
 from .base import clusters, feature_rows, final, news, query, r6, stamp, table
 
@@ -133,7 +133,7 @@ def j24_saved_clusters(spark, sf):
 
 @query("SELECT d.doc_id::BIGINT AS doc_id, l.quality::BIGINT AS quality, (row_number() OVER (ORDER BY d.doc_id))::BIGINT AS place FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id < 500")
 def j25_reference_order(spark, sf):
-    ref = _docs(spark, sf).where("doc_id < 500").withColumn("place", F.row_number().over(Window.orderBy("doc_id")).cast("long")).select("doc_id", "place")
+    ref = ranked(_docs(spark, sf).select("doc_id"), F.col("doc_id").asc_nulls_last()).select("doc_id", (F.col("rank") + 1).alias("place")).where("doc_id < 500")
     x = U.in_order_of(ref, table(spark, sf, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality")), "doc_id", "place")
     return x.select("doc_id", "quality", "place")
 

@@ -1,6 +1,7 @@
 """Queries over whole tables, on small tables made by hand."""
 
 import __spark_entry__ as entry
+from newsloom.plans import curated
 
 
 def test_news_ids_of_large_and_missing_ids(spark, tmp_path):
@@ -8,3 +9,14 @@ def test_news_ids_of_large_and_missing_ids(spark, tmp_path):
     spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r.news_id for r in entry.queries()["p01_news_ids"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted((None if i is None else str(i) for i in ids), key=str)
+
+
+def test_reference_places_are_ranks_in_the_whole_table(spark, tmp_path, monkeypatch):
+    """The rank is taken over all rows, by a range sort; the ids that the SQL asks for are picked afterwards."""
+    ranked_rows, ranked = [], curated.ranked
+    monkeypatch.setattr(curated, "ranked", lambda rows, *a, **b: ranked_rows.append(rows.count()) or ranked(rows, *a, **b))
+    ids = [600, 3, None, 499, 500, 10_000_000]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: (r.place, r.quality) for r in entry.queries()["j25_reference_order"](spark, str(tmp_path)).collect()}
+    assert got == {3: (1, 1), 499: (2, None)} and ranked_rows == [len(ids)]
