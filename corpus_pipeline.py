@@ -5,8 +5,8 @@ the columns of ``documents``. ``run`` writes each stage's result as Parquet in t
 checkpoint folder and reads it back as the next one's input.
 
 Defined results: rows without doc_id stay through the filtering stages where they pass
-the rules; rows that repeat a doc_id count as one document from the mix on; empty tables
-stay empty.
+the rules; in the mix rows that share a doc_id or have none are documents of their own,
+and only rows that are equal in all columns stand for each other; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -40,8 +40,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    own = docs.select(*COLUMNS).dropDuplicates(["doc_id"]).join(taken.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")))
+    rest = COLUMNS[1:]
+    docs = docs.select(*COLUMNS, F.xxhash64(*rest, *[F.col(c).isNull() for c in rest]).alias("mark"))
+    taken = mixing.mixed(docs, ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    own = docs.dropDuplicates(["doc_id", "mark"]).join(taken.toDF("id", "own_mark", "copies"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own_mark")))
     return own.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*COLUMNS)
 
 

@@ -70,3 +70,10 @@ def test_edge_cases(spark, edge, none):
             df.collect()
     for _, stage in cp.STAGES[1:]:
         stage(spark, more, "").collect()
+
+
+def test_mix_keeps_texts_that_share_an_id(spark):
+    rows = [(7, "one two three", "en", "a", 13), (7, "four five", "en", "a", 9), (7, "four five", "en", "a", 9), (None, "six", "en", "a", 3), (None, "seven eight", None, "a", 11), (None, "seven eight", "a", "a", 11), (8, "nine", "en", "a", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in cp.mix(spark, docs, "").collect()]  # one source: each document once
+    assert sorted(got, key=repr) == sorted(rows, key=repr)
