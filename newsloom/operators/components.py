@@ -14,17 +14,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH = 1 << 20  # edges that a task contracts at once
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; only a local session without one gets a temporary one."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
+        top = spark.sparkContext.getCheckpointDir()
+    return top
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and read it back from there."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsloom-"))
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
