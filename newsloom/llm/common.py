@@ -6,17 +6,17 @@ this subpackage. ``bytes.split()`` splits at exactly those characters.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.operators.components import components, materialise  # noqa: F401
+from newsloom.operators.components import checkpoint_root, components, materialise  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -37,8 +37,7 @@ def partitions(spark: SparkSession) -> int:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="newsloom-")
-    return f"{top.rstrip('/')}/newsloom-{uuid.uuid4().hex}"
+    return f"{checkpoint_root(spark).rstrip('/')}/newsloom-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -61,29 +60,16 @@ def slices(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, li
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-_BASE = 0x9E3779B97F4A7C15
-_SEGMENT = 1 << 17
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _grown(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, up to the n-th."""
-    for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-        p = _powers[k]
-        while len(p) <= n:
-            p = np.concatenate([p, p * U64(pow(b, len(p), 1 << 64))])
-        _powers[k] = p
-    return _powers
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # of the first k bytes of eight
+_LONG = 512  # bytes; longer words are hashed one by one
 
 
 class Words:
     """The words of many texts: 64-bit hashes, places in ``raw``, and the number and bytes of each text.
 
-    A word's hash is a polynomial over its bytes (through a table of random numbers),
-    taken from prefix sums of a stretch of text, so no word becomes a Python object.
+    A word is read eight bytes at a time, all words at once, and each eight bytes are mixed
+    into its hash. That mixing is a bijection, so words of equal length up to eight bytes
+    never share a hash; longer ones do with a chance of 2^-64 for a pair. ``same`` compares bytes.
     """
 
     def __init__(self, texts: list[str | None], lower: bool = False):
@@ -91,35 +77,47 @@ class Words:
         self.raw = b"\n".join([*parts, b""])
         if lower:
             self.raw = self.raw.lower()
-        a = np.frombuffer(self.raw, np.uint8)
-        hashes, starts, ends, at = [], [], [], 0
-        while at < len(a):
-            stop = min(at + _SEGMENT, len(a))
-            while stop < len(a):  # end at white space
-                last = np.flatnonzero(_SPACE[a[max(at, stop - 4096) : stop]])
-                if len(last):
-                    stop = max(at, stop - 4096) + int(last[-1]) + 1
-                    break
-                stop = min(stop + 4096, len(a))
-            x = a[at:stop]
-            space = np.ones(len(x) + 2, np.int8)
-            space[1:-1] = _SPACE[x]
-            edge = np.diff(space)
-            s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-            if len(s):
-                power, inverse = _grown(len(x))
-                sums = np.zeros(len(x) + 1, U64)
-                np.cumsum(_BYTES[x] * power[: len(x)], out=sums[1:])
-                hashes.append(mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64)))
-                starts.append(s + at)
-                ends.append(e + at)
-            at = stop
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        self.hash, self.start, self.end = join(hashes, U64), join(starts, np.int64), join(ends, np.int64)
+        space = np.ones(len(self.raw) + 1, bool)
+        space[1:] = _SPACE[np.frombuffer(self.raw, np.uint8)]
+        edge = np.flatnonzero(space[1:] != space[:-1])  # begins and ends in turn, as raw ends with white space
+        self.start, self.end = edge[::2], edge[1::2]
+        self._eight = np.ndarray((len(self.raw) + 1,), "<u8", self.raw + bytes(8), strides=(1,))
+        self.hash = self._hashes()
         self.sizes = np.array([len(x) for x in parts], np.int64)
         limits = np.cumsum(self.sizes + 1)
         self.counts = np.diff(np.concatenate([[0], np.searchsorted(self.start, limits)])) if len(parts) else np.empty(0, np.int64)
 
+    def _lane(self, i: np.ndarray, k: int) -> np.ndarray:
+        """The k-th eight bytes of the words i, zeros after their ends."""
+        at = self.start[i] + 8 * k
+        return self._eight[at] & _MASKS[np.minimum(self.end[i] - at, 8)]
+
+    def _hashes(self) -> np.ndarray:
+        n = self.end - self.start
+        h = mixed(n.astype(U64) * U64(0x9E3779B97F4A7C15))
+        live, k = np.flatnonzero(n <= _LONG), 0
+        while len(live):
+            h[live] = mixed(h[live] ^ self._lane(live, k))
+            k += 1
+            live = live[n[live] > 8 * k]
+        for i in np.flatnonzero(n > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.word(i))
+        return h
+
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the words i and the words j have the same bytes, pair by pair."""
+        n = self.end[i] - self.start[i]
+        out = n == self.end[j] - self.start[j]
+        live, k = np.flatnonzero(out & (i != j) & (n <= _LONG)), 0
+        while len(live):
+            equal = self._lane(i[live], k) == self._lane(j[live], k)
+            out[live[~equal]] = False
+            k += 1
+            live = live[equal & (n[live] > 8 * k)]
+        for x in np.flatnonzero(out & (i != j) & (n > _LONG)).tolist():
+            out[x] = self.word(int(i[x])) == self.word(int(j[x]))
+        return out
+
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]]
 
@@ -133,20 +131,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def window_hashes(h: np.ndarray, k: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A hash for each run of k consecutive word hashes: polynomial by doubling, then mixed."""
+def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k consecutive word hashes, by doubling; each step mixes, so none is linear."""
     if len(h) < k:
         return np.empty(0, U64)
-    m, out, size, rest, power = base, None, 0, k, [(h, 1)]
+    join = lambda a, b: mixed(a * U64(0x9E3779B97F4A7C15) ^ b)
+    out, size, power = None, 0, [(h, 1)]
     while power[-1][1] * 2 <= k:
         p, n = power[-1]
-        power.append((p[:-n] * U64(pow(m, n, 1 << 64)) + p[n:], 2 * n))
+        power.append((join(p[:-n], p[n:]), 2 * n))
     for p, n in reversed(power):
-        if rest >= n:
+        if k - size >= n:
             part = p[size : size + len(h) - k + 1]
-            out = part if out is None else out * U64(pow(m, n, 1 << 64)) + part
-            size, rest = size + n, rest - n
-    return mixed(out)
+            out = mixed(part) if out is None else join(out, part)
+            size += n
+    return out
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1, most: int = 0) -> Iterator[pa.Table]:

@@ -6,12 +6,14 @@ before a non-space character, see ``tokens``) and both chunks have a token bound
 two are spliced. If an overlap holds no such place, it is widened, twice as far each time,
 up to the whole chunk; what then still has none is joined with the next chunk and encoded
 as one. Only the library's own offsets are used, so counts equal those of the whole text.
-Shorter texts are counted from the library's ids of their distinct pieces (``tokens``), or,
-for a vocabulary with another pre-tokenizer, encoded whole.
+Shorter texts are counted from the library's ids of their distinct pieces (``tokens``).
+Boundaries are proved for the two pre-tokenizers that ``PieceEncoder.suits`` names; a
+vocabulary with another one, or of sentencepiece, has its texts encoded whole.
 
 Defined results: a null text is empty and has no token; special strings inside texts are
-handled as the library does by default (none crosses a splice: it holds no space); rows
-are independent, so repeated rows, ties and extra columns change nothing.
+handled as the library does by default (none crosses a splice: it holds no space); a null
+doc_id stays null; rows are independent, so repeated rows, ties and extra columns change
+nothing; a very long text is counted chunk by chunk; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .tokens import PieceEncoder
 
-CHUNK, OVERLAP = 1 << 16, 256
+CHUNK, OVERLAP = 1 << 13, 256
 KNOWN = 300_000  # pieces that a worker remembers
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -93,11 +95,13 @@ def counted(docs: DataFrame, vocabulary: str, limit: int = 1024, chunk: int = CH
             if pieces is not None:
                 pieces.limit = KNOWN
             library = pieces.library if pieces is not None else Tokenizer.from_file(vocabulary)
+            library.no_truncation()
+            library.no_padding()
 
             def many(texts: list[str]) -> list[int]:
                 small = [t for t in texts if len(t) <= chunk]
                 n = iter(pieces.many(small)[1].tolist() if pieces is not None else [len(x) for x in library.encode_batch_fast(small, add_special_tokens=False)])
-                return [next(n) if len(t) <= chunk else count_huge(library, t, chunk, overlap) for t in texts]
+                return [next(n) if len(t) <= chunk else count_huge(library, t, chunk, overlap) if pieces is not None else len(library.encode(t, add_special_tokens=False)) for t in texts]
 
         for b in batches:
             n = [x for _, texts in slices(b.column("text")) for x in many([t or "" for t in texts])]

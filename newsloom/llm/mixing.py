@@ -5,40 +5,52 @@ fraction, the probability with which each document is taken once more. Those fra
 are settled by the cube method: inclusion probabilities move along the null space of the
 balancing equations (tokens and documents) until almost all are 0 or 1. A flight runs in
 each block of about BLOCK documents; the at most two that a block leaves open fly again
-with those of other blocks, level by level, until one landing problem of at most two
-documents for each source is left, which takes the outcome nearest to the token total.
+with those of other blocks, level by level, until a source is one block. There the flight
+leaves LAND documents and what it can't settle to the landing, which tries every outcome
+and takes the one nearest to the totals of tokens and documents.
 
 Only (doc_id, source, size) is shuffled, never a text. Blocks follow a hash of doc_id,
 so a source with a third of all rows is split like any other, and reruns agree.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is
-a source of its own, sorted last; repeated rows are documents of their own; an empty
-table gives no row; if all sizes are 0, so are all targets.
+a source of its own, sorted last; repeated rows and rows without doc_id are documents of
+their own; a very long text is one document, counted whole; extra columns are ignored; an
+empty table gives no row; if all sizes are 0, so are all targets.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.components import cumulative, ranked
+
 from .common import WORD, in_runs, materialise
 
-BLOCK, FAN, FEW_SOURCES = 10_000, 2_000, 10_000
+BLOCK, FAN, LAND, FEW_SOURCES = 10_000, 2_000, 12, 10_000
 
 
 def flight(p: list[float], size: list[float], draws: np.ndarray, landing: bool) -> list[float]:
-    """Move probabilities p to 0 or 1 so that sum(p) and sum(p * size) stay; at most two stay open."""
+    """Move probabilities p to 0 or 1 so that sum(p) and sum(p * size) stay; at most two stay open.
+
+    For a landing, LAND documents spread over the order of p stay on the ground; with what
+    the flight leaves open they take the outcome, of all there are, nearest to both totals.
+    """
     eps, p, at, n = 1e-9, list(p), 0, 0
+    todo = [i for i, x in enumerate(p) if eps < x < 1 - eps]
+    ground: list[int] = []
+    if landing:
+        ground = [todo[i] for i in sorted(set(np.linspace(0, len(todo) - 1, min(LAND, len(todo))).astype(int).tolist()))]
+        todo = sorted(set(todo) - set(ground))
+    tokens, documents = sum(a * b for a, b in zip(p, size, strict=True)), sum(p)
     open_: list[int] = []
     while True:
-        while len(open_) < 3 and at < len(p):
-            if eps < p[at] < 1 - eps:
-                open_.append(at)
+        while len(open_) < 3 and at < len(todo):
+            open_.append(todo[at])
             at += 1
         if len(open_) == 3:
             i, j, k = open_
@@ -51,7 +63,7 @@ def flight(p: list[float], size: list[float], draws: np.ndarray, landing: bool)
             break
         up = min([(1 - p[i]) / d if d > 0 else p[i] / -d for i, d in zip(open_, u, strict=True) if d])
         down = min([p[i] / d if d > 0 else (1 - p[i]) / -d for i, d in zip(open_, u, strict=True) if d])
-        step = up if draws[n % len(draws)] * (up + down) < down else -down
+        step = up if draws[n] * (up + down) < down else -down  # each step settles a document, so draws suffice
         n += 1
         left = []
         for i, d in zip(open_, u, strict=True):
@@ -63,11 +75,13 @@ def flight(p: list[float], size: list[float], draws: np.ndarray, landing: bool)
             else:
                 left.append(i)
         open_ = left
-    if landing and open_:
-        tokens, documents = sum(p[i] * size[i] for i in open_), sum(p[i] for i in open_)
-        best = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda s: (abs(sum(x * size[i] for x, i in zip(s, open_, strict=True)) - tokens), abs(sum(s) - documents), s))
-        for i, x in zip(open_, best, strict=True):
-            p[i] = x
+    if landing and (open_ := open_ + ground):
+        own = np.array([size[i] for i in open_], np.float64)
+        outcome = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+        token_gap = np.abs(outcome @ own - sum(p[i] * size[i] for i in open_)) / max(tokens, 1)
+        document_gap = np.abs(outcome.sum(1) - sum(p[i] for i in open_)) / max(documents, 1)
+        for i, x in zip(open_, outcome[int((token_gap + document_gap / 100).argmin())].tolist(), strict=True):
+            p[i] = float(x)
     return [0.0 if x <= eps else 1.0 if x >= 1 - eps else x for x in p]
 
 
@@ -77,17 +91,18 @@ def targets(sizes: DataFrame, repeats: int = 3, weights: int = 3) -> DataFrame:
     Shares follow the weights, and no target exceeds ``repeats`` times the source's
     size. In order of size by weight, a source is full if its cap is under its share
     of what the full ones before it leave; the first that isn't sets the level for all
-    after it. The windows see one row for each source.
+    after it. Places and running sums are range sorts, so sources may be many.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("sid", F.row_number().over(order)).withColumn("w", (F.col("sid") - 1) % weights + 1)
+    s = ranked(sizes, F.col("source").asc_nulls_last(), name="sid").withColumn("sid", F.col("sid") + 1).withColumn("w", (F.col("sid") - 1) % weights + 1)
     s = s.withColumn("cap", F.col("source_size").cast("double") * repeats).withColumn("r", F.col("cap") / F.col("w"))
-    upto, all_ = Window.orderBy("r", "sid").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    s = s.withColumn("rest", F.sum(F.col("source_size").cast("double")).over(all_) - F.sum("cap").over(upto) + F.col("cap"))
-    s = s.withColumn("w_rest", F.sum("w").over(all_) - F.sum("w").over(upto) + F.col("w"))
+    s = cumulative(s, {"cap_sum": "cap", "w_sum": "w"}, F.col("r"), F.col("sid"))
+    all_ = s.agg(F.sum(F.col("source_size").cast("double")).alias("total"), F.sum("w").alias("w_total"))
+    s = s.crossJoin(F.broadcast(all_))  # one row
+    s = s.withColumn("rest", F.col("total") - F.col("cap_sum") + F.col("cap")).withColumn("w_rest", F.col("w_total") - F.col("w_sum") + F.col("w"))
     s = s.withColumn("full", F.col("r") * F.col("w_rest") <= F.col("rest"))
-    level = F.min_by(F.when(~F.col("full"), F.col("rest") / F.col("w_rest")), F.when(~F.col("full"), F.struct("r", "sid"))).over(all_)
-    return s.withColumn("level", level).select("source", "source_size", "n", "sid", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
+    level = s.where("NOT full").agg(F.min_by(F.col("rest") / F.col("w_rest"), F.struct("r", "sid")).alias("level"))
+    s = s.crossJoin(F.broadcast(level))  # one row
+    return s.select("source", "source_size", "n", "sid", F.when(F.col("full"), F.col("cap")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
 def n_words(text: str = "text") -> Column:
@@ -109,13 +124,13 @@ def mixed(docs: DataFrame, key: list[str] | None = None, seed: int = 7) -> DataF
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept, "block", "p").schema)
     most = plan.agg(F.max("n")).first()[0] or 0
     done, level = None, 0
-    blocks = -(-most // BLOCK)
+    blocks = -(-most // BLOCK)  # of the largest source
     while True:
         last = blocks <= 1
 
-        def fly(t: pa.Table, level: int = level, last: bool = last) -> Iterator[pa.RecordBatch]:
-            draws = np.random.default_rng([seed, level, t.column("sid")[0].as_py(), t.column("block")[0].as_py()]).random(4096)
-            p = flight(t.column("p").to_pylist(), t.column("size").to_pylist(), draws, last)
+        def fly(t: pa.Table, level: int = level) -> Iterator[pa.RecordBatch]:
+            draws = np.random.default_rng([seed, level, t.column("sid")[0].as_py(), t.column("block")[0].as_py()]).random(t.num_rows + 2)
+            p = flight(t.column("p").to_pylist(), t.column("size").to_pylist(), draws, t.column("blocks")[0].as_py() <= 1)
             out = t.set_column(t.column_names.index("p"), "p", pa.array(p, pa.float64()))
             yield from out.combine_chunks().to_batches()
 
@@ -124,7 +139,7 @@ def mixed(docs: DataFrame, key: list[str] | None = None, seed: int = 7) -> DataF
         done = settled if done is None else done.union(settled)
         if last:
             break
-        rows = flown.where("p > 0 AND p < 1").withColumn("block", F.floor(F.col("block") / FAN).cast("long"))
+        rows = flown.where("p > 0 AND p < 1").withColumn("block", F.floor(F.col("block") / FAN).cast("long")).withColumn("blocks", F.ceil(F.col("blocks") / F.lit(FAN)))
         blocks, level = -(-blocks // FAN), level + 1
     copies = (F.col("whole") + F.col("p").cast("long")).alias("copies")
     return done.select(*key, "source", "size", "source_size", "target", copies).withColumn("taken", F.col("copies") * F.col("size"))

@@ -6,20 +6,20 @@ and packed there, longest first. A bin has three residual capacities (tokens, do
 attention cost, the sum of squared lengths); among the bins that can take a piece under
 every constraint, the one with the best score gets it: the weighted dot product of demand
 and residual, or the weighted norm of what would be left. A weight on tokens makes either
-one best fit. Bins of the same state score alike, so only one of each state is looked at.
+one best fit. Every bin with room can win: reading stops only where a bound on the score proves it.
 The bins that a block leaves less than GOOD full are opened again and packed in fewer
 blocks, round by round, until one block is left or a round would take more than half of
 the pieces (then they don't fit together any better). No task ever holds more than a block.
 
 Defined results: a null or empty text is the end id alone; repeated rows (equal doc_id)
-are documents of their own, told apart by the column ``copy``; an empty table gives no
-row; blocks are deterministic, so a lost task gives the same bins again.
+are documents of their own, told apart by the column ``copy``, and so are rows without
+doc_id; very long texts are encoded whole and cut into pieces; extra columns are ignored;
+an empty table gives no row; blocks are deterministic, so a lost task gives the same bins again.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,54 +57,57 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
 
 class Bins:
-    """Open bins, kept by state (residual tokens, documents, cost)."""
+    """Open bins in order of their residual tokens, with the residuals of all three limits."""
 
     def __init__(self, limits: tuple[int, int, int], weights: tuple[float, float, float], norm: bool):
-        self.limits, self.weights, self.norm = limits, weights, norm
-        self.states: list[tuple[int, int, int]] = []  # sorted
-        self.members: dict[tuple[int, int, int], list[int]] = {}
-        self.n = 0
-
-    def _score(self, state: tuple[int, int, int], need: tuple[int, int, int]) -> float:
-        """Lower is better."""
-        r = [s / m for s, m in zip(state, self.limits, strict=True)]
-        d = [x / m for x, m in zip(need, self.limits, strict=True)]
-        if self.norm:
-            return sum(w * (a - b) ** 2 for w, a, b in zip(self.weights, r, d, strict=True))
-        return sum(w * a * b for w, a, b in zip(self.weights, r, d, strict=True))
-
-    def _take(self, state: tuple[int, int, int]) -> int:
-        held = self.members[state]
-        b = held.pop()
-        if not held:
-            del self.members[state]
-            del self.states[bisect_left(self.states, state)]
-        return b
-
-    def put(self, length: int, look: int = 24) -> int:
-        """The bin that takes a piece. Of the states with room, the ``look`` tightest in tokens are scored."""
-        need = (length, 1, length * length)
-        best, at, seen = None, bisect_left(self.states, (length, 0, 0)), 0
-        while at < len(self.states) and seen < look:
-            s = self.states[at]
-            if all(a >= b for a, b in zip(s, need, strict=True)):
-                score = self._score(s, need)
-                if best is None or score < best[0]:
-                    best = (score, s)
-                seen += 1
-            at += 1
-        if best is None:
-            b, state = self.n, self.limits
+        self.limits, self.weights, self.norm = (np.array(x, np.float64) for x in (limits, weights, norm))
+        self.held = np.empty((4, 64))  # residual tokens, documents and cost, and the bin's number
+        self.open = self.n = 0
+
+    def _scores(self, left: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Lower is better; left has a column for each bin."""
+        r, d, w = left / self.limits[: len(left), None], (need / self.limits)[: len(left), None], self.weights[: len(left), None]
+        return (w * (r - d) ** 2 if self.norm else w * r * d).sum(0)
+
+    def _best(self, need: np.ndarray) -> int | None:
+        """The open bin of the best score among all with room.
+
+        Bins are read from the tightest on. The score's share of tokens only grows along
+        them and the other shares are never negative, so reading ends where that share
+        alone is no better than the best score: no bin beyond can win.
+        """
+        at, step, best, where = int(np.searchsorted(self.held[0, : self.open], need[0])), 256, np.inf, None
+        while at < self.open:
+            left = self.held[:3, at : min(at + step, self.open)]
+            score = np.where((left[1] >= need[1]) & (left[2] >= need[2]), self._scores(left, need), np.inf)
+            k = int(score.argmin())
+            if score[k] < best:
+                best, where = score[k], at + k
+            at += left.shape[1]
+            if at < self.open and self._scores(self.held[:1, at : at + 1], need)[0] >= best:
+                break
+            step *= 2
+        return where
+
+    def put(self, length: int) -> int:
+        """The bin that takes a piece."""
+        need = np.array([length, 1, length * length], np.float64)
+        where = self._best(need)
+        if where is None:
+            number, left = self.n, self.limits - need
             self.n += 1
         else:
-            b, state = self._take(best[1]), best[1]
-        left = tuple(a - x for a, x in zip(state, need, strict=True))
+            number, left = int(self.held[3, where]), self.held[:3, where] - need
+            self.held[:, where : self.open - 1] = self.held[:, where + 1 : self.open]
+            self.open -= 1
         if left[0] > 0 and left[1] > 0:
-            if left not in self.members:
-                insort(self.states, left)
-                self.members[left] = []
-            self.members[left].append(b)
-        return b
+            if self.open == self.held.shape[1]:
+                self.held = np.concatenate([self.held, np.empty_like(self.held)], 1)
+            at = int(np.searchsorted(self.held[0, : self.open], left[0], side="right"))
+            self.held[:, at + 1 : self.open + 1] = self.held[:, at : self.open]
+            self.held[:, at] = *left, number
+            self.open += 1
+        return number
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY, max_documents: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), norm: bool = True, block: int = BLOCK) -> DataFrame:

@@ -54,9 +54,9 @@ def vocabulary(name: str) -> str:
 class PieceEncoder(dict):
     """ids(text) as ``tokenizers`` gives them with add_special_tokens=False.
 
-    As a dict it holds the ids (as bytes) of pieces seen, by the 64-bit hash of a piece:
-    among N distinct pieces the chance of any mix-up is about N^2 / 2^65. When it is
-    full, all but the pieces of the present texts are forgotten.
+    As a dict it holds the ids (as bytes) of the pieces seen. When it is full, all but the
+    pieces of the present texts are forgotten. Words are grouped by hash and then compared
+    byte by byte, so ids never depend on a hash.
     """
 
     limit = 900_000
@@ -77,7 +77,8 @@ class PieceEncoder(dict):
         self.library.encode_special_tokens = not special
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.model._resize_cache(0)  # this dict is the cache
+        self.library.no_truncation()
+        self.library.no_padding()
         self.signs: dict[str, bytes] = {}
 
     @staticmethod
@@ -147,17 +148,21 @@ class PieceEncoder(dict):
         inner = w.start > 0
         spaced[inner] = a[w.start[inner] - 1] == 32
         key = w.hash if self.by_word else w.hash ^ (spaced.astype(U64) * U64(0xA0761D6478BD642F))
-        distinct, index = np.unique(key, return_inverse=True)
-        some = np.empty(len(distinct), np.int64)
-        some[index] = np.arange(n)
+        _, some, index = np.unique(key, return_index=True, return_inverse=True)
+        first = some[index]
+        if not (w.same(first, np.arange(n)) & (self.by_word | (spaced[first] == spaced))).all():  # equal hashes of different pieces
+            known: dict[bytes, int] = {}
+            index = np.array([known.setdefault(raw[a:z], len(known)) for a, z in zip((w.start - (0 if self.by_word else spaced)).tolist(), w.end.tolist(), strict=True)], np.int64)
+            some = np.unique(index, return_index=True)[1]
         from_ = w.start[some] if self.by_word else w.start[some] - spaced[some]
-        items = list(map(self.get, distinct.tolist()))
+        pieces = [raw[a:z] for a, z in zip(from_.tolist(), w.end[some].tolist(), strict=True)]
+        items = list(map(self.get, pieces))
         for i in [i for i, x in enumerate(items) if x is None]:
-            items[i] = self[int(distinct[i])] = self._piece(raw[from_[i] : w.end[some[i]]])
+            items[i] = self[pieces[i]] = self._piece(pieces[i])
         if len(self) > self.limit:
             self.clear()
             self.signs.clear()
-            self.update(zip(distinct.tolist(), items, strict=True))
+            self.update(zip(pieces, items, strict=True))
         ends = np.cumsum(w.counts)
         sizes = w.sizes
         begin = np.cumsum(sizes + 1) - sizes - 1
@@ -172,15 +177,15 @@ class PieceEncoder(dict):
             at = np.flatnonzero(gap > 0)
             last = np.where(w.counts > 0, np.concatenate([[0], w.end])[ends], begin)
             tail = np.flatnonzero(begin + sizes > last)
-            known: dict[tuple[bytes, bool, bool], int] = {}
+            runs: dict[tuple[bytes, bool, bool], int] = {}
             number = []
             for x, k, sp in zip(before[at].tolist(), gap[at].tolist(), spaced[at].tolist(), strict=True):
-                number.append(known.setdefault((raw[x : x + k], sp, False), len(known)))
+                number.append(runs.setdefault((raw[x : x + k], sp, False), len(runs)))
             for x, z in zip(last[tail].tolist(), (begin + sizes)[tail].tolist(), strict=True):
-                number.append(known.setdefault((raw[x:z], False, True), len(known)))
+                number.append(runs.setdefault((raw[x:z], False, True), len(runs)))
             if number:
-                items += [self._space(*k) for k in known]
-                number = np.array(number, np.int64) + len(distinct)
+                items += [self._space(*k) for k in runs]
+                number = np.array(number, np.int64) + len(pieces)
                 place = np.concatenate([at, ends[tail]])
                 owner = np.concatenate([doc[at], tail])
                 # A text's end comes before the next text's first word, and before its white space.

@@ -6,12 +6,13 @@ document index, the bit planes of a wavelet matrix over its ids (ranked by frequ
 the upper planes are nearly empty) and a count of ones before each block of bits. Access,
 rank, select, counting and occurrence lookup work on those planes alone.
 
-File format (little-endian): magic ``NLW1``, u32 documents, u64 ids, u32 distinct ids,
-u8 planes; then i64 doc_id per document, u64 ids up to each document's end, u32 distinct
-ids by rank, and for each plane from the top one u64 zeros, u32 ones before each block of
-512 bits, and the bits (least significant first). Everything after the magic is one zstd
-frame. Spark writes the files, one shard for each Parquet file, so any store that Spark
-can write to will do, and a lost task is simply run again.
+File format (little-endian): magic ``NLW2``, u32 documents, u64 ids, u32 distinct ids,
+u8 planes, u64 bytes of the index; for each plane from the top u64 zeros and u64 bytes;
+the index: i64 doc_id per document, u64 ids up to each document's end, u32 distinct ids by
+rank; and the planes: u32 ones before each block of 512 bits, and the bits (least
+significant first). The index and each plane are zstd frames of their own, and a reader
+opens a plane when it first needs it. Spark writes the files, one shard for each Parquet
+file, so any store that Spark can write to will do, and a lost task is simply run again.
 
 Defined results: a null text is empty and has the end id alone; documents with equal
 doc_ids stay apart, in the order of their texts; an empty table gives no shard and no row;
@@ -20,9 +21,10 @@ a document longer than a shard is a shard of its own; rows without doc_id are le
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise, partitions, shared_folder, slices
 from .tokens import PieceEncoder
 
-MAGIC, BLOCK, SHARD = b"NLW1", 512, 1 << 20
+MAGIC, BLOCK, SHARD = b"NLW2", 512, 1 << 20
 
 
 def _bools(bits: np.ndarray, n: int) -> pa.Array:
@@ -44,7 +46,7 @@ def _bools(bits: np.ndarray, n: int) -> pa.Array:
 class WaveletMatrix:
     """Rank/select sequence of small integers, top bit plane first."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], before: list[np.ndarray] | None = None):
+    def __init__(self, n: int, planes: Sequence[np.ndarray], zeros: list[int], before: Sequence[np.ndarray] | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros
         self.before = before if before is not None else [self._counts(p) for p in planes]
 
@@ -146,6 +148,19 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.count(value))]
 
 
+class Lazy(Sequence):
+    """A sequence whose items are made when they are asked for."""
+
+    def __init__(self, n: int, item: Callable[[int], np.ndarray]):
+        self.n, self.item = n, item
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.item(i % self.n)
+
+
 class Shard:
     """A wavelet matrix over ranked ids, with its documents."""
 
@@ -163,33 +178,34 @@ class Shard:
         return cls(np.array(doc_ids, np.int64), np.cumsum(lengths, dtype=np.uint64), alphabet, WaveletMatrix.build(rank[ids], levels))
 
     def dump(self) -> bytes:
-        m = self.matrix
-        out = [struct.pack("<IQIB", len(self.doc_ids), m.n, len(self.alphabet), len(m.planes)), self.doc_ids.tobytes(), self.ends.tobytes(), self.alphabet.tobytes()]
-        for bits, z, before in zip(m.planes, m.zeros, m.before, strict=True):
-            out += [struct.pack("<Q", z), before.tobytes(), bits.tobytes()]
-        return MAGIC + zstandard.ZstdCompressor(level=-3).compress(b"".join(out))
+        m, c = self.matrix, zstandard.ZstdCompressor(level=-3)
+        index = c.compress(self.doc_ids.tobytes() + self.ends.tobytes() + self.alphabet.tobytes())
+        planes = [c.compress(before.tobytes() + bits.tobytes()) for bits, before in zip(m.planes, m.before, strict=True)]
+        head = struct.pack("<IQIBQ", len(self.doc_ids), m.n, len(self.alphabet), len(planes), len(index))
+        table = np.array([[z, len(x)] for z, x in zip(m.zeros, planes, strict=True)], "<u8").tobytes()
+        return b"".join([MAGIC, head, table, index, *planes])
 
     @classmethod
     def load(cls, file: bytes) -> Shard:
         if file[:4] != MAGIC:
             raise ValueError("not a shard of token ids")
-        raw = zstandard.ZstdDecompressor().decompress(file[4:])
-        docs, n, size, levels = struct.unpack_from("<IQIB", raw)
-        at = struct.calcsize("<IQIB")
-
-        def take(dtype: str, k: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, dtype, k, at)
-            at += out.nbytes
-            return out
-
-        doc_ids, ends, alphabet = take("<i8", docs), take("<u8", docs), take("<u4", size)
-        planes, zeros, before = [], [], []
-        for _ in range(levels):
-            zeros.append(int(take("<u8", 1)[0]))
-            before.append(take("<u4", -(-(-(-n // 8)) // (BLOCK // 8)) + 1))
-            planes.append(take("<u1", -(-n // 8)))
-        return cls(doc_ids, ends, alphabet, WaveletMatrix(n, planes, zeros, before))
+        docs, n, size, levels, index = struct.unpack_from("<IQIBQ", file, 4)
+        at = 4 + struct.calcsize("<IQIBQ")
+        table = np.frombuffer(file, "<u8", 2 * levels, at).reshape(-1, 2)
+        at += table.nbytes
+        raw = zstandard.ZstdDecompressor().decompress(file[at : at + index])
+        doc_ids, ends = np.frombuffer(raw, "<i8", docs), np.frombuffer(raw, "<u8", docs, 8 * docs)
+        alphabet = np.frombuffer(raw, "<u4", size, 16 * docs)
+        edge = (at + index + np.concatenate([[0], np.cumsum(table[:, 1])])).astype(np.int64).tolist()
+        blocks = -(-(-(-n // 8)) // (BLOCK // 8)) + 1
+
+        @functools.cache
+        def plane(i: int) -> bytes:
+            return zstandard.ZstdDecompressor().decompress(file[edge[i] : edge[i + 1]])
+
+        bits = Lazy(levels, lambda i: np.frombuffer(plane(i), "<u1", offset=4 * blocks))
+        before = Lazy(levels, lambda i: np.frombuffer(plane(i), "<u4", blocks))
+        return cls(doc_ids, ends, alphabet, WaveletMatrix(n, bits, table[:, 0].astype(int).tolist(), before))
 
     def ids(self) -> np.ndarray:
         """All ids of the shard."""

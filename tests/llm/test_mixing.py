@@ -17,7 +17,7 @@ def reshared(sizes):
         full |= above
 
 
-def check(docs, block=None):
+def check(docs, near=None):
     rows = mixing.mixed(docs).collect()
     texts = sorted((r.doc_id, len((r.text or "").encode().split())) for r in docs.collect())
     assert sorted((r.doc_id, r.size) for r in rows) == texts
@@ -32,13 +32,13 @@ def check(docs, block=None):
         assert r.source_size == sizes[r.source]
         assert r.target == pytest.approx(want[r.source], rel=1e-9, abs=1e-9)
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= most[s]
+        assert abs(taken[s] - want[s]) <= (most[s] if near is None else near * want[s])
     again = mixing.mixed(docs).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
 
 
 def test_mix(small, edge, none):
-    check(small)
+    check(small, 0.01)
     check(edge)
     assert mixing.mixed(none).collect() == []
 
@@ -65,3 +65,24 @@ def test_flight_balances():
     assert set(p) <= {0.0, 1.0}
     assert abs(sum(p) - 0.37 * 4000) <= 2
     assert abs(sum(a * b for a, b in zip(p, size, strict=True)) - 0.37 * sum(size)) <= max(size)
+
+
+def test_many_flights_end_near_their_totals():
+    import numpy as np
+
+    rng, gaps = np.random.default_rng(4), []
+    for _ in range(200):
+        size = np.sort(np.ceil(rng.lognormal(5, 1.2, 50))).tolist()
+        p = mixing.flight([0.3] * 50, size, rng.random(52), True)
+        assert set(p) <= {0.0, 1.0}
+        gaps.append(abs(sum(a * b for a, b in zip(p, size, strict=True)) / (0.3 * sum(size)) - 1))
+    assert np.mean(gaps) < 0.002 and max(gaps) < 0.05  # the worst have a third of all words in two documents
+
+
+def test_flights_keep_the_probabilities():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    size = [10, 25, 3, 90, 41, 7]
+    mean = np.mean([mixing.flight([0.2, 0.7, 0.5, 0.4, 0.9, 0.3], size, rng.random(8), False) for _ in range(4000)], 0)
+    assert np.abs(mean - [0.2, 0.7, 0.5, 0.4, 0.9, 0.3]).max() < 0.03

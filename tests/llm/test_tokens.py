@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from newsloom.llm import counting, packing, wavelet
-from newsloom.llm.common import materialise
+from newsloom.llm.common import Words, materialise
 from newsloom.llm.tokens import PieceEncoder, vocabulary
 
 BYTE, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -38,6 +38,40 @@ def test_pieces_give_the_librarys_ids(path, small):
         assert [g.tolist() for g in encoder.encode(some)] == [w.ids for w in want]
 
 
+def alternating(n):
+    """The Thue-Morse word of n letters and its complement, whose polynomial hashes are equal."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_long_words_of_two_letters(path):
+    encoder = PieceEncoder(path)
+    for k in range(8, 15):
+        a, b = alternating(1 << k)
+        texts = [a, b, f"{a} {b} {a}", f"one {b}\n{a} two", f"{a}, {b}!"]
+        assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_with_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(Words, "_hashes", lambda w: (w.end - w.start).astype(np.uint64))
+    encoder, texts = PieceEncoder(BYTE), ["one two  two\nsix one", "cat one", "dog", None]
+    assert [x.tolist() for x in encoder.encode(texts)] == [x.ids for x in encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_words():
+    a, b = alternating(2048)
+    texts = [f"{a} {b}", None, "", " x\ty\x0b\x0c", f"{a}", "x\x00 x", "é 中é"]
+    w = Words(texts)
+    words = [x for t in texts for x in (t or "").encode().split()]
+    assert [w.word(i) for i in range(len(w.hash))] == words and w.counts.tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(set(w.hash.tolist())) == len(set(words))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    assert w.same(i, j).tolist() == [words[x] == words[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+
+
 def test_wavelet_matrix_operations():
     rng = np.random.default_rng(1)
     for size, top in ((0, 1), (1, 1), (700, 3), (5000, 300), (1600, 70000)):
@@ -137,3 +171,26 @@ def test_packing_constraints(small, norm):
     parts = materialise(packing.pieces(small, WORDS))
     rows = packing.packed(parts, max_documents=3, max_cost=1 << 22, weights=(1, 0.2, 0.3), norm=norm).groupBy("sequence_id").agg({"length": "sum", "doc_id": "count"}).collect()
     assert all(r["sum(length)"] <= 2048 and r["count(doc_id)"] <= 3 for r in rows)
+
+
+@pytest.mark.parametrize("norm", [True, False])
+@pytest.mark.parametrize("limits", [(2048, 2048, 2048 * 2048), (2048, 3, 2048 * 900)])
+def test_the_best_of_all_bins_is_taken(norm, limits):
+    weights = (1.0, 0.4, 0.3)
+    rng = np.random.default_rng(8)
+    bins, left = packing.Bins(limits, weights, norm), []
+    for length in np.sort(rng.integers(1, 1400, 1500))[::-1].tolist():
+        need = (length, 1, length * length)
+
+        def score(s):
+            r, d = [a / m for a, m in zip(s, limits, strict=True)], [a / m for a, m in zip(need, limits, strict=True)]
+            return sum(w * ((a - b) ** 2 if norm else a * b) for w, a, b in zip(weights, r, d, strict=True))
+
+        room = [i for i, s in enumerate(left) if all(a >= b for a, b in zip(s, need, strict=True))]
+        got = bins.put(length)
+        if room:
+            assert got in room and score(left[got]) == pytest.approx(min(score(left[i]) for i in room), abs=1e-12)
+        else:
+            assert got == len(left)
+            left.append(limits)
+        left[got] = tuple(a - b for a, b in zip(left[got], need, strict=True))
