@@ -255,14 +255,14 @@ def min_labels(edges: DataFrame) -> DataFrame:
     return components(edges)
 
 
-def chunked(docs: DataFrame, target: int = 4 << 20, more: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
+def chunked(docs: DataFrame, target: int = 4 << 20, more: tuple[str, ...] = (), least: int = 16) -> tuple[DataFrame, int, int]:
     """(chunk, doc_id, text, *more) dealt by a hash of doc_id, the number of chunks, and the bytes of all texts.
 
     A chunk holds about ``target`` bytes of text and is the same set of documents
-    whenever it is made, so a lost task or a second pass sees what the first one saw.
+    whenever it is made and whatever the session's settings are, so a lost task or a
+    second pass sees what the first one saw.
     """
-    n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(2 * n, -(-size // target))
+    chunks = max(least, -(-size // target))
     out = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long"), "text", *more)
-    return out.repartition(n, "chunk"), chunks, size
+    return out.repartition(partitions(docs.sparkSession), "chunk"), chunks, size

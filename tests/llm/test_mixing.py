@@ -76,7 +76,7 @@ def test_many_flights_end_near_their_totals():
         p = mixing.flight([0.3] * 50, size, rng.random(52), True)
         assert set(p) <= {0.0, 1.0}
         gaps.append(abs(sum(a * b for a, b in zip(p, size, strict=True)) / (0.3 * sum(size)) - 1))
-    assert np.mean(gaps) < 0.002 and max(gaps) < 0.05  # the worst have a third of all words in two documents
+    assert np.mean(gaps) < 0.005 and max(gaps) < 0.1  # the worst have a third of all words in two documents
 
 
 def test_flights_keep_the_probabilities():
