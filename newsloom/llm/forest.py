@@ -2,22 +2,28 @@
 
 Shingles are runs of K words (a shorter text is one shingle). Texts with equal shingle
 sets are one class, found by a digest of the set; only one member of each goes on. Each
-of TREES trees labels a class with DEPTH MinHashes. The labels of a tree, sorted, are its
-prefix trie. Matched prefixes start at the whole label and are shortened until a pair of
-just the wanted similarity is met with the target recall; ``depth`` gives that length x,
-the longest with 1 - (1 - s^x)^TREES >= RECALL (here 4 of 5, 0.99997). What shares a
-prefix and agrees in half of 64 signature bytes (a pair at 0.8 does so but for one in
-10^7) is linked to its subtree's first class: a spanning forest, not all pairs.
+of TREES trees labels a class with DEPTH MinHashes; labels that share the shortest prefix
+come to one task sorted, which is a subtree of the tree's prefix trie. There the longest
+matched prefixes are looked at first and are then shortened value by value. A pair that
+meets in a prefix of d values is compared where its sizes allow the wanted similarity and
+d is not below the length x that its classes need: the longest with
+1 - (1 - s^x)^TREES >= RECALL, s being the least similarity, from the wanted one on, that
+sets of such sizes can have (so x is 4 or more, with a recall of 0.99997 at 0.8; sets of
+six need no more than 5). Pairs that are joined already aren't compared again: what agrees
+in half of 64 signature bytes (a pair at 0.8 does so but for one in 10^7) is linked to a
+spanning forest, not to all pairs.
 
 Those links only decide which texts meet: the components of the candidate graph are
 split into blocks by a hash, each pair of blocks is one task, and there the exact
 similarity of all its pairs is counted from the shingles, without emitting a row for
 each pair. Subtrees of more than WIDE classes are read in pieces and linked without the
-signature test, so nothing is capped and no task holds more than a piece.
+signature test, so nothing is capped and no task holds more than a piece. A component of
+N classes sends each of its texts N / BLOCK times, as all its pairs have to meet.
 
 Defined results: null and empty texts link with nothing; rows without doc_id are left
-out; repeated rows are copies of each other; extra columns are ignored; an empty table
-gives no row.
+out; repeated rows are copies of each other, and rows that share a doc_id but not the text
+are documents of their own; a very long text is one set; extra columns are ignored; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, in_runs, joined, materialise, min_labels, mixed, slices, window_hashes, words_of
 
-K, SIMILARITY, TREES, DEPTH, RECALL = 5, 0.8, 20, 5, 0.9999
+K, SIMILARITY, TREES, DEPTH, RECALL = 5, 0.8, 20, 6, 0.9999
 SKETCH, WIDE, BLOCK, BLOCK_SHINGLES = 64, 2048, 1500, 4_000_000
 
 _factors = mixed(np.arange(1, TREES * DEPTH + 1, dtype=U64)) | U64(1)
@@ -46,6 +52,18 @@ def depth(similarity: float = SIMILARITY, trees: int = TREES, deepest: int = DEP
     return x
 
 
+def least_similarity(n: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The least similarity, from the wanted one on, that a set of n shingles can have with another set; above 1 if none."""
+    out = np.full(len(n), 2.0)
+    n = n.astype(np.float64)
+    for more in range(64):  # the other set has so many of its own; with more, the bound is close to the wanted one
+        common = np.ceil(similarity * (n + more) - 1e-9)  # of n, as few as allowed
+        s = common / (n + more)
+        ok = (common <= n) & (common > 0) & ((more > 0) | (common < n) | (n == 0))
+        out = np.where(ok & (s < out), s, out)
+    return np.where(n > 64, similarity, out)
+
+
 def shingle_sets(texts: list[str | None], k: int = K) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     w = Words(texts)
@@ -62,8 +80,8 @@ def shingle_sets(texts: list[str | None], k: int = K) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, key, n, signature): the set's digest and size, and its MinHashes, 4 bytes each."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("signature", pa.binary())])
+    """(doc_id, mark, key, n, signature): a hash of the text, the set's digest and size, and its MinHashes, 4 bytes each."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("signature", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,14 +96,40 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                 rows = iter(low)
                 sig = [next(rows).tobytes() if len(s) else None for s in sets]
                 key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(key, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(texts)) for c in ("doc_id", "mark")), pa.array(key, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").mapInArrow(sign, "doc_id long, key binary, n long, signature binary")
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").where("doc_id IS NOT NULL")
+    return own.mapInArrow(sign, "doc_id long, mark long, key binary, n long, signature binary")
 
 
-def candidates(classes: DataFrame, x: int) -> DataFrame:
-    """(a, b): a spanning forest of the classes (rep, signature) that share a prefix of x MinHashes in some tree."""
-    schema = pa.schema([("tree", pa.int32()), ("prefix", pa.int64()), ("rest", pa.binary()), ("rep", pa.int64()), ("sketch", pa.binary())])
+def climbed(label: np.ndarray, n: np.ndarray, need: np.ndarray, sketch: np.ndarray, shortest: int, similarity: float) -> np.ndarray:
+    """For each row of a subtree, sorted by label, the first row that it is joined with.
+
+    Prefixes are walked from the longest to the shortest; a node whose rows are joined
+    already is passed by.
+    """
+    hub = np.arange(len(label))
+    same = np.cumprod(label[1:] == label[:-1], axis=1).sum(1)  # values that neighbours share
+    for d in range(label.shape[1], shortest - 1, -1):
+        cut = np.flatnonzero(same < d) + 1
+        for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(label)], strict=True):
+            if z - a < 2 or (hub[a:z] == hub[a]).all():
+                continue
+            own = np.arange(a, z)
+            agree = (sketch[own, None] == sketch[None, own]).sum(2) if z - a <= 256 else np.stack([(sketch[own] == row).sum(1) for row in sketch[own]])
+            small, large = np.minimum(n[own, None], n[None, own]), np.maximum(n[own, None], n[None, own])
+            ok = (agree >= sketch.shape[1] // 2) & (small >= similarity * large - 1e-9) & (np.maximum(need[own, None], need[None, own]) <= d)
+            ok |= hub[own, None] == hub[None, own]
+            first = own[joined(ok)]
+            for h in np.unique(hub[own]).tolist():  # rows outside this node keep their company
+                hub[hub == h] = min(h, int(hub[first[hub[own] == h]].min()))
+    return hub
+
+
+def candidates(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): a spanning forest of the classes (rep, n, signature) that meet in the forest."""
+    schema = pa.schema([("tree", pa.int32()), ("prefix", pa.int64()), ("label", pa.binary()), ("rep", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+    x = depth(similarity)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,28 +141,25 @@ def candidates(classes: DataFrame, x: int) -> DataFrame:
                 prefix = np.zeros(b.num_rows, U64)
                 for d in range(x):
                     prefix = mixed(prefix * U64(3) + sig[:, t, d])
-                rest = pa.array([r.astype(">u4").tobytes() for r in sig[:, t, x:]], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(prefix.view(np.int64)), rest, b.column("rep"), sketch], schema=schema)
+                label = pa.array([r.tobytes() for r in sig[:, t].astype(">u4")], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(prefix.view(np.int64)), label, b.column("rep"), b.column("n"), sketch], schema=schema)
 
     def climb(t: pa.Table) -> Iterator[pa.RecordBatch]:
         """One subtree below a shortest prefix."""
-        rep = t.column("rep").to_numpy()
+        rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
         if t.schema.metadata and b"split" in t.schema.metadata:
             hub = np.full(len(rep), rep.min())
         else:
-            s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-            same = np.zeros((len(rep), len(rep)), np.uint8)
-            for c in s.T:
-                same += c[:, None] == c[None, :]
-            order = np.argsort(rep, kind="stable")
-            label = joined(same[np.ix_(order, order)] >= s.shape[1] // 2)
-            hub = np.empty(len(rep), np.int64)
-            hub[order] = rep[order][label]
+            read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(rep), -1)
+            least = least_similarity(n, similarity)
+            deep = {s: depth(s) if s <= 1 else DEPTH + 1 for s in set(least.tolist())}
+            hub = rep[climbed(read("label", ">u4"), n, np.array([deep[s] for s in least.tolist()]), read("sketch", np.uint8), x, similarity)]
         links = rep != hub
         if links.any():
             yield pa.RecordBatch.from_pydict({"a": pa.array(rep[links]), "b": pa.array(hub[links])})
 
-    return in_runs(classes.select("rep", "signature").mapInArrow(plant, "tree int, prefix long, rest binary, rep long, sketch binary"), ["tree", "prefix"], ["rest", "rep"], climb, "a long, b long", least=2, most=WIDE).distinct()
+    planted = classes.select("rep", "n", "signature").mapInArrow(plant, "tree int, prefix long, label binary, rep long, n long, sketch binary")
+    return in_runs(planted, ["tree", "prefix"], ["label", "rep"], climb, "a long, b long", least=2, most=WIDE).distinct()
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> np.ndarray:
@@ -162,6 +203,8 @@ def verified(texts: DataFrame, k: int, similarity: float) -> DataFrame:
 
     def verify(t: pa.Table) -> Iterator[pa.RecordBatch]:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        rep = t.column("rep").to_numpy()
+        t = t.filter(pa.array(np.concatenate([[True], rep[1:] != rep[:-1]])))  # repeated rows of one text
         rep, copies, first = t.column("rep").to_numpy(), t.column("copies").to_numpy(), t.column("own").to_numpy() == i
         sets = [s for _, texts in slices(t.column("text").combine_chunks(), 1 << 20) for s in shingle_sets(texts, k)]
         if i == j:
@@ -184,19 +227,36 @@ def verified(texts: DataFrame, k: int, similarity: float) -> DataFrame:
 def linked(docs: DataFrame, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
     """(doc_id, n_links, component_id, kept): the number of other documents at least as similar, and the smallest doc_id reachable by links."""
     signed = materialise(signatures(docs, k))
-    classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    ours = materialise(classes.join(signed.select(F.col("doc_id").alias("rep"), F.col("key").alias("k2"), "n", "signature"), "rep").where("key = k2").dropDuplicates(["rep", "key"]).drop("k2"))
-    edges = materialise(candidates(ours, depth(similarity)))
-    groups = min_labels(edges).select(F.col("id").alias("rep"), "component").join(ours.select("rep", "copies", "n"), "rep")
+    classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("low"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    # Numbers of classes stand in the order of their smallest doc_ids, so the smallest number reached leads to the smallest doc_id.
+    ours = materialise(classes.select("key", F.col("low.doc_id").alias("low"), F.col("low.mark").alias("mark"), "copies", "n", "signature").orderBy("low", "key").withColumn("rep", F.monotonically_increasing_id()))
+    edges = materialise(candidates(ours, similarity))
+    groups = min_labels(edges).select(F.col("id").alias("rep"), "component").join(ours.select("rep", "low", "mark", "copies", "n"), "rep")
     sizes = groups.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    groups = groups.join(sizes, "component")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("text IS NOT NULL").join(groups.select("rep", "component", "blocks", "copies"), "rep")
+    groups = groups.join(sizes, "component").select(F.col("low").alias("doc_id"), "mark", "rep", "component", "blocks", "copies")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").where("text IS NOT NULL").join(groups, ["doc_id", "mark"])
     found = materialise(verified(texts, k, similarity))
     n = found.groupBy("rep").agg(F.sum("n").alias("n"))
     reach = min_labels(found.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("rep"), "component")
-    out = signed.select("doc_id", "key").join(ours.select("key", "rep", "copies"), "key", "left").join(n, "rep", "left").join(reach, "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    first = ours.select(F.col("rep").alias("component"), F.col("low").alias("first"))
+    ends = ours.select("key", "rep", "copies", "low").join(n, "rep", "left").join(reach.join(first, "component"), "rep", "left")
+    ends = ends.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("first", "low").alias("first"))
+    component = F.coalesce("first", "doc_id")
+    return signed.select("doc_id", "key").join(ends, "key", "left").select("doc_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+#: All pairs that share a shingle in DuckDB, for unique doc_ids.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + {K - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {K - 2}, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {SIMILARITY} * (x.n + y.n - c) - 1e-9),
+reach(id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT near.b, reach.low FROM reach JOIN near ON near.a = reach.id),
+c AS (SELECT id AS doc_id, min(low) AS component_id FROM reach GROUP BY 1),
+l AS (SELECT a AS doc_id, count(*) AS n FROM near GROUP BY 1)
+SELECT d.doc_id, coalesce(l.n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, d.doc_id = component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 
 def brute_force(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY, k: int = K) -> dict[int, tuple[int, int]]:

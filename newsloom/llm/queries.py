@@ -77,4 +77,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op8_attention_scores, op9_best_fit_packing, op10_quality_rules)}
-ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op4_embedding_near_dedup": subspaces.ORACLE_SQL, "op10_quality_rules": _op10_sql()}
+ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op3_ngram_jaccard_join": forest.ORACLE_SQL, "op5_substring_dedup": substrings.ORACLE_SQL, "op4_embedding_near_dedup": subspaces.ORACLE_SQL, "op10_quality_rules": _op10_sql()}

@@ -15,10 +15,14 @@ than WIDE are split by a hash, and each part of the homes meets each part of the
 no task holds a whole cell. Vectors that are equal with equal labels
 are one class before all that.
 
+Cells hold the rotated vectors in single precision. They tell the cosine to better than
+CLOSE; only pairs within CLOSE of the wanted one are sent on and decided by the vectors as
+given, in double precision.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
-those without a label or vec_id, link with nothing; vectors of different lengths never link; rows
-with an id that repeats are copies like others; extra columns are ignored; an empty table
-gives no row.
+those without a label or vec_id, link with nothing; vectors of different lengths never link;
+labels are compared by their text, whatever their type; rows that share a vec_id are
+vectors of their own; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import in_runs, materialise, min_labels
 
-COSINE, BLOCKS, CELL, WIDE, SEED = 0.98, 8, 2000, 3000, 20
+COSINE, BLOCKS, CELL, WIDE, SEED, CLOSE = 0.98, 8, 2000, 3000, 20, 2e-6
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -69,56 +73,67 @@ def classes(rows: DataFrame) -> DataFrame:
             raw = [v.tobytes() if v is not None and ok else None for v, ok in zip(_vectors(b.column("embedding")), known, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(raw, pa.binary())], names=["vec_id", "label", "raw"])
 
-    own = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"))
-    return own.mapInArrow(read, "vec_id long, label long, raw binary")
+    own = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    return own.mapInArrow(read, "vec_id long, label string, raw binary")
 
 
 def dealt(reps: DataFrame, signs: int, cosine: float) -> DataFrame:
     """A row for each vector, block and cell that it lives in or visits."""
-    schema = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("block", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("rep", pa.int64()), ("copies", pa.int64()), ("raw", pa.binary()), ("turned", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn: dict[int, np.ndarray] = {}
         for b in batches:
-            out: dict[str, list] = {n: [] for n in schema.names}
-            for label, rep, copies, raw in zip(*(b.column(c).to_pylist() for c in ("label", "rep", "copies", "raw")), strict=True):
-                v = np.frombuffer(raw, np.float64)
-                d = len(v)
+            size = pa.compute.divide(pa.compute.binary_length(b.column("raw")), 8).to_numpy()
+            for d in np.unique(size).tolist():
+                own = b.take(pa.array(np.flatnonzero(size == d)))
                 if d not in turn:
                     turn[d] = rotation(d)
-                y = ((v / np.abs(v).max()) @ turn[d]).astype(np.float64)
-                y = (y / np.sqrt(y @ y)).astype(np.float32)
+                v = np.frombuffer(b"".join(own.column("raw").to_pylist()), np.float64).reshape(-1, d)
+                y = (v / np.abs(v).max(1, keepdims=True)) @ turn[d]
+                y = (y / np.sqrt((y * y).sum(1, keepdims=True))).astype(np.float32)
+                turned = pa.array([r.tobytes() for r in y], pa.binary())
                 for k, (a, z) in enumerate(cuts(d)):
-                    r, cells, home = budget(d, a, z, cosine) ** 0.5, [0], 0
-                    for i, x in enumerate(y[a : min(z, a + signs)].tolist()):
-                        bit = int(x >= 0) << i
-                        home |= bit
-                        cells = [c | bit for c in cells] + ([c | ((1 << i) ^ bit) for c in cells] if abs(x) <= r else [])
-                    for c in cells:
-                        for name, x in zip(schema.names, (label, d, k, c, c == home, rep, copies, raw, y.tobytes()), strict=True):
-                            out[name].append(x)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    return reps.mapInArrow(deal, "label long, dim int, block int, cell long, home boolean, rep long, copies long, raw binary, turned binary")
+                    part = y[:, a : min(z, a + signs)].astype(np.float64)
+                    home = ((part >= 0) << np.arange(part.shape[1])).sum(1)
+                    near = np.abs(part) <= budget(d, a, z, cosine) ** 0.5
+                    row, cell = np.arange(len(y)), home
+                    for i in range(part.shape[1]):
+                        also = near[row, i]
+                        row, cell = np.concatenate([row, row[also]]), np.concatenate([cell, cell[also] ^ (1 << i)])
+                    at, of = pa.array(row), np.full(len(row), d, np.int32)
+                    yield pa.RecordBatch.from_pydict({"label": own.column("label").take(at), "dim": of, "block": np.full(len(row), k, np.int32), "cell": cell.astype(np.int64), "home": cell == home[row], "rep": own.column("rep").take(at), "copies": own.column("copies").take(at), "turned": turned.take(at)})
+
+    return reps.select("label", "rep", "copies", "raw").mapInArrow(deal, "label string, dim int, block int, cell long, home boolean, rep long, copies long, turned binary")
+
+
+def _reached(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that each reaches by the edges (p, q)."""
+    label = np.arange(n)
+    while True:
+        low, new = np.minimum(label[p], label[q]), label.copy()
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, q, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def verified(rows: DataFrame, cosine: float) -> DataFrame:
-    """(rep, hub, n): links of each vector in a cell, counted by copies, and one link of its tree."""
+    """(rep, hub, n, close): links of each vector in a cell, counted by copies, and one link of its tree; or a pair (rep, close) that is too close to tell."""
+    schema = pa.schema([(c, pa.int64()) for c in ("rep", "hub", "n", "close")])
 
     def join(t: pa.Table) -> Iterator[pa.RecordBatch]:
         dim, block = t.column("dim")[0].as_py(), t.column("block")[0].as_py()
         rep, copies, home, probe = (t.column(c).to_numpy() for c in ("rep", "copies", "home", "probe"))
         probe = np.flatnonzero(probe)
-        raw = np.frombuffer(b"".join(t.column("raw").to_pylist()), np.float64).reshape(-1, dim)
         y = np.frombuffer(b"".join(t.column("turned").to_pylist()), np.float32).reshape(-1, dim)
-        unit = raw / np.abs(raw).max(1, keepdims=True)
-        norm = np.sqrt((unit * unit).sum(1))
         own = cuts(dim)
         a, z = own[block]
         part, limit = y[:, a:z], budget(dim, a, z, cosine)
         square = (part * part).sum(1)
         n, at = np.zeros(len(rep), np.int64), np.flatnonzero(home)
-        pairs = []
+        pairs, close = [], []
         for h in np.array_split(at, -(-len(at) // 256)) if len(at) else []:
             near = square[h, None] + square[None, probe] - 2 * (part[h] @ part[probe].T) <= limit + 1e-5
             near &= rep[h, None] < rep[None, probe]
@@ -132,37 +147,48 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
                     met = ((y[p, b0:b1] - y[q, b0:b1]) ** 2).sum(1) <= budget(dim, b0, b1, cosine)
                     first[met] = k
                 p, q = p[first == block], q[first == block]
-                ok = (unit[p] * unit[q]).sum(1) / (norm[p] * norm[q]) >= cosine
-                p, q = p[ok], q[ok]
+                c = (y[p].astype(np.float64) * y[q]).sum(1)
+                unsure = np.abs(c - cosine) <= CLOSE
+                close.append((rep[p[unsure]], rep[q[unsure]]))
+                p, q = p[c > cosine + CLOSE], q[c > cosine + CLOSE]
                 np.add.at(n, p, copies[q])
                 np.add.at(n, q, copies[p])
                 pairs.append((p, q))
-        if not n.any():
-            return
-        p, q = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        order = np.argsort(rep, kind="stable")
-        place = np.empty(len(rep), np.int64)
-        place[order] = np.arange(len(rep))
-        label, p, q = np.arange(len(rep)), place[p], place[q]
-        while True:
-            low = np.minimum(label[p], label[q])
-            new = label.copy()
-            np.minimum.at(new, p, low)
-            np.minimum.at(new, q, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        some = n > 0
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(rep[some]), "hub": pa.array(rep[order][label][place[some]]), "n": pa.array(n[some])})
-
-    return in_runs(rows, ["label", "dim", "block", "cell", "i", "j"], ["rep", "home"], join, "rep long, hub long, n long", least=2)
+        if close and len(left := np.concatenate([x for x, _ in close])):
+            none = pa.nulls(len(left), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(left), none, none, pa.array(np.concatenate([x for _, x in close]))], schema=schema)
+        if n.any():
+            p, q = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.argsort(rep, kind="stable")
+            place = np.empty(len(rep), np.int64)
+            place[order] = np.arange(len(rep))
+            label, some = _reached(len(rep), place[p], place[q]), n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(rep[order][label][place[some]]), pa.array(n[some]), pa.nulls(int(some.sum()), pa.int64())], schema=schema)
+
+    return in_runs(rows, ["label", "dim", "block", "cell", "i", "j"], ["rep", "home"], join, "rep long, hub long, n long, close long", least=2)
+
+
+def exact(pairs: DataFrame, reps: DataFrame, cosine: float) -> DataFrame:
+    """(rep, hub, n) of the pairs (rep, close) whose vectors, as given, have the wanted cosine; a row for each end."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, q, v, w, m, n in zip(*(b.column(c).to_pylist() for c in ("rep", "close", "v", "w", "m", "n")), strict=True):
+                v, w = (x / np.abs(x).max() for x in (np.frombuffer(v, np.float64), np.frombuffer(w, np.float64)))
+                if (v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum())) >= cosine:
+                    yield pa.RecordBatch.from_pydict({"rep": pa.array([p, q]), "hub": pa.array([p, p]), "n": pa.array([n, m])})
+
+    a = reps.select("rep", F.col("raw").alias("v"), F.col("copies").alias("m"))
+    b = reps.select(F.col("rep").alias("close"), F.col("raw").alias("w"), F.col("copies").alias("n"))
+    return pairs.join(a, "rep").join(b, "close").mapInArrow(decide, "rep long, hub long, n long")
 
 
 def linked(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for rows (vec_id, embedding, label)."""
     read = materialise(classes(rows))
-    reps = materialise(read.where("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # Numbers of classes stand in the order of their smallest vec_ids, so the smallest number reached leads to the smallest vec_id.
+    reps = read.where("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    reps = materialise(reps.orderBy("low", "label", "raw").withColumn("rep", F.monotonically_increasing_id()))
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     signs = max(0, (-(-most // CELL) - 1).bit_length())
     cells = dealt(reps, signs, cosine)
@@ -176,12 +202,15 @@ def linked(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     homes = F.when(F.col("home"), F.transform(every, lambda x: role(F.col("own"), x, yes, no))).otherwise(F.filter(F.transform(every, lambda x: role(F.col("own"), x, yes, no)), lambda x: no))
     roles = F.when(F.col("parts") == 1, F.array(role(F.lit(0), F.lit(0), F.col("home"), yes))).otherwise(F.concat(homes, F.transform(every, lambda x: role(x, F.col("own"), no, yes))))
     split = split.withColumn("role", F.explode(roles))
-    found = materialise(verified(split.select(*key, "role.i", "role.j", F.col("role.as_home").alias("home"), F.col("role.as_probe").alias("probe"), "rep", "copies", "raw", "turned"), cosine))
+    told = materialise(verified(split.select(*key, "role.i", "role.j", F.col("role.as_home").alias("home"), F.col("role.as_probe").alias("probe"), "rep", "copies", "turned"), cosine))
+    found = materialise(told.where("close IS NULL").select("rep", "hub", "n").union(exact(told.where("close IS NOT NULL").select("rep", "close"), reps, cosine)))
     n = found.groupBy("rep").agg(F.sum("n").alias("n"))
     reach = min_labels(found.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select(F.col("id").alias("rep"), "component")
-    out = read.join(reps, ["label", "raw"], "left").join(n, "rep", "left").join(reach, "rep", "left")
-    component = F.coalesce("component", "rep", "vec_id")
-    return out.select("vec_id", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    first = reps.select(F.col("rep").alias("component"), F.col("low").alias("first"))
+    ends = reps.join(n, "rep", "left").join(reach.join(first, "component"), "rep", "left")
+    ends = ends.select("label", "raw", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("first", "low").alias("first"))
+    component = F.coalesce("first", "vec_id")
+    return read.join(ends, ["label", "raw"], "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
 #: All pairs in DuckDB; for small tables.

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from newsloom.llm import forest
 
 
@@ -39,9 +42,43 @@ def test_groups_split_into_blocks(spark, monkeypatch):
 
 
 def test_depth_reaches_the_recall():
-    x = forest.depth()
-    assert 1 - (1 - 0.8**x) ** forest.TREES >= forest.RECALL
-    assert x == forest.DEPTH or 1 - (1 - 0.8 ** (x + 1)) ** forest.TREES < forest.RECALL
+    for s in (0.8, 0.84, 0.9):
+        x = forest.depth(s)
+        assert 1 - (1 - s**x) ** forest.TREES >= forest.RECALL
+        assert x == forest.DEPTH or 1 - (1 - s ** (x + 1)) ** forest.TREES < forest.RECALL
+
+
+def test_least_similarity():
+    for n in range(1, 60):
+        own = [c / (n + m - c) for m in range(1, 100) for c in range(1, min(n, m) + 1) if c / (n + m - c) >= 0.8 and (m, c) != (n, n)]
+        assert forest.least_similarity(np.array([n]))[0] == pytest.approx(min(own, default=2.0)), n
+
+
+def test_prefixes_of_several_lengths_are_walked():
+    """Rows join at the longest prefix that they share; a pair that needs a longer one than it shares is left."""
+    label = np.array([[1, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 2], [1, 1, 1, 1, 2, 3], [1, 1, 1, 1, 2, 4], [1, 1, 1, 1, 3, 5]])
+    sketch, n = np.zeros((5, 64), np.uint8), np.full(5, 100)
+    walk = lambda need, shortest, sketch=sketch: forest.climbed(label, n, np.array(need), sketch, shortest, 0.8).tolist()
+    assert walk([4] * 5, 6) == [0, 1, 2, 3, 4] and walk([4] * 5, 5) == [0, 0, 2, 2, 4] and walk([4] * 5, 4) == [0] * 5
+    assert walk([5, 5, 5, 5, 4], 4) == [0, 0, 2, 2, 4]
+    apart = sketch.copy()
+    apart[2] = 9
+    assert walk([4] * 5, 4, apart) == [0, 0, 2, 0, 0]
+    assert forest.climbed(label, np.array([100, 79, 80, 90, 100]), np.full(5, 4), sketch, 4, 0.8).tolist() == [0, 0, 0, 0, 0]
+    assert forest.climbed(label[:2], np.array([100, 79]), np.full(2, 4), sketch[:2], 4, 0.8).tolist() == [0, 1]
+
+
+def test_one_id_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (7, None), (1, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in forest.linked(df).collect()) == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (7, 0, 7)]
+
+
+def test_long_words_of_two_letters(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    check(spark.createDataFrame([(1, a), (2, a.translate({97: 98, 98: 97})), (3, f"{a} x"), (4, f"{a}  x")], "doc_id long, text string"))
 
 
 def test_repeated_rows(spark):

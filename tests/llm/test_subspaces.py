@@ -48,3 +48,24 @@ def test_against_all_pairs(spark, monkeypatch):
         got = {r.vec_id: (r.n_links, r.component_id) for r in subspaces.linked(df).collect()}
         assert got == want
     assert subspaces.linked(df.where("vec_id < 0")).collect() == []
+
+
+def test_labels_and_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1.2), (2, [1.0, 0.01], 1.7), (3, [1.0, 0.02], 1.2), (1, [0.0, 1.0], 1.2), (4, [0.01, 1.0], 1.2), (4, [0.01, 1.0], 1.2)], "vec_id long, embedding array<double>, label double")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in subspaces.linked(df).collect()) == [(1, 1, 1), (1, 2, 1), (2, 0, 2), (3, 1, 1), (4, 2, 1), (4, 2, 1)]
+
+
+def test_pairs_at_the_limit_are_decided_exactly(spark):
+    rng, rows = random.Random(9), []
+    for i in range(60):
+        v = [rng.gauss(0, 1) for _ in range(16)]
+        n = math.sqrt(sum(x * x for x in v))
+        v = [x / n for x in v]
+        u = [rng.gauss(0, 1) for _ in range(16)]
+        d = sum(a * b for a, b in zip(u, v, strict=True))
+        u = [b - d * a for a, b in zip(v, u, strict=True)]
+        n = math.sqrt(sum(x * x for x in u))
+        c = 0.98 + rng.choice([-1e-6, -1e-8, 1e-8, 1e-6])
+        rows += [(2 * i, v, i % 4), (2 * i + 1, [c * a + math.sqrt(1 - c * c) * b / n for a, b in zip(v, u, strict=True)], i % 4)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in subspaces.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute(rows)

@@ -10,7 +10,7 @@ def check(docs):
 
 
 def test_documents(small, edge, none):
-    check(small.where("n_chars < 8000"))
+    check(small)
     check(edge.where("doc_id <> 4"))
     assert substrings.deduplicated(none).collect() == []
 
@@ -25,7 +25,32 @@ def test_random_words(spark):
             w += rng.choice(passages) if rng.random() < 0.6 else [f"{i}-{rng.random()}" for _ in range(5)]
         rows.append((rng.choice([i, 1000 - i]), " ".join(w)))
     rows = list(dict(rows).items())
-    check(spark.createDataFrame(rows, "doc_id long, text string"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df)
+    # A factor has one source: the earliest document that has each of its windows.
+    words, first = {d: t.split() for d, t in rows}, {}
+    for d, w in sorted(words.items()):
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    spans = [(r.doc_id, s) for r in substrings.deduplicated(df).collect() for s in r.spans]
+    assert len({s.source for _, s in spans}) > 5
+    for d, s in spans:
+        w = words[d][s.start : s.start + s.length]
+        assert len(w) == s.length >= 13 and {first[tuple(w[i : i + 13])] for i in range(len(w) - 12)} == {s.source} and s.source < d
+
+
+def test_long_words_of_two_letters(spark):
+    """Words whose polynomial hashes are equal are different words."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    check(spark.createDataFrame([(1, " ".join([a] * 14)), (2, " ".join([b] * 14)), (3, " ".join([a, b] * 8)), (4, " ".join([b, a] * 8))], "doc_id long, text string"))
+
+
+def test_rows_grow_in_proportion():
+    rows = lambda size: (size / substrings.side(size)) ** 2
+    assert rows(8 << 40) < 1.01 * 4 * rows(2 << 40) and rows(2 << 30) <= (2 << 30) / 1000
 
 
 def test_spans_and_exact_edges(spark):
