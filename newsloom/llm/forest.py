@@ -250,8 +250,8 @@ ORACLE_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + {K - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {K - 2}, 2))) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-near AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {SIMILARITY} * (x.n + y.n - c) - 1e-9),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+near AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {SIMILARITY} * (x.n + y.n - c) - 1e-9),
 reach(id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT near.b, reach.low FROM reach JOIN near ON near.a = reach.id),
 c AS (SELECT id AS doc_id, min(low) AS component_id FROM reach GROUP BY 1),
 l AS (SELECT a AS doc_id, count(*) AS n FROM near GROUP BY 1)

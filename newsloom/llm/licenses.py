@@ -1,20 +1,24 @@
 """Operator 2: license scans by MinHash bands over overlapping text windows.
 
-Templates are cut into parts of at most 24 tokens that overlap by four, so each
-five-token shingle lies in one part. For a part of L tokens, all windows of L tokens
-of a text are looked at (step 1). A window can hold 0.8 of the part's shingles only
-if 0.8 of its own shingles belong to some template, which a constant set decides;
-such windows have a Jaccard similarity of at least 0.8/1.2 with the part, so with
-12 bands of one MinHash each they meet it with a probability over 1 - 3^-12
-(0.999998). Exact shingle containment, on the words themselves, then decides.
+A text is read in windows of WINDOW shingles of five tokens; windows overlap by the four
+tokens that neighbouring shingles share, so every shingle lies in one window. For each of
+BANDS bands a window gives its MinHash (the smallest hash of its shingles under the band's
+seed). A template gives the MinHashes of its windows at every offset and of every length
+up to WINDOW, so a text window whose template shingles are some of its shingles meets the
+template in each band in which one of these is the smallest: a window of two shingles, one
+of which is the template's, is missed with a probability of 2^-BANDS (1e-6), and one that
+lies within the template never. Retrieved windows are then compared shingle by shingle, as
+text, and a license is reported where the document holds at least CONTAINED of the
+distinct shingles of its template, exactly counted.
 
 Only DataFrame and SQL functions run. The template tables have a size that does not
-depend on the data (PARTS), so broadcasting them is bounded; texts are never
-shuffled, only windows that already hold license shingles.
+depend on the data, so broadcasting them is bounded; texts are never shuffled, only the
+shingles of windows that met a template.
 
-Defined results: a null, empty or short text has no match and no row; a license that
-a text repeats is reported once with its number of windows; extra columns are
-ignored; repeated rows of one doc_id count as one text with the windows of all.
+Defined results: a null, empty or short text has no match and no row; a license that a
+text repeats is reported once; rows with equal doc_id and equal text (or both null) are
+one document, rows that share a doc_id but not the text are documents of their own; a
+very long text is scanned whole; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,94 +28,101 @@ from pyspark.sql import functions as F
 
 from .quality import let
 
-SHINGLE, PART, BANDS, CONTAINED = 5, 24, 12, 0.8
+SHINGLE, WINDOW, BANDS, CONTAINED = 5, 2, 20, 0.8
 
-# Public license notices, as they stand at the head of works.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 
 
-def tokens(text: str) -> list[str]:
-    return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
+def _gnu(name: str, version: str) -> str:
+    """The notice that GNU licenses ask to put at the head of a file."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+        f"You should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
 
 
-def parts(templates: dict[str, str]) -> list[tuple[str, int, list[str]]]:
-    out = []
-    for name, text in templates.items():
-        t, step = tokens(text), PART - SHINGLE + 1
-        for i, at in enumerate(range(0, max(1, len(t) - SHINGLE + 1), step)):
-            out.append((name, i, t[at : at + PART]))
-    return out
+def _commons(kind: str) -> str:
+    return f"This work is licensed under a Creative Commons {kind} 4.0 International License."
 
 
-def shingles(t: list[str]) -> list[tuple[str, ...]]:
-    return [tuple(t[i : i + SHINGLE]) for i in range(len(t) - SHINGLE + 1)]
+# Public license texts, and notices as they stand at the head of works.
+TEMPLATES = {
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _AS_IS,
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "3"),
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-2-Clause": f"{_BSD_CONDITIONS} {_BSD_END}",
+    "BSD-3-Clause": f"{_BSD_CONDITIONS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "CC-BY-4.0": _commons("Attribution"),
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0-notice": _commons("Attribution-NonCommercial"),
+    "CC-BY-NC-ND-4.0": _commons("Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _commons("Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": _commons("Attribution-NoDerivatives"),
+    "CC-BY-SA-4.0": _commons("Attribution-ShareAlike"),
+    "CC0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0": _gnu("GNU General Public License", "2"),
+    "GPL-3.0": _gnu("GNU General Public License", "3"),
+    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _AS_IS,
+    "LGPL-2.1": _gnu("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": _gnu("GNU Lesser General Public License", "3"),
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "MIT-line": "Released under the MIT License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
 
 
-def _bands(grams: str) -> str:
-    return f"transform(sequence(0, {BANDS - 1}), b -> named_struct('band', b, 'low', array_min(transform({grams}, x -> xxhash64(x, b)))))"
+def tokens(text: str) -> list[str]:
+    return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
 
 
-def _grams(toks: str) -> str:
-    return f"transform(sequence(0, size({toks}) - {SHINGLE}), i -> xxhash64({', '.join(f'{toks}[i + {j}]' for j in range(SHINGLE))}))"
+def grams(text: str) -> list[str]:
+    """The distinct shingles of a template, in order; one of fewer tokens has none and never matches."""
+    t = tokens(text)
+    return list(dict.fromkeys(" ".join(t[i : i + SHINGLE]) for i in range(len(t) - SHINGLE + 1)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, license, n_windows, first_token, containment) for each license a document holds."""
+    """(doc_id, license, n_shingles, first_token, containment) for each license a document holds."""
     spark = docs.sparkSession
-    cut = parts(templates)
-    total = {n: sum(len(set(shingles(t))) for m, _, t in cut if m == n) for n in templates}
-    sizes = sorted({len(t) for _, _, t in cut})
-    known = ", ".join(f"xxhash64({', '.join(repr(w) for w in g)})" for g in sorted({g for _, _, t in cut for g in shingles(t)}))
-    part = spark.createDataFrame([(n, i, len(t), t, [" ".join(g) for g in sorted(set(shingles(t)))], float(total[n])) for n, i, t in cut], "license string, part int, n int, toks array<string>, wanted array<string>, total double")
-    part = part.select("license", "part", "n", "wanted", "total", F.explode(F.expr(_bands(_grams("toks")))).alias("s")).select("license", "part", "n", "wanted", "total", "s.*")
-
-    # Of each text: shingle hashes g, and the running number c of those that some template has.
-    windows = " , ".join(
-        f"transform(filter(sequence(0, size(c) - 1), p -> p + {n - SHINGLE + 1} <= size(g) AND c[least(p + {n - SHINGLE + 1}, size(g))] - c[p] >= {CONTAINED * (n - SHINGLE + 1)}), p -> named_struct('at', cast(p AS bigint), 'n', {n}, 'own', slice(k, p + 1, {n}), 'lows', {_bands(f'slice(g, p + 1, {n - SHINGLE + 1})')}))" for n in sizes
-    )
-    counted = "aggregate(m, array(0), (a, x) -> array_append(a, element_at(a, -1) + x))"
-    body = let(counted, "c", f"concat({windows})")
-    none = "cast(array() AS array<struct<at: bigint, n: int, own: array<string>, lows: array<struct<band: int, low: bigint>>>>)"
-    body = let(f"transform(g, x -> if(x IN ({known}), 1, 0))", "m", f"if(exists(m, x -> x = 1), {body}, {none})")
-    body = f"if(size(k) >= {SHINGLE}, {let(_grams('k'), 'g', body)}, {none})"
-    found = let(f"regexp_extract_all(lower(coalesce(`{text}`, '')), '[a-z0-9]+', 0)", "k", body)
-
-    win = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.expr(found)).alias("w")).select("doc_id", "w.at", "w.n", "w.own", F.explode("w.lows").alias("s"))
-    met = win.select("doc_id", "at", "n", "own", "s.band", "s.low").join(F.broadcast(part), ["n", "band", "low"])
-    own = F.expr(f"transform(sequence(0, size(own) - {SHINGLE}), i -> array_join(slice(own, i + 1, {SHINGLE}), ' '))")
-    share = F.size(F.array_intersect(own, "wanted")).cast("double")
-    once = met.dropDuplicates(["doc_id", "at", "license", "part"])
-    held = once.select("doc_id", "license", "part", "at", "total", share.alias("share"), F.size("wanted").alias("m")).where(F.col("share") >= CONTAINED * F.col("m"))
-    best = held.groupBy("doc_id", "license", "part").agg(F.max("share").alias("share"), F.count("*").alias("n"), F.min("at").alias("at"), F.max("total").alias("total"))
-    return (
-        best.groupBy("doc_id", "license")
-        .agg(F.sum("n").alias("n_windows"), F.min("at").alias("first_token"), (F.sum("share") / F.max("total")).alias("containment"))
-        .where(F.col("containment") >= CONTAINED)
-    )
+    wanted = spark.createDataFrame([(n, g) for n, t in templates.items() for g in grams(t)], "license string, gram string")
+    total = spark.createDataFrame([(n, len(grams(t))) for n, t in templates.items()], "license string, total long")
+    # MinHashes of windows of one shingle, which those of longer windows are among.
+    words = F.split("gram", " ")
+    low = F.xxhash64(*[words[i] for i in range(SHINGLE)])
+    bands = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), low.alias("g")).select("band", F.xxhash64("g", "band").alias("low")).distinct()
+
+    shingle = f"xxhash64({', '.join(f'k[i + {j}]' for j in range(SHINGLE))})"
+    least = ", ".join(f"xxhash64(g[least({WINDOW} * j + {i}, size(g) - 1)], b)" for i in range(WINDOW))
+    window = f"named_struct('at', {WINDOW} * j, 'own', slice(k, {WINDOW} * j + 1, {WINDOW + SHINGLE - 1}), 'lows', transform(sequence(0, {BANDS - 1}), b -> least({least})))"
+    body = let(f"transform(sequence(0, size(k) - {SHINGLE}), i -> {shingle})", "g", f"transform(sequence(0, (size(g) - 1) div {WINDOW}), j -> {window})")
+    none = "cast(array() AS array<struct<at: int, own: array<string>, lows: array<bigint>>>)"
+    windows = let(f"regexp_extract_all(lower(coalesce(`{text}`, '')), '[a-z0-9]+', 0)", "k", f"if(size(k) >= {SHINGLE}, {body}, {none})")
+
+    win = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.explode(F.expr(windows)).alias("w"))
+    win = win.select("doc_id", "mark", "w.at", "w.own", F.posexplode("w.lows").alias("band", "low"))
+    met = win.join(F.broadcast(bands), ["band", "low"], "left_semi")
+    own = F.expr(f"transform(sequence(0, size(own) - {SHINGLE}), i -> named_struct('gram', array_join(slice(own, i + 1, {SHINGLE}), ' '), 'at', cast(at + i AS bigint)))")
+    shown = met.select("doc_id", "mark", F.explode(own).alias("s")).select("doc_id", "mark", "s.gram", "s.at")
+    held = shown.join(F.broadcast(wanted), "gram").groupBy("doc_id", "mark", "license", "gram").agg(F.min("at").alias("at"))
+    found = held.groupBy("doc_id", "mark", "license").agg(F.count("*").alias("n_shingles"), F.min("at").alias("first_token"))
+    share = F.col("n_shingles").cast("double") / F.col("total").cast("double")
+    return found.join(F.broadcast(total), "license").withColumn("containment", share).where(F.col("containment") >= CONTAINED).select("doc_id", "license", "n_shingles", "first_token", "containment")
 
 
 def oracle() -> str:
     """The same in DuckDB, without hashes: each template shingle against each text position."""
-    cut = parts(TEMPLATES)
-    rows = ", ".join(f"('{n}', {i}, {len(t)}, {len(set(shingles(t)))}, '{' '.join(g)}')" for n, i, t in cut for g in sorted(set(shingles(t))))
+    rows = ", ".join(f"('{n}', {len(grams(t))}, '{g}')" for n, t in TEMPLATES.items() for g in grams(t))
     return f"""
-WITH tpl(license, part, n, m, gram) AS (VALUES {rows}),
-tot AS (SELECT license, count(*)::DOUBLE AS total FROM tpl GROUP BY 1),
+WITH tpl(license, total, gram) AS (VALUES {rows}),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS k FROM documents),
-g AS (SELECT doc_id, len(k) AS len, p, array_to_string(k[p + 1 : p + {SHINGLE}], ' ') AS gram FROM (SELECT doc_id, k, unnest(range(0, len(k) - {SHINGLE - 1})) AS p FROM d WHERE len(k) >= {SHINGLE})),
-h AS (SELECT doc_id, len, p, license, part, n, m, gram FROM g JOIN tpl USING (gram)),
-w AS (SELECT doc_id, len, license, part, n, m, gram, unnest(range(p - n + {SHINGLE}, p + 1)) AS start FROM h),
-held AS (SELECT doc_id, license, part, start, m, count(DISTINCT gram)::DOUBLE AS share FROM w WHERE start >= 0 AND start + n <= len GROUP BY ALL HAVING share >= {CONTAINED} * m),
-best AS (SELECT doc_id, license, part, max(share) AS share, count(*) AS n, min(start) AS start FROM held GROUP BY ALL)
-SELECT doc_id, license, sum(n)::BIGINT AS n_windows, min(start)::BIGINT AS first_token, sum(share) / max(total) AS containment
-FROM best JOIN tot USING (license) GROUP BY doc_id, license HAVING sum(share) / max(total) >= {CONTAINED}"""
+g AS (SELECT doc_id, p, array_to_string(k[p + 1 : p + {SHINGLE}], ' ') AS gram FROM (SELECT doc_id, k, unnest(range(0, len(k) - {SHINGLE - 1})) AS p FROM d WHERE len(k) >= {SHINGLE}))
+SELECT doc_id, license, count(DISTINCT gram)::BIGINT AS n_shingles, min(p)::BIGINT AS first_token, count(DISTINCT gram)::DOUBLE / max(total)::DOUBLE AS containment
+FROM g JOIN tpl USING (gram) GROUP BY doc_id, license HAVING count(DISTINCT gram)::DOUBLE / max(total)::DOUBLE >= {CONTAINED}"""

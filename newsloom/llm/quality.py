@@ -7,8 +7,8 @@ row is shuffled; documents are independent of each other.
 
 Defined results: a null or empty text has no words, so every count is 0 and it
 fails; extra columns of the input pass through ``measured`` and ``judged`` (a
-clashing name is replaced by the measure); an empty table gives an empty table;
-repeated rows are judged alike.
+clashing name is replaced by the measure); a null doc_id stays null; a very long text
+is measured whole; an empty table gives an empty table; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -63,16 +63,15 @@ def let(value: str, name: str, body: str) -> str:
 def repeated_words(w: str = "w", k: int = 5) -> str:
     """SQL: how many of the words w lie in k-word windows that occur twice or more.
 
-    Window hashes are compared first; only if two are equal, each hash is packed with
-    its position into one long and sorted, neighbours are compared word by word, and
-    the covered words are summed from the gaps between the repeated windows.
+    Window hashes are compared first; only if two are equal, the windows are sorted by
+    hash, words and place, so that equal ones are neighbours whatever their hashes are,
+    and the covered words are summed from the gaps between the repeated windows.
     """
-    same = lambda a, b: f"(shiftrightunsigned({a}, s) = shiftrightunsigned({b}, s) AND slice({w}, cast({a} & k AS int) + 1, {k}) = slice({w}, cast({b} & k AS int) + 1, {k}))"
-    found = f"filter(transform(sequence(0, size(o) - 1), j -> if((j > 0 AND {same('o[if(j > 0, j - 1, 0)]', 'o[j]')}) OR (j < size(o) - 1 AND {same('o[j]', 'o[if(j < size(o) - 1, j + 1, j)]')}), o[j] & k, -1L)), p -> p >= 0)"
-    covered = f"if(size(p) = 0, 0L, aggregate(sequence(0, size(p) - 1), {k}L, (a, i) -> a + if(i = 0, 0L, least({k}L, p[i] - p[if(i = 0, 0, i - 1)]))))"
+    before, after = "o[if(j > 0, j - 1, j + 1)].t", "o[if(j < size(o) - 1, j + 1, j - 1)].t"
+    found = f"filter(transform(sequence(0, size(o) - 1), j -> if({before} = o[j].t OR {after} = o[j].t, o[j].i, -1)), p -> p >= 0)"
+    covered = f"if(size(p) = 0, 0L, aggregate(sequence(0, size(p) - 1), {k}L, (a, i) -> a + if(i = 0, 0L, least({k}L, cast(p[i] - p[if(i = 0, 0, i - 1)] AS bigint)))))"
     body = let(f"sort_array({found})", "p", covered)
-    body = let("sort_array(transform(g, (x, i) -> shiftleft(x, s) | cast(i AS bigint)))", "o", body)
-    body = let(f"length(bin(size({w})))", "s", let("shiftleft(1L, s) - 1L", "k", body))
+    body = let(f"sort_array(transform(g, (x, i) -> named_struct('h', x, 't', slice({w}, i + 1, {k}), 'i', i)))", "o", body)
     body = let(f"transform(sequence(0, size(h) - {k}), i -> xxhash64({', '.join(f'h[i + {j}]' for j in range(k))}))", "g", f"if(size(array_distinct(g)) = size(g), 0L, {body})")
     return f"if(size({w}) <= {k}, 0L, {let(f'transform({w}, x -> xxhash64(x))', 'h', body)})"
 
