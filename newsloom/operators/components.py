@@ -3,8 +3,10 @@
 Labels spread by alternating large-star and small-star rounds, so the number of rounds
 grows with the logarithm of a component's size, and no task holds a component. Before
 and after each round every task contracts the edges it has, in batches of bounded size, to
-stars around its smallest ids; that only replaces paths by shorter ones. Each round
-is cut off with checkpoint(), which survives lost executors.
+stars around its smallest ids; that only replaces paths by shorter ones. Edges are dealt to
+as few tasks as hold BATCH edges each, so once BATCH or fewer are left one contraction ends
+it. An id with more than HUB edges is spread over several tasks wherever edges are joined
+by id. Each round is cut off with checkpoint(), which survives lost executors.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH = 1 << 20  # edges that a task contracts at once
+HUB = 1000  # edges of an id that are joined in one task
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -78,17 +81,32 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").cast("long"), F.col("u").cast("long")).where("v IS NOT NULL AND u IS NOT NULL").mapInArrow(contract, "v long, u long")
 
 
+def _spread(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (v, u) joined with low (v, m, n), an id of n edges in one part for each HUB of them."""
+    hubs = low.where(F.col("n") > HUB).select("v", F.ceil(F.col("n") / F.lit(HUB)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).cast("int")
+    few = hubs.count() <= 100_000  # else the two sides are shuffled
+    own = edges.join(F.broadcast(hubs) if few else hubs, "v", "left").select("v", "u", part.alias("part"))
+    ways = low.select("v", "m", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest("n", F.lit(1)) / F.lit(HUB)).cast("int") - 1)).alias("part"))
+    return own.join(ways, ["v", "part"]).drop("part")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for every id of an edge the smallest id it reaches; edges from an id to itself count for nothing."""
     own = edges.select(F.greatest(a, b).cast("long").alias("v"), F.least(a, b).cast("long").alias("u"))
-    e, before = materialise(contracted(own.where("v <> u")).distinct()), None
+    e, before = materialise(contracted(own.where("v <> u"))), None
     while True:
-        both = e.union(e.select("u", "v").toDF("v", "u"))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
-        large = both.join(low, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        n = e.count()
+        if n <= BATCH:
+            e = materialise(contracted(e.coalesce(1)))
+            return e.select(F.col("v").alias("id"), F.col("u").alias("component")).union(e.select("u", "u").distinct())
+        both = e.union(e.select("u", "v").toDF("v", "u")).distinct()
+        low = materialise(both.groupBy("v").agg(F.least("v", F.min("u")).alias("m"), F.count("*").alias("n")))
+        large = _spread(both, low).where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        low = materialise(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")))
         ends = F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
-        e = materialise(contracted(large.join(low, "v").select(F.explode(ends).alias("s")).select("s.v", "s.u").where("v <> u")).distinct())
+        e = _spread(large, low).select(F.explode(ends).alias("s")).select("s.v", "s.u").where("v <> u").distinct()
+        e = materialise(contracted(e.repartition(max(-(-n // BATCH), 1))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
             return e.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("component")).union(e.select("u", "u").distinct())

@@ -34,27 +34,30 @@ def previous_only(news: DataFrame, clusters: DataFrame) -> DataFrame:
         T.days_between(F.first("published_at").over(order), F.col("published_at")).alias("days_since_cluster_start"),
         F.length("title").cast("long").alias("title_length"), F.length("text").cast("long").alias("text_length"), "numbers",
     )
-    keep = ["cluster", "pos", "row_pos", "unit", "title_tokens", "text_tokens", "numbers"]
+    # A number is new in the row that has it first in the cluster, and shared in any later one.
+    each = rows.select("cluster", F.explode("numbers").alias("number"), F.struct("pos", "row_pos").alias("at"))
+    fresh = each.groupBy("cluster", "number").agg(F.min("at").alias("at")).groupBy("at.row_pos").agg(F.count("*").alias("new"))
+    keep = ["cluster", "pos", "row_pos", "unit", "title_tokens", "text_tokens"]
     cur = rows.select(*keep)
     prev = rows.select("cluster", *[F.col(c).alias(f"p_{c}") for c in keep[1:]])
     sim = V.dot(F.col("unit"), F.col("p_unit"))
-    pair = cur.join(prev, "cluster").where("p_pos < pos").select("row_pos", "p_pos", "p_row_pos", sim.alias("sim"), T.jaccard(F.col("title_tokens"), F.col("p_title_tokens")).alias("tj"), T.jaccard(F.col("text_tokens"), F.col("p_text_tokens")).alias("xj"), F.col("p_numbers"))
+    pair = cur.join(prev, "cluster").where("p_pos < pos").select("row_pos", "p_pos", "p_row_pos", sim.alias("sim"), T.jaccard(F.col("title_tokens"), F.col("p_title_tokens")).alias("tj"), T.jaccard(F.col("text_tokens"), F.col("p_text_tokens")).alias("xj"))
     agg = pair.groupBy("row_pos").agg(
         F.max("sim").alias("max_prev_similarity"), F.avg("sim").alias("mean_prev_similarity"), F.min("sim").alias("min_prev_similarity"), F.sum("sim").alias("r"), F.sort_array(F.collect_list("sim"), False).alias("sims"),
-        F.max_by("sim", "p_pos").alias("last_prev_similarity"), F.max("tj").alias("title_jaccard_max"), F.max("xj").alias("text_jaccard_max"), F.array_distinct(F.flatten(F.collect_list("p_numbers"))).alias("seen"),
+        F.max_by("sim", "p_pos").alias("last_prev_similarity"), F.max("tj").alias("title_jaccard_max"), F.max("xj").alias("text_jaccard_max"),
         F.min_by("p_row_pos", F.struct(-F.col("sim"), "p_pos")).alias("best_previous"),
     )
-    out = scalar.join(agg, "row_pos", "left")
+    out = scalar.join(agg, "row_pos", "left").join(fresh, "row_pos", "left")
     out = out.withColumn("S", F.sum(F.lit(1.0) + 2 * F.coalesce("r", F.lit(0.0))).over(Window.partitionBy("cluster").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))
     centroid = F.when((F.col("S") > 0) & F.col("r").isNotNull(), F.col("r") / F.sqrt("S")).otherwise(0.0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    none = F.array().cast("array<string>")
+    new = F.coalesce("new", F.lit(0))
     return out.select(
         "row_pos", "cluster", F.col("pos").cast("long").alias("position_in_cluster"), (F.col("pos")).cast("long").alias("cluster_size_so_far"), "days_since_previous", "days_since_cluster_start",
         *[zero(c).alias(c) for c in ("max_prev_similarity", "mean_prev_similarity", "min_prev_similarity")],
         zero(_top_mean("sims", 2)).alias("top2_mean_similarity"), zero(_top_mean("sims", 3)).alias("top3_mean_similarity"), zero(F.col("last_prev_similarity")).alias("last_prev_similarity"),
         centroid.alias("previous_centroid_similarity"), (F.lit(1.0) - centroid).alias("previous_centroid_distance"), zero(F.col("title_jaccard_max")).alias("title_jaccard_max"), zero(F.col("text_jaccard_max")).alias("text_jaccard_max"),
-        F.size(F.array_intersect("numbers", F.coalesce("seen", none))).cast("long").alias("shared_numbers_count"), F.size(F.array_except("numbers", F.coalesce("seen", none))).cast("long").alias("new_numbers_count"), "title_length", "text_length", "best_previous",
+        (F.size("numbers") - new).cast("long").alias("shared_numbers_count"), new.cast("long").alias("new_numbers_count"), "title_length", "text_length", "best_previous",
     )
 
 
@@ -89,9 +92,17 @@ def derived(f: DataFrame) -> DataFrame:
 
 
 def density(news: DataFrame, days: float) -> DataFrame:
-    """(row_pos, n): earlier rows of the topic in the last days; ties by row_pos."""
-    near = P.in_band(news, days, []).groupBy(F.col("right_row_pos").alias("row_pos")).agg(F.count("*").alias("n"))
-    return news.select("row_pos").join(near, "row_pos", "left").select("row_pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """(row_pos, n): earlier rows of the topic in the last days; ties by row_pos.
+
+    A range frame counts them. A row stands in the bucket of its time, as wide as the
+    window, and for counting in the next one too, so that a topic is split by time.
+    """
+    width = int(days * P.DAY)
+    x = news.select("topic", "row_pos", F.unix_micros("published_at").alias("at")).withColumn("bucket", F.floor(F.col("at") / F.lit(width)))
+    both = x.withColumn("own", F.lit(True)).unionByName(x.withColumn("bucket", F.col("bucket") + 1).withColumn("own", F.lit(False)))
+    upto = Window.partitionBy("topic", "bucket").orderBy("at").rangeBetween(-width, 0)
+    ties = Window.partitionBy("topic", "bucket", "at").orderBy(F.col("row_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)  # the row itself and later ones at its instant
+    return both.withColumn("n", F.count("*").over(upto) - F.count("*").over(ties)).where("own").select("row_pos", "n")
 
 
 def topic_context(news: DataFrame, days: float = 30) -> DataFrame:

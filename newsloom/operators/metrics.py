@@ -101,3 +101,13 @@ def retrieval(ranked: DataFrame, by: list[str], k: int = 10) -> DataFrame:
     top = ranked.where(F.col("rank") <= k)
     q = top.groupBy(*by, "query_id").agg(F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first"), F.sum("relevant").alias("hits"), F.count("*").alias("n"), F.countDistinct("cluster_id").alias("stories"))
     return q.groupBy(*by).agg(F.count("*").alias("queries"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg((F.col("hits") > 0).cast("double")).alias("hit_rate"), F.avg("hits").alias("relevant"), F.avg(1 - F.col("stories") / F.col("n")).alias("repeat_rate"), F.avg("stories").alias("unique_clusters"))
+
+
+def transitions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, transition, delta, fixed, broken): labels and probabilities of two predictions joined by key.
+
+    ``old`` has the true label as well; fixed rows became right, broken ones wrong.
+    """
+    x = old.select(key, F.col("label").alias("_a"), F.col("p").alias("_p"), "truth").join(new.select(key, F.col("label").alias("_b"), F.col("p").alias("_q")), key)
+    was, now = F.col("_a") == F.col("truth"), F.col("_b") == F.col("truth")
+    return x.select(key, F.concat_ws(" -> ", "_a", "_b").alias("transition"), (F.col("_q") - F.col("_p")).alias("delta"), (~was & now).alias("fixed"), (was & ~now).alias("broken"))

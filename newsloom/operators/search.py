@@ -38,7 +38,8 @@ def nearest(articles: DataFrame, query: list[float], k: int, where: Column | Non
 def nearest_of_many(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, news_id, score, rank) for a stated set of queries (query_id, query) against all rows.
 
-    Each task keeps the best k of its rows for each query before anything is shuffled.
+    Each task keeps the best k of its rows for each query before anything is shuffled;
+    rows with equal scores go by news_id, in a task as in the result.
     """
     import numpy as np
     import pandas as pd
@@ -53,9 +54,10 @@ def nearest_of_many(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
                 continue
             x = np.array(pdf["embedding"].tolist(), float)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = q @ x.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, : 2 * k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "news_id": pdf["news_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
+            s, name = q @ x.T, pdf["news_id"].to_numpy()
+            by_name = np.argsort(name.astype(str), kind="stable")
+            top = by_name[np.argsort(-np.round(s[:, by_name], 9), axis=1, kind="stable")[:, :k]]
+            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "news_id": name[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
 
     kind = dict(queries.dtypes)["query_id"]
     found = corpus.select("news_id", V.doubles(F.col("embedding")).alias("embedding")).mapInPandas(best, f"query_id {kind}, news_id string, score double")

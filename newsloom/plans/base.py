@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import attach as A
 from newsloom.operators import features as W
 from newsloom.operators import pairs as P
-from newsloom.operators.components import materialise
+from newsloom.operators.components import labelled, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,16 +45,24 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return A.baseline(news(spark, sf), CALIBRATED["strong"], CALIBRATED["days"])
 
 
-def selected(spark: SparkSession, sf: str, base: DataFrame) -> DataFrame:
+def near(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs with evidence, from which both edges and attachments are taken; the band is joined once."""
+    c = CALIBRATED
+    pairs = P.candidate_pairs(news(spark, sf), min(c["attach"], c["strong"]), c["days"])
+    return materialise(pairs.drop("text_jaccard"))
+
+
+def selected(pairs: DataFrame, base: DataFrame) -> DataFrame:
     c = CALIBRATED
-    pairs = P.candidate_pairs(news(spark, sf), c["attach"], c["days"])
     return A.selection(pairs, base, c["attach"], c["attach_days"], 2, c["title_jaccard"], c["shared_numbers"], c["margin"])
 
 
 def final(spark: SparkSession, sf: str) -> DataFrame:
     """(row_pos, news_id, cluster, ...) after the second pass."""
-    base = materialise(clusters(spark, sf))
-    return A.attached(base, selected(spark, sf, base))
+    pairs = near(spark, sf)
+    strong = pairs.where(F.col("similarity") >= CALIBRATED["strong"]).select(F.col("left_row_pos").alias("a"), F.col("right_row_pos").alias("b"))
+    base = materialise(labelled(news(spark, sf).select("row_pos", "news_id"), strong, "row_pos"))
+    return A.attached(base, selected(pairs, base))
 
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,7 +14,7 @@ from newsloom.operators import prepare as R
 from newsloom.operators import search as S
 from newsloom.operators.components import materialise
 
-from .base import NUM, TOK, clusters, feature_rows, final, news, query, r6, stamp, table
+from .base import NUM, TOK, clusters, edges, feature_rows, final, news, query, r6, stamp, table
 
 TS = "strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
@@ -224,18 +224,28 @@ def j23_training_without_leakage(spark, sf):
     return x.select("row_pos", F.col("target").cast("long").alias("target"))
 
 
-@query("SELECT CASE WHEN same_ref AND same_pred THEN 'hit' WHEN same_ref THEN 'missed' WHEN same_pred THEN 'false merge' ELSE 'true negative' END AS outcome, count(*) AS n FROM (SELECT x.component = y.component AS same_ref, x.cluster = y.cluster AS same_pred FROM fin x JOIN fin y ON x.row_pos < y.row_pos WHERE x.row_pos < 200 AND y.row_pos < 200) GROUP BY 1", "fin")
+_OUTCOMES = """k AS (SELECT component, cluster, count(*)::BIGINT AS n FROM fin GROUP BY 1, 2),
+two AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM k)::BIGINT AS hit, (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n)::BIGINT AS n FROM k GROUP BY component))::BIGINT AS ref,
+  (SELECT sum(n * (n - 1) // 2) FROM (SELECT sum(n)::BIGINT AS n FROM k GROUP BY cluster))::BIGINT AS pred, (SELECT n * (n - 1) // 2 FROM (SELECT sum(n)::BIGINT AS n FROM k))::BIGINT AS total)"""
+
+
+@query("SELECT * FROM (SELECT 'hit' AS outcome, hit AS n FROM two UNION ALL SELECT 'missed', ref - hit FROM two UNION ALL SELECT 'false merge', pred - hit FROM two UNION ALL SELECT 'true negative', total - ref - pred + hit FROM two) WHERE n > 0", "fin", _OUTCOMES)
 def j26_pair_outcomes(spark, sf):
-    c = M.contingency(final(spark, sf).where("row_pos < 200"), "baseline_component", "cluster")
+    c = M.contingency(final(spark, sf), "baseline_component", "cluster")
     pairs = lambda d: d.agg(F.coalesce(F.sum(T.pair_count(F.col("n"))), F.lit(0)).alias("k"))
     one = pairs(c).withColumnRenamed("k", "hit").crossJoin(pairs(c.groupBy("r").agg(F.sum("n").alias("n"))).withColumnRenamed("k", "ref")).crossJoin(pairs(c.groupBy("p").agg(F.sum("n").alias("n"))).withColumnRenamed("k", "pred")).crossJoin(pairs(c.agg(F.sum("n").alias("n"))).withColumnRenamed("k", "total"))
     out = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("outcome"), v.alias("n")) for k, v in (("hit", F.col("hit")), ("missed", F.col("ref") - F.col("hit")), ("false merge", F.col("pred") - F.col("hit")), ("true negative", F.col("total") - F.col("ref") - F.col("pred") + F.col("hit")))])).alias("s"))
     return out.select("s.*").where("n > 0")
 
 
-@query("SELECT quality || ' -> ' || toxic AS transition, count(*) AS n FROM labels GROUP BY 1")
+@query("SELECT CASE WHEN sim >= 0.25 THEN 'duplicate' WHEN days > 3 THEN 'significant' ELSE 'minor' END || ' -> ' || CASE WHEN sim >= 0.3 THEN 'duplicate' WHEN days > 2 THEN 'significant' ELSE 'minor' END AS transition, count(*) AS n, round(avg((1 - sim) - (0.9 - sim / 2)), 6) AS mean_delta, count(*) FILTER (sim >= 0.25 AND sim < 0.3 AND sim < 0.28) AS fixed, count(*) FILTER (sim >= 0.25 AND sim < 0.3 AND sim >= 0.28) AS broken FROM edges GROUP BY 1", "edges")
 def j30_label_transitions(spark, sf):
-    return table(spark, sf, "labels").groupBy(F.concat_ws(" -> ", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("transition")).agg(F.count("*").alias("n"))
+    e = edges(spark, sf).withColumn("id", F.concat_ws("-", "a", "b"))
+    label = lambda similar, days: F.when(F.col("similarity") >= similar, "duplicate").when(F.col("days_diff") > days, "significant").otherwise("minor")
+    old = e.select("id", label(0.25, 3).alias("label"), (0.9 - F.col("similarity") / 2).alias("p"), F.when(F.col("similarity") >= 0.28, "duplicate").otherwise(label(0.3, 2)).alias("truth"))
+    new = e.select("id", label(0.3, 2).alias("label"), (1 - F.col("similarity")).alias("p"))
+    t = M.transitions(old, new, "id")
+    return t.groupBy("transition").agg(F.count("*").alias("n"), r6(F.avg("delta"), "mean_delta"), F.count_if("fixed").alias("fixed"), F.count_if("broken").alias("broken"))
 
 
 @query("SELECT doc_id::BIGINT AS doc_id, CASE WHEN quality = toxic THEN 'ok' WHEN quality = 1 THEN 'FN' ELSE 'FP' END AS error FROM labels")
@@ -338,9 +348,9 @@ def a24_date_quantile_cut(spark, sf):
     return E.after_quantile(news(spark, sf), 0.05).select("news_id")
 
 
-@query("SELECT strftime(d.day, '%Y-%m-%d') AS day, count(e.event_id) AS n FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS day FROM events) d LEFT JOIN (SELECT * FROM events WHERE event_id % 97 = 0) e ON date_trunc('day', e.ts) = d.day WHERE d.day BETWEEN (SELECT min(date_trunc('day', ts)) FROM events WHERE event_id % 97 = 0) AND (SELECT max(date_trunc('day', ts)) FROM events WHERE event_id % 97 = 0) GROUP BY 1")
+@query("SELECT strftime(d.day, '%Y-%m-%d') AS day, count(e.event_id) AS n FROM (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS day FROM events) d LEFT JOIN events e ON date_trunc('day', e.ts) = d.day GROUP BY 1")
 def a25_daily_counts(spark, sf):
-    return E.per_day(table(spark, sf, "events").where("event_id % 97 = 0"), "ts").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+    return E.per_day(table(spark, sf, "events"), "ts").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
 
 
 @query("SELECT topic, count(*) AS n, round(count(*) / (SELECT count(*) FROM news)::DOUBLE, 6) AS share FROM news GROUP BY 1", "news")
@@ -564,23 +574,22 @@ def u02_ordered_union(spark, sf):
     return x.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("o").cast("long").alias("first"))
 
 
-@query("SELECT count(*) FILTER (d AND l) AS both_, count(*) FILTER (d AND NOT l) AS only_documents, count(*) FILTER (l AND NOT d) AS only_labels FROM (SELECT d.doc_id IS NOT NULL AS d, l.doc_id IS NOT NULL AS l FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN labels l USING (doc_id))")
+@query("SELECT count(*) FILTER (d AND l) AS both_, count(*) FILTER (d AND NOT l) AS only_documents, count(*) FILTER (l AND NOT d) AS only_labels FROM (SELECT d.doc_id IS NOT NULL AS d, l.doc_id IS NOT NULL AS l FROM documents d FULL JOIN labels l USING (doc_id))")
 def u03_id_coverage(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 3 <> 0").select("doc_id", F.lit(True).alias("d"))
+    d = table(spark, sf, "documents").select("doc_id", F.lit(True).alias("d"))
     x = d.join(table(spark, sf, "labels").select("doc_id", F.lit(True).alias("l")), "doc_id", "full_outer").na.fill(False)
     return x.agg(F.count_if(F.col("d") & F.col("l")).alias("both_"), F.count_if(F.col("d") & ~F.col("l")).alias("only_documents"), F.count_if(F.col("l") & ~F.col("d")).alias("only_labels"))
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents WHERE doc_id < 100 INTERSECT SELECT doc_id FROM labels)) = 0 AS disjoint")
+@query("SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) = 0 AS disjoint")
 def u05_disjointness(spark, sf):
-    x = table(spark, sf, "documents").where("doc_id < 100").select("doc_id").intersect(table(spark, sf, "labels").select("doc_id"))
+    x = table(spark, sf, "documents").select("doc_id").intersect(table(spark, sf, "labels").select("doc_id"))
     return x.agg((F.count("*") == 0).alias("disjoint"))
 
 
-@query("SELECT DISTINCT c::BIGINT AS cluster FROM (SELECT component AS c FROM fin WHERE row_pos < 50 UNION ALL SELECT cluster FROM fin WHERE row_pos < 50)", "fin")
+@query("SELECT DISTINCT c::BIGINT AS cluster FROM (SELECT component AS c FROM fin UNION ALL SELECT cluster FROM fin)", "fin")
 def u07_affected_clusters(spark, sf):
-    x = final(spark, sf).where("row_pos < 50")
-    return x.select(F.explode(F.array("baseline_component", "cluster")).alias("cluster")).distinct()
+    return final(spark, sf).select(F.explode(F.array("baseline_component", "cluster")).alias("cluster")).distinct()
 
 
 # --- keyed writes ------------------------------------------------------------------------------
