@@ -131,6 +131,25 @@ def json_with(x: Column, key: str, value: Column) -> Column:
     return F.to_json(F.map_concat(rest, F.create_map(F.lit(key), value.cast("string"))))
 
 
+def json_unquoted(x: Column) -> Column:
+    """JSON that was stored as a JSON string, as what that string holds; any other JSON as it is."""
+    return F.when(F.trim(x).startswith('"'), F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0))).otherwise(x)
+
+
+def significance_comment(p: Column, similarity: Column) -> Column:
+    return F.format_string("p_significant=%.4f; max_prev_similarity=%.4f", p, similarity)
+
+
+def length_of(x: Column, known: Column) -> Column:
+    """A length computed before where there is one, else the text's."""
+    return F.coalesce(known.cast("int"), F.length(safe_text(x))).cast("long")
+
+
+def filled(x: Column) -> Column:
+    """A feature without NaN, infinities or nulls, which become 0."""
+    return F.coalesce(finite(x), F.lit(0.0))
+
+
 def shown_date(ts: Column) -> Column:
     """A date; with its time unless that is midnight."""
     return F.when(F.date_trunc("day", ts) == ts, F.date_format(ts, "dd.MM.yyyy")).otherwise(F.date_format(ts, "dd.MM.yyyy HH:mm"))

@@ -136,3 +136,15 @@ def cumulative(rows: DataFrame, sums: dict[str, str], *order: Column) -> DataFra
     here = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = place.join(F.broadcast(before), "_part")  # one row for each partition
     return out.select(*rows.columns, *[(F.sum(c).over(here) + F.col(f"_{n}")).alias(n) for n, c in sums.items()])
+
+
+def ordered_hash(rows: DataFrame, value: str, *order: Column, block: int = 1000) -> DataFrame:
+    """One row: a hash (sha256) of the strings of a column in order, taken block by block and then over the blocks."""
+    level = ranked(rows.select(value, *[o.alias(f"_o{i}") for i, o in enumerate(order)]), *[F.col(f"_o{i}") for i in range(len(order))]).select(F.col("rank").alias("n"), F.col(value).alias("h"))
+    size = rows.count()
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda s: s["h"]), "")
+        level = level.groupBy(F.floor(F.col("n") / block).alias("n")).agg(F.sha2(joined, 256).alias("h"))
+        size = -(-size // block)
+        if size <= 1:
+            return level.select(F.col("h").alias("hash"))

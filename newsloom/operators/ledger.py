@@ -67,3 +67,28 @@ def unseen(rows: DataFrame, known: DataFrame, keys: list[str], order: str) -> Da
         first = F.row_number().over(Window.partitionBy(k).orderBy(order))
         out = out.withColumn("_n", first).where((F.col("_n") == 1) | F.col(k).isNull()).drop("_n")
     return out
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows without those of the ids."""
+    return rows.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def emptied(rows: DataFrame) -> DataFrame:
+    return rows.limit(0)
+
+
+def audited(log: DataFrame, actor: str, action: str, targets: DataFrame, at: Column) -> DataFrame:
+    """The audit log with an entry for each target (target_type, target_id, details)."""
+    new = targets.select(F.lit(actor).alias("actor_id"), F.lit(action).alias("action"), "target_type", "target_id", "details", at.alias("created_at"))
+    return log.unionByName(new)
+
+
+def by_key(rows: DataFrame, column: str, value) -> DataFrame:
+    """At most one row: that of a key, which the scan filters by."""
+    return rows.where(F.col(column) == value).limit(1)
+
+
+def inserted(new: DataFrame, articles: DataFrame) -> DataFrame:
+    """Rows of an import with ``possible_duplicate_of`` and the flag ``is_duplicate``."""
+    return existing(new, articles).withColumn("is_duplicate", F.col("possible_duplicate_of").isNotNull())

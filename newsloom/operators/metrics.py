@@ -111,3 +111,32 @@ def transitions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     x = old.select(key, F.col("label").alias("_a"), F.col("p").alias("_p"), "truth").join(new.select(key, F.col("label").alias("_b"), F.col("p").alias("_q")), key)
     was, now = F.col("_a") == F.col("truth"), F.col("_b") == F.col("truth")
     return x.select(key, F.concat_ws(" -> ", "_a", "_b").alias("transition"), (F.col("_q") - F.col("_p")).alias("delta"), (~was & now).alias("fixed"), (was & ~now).alias("broken"))
+
+
+def recall_at(ranked: DataFrame, cuts: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """One row: the share of queries (query_id, rank, relevant) with a relevant row within each cut, and MRR within the last."""
+    first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first"))
+    within = lambda k: F.coalesce(F.col("first") <= k, F.lit(False))
+    return first.agg(F.count("*").alias("queries"), *[F.avg(within(k).cast("double")).alias(f"recall_at_{k}") for k in cuts], F.avg(F.when(within(cuts[-1]), 1.0 / F.col("first")).otherwise(0.0)).alias(f"mrr_at_{cuts[-1]}"))
+
+
+def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Two annotation sources (key, label) on their common ids: rows, share of equal labels, Cohen's kappa, macro F1."""
+    x = left.select(key, F.col("label").alias("truth")).join(right.select(key, F.col("label").alias("guess")), key)
+    return multiclass(x.groupBy("truth", "guess").agg(F.count("*").alias("n"))).select("total", F.col("accuracy").alias("agreement"), "cohen_kappa", "macro_f1")
+
+
+def grid_search(pairs: DataFrame, rows: DataFrame, reference: str, grid: list[tuple[float, float]]) -> DataFrame:
+    """Clusterings of rows (row_pos, reference) for each (days, threshold) over pairs (a, b, similarity, days_diff), compared with the reference.
+
+    Sorted by false-merge rate, then by F1 from the best. The pairs are read once; the grid is a short list.
+    """
+    from functools import reduce
+
+    from .components import labelled
+
+    parts = []
+    for days, threshold in grid:
+        found = labelled(rows, pairs.where((F.col("days_diff") <= days) & (F.col("similarity") >= threshold)), "row_pos")
+        parts.append(pairwise(found, reference, "component").select(F.lit(float(days)).alias("days"), F.lit(float(threshold)).alias("threshold"), "precision", "recall", "f1", F.col("false_merge_rate")))
+    return reduce(DataFrame.unionByName, parts).orderBy("false_merge_rate", F.col("f1").desc(), "days", "threshold")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions import text as T
+
 PRIORITY = {"significant": 3, "minor": 2, "duplicate": 1}
 
 
@@ -28,7 +30,7 @@ def labelled(f: DataFrame, p: Column, significant: float = 0.42, duplicate: floa
     seed = F.col("position_in_cluster") == 0
     p = F.when(seed, F.lit(1.0)).otherwise(p)
     label = F.when(seed | (p >= significant), "significant").when(F.col("max_prev_similarity") >= duplicate, "duplicate").otherwise("minor")
-    comment = F.when(seed, "cluster seed; significant by definition").otherwise(F.format_string("p_significant=%.4f; max_prev_similarity=%.4f", p, F.col("max_prev_similarity")))
+    comment = F.when(seed, "cluster seed; significant by definition").otherwise(T.significance_comment(p, F.col("max_prev_similarity")))
     return f.select("row_pos", "cluster", "max_prev_similarity", p.alias("p_significant"), label.alias("novelty_label"), (~seed & (F.abs(p - significant) <= review)).alias("needs_review"), comment.alias("comment"))
 
 

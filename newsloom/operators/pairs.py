@@ -37,6 +37,37 @@ def in_band(news: DataFrame, days: float, columns: list[str], by: list[str] | No
     return out.withColumn("days_diff", (F.col("_r") - F.col("_l")) / F.lit(float(DAY))).drop("_bucket", "_l", "_r")
 
 
+def against(new: DataFrame, history: DataFrame, days: float, columns: list[str]) -> DataFrame:
+    """All (new, old) rows of equal topic at most ``days`` apart, on either side; a history row goes to the three buckets that its window reaches."""
+    width = int(days * DAY)
+    micros = F.unix_micros("published_at")
+    bucket = F.floor(micros / F.lit(width)).cast("long")
+    keep = [*dict.fromkeys(["news_id", "published_at", *columns])]
+    x = new.select("topic", *[F.col(c).alias(f"new_{c}") for c in keep], micros.alias("_n"), bucket.alias("_bucket"))
+    y = history.select("topic", *[F.col(c).alias(f"old_{c}") for c in keep], micros.alias("_o"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
+    out = x.join(y, ["topic", "_bucket"]).where(F.abs(F.col("_n") - F.col("_o")) <= width)
+    return out.withColumn("days_diff", F.abs(F.col("_n") - F.col("_o")) / F.lit(float(DAY))).drop("_bucket", "_n", "_o")
+
+
+def cluster_candidates(new: DataFrame, history: DataFrame, strong: float = 0.82, attach: float = 0.75, days: float = 14, attach_days: float = 7, title_jaccard: float = 0.15, shared_numbers: int = 1) -> DataFrame:
+    """For each new row the stored clusters (cluster_id, component_id) that it may join: by a strong row, or by evidence within the shorter window.
+
+    One row for each (news_id, cluster_id): whether a row is strong, the best similarity, the
+    least days, the parent (most similar, then by title, numbers and days) and the
+    components of its strong rows.
+    """
+    sets = ["unit", "title_tokens", "numbers"]
+    none = {c: F.lit(None).cast("string") for c in ("cluster_id", "component_id")}
+    x = against(vectorised(new).withColumns(none), vectorised(history), days, [*sets, *none])
+    x = x.withColumn("similarity", V.dot(F.col("new_unit"), F.col("old_unit"))).where(F.col("similarity") >= min(strong, attach))
+    x = x.withColumn("title", T.jaccard(F.col("new_title_tokens"), F.col("old_title_tokens"))).withColumn("shared", F.size(F.array_intersect("new_numbers", "old_numbers"))).withColumn("is_strong", F.col("similarity") >= strong)
+    evidence = (F.col("similarity") >= attach) & (F.col("days_diff") <= attach_days) & ((F.col("title") >= title_jaccard) | (F.col("shared") >= shared_numbers))
+    best = F.struct(-F.col("similarity"), -F.col("title"), -F.col("shared"), "days_diff", "old_news_id")
+    return x.where(F.col("is_strong") | evidence).groupBy(F.col("new_news_id").alias("news_id"), F.col("old_cluster_id").alias("cluster_id")).agg(
+        F.bool_or("is_strong").alias("strong"), F.max("similarity").alias("similarity"), F.min("days_diff").alias("days"), F.min_by("old_news_id", best).alias("parent"), F.array_sort(F.collect_set(F.when(F.col("is_strong"), F.col("old_component_id")))).alias("components")
+    )
+
+
 def edges(news: DataFrame, threshold: float = 0.82, days: float = 14, by: list[str] | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(a, b, similarity, days_diff): pairs of row_pos at least as similar as threshold.
 

@@ -30,6 +30,13 @@ def prepared(df: DataFrame) -> DataFrame:
     return out.withColumn("model_text", F.coalesce(F.col("model_text"), built) if "model_text" in df.columns else built)
 
 
+def light(df: DataFrame) -> DataFrame:
+    """The light contract: ids trimmed, unreadable dates null, null texts empty, title and text joined by one line break and trimmed."""
+    require(df)
+    out = df.withColumns({"news_id": T.news_id(F.col("news_id")), "published_at": F.try_to_timestamp(F.col("published_at").cast("string")), "title": T.safe_text(F.col("title")), "text": T.safe_text(F.col("text"))})
+    return out.withColumn("model_text", F.regexp_replace(F.concat("title", F.lit("\n"), "text"), r"^\s+|\s+$", ""))
+
+
 def clean_like(df: DataFrame) -> DataFrame:
     """The lenient contract: rows without a date go, ids are made where absent, lengths and word counts added."""
     ts = F.try_to_timestamp(F.col("published_at").cast("string"))

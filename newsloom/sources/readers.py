@@ -42,8 +42,8 @@ def decoded(content: bytes) -> str:
     raise BadImport("the file is neither UTF-8 nor cp1251")
 
 
-def members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    """The CSV files of a file: itself, or the .csv members of a ZIP."""
+def members(name: str, content: bytes, preferred: str | None = None) -> Iterator[tuple[str, bytes]]:
+    """The CSV files of a file: itself, or the .csv members of a ZIP; only the preferred member if the ZIP has it."""
     if not name.lower().endswith(".zip"):
         yield name, content
         return
@@ -51,10 +51,23 @@ def members(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
         found = [m for m in z.namelist() if m.lower().endswith(".csv")]
         if not found:
             raise BadImport("the archive holds no CSV file")
-        for m in found:
+        for m in [m for m in found if m.split("/")[-1] == preferred] or found:
             yield m, z.read(m)
 
 
+def labels(spark: SparkSession, path: str, preferred: str = "labels.csv") -> DataFrame:
+    """(file, news_id, label) of CSV files or ZIPs of them below path; of a ZIP its preferred member."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                for member, data in members(name, content, preferred):
+                    rows = [(member, r.get("news_id"), r.get("label")) for r in csv.DictReader(io.StringIO(decoded(data)))]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["file", "news_id", "label"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "file string, news_id string, label string")
+
+
 COLUMNS = ["title", "text", "content", "published_at", "date", "url", "topic", "language", "external_id", "news_id", "tags"]
 
 

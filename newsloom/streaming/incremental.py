@@ -15,9 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.components import materialise
+
 DAY = 86_400_000_000
 _TOKEN, _NUMBER = re.compile("[A-Za-zА-Яа-яЁё0-9]+"), re.compile("[0-9]+(?:[.,][0-9]+)?")
 
@@ -218,25 +220,58 @@ def applied(history: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame
     return kept.select(*STATE).unionByName(moved.select(*STATE))
 
 
+def recomputed(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """(news_id, cluster, the 18 features) of the rows that changes affect: new ones, later rows of their clusters, rows of merged ones.
+
+    state is the one after changes. Only clusters with an affected row are read again.
+    """
+    from newsloom.operators import features as W
+    from newsloom.operators.components import ranked
+
+    hit = materialise(changes.select("news_id").union(changes.select(F.explode("affected"))).distinct())
+    touched = state.join(hit, "news_id", "left_semi").select("cluster_id").distinct()
+    rows = state.join(touched, "cluster_id", "left_semi")
+    number = F.expr("coalesce(try_cast(news_id AS double), double('infinity'))")
+    rows = materialise(ranked(rows, F.col("published_at"), number, F.col("news_id"), name="row_pos"))
+    f = W.previous_only(rows, rows.select("row_pos", F.col("cluster_id").alias("cluster")))
+    return rows.select("row_pos", "news_id").join(hit, "news_id", "left_semi").join(f, "row_pos").drop("row_pos", "best_previous")
+
+
+def segmented(news: DataFrame, days: float) -> DataFrame:
+    """(topic, segment, news_id, row_pos, micros, embedding): a segment ends where a topic is silent for more than ``days``.
+
+    Rows of different segments can't meet within the window, so each is a task of its own;
+    only times are sorted over a whole topic.
+    """
+    x = news.select("topic", "news_id", "row_pos", F.unix_micros("published_at").alias("micros"), F.col("embedding").cast("array<double>").alias("embedding"))
+    times = x.groupBy("topic", "micros").agg(F.lit(1).alias("_one")).drop("_one")
+    order = Window.partitionBy("topic").orderBy("micros")
+    gap = (F.col("micros") - F.lag("micros").over(order) > int(days * DAY)).cast("int")
+    marked = times.withColumn("segment", F.sum(F.coalesce(gap, F.lit(0))).over(order))
+    return x.join(marked, ["topic", "micros"])
+
+
 def lifecycle(news: DataFrame, threshold: float = 0.75, days: float = 14, centroid_share: float = 0.6) -> DataFrame:
-    """(news_id, cluster): online clusters that close after ``days`` without a row; similarity mixes centroid and closest member."""
+    """(news_id, cluster): online clusters that close after ``days`` without a row; similarity mixes centroid and closest member.
+
+    A cluster is named by its topic and first row.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         open_: list[dict] = []
-        out, made = [], 0
+        out = []
         for r in rows.sort_values(["micros", "row_pos"]).itertuples(index=False):
             v = np.asarray(r.embedding, float)
             v = v / max(float(np.linalg.norm(v)), 1e-12)
+            open_ = [c for c in open_ if r.micros - c["last"] <= days * DAY]
             best = None
             for c in open_:
-                if r.micros - c["last"] <= days * DAY:
-                    mean = c["sum"] / max(float(np.linalg.norm(c["sum"])), 1e-12)
-                    s = centroid_share * float(mean @ v) + (1 - centroid_share) * float(max(x @ v for x in c["members"]))
-                    if s >= threshold and (best is None or s > best[0]):
-                        best = (s, c)
+                mean = c["sum"] / max(float(np.linalg.norm(c["sum"])), 1e-12)
+                s = centroid_share * float(mean @ v) + (1 - centroid_share) * float(max(x @ v for x in c["members"]))
+                if s >= threshold and (best is None or s > best[0]):
+                    best = (s, c)
             if best is None:
-                c = {"id": f"{key[0]}_{made:05d}", "sum": np.zeros_like(v), "members": [], "last": r.micros}
-                made += 1
+                c = {"id": f"{key[0]}_{r.news_id}", "sum": np.zeros_like(v), "members": [], "last": r.micros}
                 open_.append(c)
             else:
                 c = best[1]
@@ -245,31 +280,29 @@ def lifecycle(news: DataFrame, threshold: float = 0.75, days: float = 14, centro
             out.append((str(r.news_id), c["id"]))
         return pd.DataFrame(out, columns=["news_id", "cluster"])
 
-    x = news.select("topic", "news_id", "row_pos", F.unix_micros("published_at").alias("micros"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return x.groupBy("topic").applyInPandas(run, "news_id string, cluster string")
+    return segmented(news, days).groupBy("topic", "segment").applyInPandas(run, "news_id string, cluster string")
 
 
 def nearest_topic(news: DataFrame, threshold: float = 0.75, days: float = 5) -> DataFrame:
-    """(news_id, cluster): each row joins its most similar earlier row's group if similar and recent enough, else opens one."""
+    """(news_id, cluster): each row joins its most similar earlier row's group if similar and recent enough, else opens one.
+
+    A group is named by its topic and first row.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         seen: list[tuple[int, np.ndarray, str]] = []
-        out, made = [], 0
+        out = []
         for r in rows.sort_values(["micros", "row_pos"]).itertuples(index=False):
             v = np.asarray(r.embedding, float)
             v = v / max(float(np.linalg.norm(v)), 1e-12)
             seen = [x for x in seen if r.micros - x[0] <= days * DAY]
             best = max(((float(x[1] @ v), -i) for i, x in enumerate(seen)), default=(-2.0, 0))
-            if best[0] >= threshold:
-                name = seen[-best[1]][2]
-            else:
-                name, made = f"{key[0]}_{made:05d}", made + 1
+            name = seen[-best[1]][2] if best[0] >= threshold else f"{key[0]}_{r.news_id}"
             seen.append((r.micros, v, name))
             out.append((str(r.news_id), name))
         return pd.DataFrame(out, columns=["news_id", "cluster"])
 
-    x = news.select("topic", "news_id", "row_pos", F.unix_micros("published_at").alias("micros"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return x.groupBy("topic").applyInPandas(run, "news_id string, cluster string")
+    return segmented(news, days).groupBy("topic", "segment").applyInPandas(run, "news_id string, cluster string")
 
 
 def checkpoints(first, last, bootstrap_days: int = 14, step_days: int = 7) -> Iterator[tuple]:
