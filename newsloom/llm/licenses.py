@@ -97,20 +97,21 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "
     # MinHashes of windows of one shingle, which those of longer windows are among.
     words = F.split("gram", " ")
     low = F.xxhash64(*[words[i] for i in range(SHINGLE)])
-    bands = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), low.alias("g")).select("band", F.xxhash64("g", "band").alias("low")).distinct()
+    bands = wanted.select(low.alias("g")).select(F.explode(F.array(*[F.xxhash64("g", F.lit(b)) for b in range(BANDS)])).alias("low")).distinct()
 
+    # In each row the shingle hashes of all windows; the bands are taken outside of it, where Spark compiles them.
     shingle = f"xxhash64({', '.join(f'k[i + {j}]' for j in range(SHINGLE))})"
-    least = ", ".join(f"xxhash64(g[least({WINDOW} * j + {i}, size(g) - 1)], b)" for i in range(WINDOW))
-    window = f"named_struct('at', {WINDOW} * j, 'own', slice(k, {WINDOW} * j + 1, {WINDOW + SHINGLE - 1}), 'lows', transform(sequence(0, {BANDS - 1}), b -> least({least})))"
+    hashes = ", ".join(f"'g{i}', g[least({WINDOW} * j + {i}, size(g) - 1)]" for i in range(WINDOW))
+    window = f"named_struct('at', {WINDOW} * j, 'own', array_join(slice(k, {WINDOW} * j + 1, {WINDOW + SHINGLE - 1}), ' '), {hashes})"
     body = let(f"transform(sequence(0, size(k) - {SHINGLE}), i -> {shingle})", "g", f"transform(sequence(0, (size(g) - 1) div {WINDOW}), j -> {window})")
-    none = "cast(array() AS array<struct<at: int, own: array<string>, lows: array<bigint>>>)"
+    none = f"cast(array() AS array<struct<at: int, own: string, {', '.join(f'g{i}: bigint' for i in range(WINDOW))}>>)"
     windows = let(f"regexp_extract_all(lower(coalesce(`{text}`, '')), '[a-z0-9]+', 0)", "k", f"if(size(k) >= {SHINGLE}, {body}, {none})")
 
-    win = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.explode(F.expr(windows)).alias("w"))
-    win = win.select("doc_id", "mark", "w.at", "w.own", F.posexplode("w.lows").alias("band", "low"))
-    met = win.join(F.broadcast(bands), ["band", "low"], "left_semi")
-    own = F.expr(f"transform(sequence(0, size(own) - {SHINGLE}), i -> named_struct('gram', array_join(slice(own, i + 1, {SHINGLE}), ' '), 'at', cast(at + i AS bigint)))")
-    shown = met.select("doc_id", "mark", F.explode(own).alias("s")).select("doc_id", "mark", "s.gram", "s.at")
+    win = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.explode(F.expr(windows)).alias("w")).select("doc_id", "mark", "w.*")
+    lows = F.array(*[F.least(*[F.xxhash64(f"g{i}", F.lit(b)) for i in range(WINDOW)]) for b in range(BANDS)])  # the seed is part of the hash, so bands don't mix
+    met = win.select("doc_id", "mark", "at", "own", F.explode(lows).alias("low")).join(F.broadcast(bands), "low", "left_semi")
+    own = F.expr(f"transform(sequence(0, size(k) - {SHINGLE}), i -> named_struct('gram', array_join(slice(k, i + 1, {SHINGLE}), ' '), 'at', cast(at + i AS bigint)))")
+    shown = met.withColumn("k", F.split("own", " ")).select("doc_id", "mark", F.explode(own).alias("s")).select("doc_id", "mark", "s.gram", "s.at")
     held = shown.join(F.broadcast(wanted), "gram").groupBy("doc_id", "mark", "license", "gram").agg(F.min("at").alias("at"))
     found = held.groupBy("doc_id", "mark", "license").agg(F.count("*").alias("n_shingles"), F.min("at").alias("first_token"))
     share = F.col("n_shingles").cast("double") / F.col("total").cast("double")
