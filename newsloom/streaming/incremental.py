@@ -1,4 +1,7 @@
-"""Incremental story assignment: sequential within a topic, parallel across topics.
+"""Incremental story assignment: sequential within a segment of a topic, parallel across segments.
+
+A segment ends where a topic is silent for longer than the window and no stored story
+spans the silence; rows on either side can't meet.
 
 Each new row, in (published_at, numeric id, id) order, sees the rows before it and the
 stored history of its topic within the window on either side. Clusters with a strong
@@ -179,8 +182,8 @@ def _number(news_id: str) -> float:
 def assigned(history: DataFrame, new: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """Assignments of new rows and changes of stored ones (update_method cluster_merge).
 
-    history holds STATE, new the first six columns. One task handles a topic, as a row's
-    place depends on all rows of its topic before it; topics run in parallel.
+    history holds STATE, new the first six columns. One task handles a segment, as a row's
+    place depends on all rows of its segment before it; segments run in parallel.
     """
 
     def run(key: tuple, stored: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +204,19 @@ def assigned(history: DataFrame, new: DataFrame, config: Config = Config()) -> D
     vector = F.col("embedding").cast("array<double>").alias("embedding")
     h = history.select("news_id", "topic", micros, "title", "text", vector, *STATE[6:])
     n = new.select("news_id", "topic", micros, "title", "text", vector)
-    return h.groupBy("topic").cogroup(n.groupBy("topic")).applyInPandas(run, OUT)
+    # Stories and new rows as intervals of time; those that overlap, or nearly so, are one segment.
+    spans = h.groupBy("topic", "cluster_id").agg(F.min("micros").alias("a"), F.max("micros").alias("b")).unionByName(n.select("topic", F.lit(None).cast("string").alias("cluster_id"), F.col("micros").alias("a"), F.col("micros").alias("b")).distinct())
+    order = Window.partitionBy("topic").orderBy("a", "b", "cluster_id")
+    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("segment", F.sum(F.coalesce((F.col("a") - reached > int(config.days * DAY)).cast("int"), F.lit(0))).over(order))
+    spans = materialise(spans)
+    same = lambda x, y: x.eqNullSafe(y)
+    of_story = spans.where("cluster_id IS NOT NULL").select(F.col("topic").alias("_t"), F.col("cluster_id").alias("_c"), (F.col("segment") + 0).alias("segment"))
+    of_row = spans.where("cluster_id IS NULL").select(F.col("topic").alias("_t"), F.col("a").alias("_a"), (F.col("segment") + 0).alias("segment"))
+    h = h.join(of_story, same(F.col("topic"), F.col("_t")) & (F.col("cluster_id") == F.col("_c"))).drop("_t", "_c")
+    n = n.join(of_row, same(F.col("topic"), F.col("_t")) & (F.col("micros") == F.col("_a"))).drop("_t", "_a")
+    h, n = (x.toDF(*x.columns) for x in (h, n))  # the two may come from one table
+    return h.groupBy("topic", "segment").cogroup(n.groupBy("topic", "segment")).applyInPandas(run, OUT)
 
 
 def checked(history: DataFrame, new: DataFrame) -> None:

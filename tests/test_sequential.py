@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,33 @@ def test_segments_split_a_topic_at_silences(spark):
     assert [r.segment for r in I.segmented(df, 14).orderBy("row_pos").collect()] == [0, 0, 1, 1, 2]
 
 
+def test_increment_by_segments_equals_one_by_topic(spark):
+    """Segments only split what can't meet: the same assignments as with a whole topic in one task."""
+    from newsloom.streaming import incremental as I
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        rows.append((str(i), "ab"[i % 2], float(rng.choice([0, 40, 90]) + rng.random() * 20), f"t{i % 7}", f"x {i % 5} 1{i % 3}", rng.random(4).tolist()))
+    df = spark.createDataFrame(rows, "news_id string, topic string, day double, title string, text string, embedding array<double>").withColumn("published_at", F.timestamp_micros((F.col("day") * DAY).cast("long"))).drop("day")
+    old, new = df.where("CAST(news_id AS INT) % 3 > 0"), df.where("CAST(news_id AS INT) % 3 = 0")
+    names = {c: F.concat(F.lit("c"), (F.col("news_id").cast("int") % 4).cast("string"), "topic", F.floor(F.unix_micros("published_at") / (35 * DAY)).cast("string")) for c in ("cluster_id", "component_id")}
+    rest = {"assignment_method": F.lit("baseline"), "assignment_parent_news_id": F.lit(None).cast("string"), "assignment_similarity": F.lit(None).cast("double"), "attached_to_component_id": F.lit(None).cast("string")}
+    old = old.withColumns(names | rest).select(*I.STATE)
+    conf = I.Config(0.97, 0.9, 14, 7, 0.1, 1, 0.01)
+    past, want = old.collect(), []
+    for topic in "ab":
+        stored = [r for r in past if r.topic == topic]
+        frame = lambda rs, cols: pd.DataFrame([[getattr(r, c) if c != "micros" else int(r.published_at.timestamp() * 1e6) for c in cols] for r in rs], columns=cols)
+        cols = ["news_id", "topic", "micros", "title", "text", "embedding"]
+        state = I.Topic(conf, [I._item(r, True) for r in frame(stored, cols + I.STATE[6:]).itertuples(index=False)])
+        fresh = sorted(frame([r for r in new.collect() if r.topic == topic], cols).itertuples(index=False), key=lambda r: (r.micros, float(r.news_id)))
+        done = [state.add(I._item(r, False)) for r in fresh]
+        want += [(topic, d["item"].news_id, d["item"].cluster, d["update_method"]) for d in done]
+    got = sorted((r.topic, r.news_id, r.cluster_id, r.update_method) for r in I.assigned(old, new.select(*I.STATE[:6]), conf).collect() if r.update_method != "cluster_merge")
+    assert got == sorted(want) and len({x[3] for x in want}) > 1
+
+
 def test_seeded_sample(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.xxhash64(F.lit(42), "doc_id").alias("h")).collect()
     want = sorted(r.doc_id for r in sorted(d, key=lambda r: (r.h, r.doc_id))[:100])
