@@ -204,7 +204,7 @@ def k02_vector_cache(spark, sf):
     return spark.read.parquet(path).select("row_pos", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("SELECT row_pos::BIGINT AS row_pos, CASE WHEN row_pos % 4 = 1 THEN 'pending' ELSE 'processed' END AS status, round(CASE WHEN row_pos % 4 = 1 THEN 0.1 ELSE 0.5 END, 6) AS novelty_score, CASE WHEN row_pos % 4 = 1 THEN 'late' END AS error FROM news", "news")
+@query("SELECT row_pos::BIGINT AS row_pos, CASE WHEN row_pos % 4 = 1 THEN 'pending' ELSE 'processed' END AS status, round(CASE WHEN row_pos % 4 = 1 THEN 0.1 ELSE 0.5 END::DOUBLE, 6) AS novelty_score, CASE WHEN row_pos % 4 = 1 THEN 'late' END AS error FROM news", "news")
 def k05_article_status(spark, sf):
     a = news(spark, sf).select("news_id", "row_pos", F.lit("pending").alias("status"), F.lit(0.1).alias("novelty_score"), F.lit('{"pipeline_error":"late","k":"v"}').alias("metadata"))
     done = a.where("row_pos % 4 <> 1").select("news_id", F.lit(0.5).alias("p_significant"))
@@ -615,7 +615,7 @@ def f24_clean_lines(spark, sf):
     return docs(spark, sf).select("doc_id", F.length(T.clean_lines(F.col("text"))).cast("long").alias("n"))
 
 
-@query("SELECT row_pos::BIGINT AS row_pos, CASE WHEN row_pos % 4 = 0 THEN 0.0 ELSE 1.0 END AS legacy_length, CASE WHEN row_pos % 4 = 0 THEN 0.0 ELSE 1.0 END AS summary_length FROM news", "news")
+@query("SELECT row_pos::BIGINT AS row_pos, CASE WHEN row_pos % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS legacy_length, CASE WHEN row_pos % 4 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS summary_length FROM news", "news")
 def v02_zero_norms(spark, sf):
     v = F.when(F.col("row_pos") % 4 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
     u = V.unit(v)
@@ -687,7 +687,7 @@ def _two_sources(spark, sf):
     return X.weighted_union(f.where("row_pos % 4 = 0").select("*", truth), f.where("row_pos % 4 < 3").select("*", truth))
 
 
-@query("SELECT CASE WHEN row_pos % 4 = 0 THEN 1.0 ELSE 0.35 END AS weight, count(*) AS n FROM news WHERE row_pos % 4 < 3 GROUP BY 1", "news")
+@query("SELECT CASE WHEN row_pos % 4 = 0 THEN 1.0 ELSE 0.35 END::DOUBLE AS weight, count(*) AS n FROM news WHERE row_pos % 4 < 3 GROUP BY 1", "news")
 def x11_weighted_union(spark, sf):
     return _two_sources(spark, sf).groupBy(F.col("weight")).agg(F.count("*").alias("n"))
 
