@@ -1,13 +1,19 @@
 """Previous-only features of each row within its cluster, in (published_at, row_pos) order.
 
-Vectors cannot be folded in a window frame, so similarities to earlier rows come from a
-self-join in the cluster; the running centroid needs no vectors at all: with
-r = sum of similarities to the earlier rows and S = sum over earlier rows of (1 + 2 r),
-the similarity to their centroid is r / sqrt(S).
+Vectors cannot be folded in a window frame, so a cluster is cut into blocks of BLOCK rows
+by position, and each pair of blocks is one piece of work: similarities are one matrix
+product, common tokens another. What leaves it is one row of partial results for each row
+of the later block, never a row for each pair. The running centroid needs no vectors at
+all: with r = sum of similarities to the earlier rows and S = sum over earlier rows of
+(1 + 2 r), the similarity to their centroid is r / sqrt(S).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +30,79 @@ def _top_mean(sims: str, k: int):
     return F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top)
 
 
+BLOCK = 256
+_PARTS = "row_pos long, top double, least double, total double, n long, tops array<double>, last double, last_pos int, best_pos int, best_row long, tj double, xj double"
+
+
+def _jaccards(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of sets of token hashes, a row for each of right; 0 where both are empty."""
+    sets = left + right
+    sizes = np.array([len(x) for x in sets], np.int64)
+    common = np.zeros((len(right), len(left)))
+    if sizes.sum():
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        number = np.cumsum(times > 1) - 1  # of the tokens that can be common
+        shared = times[token] > 1
+        owner, token = owner[shared], number[token[shared]]
+        for at in range(0, int((times > 1).sum()), 4096):
+            here = (token >= at) & (token < at + 4096)
+            x = np.zeros((len(sets), 4096), np.float32)
+            x[owner[here], token[here] - at] = 1
+            common += x[len(left) :] @ x[: len(left)].T
+    either = sizes[len(left) :, None] + sizes[None, : len(left)] - common
+    return np.where(either > 0, common / np.maximum(either, 1), 0.0)
+
+
+def _compared(t: pd.DataFrame) -> pd.DataFrame:
+    """Partial results of the rows of the later of two blocks (or of one with itself), sorted by position."""
+    right, left = t[t["blk"] == t["j"].iloc[0]], t[t["blk"] == t["i"].iloc[0]]
+    s = np.stack(right["unit"].to_numpy()) @ np.stack(left["unit"].to_numpy()).T
+    earlier = left["pos"].to_numpy()[None, :] < right["pos"].to_numpy()[:, None]
+    some = earlier.any(1)
+    right, s, earlier = right[some], s[some], earlier[some]
+    low, n = np.where(earlier, s, -np.inf), earlier.sum(1)
+    tops = -np.sort(-low, axis=1)[:, :3]
+    best = low.argmax(1)
+    near = lambda c: np.where(earlier, _jaccards(left[c].tolist(), right[c].tolist()), 0.0).max(1, initial=0.0)
+    pos, row = left["pos"].to_numpy(), left["row_pos"].to_numpy()
+    return pd.DataFrame({
+        "row_pos": right["row_pos"].to_numpy(), "top": low.max(1, initial=-np.inf), "least": np.where(earlier, s, np.inf).min(1, initial=np.inf), "total": np.where(earlier, s, 0.0).sum(1), "n": n,
+        "tops": [x[: min(k, 3)].tolist() for x, k in zip(tops, n.tolist(), strict=True)], "last": s[np.arange(len(s)), n - 1], "last_pos": pos[n - 1], "best_pos": pos[best], "best_row": row[best], "tj": near("title"), "xj": near("text"),
+    })
+
+
+def _previous(rows: DataFrame) -> DataFrame:
+    """The partial results of all pairs of blocks of rows (cluster, pos, row_pos, unit, title_tokens, text_tokens)."""
+    marks = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    x = rows.withColumn("_n", F.count("*").over(Window.partitionBy("cluster"))).where("_n > 1").select("cluster", "pos", "row_pos", "unit", marks("title_tokens").alias("title"), marks("text_tokens").alias("text"), F.floor(F.col("pos") / BLOCK).cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int") - 1)).alias("other"))
+    x = x.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cluster", "blk", "pos", "row_pos", "unit", "title", "text")
+    key = ["cluster", "i", "j"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            if held and (held[-1][key].iloc[-1] == b[key].iloc[0]).all():
+                new = b[key].ne(b[key].iloc[0]).any(axis=1)
+            else:
+                if held:
+                    yield _compared(pd.concat(held))
+                held, new = [], b[key].ne(b[key].shift()).any(axis=1)
+                new.iloc[0] = False
+            cuts = [0, *np.flatnonzero((new & b[key].ne(b[key].shift()).any(axis=1)).to_numpy()).tolist(), len(b)]
+            parts = [b.iloc[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+            held.append(parts[0])
+            if len(parts) > 1:
+                yield pd.concat([_compared(pd.concat(held)), *map(_compared, parts[1:-1])])
+                held = [parts[-1]]
+        if held:
+            yield _compared(pd.concat(held))
+
+    return x.repartition(*key).sortWithinPartitions(*key, "pos").mapInPandas(compare, _PARTS)
+
+
 def previous_only(news: DataFrame, clusters: DataFrame) -> DataFrame:
     """(row_pos, cluster, the 18 features, best_previous) for clusters (row_pos, cluster)."""
     rows = P.vectorised(news).join(clusters.select("row_pos", "cluster"), "row_pos")
@@ -37,15 +116,9 @@ def previous_only(news: DataFrame, clusters: DataFrame) -> DataFrame:
     # A number is new in the row that has it first in the cluster, and shared in any later one.
     each = rows.select("cluster", F.explode("numbers").alias("number"), F.struct("pos", "row_pos").alias("at"))
     fresh = each.groupBy("cluster", "number").agg(F.min("at").alias("at")).groupBy("at.row_pos").agg(F.count("*").alias("new"))
-    keep = ["cluster", "pos", "row_pos", "unit", "title_tokens", "text_tokens"]
-    cur = rows.select(*keep)
-    prev = rows.select("cluster", *[F.col(c).alias(f"p_{c}") for c in keep[1:]])
-    sim = V.dot(F.col("unit"), F.col("p_unit"))
-    pair = cur.join(prev, "cluster").where("p_pos < pos").select("row_pos", "p_pos", "p_row_pos", sim.alias("sim"), T.jaccard(F.col("title_tokens"), F.col("p_title_tokens")).alias("tj"), T.jaccard(F.col("text_tokens"), F.col("p_text_tokens")).alias("xj"))
-    agg = pair.groupBy("row_pos").agg(
-        F.max("sim").alias("max_prev_similarity"), F.avg("sim").alias("mean_prev_similarity"), F.min("sim").alias("min_prev_similarity"), F.sum("sim").alias("r"), F.sort_array(F.collect_list("sim"), False).alias("sims"),
-        F.max_by("sim", "p_pos").alias("last_prev_similarity"), F.max("tj").alias("title_jaccard_max"), F.max("xj").alias("text_jaccard_max"),
-        F.min_by("p_row_pos", F.struct(-F.col("sim"), "p_pos")).alias("best_previous"),
+    agg = _previous(rows).groupBy("row_pos").agg(
+        F.max("top").alias("max_prev_similarity"), (F.sum("total") / F.sum("n")).alias("mean_prev_similarity"), F.min("least").alias("min_prev_similarity"), F.sum("total").alias("r"), F.sort_array(F.flatten(F.collect_list("tops")), False).alias("sims"),
+        F.max_by("last", "last_pos").alias("last_prev_similarity"), F.max("tj").alias("title_jaccard_max"), F.max("xj").alias("text_jaccard_max"), F.min_by("best_row", F.struct(-F.col("top"), "best_pos")).alias("best_previous"),
     )
     out = scalar.join(agg, "row_pos", "left").join(fresh, "row_pos", "left")
     out = out.withColumn("S", F.sum(F.lit(1.0) + 2 * F.coalesce("r", F.lit(0.0))).over(Window.partitionBy("cluster").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))

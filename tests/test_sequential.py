@@ -190,3 +190,21 @@ def test_components_in_rounds_and_at_once(spark, monkeypatch, batch, hub):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)] + [(300 + i, 300 + int(rng.integers(0, i))) for i in range(1, 50)] + [(5, 5)]
     got = {r.id: r.component for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 180)} | {i: 300 for i in range(300, 350)}
+
+
+def test_features_do_not_depend_on_blocks(spark, monkeypatch):
+    """Stories of one block, and cut into blocks of two rows, give the same features."""
+    from newsloom.operators import features as W
+
+    n = news(spark, SF)
+    stories = n.select("row_pos", (F.col("row_pos") % 9).alias("cluster"))
+    plain = lambda: sorted([(r.row_pos, *[round(float(r[c]), 9) for c in W.COLUMNS], r.best_previous) for r in W.previous_only(n, stories).collect()])
+    whole = plain()
+    monkeypatch.setattr(W, "BLOCK", 2)
+    assert plain() == whole and len(whole) == n.count()
+    by = {r.row_pos: r for r in n.withColumn("c", F.col("row_pos") % 9).collect()}
+    units = {k: np.array(r.embedding) / np.linalg.norm(r.embedding) for k, r in by.items()}
+    at = W.COLUMNS.index("max_prev_similarity") + 1
+    for row in whole:
+        earlier = [k for k, r in by.items() if r.c == by[row[0]].c and (r.published_at, k) < (by[row[0]].published_at, row[0])]
+        assert row[at] == pytest.approx(max((units[k] @ units[row[0]] for k in earlier), default=0.0), abs=1e-8)
