@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, forest, licenses, mixing, packing, quality, scoring, subspaces, substrings, wavelet
+from . import counting, forest, licenses, mixing, naming, packing, quality, scoring, subspaces, substrings, wavelet
 from .common import materialise, table
 from .tokens import vocabulary
 
@@ -52,6 +52,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = naming.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def _op10_sql() -> str:
     stop = ", ".join(f"'{x}'" for x in sorted(set(quality.STOP_WORDS)))
     def within(r: quality.Rule) -> str:
@@ -76,5 +81,5 @@ b AS (SELECT *, ({quality.BASE}) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {rules}) AS kept FROM b"""
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op8_attention_scores, op9_best_fit_packing, op10_quality_rules)}
-ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op3_ngram_jaccard_join": forest.ORACLE_SQL, "op5_substring_dedup": substrings.ORACLE_SQL, "op4_embedding_near_dedup": subspaces.ORACLE_SQL, "op10_quality_rules": _op10_sql()}
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op8_attention_scores, op9_best_fit_packing, op10_quality_rules, op13_block_naming)}
+ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op3_ngram_jaccard_join": forest.ORACLE_SQL, "op5_substring_dedup": substrings.ORACLE_SQL, "op4_embedding_near_dedup": subspaces.ORACLE_SQL, "op10_quality_rules": _op10_sql(), "op13_block_naming": naming.ORACLE_SQL}
