@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, forest, licenses, mixing, naming, packing, quality, scoring, subspaces, substrings, wand, wavelet
+from . import counting, forest, licenses, mixing, naming, packing, quality, repair, scoring, subspaces, substrings, wand, wavelet
 from .common import materialise, table
 from .tokens import vocabulary
 
@@ -52,6 +52,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
     return wand.ranked_documents(docs, items)
@@ -86,5 +90,5 @@ b AS (SELECT *, ({quality.BASE}) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND {rules}) AS kept FROM b"""
 
 
-QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op8_attention_scores, op9_best_fit_packing, op10_quality_rules, op12_ranked_search, op13_block_naming)}
+QUERIES = {f.__name__: f for f in (op1_cube_mix, op2_license_scan, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_wavelet_shards, op7_token_counts, op8_attention_scores, op9_best_fit_packing, op10_quality_rules, op11_conversation_repair, op12_ranked_search, op13_block_naming)}
 ORACLE_SQL = {"op2_license_scan": licenses.oracle(), "op3_ngram_jaccard_join": forest.ORACLE_SQL, "op5_substring_dedup": substrings.ORACLE_SQL, "op4_embedding_near_dedup": subspaces.ORACLE_SQL, "op10_quality_rules": _op10_sql(), "op12_ranked_search": wand.ORACLE_SQL, "op13_block_naming": naming.ORACLE_SQL}
