@@ -7,10 +7,13 @@ balancing equations (tokens and documents) until almost all are 0 or 1. A flight
 each block of about BLOCK documents; the at most two that a block leaves open fly again
 with those of other blocks, level by level, until a source is one block. There the flight
 leaves LAND documents and what it can't settle to the landing, which tries every outcome
-and takes the one nearest to the totals of tokens and documents.
+and takes the one nearest to the totals of tokens and documents. Flights keep every
+probability; the landing gives that up for those few documents, as one that keeps it can
+be off by the size of a source's largest document.
 
-Only (doc_id, source, size) is shuffled, never a text. Blocks follow a hash of doc_id,
-so a source with a third of all rows is split like any other, and reruns agree.
+Only (doc_id, source, size) and a hash are shuffled, never a text. Blocks follow a hash of
+doc_id and text, so a source or a doc_id with a third of all rows is split like any other,
+and reruns agree.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is
 a source of its own, sorted last; repeated rows and rows without doc_id are documents of
@@ -37,14 +40,19 @@ BLOCK, FAN, LAND, FEW_SOURCES = 10_000, 2_000, 12, 10_000
 def flight(p: list[float], size: list[float], draws: np.ndarray, landing: bool) -> list[float]:
     """Move probabilities p to 0 or 1 so that sum(p) and sum(p * size) stay; at most two stay open.
 
-    For a landing, LAND documents spread over the order of p stay on the ground; with what
-    the flight leaves open they take the outcome, of all there are, nearest to both totals.
+    For a landing, LAND documents stay on the ground, half of them the largest and half
+    spread over the sizes; with what the flight leaves open they take the outcome, of all
+    there are, nearest to both totals. Adding these documents one by one passes the total of
+    tokens by half the largest at most, so the outcome taken ends no farther from it.
     """
     eps, p, at, n = 1e-9, list(p), 0, 0
     todo = [i for i, x in enumerate(p) if eps < x < 1 - eps]
     ground: list[int] = []
     if landing:
-        ground = [todo[i] for i in sorted(set(np.linspace(0, len(todo) - 1, min(LAND, len(todo))).astype(int).tolist()))]
+        by_size = sorted(todo, key=lambda i: size[i])
+        rest, ground = by_size[: -LAND // 2], by_size[-LAND // 2 :]  # what matters most, and an even spread of the rest
+        if rest:
+            ground += [rest[i] for i in sorted(set(np.linspace(0, len(rest) - 1, min(LAND // 2, len(rest))).astype(int).tolist()))]
         todo = sorted(set(todo) - set(ground))
     tokens, documents = sum(a * b for a, b in zip(p, size, strict=True)), sum(p)
     open_: list[int] = []
@@ -112,15 +120,15 @@ def n_words(text: str = "text") -> Column:
 def mixed(docs: DataFrame, key: list[str] | None = None, seed: int = 7) -> DataFrame:
     """(*key, source, size, source_size, target, copies, taken) for each row of docs."""
     key = key or ["doc_id"]
-    sized = materialise(docs.select(*key, "source", n_words().alias("size")))
+    sized = materialise(docs.select(*key, "source", n_words().alias("size"), F.xxhash64(*key, "text", F.lit(seed)).alias("spread")))
     plan = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))))
     few = plan.count() <= FEW_SOURCES  # else the two sides are shuffled
     rows = sized.join(F.broadcast(plan) if few else plan, sized.source.eqNullSafe(plan.source)).drop(plan.source)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(ratio + F.lit(1e-9)).cast("long"))
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.greatest(ratio - F.col("whole"), F.lit(0.0))).otherwise(0.0))
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("block", F.pmod(F.xxhash64(*key, F.lit(seed)), F.col("blocks")))
-    kept = [*key, "source", "size", "source_size", "target", "whole", "sid", "blocks"]
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK))).withColumn("block", F.pmod(F.col("spread"), F.col("blocks")))
+    kept = [*key, "source", "size", "source_size", "target", "whole", "sid", "blocks", "spread"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept, "block", "p").schema)
     most = plan.agg(F.max("n")).first()[0] or 0
     done, level = None, 0
@@ -134,7 +142,7 @@ def mixed(docs: DataFrame, key: list[str] | None = None, seed: int = 7) -> DataF
             out = t.set_column(t.column_names.index("p"), "p", pa.array(p, pa.float64()))
             yield from out.combine_chunks().to_batches()
 
-        flown = materialise(in_runs(rows.select(*kept, "block", "p"), ["sid", "block"], ["size", *key], fly, kinds))
+        flown = materialise(in_runs(rows.select(*kept, "block", "p"), ["sid", "block"], ["size", *key, "spread"], fly, kinds))
         settled = flown if last else flown.where("p = 0 OR p = 1")
         done = settled if done is None else done.union(settled)
         if last:

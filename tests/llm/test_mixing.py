@@ -76,9 +76,21 @@ def test_many_flights_end_near_their_totals():
         p = mixing.flight([0.3] * 50, size, rng.random(52), True)
         assert set(p) <= {0.0, 1.0}
         gaps.append(abs(sum(a * b for a, b in zip(p, size, strict=True)) / (0.3 * sum(size)) - 1))
+        assert gaps[-1] <= max(size) / 2 / (0.3 * sum(size)) + (mixing.LAND + 2) / 15 / 100  # half the largest, and what documents weigh
     assert np.mean(gaps) < 0.005 and max(gaps) < 0.1  # the worst have a third of all words in two documents
 
 
+def test_blocks_of_rows_without_id_and_of_one_id_are_even(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None if i % 2 else 7, f"{i} words of a text", "s") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = [r["count"] for r in docs.groupBy(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(16))).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 6000 / 16
+    out = mixing.mixed(docs).collect()
+    assert len(out) == 6000 and sum(r.taken for r in out) == sum(r.size for r in out)
+
+
 def test_flights_keep_the_probabilities():
     import numpy as np
 
