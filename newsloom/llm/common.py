@@ -256,7 +256,7 @@ def min_labels(edges: DataFrame) -> DataFrame:
 
 
 def chunked(docs: DataFrame, target: int | Callable[[int], int] = 4 << 20, more: tuple[str, ...] = (), least: int = 16) -> tuple[DataFrame, int, int]:
-    """(chunk, doc_id, text, *more) dealt by a hash of doc_id, the number of chunks, and the bytes of all texts.
+    """(chunk, doc_id, text, *more) dealt by a hash of doc_id and text, the number of chunks, and the bytes of all texts.
 
     A chunk holds about ``target`` bytes of text (which may depend on all bytes) and is the same set of documents
     whenever it is made and whatever the session's settings are, so a lost task or a
@@ -264,5 +264,5 @@ def chunked(docs: DataFrame, target: int | Callable[[int], int] = 4 << 20, more:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(least, -(-size // (target(size) if callable(target) else target)))
-    out = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long"), "text", *more)
+    out = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long"), "text", *more)
     return out.repartition(partitions(docs.sparkSession), "chunk"), chunks, size
