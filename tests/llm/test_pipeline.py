@@ -77,3 +77,13 @@ def test_mix_keeps_texts_that_share_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [tuple(r) for r in cp.mix(spark, docs, "").collect()]  # one source: each document once
     assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
+def test_near_duplicates_keep_other_texts_of_an_id(spark):
+    long = [f"word{i} " * 3 for i in range(30)]
+    a, b = " ".join(long), " ".join([*long[:-1], "changed at the end"])
+    rows = [(1, a), (5, b), (5, "a text that no other document has, though its number is not its own"), (5, a), (None, b), (None, "another text of its own, and without any number at all")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(texts(cp.near_duplicates(spark, docs, "")), key=repr) == sorted([rows[0], rows[2], rows[5]], key=repr)
+    alone = docs.where("doc_id IS NULL OR doc_id = 5")
+    assert sorted(texts(cp.near_duplicates(spark, alone, "")), key=repr) == sorted([rows[1], rows[2], rows[5]], key=repr)
