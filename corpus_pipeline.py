@@ -4,9 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 the columns of ``documents``. ``run`` writes each stage's result as Parquet in the shared
 checkpoint folder and reads it back as the next one's input.
 
-Defined results: rows without doc_id stay through the filtering stages where they pass
-the rules; in the mix rows that share a doc_id or have none are documents of their own,
-and only rows that are equal in all columns stand for each other; empty tables stay empty.
+Defined results: rows that share a doc_id or have none are documents of their own in every
+stage: each is judged, linked and mixed by its own text, and only rows that are equal in
+all columns stand for each other in the mix. Of linked documents with equal doc_ids the
+first in the stage's files stays, and one with a doc_id before one without. Null and empty
+texts fail the quality rules; very long texts pass through every stage whole; columns
+other than those of ``documents`` are dropped at the start, so no name can clash; empty
+tables stay empty.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    gone = forest.linked(docs).where("NOT kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of linked documents the one with the smallest doc_id stays; rows are told apart by their place in the stage's files."""
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    groups = materialise(forest.linked(rows.select(F.col("row").alias("doc_id"), "text")).where("n_links > 0").select(F.col("doc_id").alias("row"), "component_id"))
+    first = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = groups.join(first.select("first.row"), "row", "left_anti").select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
