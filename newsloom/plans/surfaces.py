@@ -773,3 +773,48 @@ def st06_recomputed_history(spark, sf):
     all_ = W.previous_only(rows, rows.select("row_pos", F.col("cluster_id").alias("cluster"))).select(F.col("row_pos").cast("string").alias("news_id"), *[F.col(x).alias(f"_{x}") for x in W.COLUMNS])
     differs = F.greatest(*[F.abs(F.col(x) - F.col(f"_{x}")).cast("double") for x in W.COLUMNS]) > 1e-9
     return some.join(all_, "news_id").agg((F.count("*") > 0).alias("some"), F.count_if(differs).alias("different"))
+
+
+def _keyed_stream(spark, sf):
+    """All articles as a stream of one file a week, in order, through the keyed step without attachment; stories are named by their first row_pos."""
+    from newsloom.streaming import incremental as Z
+    from newsloom.streaming import keyed
+
+    path, n = folder(spark), news(spark, sf)
+    lo, hi = n.agg(F.min("published_at"), F.max("published_at")).first()
+    for a, b in Z.checkpoints(lo, hi) if lo is not None else ():
+        n.where((F.col("published_at") >= F.lit(a)) & (F.col("published_at") < F.lit(b))).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    articles = spark.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    keyed.started(articles, f"{path}/out", f"{path}/checkpoint", Z.Config(CALIBRATED["strong"], attach=2.0)).awaitTermination()
+    result = spark.read.parquet(f"{path}/out")
+    rows = materialise(keyed.current(result).select(F.col("news_id").cast("long").alias("row_pos"), "cluster_id"))
+    return result, rows, rows.groupBy("cluster_id").agg(F.min("row_pos").alias("component"))
+
+
+@query("SELECT row_pos::BIGINT AS row_pos, component::BIGINT AS component FROM comp", "comp")
+def st03_keyed_stream(spark, sf):
+    """Without attachment the stream's stories are the components of strong edges."""
+    _, rows, first = _keyed_stream(spark, sf)
+    return rows.join(first, "cluster_id").select("row_pos", "component")
+
+
+@query("SELECT component::BIGINT AS component, count(*)::BIGINT AS size, strftime(max(published_at), '%Y-%m-%d %H:%M:%S') AS last FROM comp JOIN news USING (row_pos) GROUP BY 1 HAVING max(published_at) + INTERVAL 14 DAY < (SELECT max(published_at) - INTERVAL 1 DAY FROM news)", "comp news")
+def st11_closed_stories(spark, sf):
+    """Stories that timers have closed: silent for 14 days when the watermark, a day behind, stands at its end."""
+    result, _, first = _keyed_stream(spark, sf)
+    closed = result.where("kind = 'closed'").select("cluster_id", "size", F.timestamp_micros("last").alias("last"))
+    return closed.join(first, "cluster_id").select("component", "size", stamp("last"))
+
+
+_STEPS = """cuts AS (SELECT n, least(date_trunc('day', (SELECT min(published_at) FROM news)) + n * INTERVAL 14 DAY, (SELECT max(published_at) FROM news) + INTERVAL 1 MICROSECOND) AS upto FROM range(1, 6) t(n)),
+rs(upto, id, low) AS (SELECT upto, row_pos, row_pos FROM (SELECT DISTINCT upto FROM cuts), news WHERE published_at < upto UNION SELECT r.upto, e.y, r.low FROM rs r JOIN (SELECT a AS x, b AS y FROM edges UNION ALL SELECT b, a FROM edges) e ON e.x = r.id JOIN news n ON n.row_pos = e.y AND n.published_at < r.upto)"""
+
+
+@query("SELECT strftime(upto, '%Y-%m-%d %H:%M:%S') AS upto, count(*) AS rows, count(DISTINCT low)::BIGINT AS clusters, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall FROM (SELECT upto, id, min(low) AS low FROM rs GROUP BY 1, 2) GROUP BY upto", "edges news", _STEPS)
+def st09_replay(spark, sf):
+    """Each fortnight: the restarted stream's stories against a full run of all rows so far; without attachment they agree."""
+    from newsloom.streaming import incremental as Z
+    from newsloom.streaming import replay
+
+    x = replay.by_stream(news(spark, sf), Z.Config(CALIBRATED["strong"], attach=2.0), folder(spark), step_days=14)
+    return x.select(stamp("upto"), "rows", "clusters", r6("precision"), r6("recall"))

@@ -11,6 +11,7 @@ clear margin attaches; else a cluster is opened. Rows that come late are accepte
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -83,21 +84,52 @@ def _jaccard(a: frozenset, b: frozenset) -> float:
 
 
 class Topic:
-    """The state of one topic."""
+    """The rows of one topic that new ones can meet, sorted by time in arrays, and what is known of their stories.
 
-    def __init__(self, config: Config, history: list[Item]):
-        self.c, self.items = config, list(history)
-        self.sizes: dict[str, int] = {}
+    ``sizes`` and ``last`` hold, for each story, all its rows and the latest time, also of rows
+    that are no longer held; without them they are taken from ``history``.
+    """
+
+    def __init__(self, config: Config, history: list[Item], sizes: dict[str, int] | None = None, last: dict[str, int] | None = None):
+        self.c = config
+        self.items = sorted(history, key=lambda x: x.at)
+        self.times = [x.at for x in self.items]
+        self.units = np.array([x.unit for x in self.items]) if history else np.empty((0, 0))
+        self.sizes, self.last = dict(sizes or {}), dict(last or {})
+        self.members: dict[str, list[Item]] = {}
+        self.of_component: dict[str, list[Item]] = {}
         for x in history:
-            self.sizes[x.cluster] = self.sizes.get(x.cluster, 0) + 1
-        self.components = {x.component for x in history}
+            self.members.setdefault(x.cluster, []).append(x)
+            self.of_component.setdefault(x.component, []).append(x)
+            if sizes is None:
+                self.sizes[x.cluster] = self.sizes.get(x.cluster, 0) + 1
+                self.last[x.cluster] = max(self.last.get(x.cluster, x.at), x.at)
+
+    def _hold(self, now: Item) -> None:
+        n = len(self.items)
+        if n == 0:
+            self.units = np.empty((16, len(now.unit)))
+        elif n == len(self.units):
+            self.units = np.concatenate([self.units, np.empty_like(self.units)])
+        at = bisect.bisect_right(self.times, now.at)
+        self.units[at + 1 : n + 1] = self.units[at:n].copy()
+        self.units[at] = now.unit
+        self.items.insert(at, now)
+        self.times.insert(at, now.at)
+        self.members.setdefault(now.cluster, []).append(now)
+        self.of_component.setdefault(now.component, []).append(now)
+        self.sizes[now.cluster] = self.sizes.get(now.cluster, 0) + 1
+        self.last[now.cluster] = max(self.last.get(now.cluster, now.at), now.at)
 
     def candidates(self, now: Item) -> list[Candidate]:
         c, found = self.c, {}
-        near = [x for x in self.items if abs(now.at - x.at) <= c.days * DAY]
-        sims = np.array([x.unit for x in near]) @ now.unit if near else []
-        for x, s in zip(near, sims, strict=True):
-            days, s = abs(now.at - x.at) / DAY, float(s)
+        low, high = bisect.bisect_left(self.times, now.at - c.days * DAY), bisect.bisect_right(self.times, now.at + c.days * DAY)
+        if low == high:
+            return []
+        sims = self.units[low:high] @ now.unit
+        for i in np.flatnonzero(sims >= min(c.strong, c.attach)).tolist():
+            x, s = self.items[low + i], float(sims[i])
+            days = abs(now.at - x.at) / DAY
             title, shared = _jaccard(x.title, now.title), len(x.numbers & now.numbers)
             strong = s >= c.strong
             if not strong and not (s >= c.attach and days <= c.attach_days and (title >= c.title_jaccard or shared >= c.shared_numbers)):
@@ -107,8 +139,8 @@ class Topic:
             k.similarity, k.days = max(k.similarity, s), min(k.days, days)
             if strong:
                 k.components.add(x.component)
-            if not k.best or (-s, -title, -shared, days) < k.best:
-                k.best, k.parent = (-s, -title, -shared, days), x
+            if not k.best or (-s, -title, -shared, days, x.at, x.news_id) < k.best:
+                k.best, k.parent = (-s, -title, -shared, days, x.at, x.news_id), x
         return sorted(found.values(), key=lambda k: (-k.similarity, -self.sizes[k.cluster], k.days, k.cluster))
 
     def fresh(self, base: str, taken) -> str:
@@ -124,14 +156,18 @@ class Topic:
         if len(components) < 2:
             return None
         clusters = [k.cluster for k in strong]
-        for x in self.items:
-            before = (x.cluster, x.component)
-            x.cluster = clusters[0] if x.cluster in clusters[1:] else x.cluster
-            x.component = components[0] if x.component in components[1:] else x.component
-            if x.previous is None and (x.cluster, x.component) != before:
-                x.previous = before
+        moved = {id(x): (x, x.cluster, x.component) for k in clusters[1:] for x in self.members.get(k, [])} | {id(x): (x, x.cluster, x.component) for k in components[1:] for x in self.of_component.get(k, [])}
+        for x, cluster, component in moved.values():
+            x.cluster = clusters[0] if cluster in clusters[1:] else cluster
+            x.component = components[0] if component in components[1:] else component
+            if x.previous is None and (x.cluster, x.component) != (cluster, component):
+                x.previous = (cluster, component)
+        for names, groups in ((clusters, self.members), (components, self.of_component)):
+            for k in names[1:]:
+                groups.setdefault(names[0], []).extend(groups.pop(k, []))
         for k in clusters[1:]:
             self.sizes[clusters[0]] += self.sizes.pop(k)
+            self.last[clusters[0]] = max(self.last[clusters[0]], self.last.pop(k))
         return clusters, components
 
     def add(self, now: Item) -> dict:
@@ -139,7 +175,7 @@ class Topic:
         strong = [k for k in found if k.strong]
         merged = self.merge(strong)
         digest = hashlib.sha1(now.news_id.encode()).hexdigest()[:12]
-        own = self.fresh(f"incremental_base_{digest}", self.components)
+        own = self.fresh(f"incremental_base_{digest}", self.of_component)
         second, margin, review = None, None, False
         if strong:
             best = strong[0]
@@ -158,14 +194,27 @@ class Topic:
                 now.cluster, now.component, update, review = self.fresh(f"{self.c.prefix}_{digest}", self.sizes), own, "new_cluster_ambiguous", True
         else:
             now.cluster, now.component, update = self.fresh(f"{self.c.prefix}_{digest}", self.sizes), own, "new_cluster"
-        mates = [x for x in self.items if x.cluster == now.cluster]
-        late = bool(mates) and now.at < max(x.at for x in mates)
-        affected = [x.news_id for x in mates if x.stored and (merged or x.at > now.at)]
-        later = sum(x.stored and x.at > now.at for x in mates)
-        self.items.append(now)
-        self.sizes[now.cluster] = self.sizes.get(now.cluster, 0) + 1
-        self.components.add(now.component)
-        return {"item": now, "update_method": update, "second_best_similarity": second, "assignment_margin": margin, "assignment_needs_review": review, "late_arrival": late, "affected_historical_count": later, "affected": affected, "merged_cluster_ids": merged[0] if merged else [], "merged_component_ids": merged[1] if merged else []}
+        late = now.cluster in self.last and now.at < self.last[now.cluster]
+        stored = [x for x in self.members.get(now.cluster, []) if x.stored and (merged or x.at > now.at)] if merged or late else []
+        later = sum(x.at > now.at for x in stored)
+        self._hold(now)
+        return {"item": now, "update_method": update, "second_best_similarity": second, "assignment_margin": margin, "assignment_needs_review": review, "late_arrival": late, "affected_historical_count": later, "affected": [x.news_id for x in sorted(stored, key=lambda x: (x.at, x.news_id))], "merged_cluster_ids": merged[0] if merged else [], "merged_component_ids": merged[1] if merged else []}
+
+    def closed(self, before: int) -> list[tuple[str, int, int]]:
+        """Forget rows and stories whose latest row is earlier; (story, size, latest) of those stories."""
+        out = sorted((k, self.sizes.pop(k), self.last[k]) for k in [k for k, at in self.last.items() if at < before])
+        for k, _, _ in out:
+            del self.last[k]
+        n = bisect.bisect_left(self.times, before)
+        gone = {id(x) for x in self.items[:n]}
+        if gone:
+            self.items, self.times, self.units = self.items[n:], self.times[n:], self.units[n:]
+            for groups in (self.members, self.of_component):
+                for k in [k for k, own in groups.items() if any(id(x) in gone for x in own)]:
+                    groups[k] = [x for x in groups[k] if id(x) not in gone]
+                    if not groups[k]:
+                        del groups[k]
+        return out
 
 
 OUT = "topic string, news_id string, cluster_id string, component_id string, assignment_method string, update_method string, assignment_parent_news_id string, assignment_similarity double, attached_to_component_id string, second_best_similarity double, assignment_margin double, assignment_needs_review boolean, late_arrival boolean, affected_historical_count long, merged_cluster_count long, merged_cluster_ids array<string>, merged_component_ids array<string>, previous_cluster_id string, previous_component_id string, affected array<string>"

@@ -13,25 +13,32 @@ from newsloom.operators.ledger import upserted
 from . import incremental as I
 
 
-def versions(path: str) -> Callable[[int], str]:
-    return lambda n: f"{path.rstrip('/')}/v={n}"
-
-
 class StateTable:
-    """A table kept as one folder for each batch; a batch that is run again writes its own folder again."""
+    """A table kept as one folder for each batch; a batch that is run again writes its own folder again.
+
+    A folder counts once Spark's committer has marked it as complete. A new object on an
+    existing path goes on from the last complete one.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.at = versions(path)
-        self.latest = -1
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def at(self, n: int) -> str:
+        return f"{self.path}/v={n}"
+
+    def versions(self) -> list[int]:
+        """The complete versions, in order; read from the folder, on any file system that Spark reaches."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v=*/_SUCCESS")
+        found = pattern.getFileSystem(conf).globStatus(pattern)
+        return sorted(int(str(f.getPath().getParent().getName())[2:]) for f in found or [])
 
     def read(self, before: int | None = None) -> DataFrame:
-        n = self.latest if before is None else min(self.latest, before - 1)
-        return self.spark.read.schema(self.schema).parquet(self.at(n)) if n >= 0 else self.spark.createDataFrame([], self.schema)
+        done = [n for n in self.versions() if before is None or n < before]
+        return self.spark.read.schema(self.schema).parquet(self.at(done[-1])) if done else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(self.at(batch))
-        self.latest = batch
 
 
 STATE_SCHEMA = "news_id string, topic string, published_at timestamp, title string, text string, embedding array<double>, cluster_id string, component_id string, assignment_method string, assignment_parent_news_id string, assignment_similarity double, attached_to_component_id string"

@@ -177,3 +177,67 @@ def test_csv_and_batches(spark, tmp_path):
     assert {x.batch: x["count"] for x in spark.read.json(str(tmp_path / "out")).groupBy("batch").count().collect()} == {0: 100, 1: 100, 2: 50}
     sinks.predictions(spark.createDataFrame([("1", "2024-01-01 01:02:03")], "news_id string, at string").withColumn("at", F.col("at").cast("timestamp")), str(tmp_path / "p"))
     assert spark.read.csv(str(tmp_path / "p"), header=True).first()["at"] == "2024-01-01 01:02:03"
+
+
+def test_state_table_goes_on_after_a_restart(spark, tmp_path):
+    rows = [("1", "2024-01-01", [1.0, 0.0], "t"), ("2", "2024-01-02", [0.9, 0.1], "t"), ("3", "2024-01-03", [0.0, 1.0], "t"), ("4", "2024-01-04", [0.1, 0.9], "t")]
+    schema = fresh(spark, rows).schema
+
+    def go(part):
+        for r in part:
+            fresh(spark, [r]).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={r[0]}"))
+        articles = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        state = stream.StateTable(spark, str(tmp_path / "state"), stream.STATE_SCHEMA)
+        stream.assign(articles, state, str(tmp_path / "ck")).awaitTermination()
+        return {r.news_id: r.cluster_id for r in stream.StateTable(spark, str(tmp_path / "state"), stream.STATE_SCHEMA).read().collect()}
+
+    first = go(rows[:2])
+    assert set(first) == {"1", "2"}
+    got = go(rows[2:])
+    assert len(got) == 4 and got["1"] == got["2"] == first["1"] and got["3"] == got["4"] != got["1"]
+    (tmp_path / "state" / "v=9").mkdir()  # a batch that never ended does not count
+    assert stream.StateTable(spark, str(tmp_path / "state"), stream.STATE_SCHEMA).read().count() == 4
+
+
+def test_keyed_stream_equals_the_batch_and_restarts(spark, tmp_path):
+    import math
+    import random
+
+    from newsloom.streaming import keyed
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(160):
+        day, angle = i * 60 // 160, rng.choice([0.0, 0.55, 1.1, 2.0]) + rng.uniform(-0.25, 0.25)
+        at = f"2024-{1 + day // 30:02d}-{1 + day % 30 - (2 if day // 30 == 1 and day % 30 > 27 else 0):02d} {i % 24:02d}:00:00"
+        rows.append((str(i), at, [math.cos(angle), math.sin(angle)], f"word{rng.randint(0, 5)} and {rng.randint(1, 9)}", rng.choice("ab")))
+    rows.sort(key=lambda r: (r[1], int(r[0])))
+    config = I.Config(strong=0.97, attach=0.9)
+    full = {r.news_id: r for r in I.assigned(history(spark, []), fresh(spark, rows), config).collect()}
+    schema, parts = fresh(spark, rows).schema, [rows[a : a + 20] for a in range(0, 160, 20)]
+
+    def go(some, at):
+        for k, part in enumerate(some, at):
+            fresh(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={k}"))
+        articles = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        keyed.started(articles, str(tmp_path / "out"), str(tmp_path / "ck"), config, "30 days").awaitTermination()
+
+    go(parts[:3], 0)
+    go(parts[3:], 3)
+    result = spark.read.parquet(str(tmp_path / "out"))
+    got = {r.news_id: r for r in keyed.current(result).collect()}
+    assert len(got) == 160
+    assert sum(len(r.merged_cluster_ids) > 1 for r in full.values()) > 2
+    full = {i: r for i, r in full.items() if r.update_method != "cluster_merge"}
+    for i, r in full.items():
+        assert (r.cluster_id, r.component_id, r.update_method, r.late_arrival) == (got[i].cluster_id, got[i].component_id, got[i].update_method, got[i].late_arrival)
+
+    # With a short watermark stories close, once each and with all their rows, and rows out of the window are gone.
+    keyed.started(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")), str(tmp_path / "out2"), str(tmp_path / "ck2"), I.Config(strong=0.97, attach=0.9, days=5), "1 hour").awaitTermination()
+    result = spark.read.parquet(str(tmp_path / "out2"))
+    sizes = {(r.topic, r.cluster_id): r["count"] for r in keyed.current(result).groupBy("topic", "cluster_id").count().collect()}
+    closed = result.where("kind = 'closed'").collect()
+    assert closed and len({(r.topic, r.cluster_id) for r in closed}) == len(closed)
+    assert all(sizes[r.topic, r.cluster_id] == r.size for r in closed)
+    state = spark.read.format("statestore").option("path", str(tmp_path / "ck2")).option("stateVarName", "rows").load()
+    assert state.count() < 60
