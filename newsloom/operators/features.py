@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.functions import vector as V
 
 from . import pairs as P
+from . import tiles
 
 COLUMNS = ["position_in_cluster", "cluster_size_so_far", "days_since_previous", "days_since_cluster_start", "max_prev_similarity", "mean_prev_similarity", "min_prev_similarity", "top2_mean_similarity", "top3_mean_similarity", "last_prev_similarity", "previous_centroid_similarity", "previous_centroid_distance", "title_jaccard_max", "text_jaccard_max", "shared_numbers_count", "new_numbers_count", "title_length", "text_length"]
 
@@ -180,8 +180,6 @@ def density(news: DataFrame, days: float) -> DataFrame:
 
 def topic_context(news: DataFrame, days: float = 30) -> DataFrame:
     """(row_pos, n, max, mean of the top 3): similarities to the topic's earlier rows in the last days."""
-    units = news.withColumn("unit", V.unit(F.col("embedding")))
-    near = P.in_band(units, days, ["unit"]).withColumn("sim", V.dot(F.col("left_unit"), F.col("right_unit")))
-    agg = near.groupBy(F.col("right_row_pos").alias("row_pos")).agg(F.count("*").alias("n"), F.max("sim").alias("top"), F.collect_list("sim").alias("sims"))
-    out = news.select("row_pos").join(agg, "row_pos", "left")
-    return out.select("row_pos", F.coalesce("n", F.lit(0)).cast("long").alias("topic_prev_count"), F.coalesce("top", F.lit(0.0)).alias("topic_prev_max"), F.coalesce(_top_mean("sims", 3), F.lit(0.0)).alias("topic_prev_top3"))
+    out = news.select("row_pos").join(tiles.best_earlier(news, days), "row_pos", "left")
+    top3 = F.aggregate("tops.s", F.lit(0.0), lambda s, x: s + x) / F.size("tops")
+    return out.select("row_pos", F.coalesce("n", F.lit(0)).cast("long").alias("topic_prev_count"), F.coalesce(F.col("tops.s")[0], F.lit(0.0)).alias("topic_prev_max"), F.coalesce(top3, F.lit(0.0)).alias("topic_prev_top3"))

@@ -2,7 +2,7 @@
 
 Pairs meet by topic and time bucket: buckets are as wide as the window, and the earlier
 row goes to its own bucket and the next, so each pair in the window meets exactly once and
-a hot topic is split by time. The cosine is taken after the band, evidence after the cosine.
+a hot topic is split by time. Cosines are taken in blocks (``tiles``), evidence after the cosine.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.functions import vector as V
 
+from . import tiles
+from .components import materialise
+
 DAY = 86_400_000_000
 
 
@@ -37,18 +40,6 @@ def in_band(news: DataFrame, days: float, columns: list[str], by: list[str] | No
     return out.withColumn("days_diff", (F.col("_r") - F.col("_l")) / F.lit(float(DAY))).drop("_bucket", "_l", "_r")
 
 
-def against(new: DataFrame, history: DataFrame, days: float, columns: list[str]) -> DataFrame:
-    """All (new, old) rows of equal topic at most ``days`` apart, on either side; a history row goes to the three buckets that its window reaches."""
-    width = int(days * DAY)
-    micros = F.unix_micros("published_at")
-    bucket = F.floor(micros / F.lit(width)).cast("long")
-    keep = [*dict.fromkeys(["news_id", "published_at", *columns])]
-    x = new.select("topic", *[F.col(c).alias(f"new_{c}") for c in keep], micros.alias("_n"), bucket.alias("_bucket"))
-    y = history.select("topic", *[F.col(c).alias(f"old_{c}") for c in keep], micros.alias("_o"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket"))
-    out = x.join(y, ["topic", "_bucket"]).where(F.abs(F.col("_n") - F.col("_o")) <= width)
-    return out.withColumn("days_diff", F.abs(F.col("_n") - F.col("_o")) / F.lit(float(DAY))).drop("_bucket", "_n", "_o")
-
-
 def cluster_candidates(new: DataFrame, history: DataFrame, strong: float = 0.82, attach: float = 0.75, days: float = 14, attach_days: float = 7, title_jaccard: float = 0.15, shared_numbers: int = 1) -> DataFrame:
     """For each new row the stored clusters (cluster_id, component_id) that it may join: by a strong row, or by evidence within the shorter window.
 
@@ -56,11 +47,10 @@ def cluster_candidates(new: DataFrame, history: DataFrame, strong: float = 0.82,
     least days, the parent (most similar, then by title, numbers and days) and the
     components of its strong rows.
     """
-    sets = ["unit", "title_tokens", "numbers"]
-    none = {c: F.lit(None).cast("string") for c in ("cluster_id", "component_id")}
-    x = against(vectorised(new).withColumns(none), vectorised(history), days, [*sets, *none])
-    x = x.withColumn("similarity", V.dot(F.col("new_unit"), F.col("old_unit"))).where(F.col("similarity") >= min(strong, attach))
-    x = x.withColumn("title", T.jaccard(F.col("new_title_tokens"), F.col("old_title_tokens"))).withColumn("shared", F.size(F.array_intersect("new_numbers", "old_numbers"))).withColumn("is_strong", F.col("similarity") >= strong)
+    x = tiles.similar_to(new, history, min(strong, attach), days).withColumnsRenamed({"new": "new_news_id", "old": "old_news_id"})
+    tokens = lambda df, p, *more: df.select(F.col("news_id").alias(f"{p}_news_id"), T.tokens(F.col("title")).alias(f"{p}_title"), T.numbers(F.col("title"), F.col("text")).alias(f"{p}_numbers"), *[F.col(c).alias(f"{p}_{c}") for c in more])
+    x = x.join(tokens(new, "new"), "new_news_id").join(tokens(history, "old", "cluster_id", "component_id"), "old_news_id")
+    x = x.withColumn("title", T.jaccard(F.col("new_title"), F.col("old_title"))).withColumn("shared", F.size(F.array_intersect("new_numbers", "old_numbers"))).withColumn("is_strong", F.col("similarity") >= strong)
     evidence = (F.col("similarity") >= attach) & (F.col("days_diff") <= attach_days) & ((F.col("title") >= title_jaccard) | (F.col("shared") >= shared_numbers))
     best = F.struct(-F.col("similarity"), -F.col("title"), -F.col("shared"), "days_diff", "old_news_id")
     return x.where(F.col("is_strong") | evidence).groupBy(F.col("new_news_id").alias("news_id"), F.col("old_cluster_id").alias("cluster_id")).agg(
@@ -73,17 +63,16 @@ def edges(news: DataFrame, threshold: float = 0.82, days: float = 14, by: list[s
 
     score(similarity, days) may lower the similarity before it is compared.
     """
-    units = news.withColumn("unit", V.unit(F.col("embedding")))
-    out = in_band(units, days, ["unit"], by).withColumn("similarity", V.dot(F.col("left_unit"), F.col("right_unit")))
-    compared = score(F.col("similarity"), F.col("days_diff")) if score else F.col("similarity")
-    return out.where(compared >= threshold).select(F.col("left_row_pos").alias("a"), F.col("right_row_pos").alias("b"), "similarity", "days_diff")
+    out = tiles.similar(news, threshold, days, by)
+    return out.where(score(F.col("similarity"), F.col("days_diff")) >= threshold) if score else out
 
 
 def candidate_pairs(news: DataFrame, min_similarity: float = 0.75, days: float = 14) -> DataFrame:
     """Pairs with evidence: similarity, days, Jaccard of titles and texts, shared numbers."""
-    sets = ["title_tokens", "text_tokens", "numbers"]
-    out = in_band(vectorised(news), days, ["unit", *sets])
-    out = out.withColumn("similarity", V.dot(F.col("left_unit"), F.col("right_unit"))).where(F.col("similarity") >= min_similarity)
+    sets = news.select("news_id", "row_pos", "topic", T.tokens(F.col("title")).alias("title_tokens"), T.tokens(F.col("text")).alias("text_tokens"), T.numbers(F.col("title"), F.col("text")).alias("numbers"))
+    side = lambda p, *more: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in ("row_pos", "news_id", "title_tokens", "text_tokens", "numbers")], *more)
+    near = materialise(tiles.similar(news, min_similarity, days).withColumnsRenamed({"a": "left_row_pos", "b": "right_row_pos"}))
+    out = near.join(side("left", "topic"), "left_row_pos").join(side("right"), "right_row_pos")
     return out.select(
         "left_row_pos", "right_row_pos", "left_news_id", "right_news_id", "topic", "similarity", "days_diff",
         T.jaccard(F.col("left_title_tokens"), F.col("right_title_tokens")).alias("title_jaccard"),
@@ -102,8 +91,9 @@ def mutual_neighbours(news: DataFrame, k: int, days: float, threshold: float) ->
 
 def fallback_previous(news: DataFrame, clusters: DataFrame, days: float = 30, threshold: float = 0.78, k: int = 10) -> DataFrame:
     """For each row the k most similar earlier rows of its topic in other clusters (row_pos, cluster_id)."""
-    own = news.join(clusters.select("row_pos", "cluster_id"), "row_pos").withColumn("unit", V.unit(F.col("embedding")))
-    out = in_band(own, days, ["unit", "cluster_id"]).where("left_published_at < right_published_at AND left_cluster_id <> right_cluster_id")
-    out = out.withColumn("similarity", V.dot(F.col("left_unit"), F.col("right_unit"))).where(F.col("similarity") >= threshold)
+    own = clusters.select("row_pos", "cluster_id")
+    near = tiles.similar(news.join(own, "row_pos"), threshold, days).where("days_diff > 0").withColumnsRenamed({"a": "left_row_pos", "b": "right_row_pos"})
+    side = lambda p: own.toDF(f"{p}_row_pos", f"{p}_cluster_id")
+    out = near.join(side("left"), "left_row_pos").join(side("right"), "right_row_pos").where("left_cluster_id <> right_cluster_id")
     best = Window.partitionBy("right_row_pos").orderBy(F.col("similarity").desc(), F.col("left_row_pos").asc())
     return out.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select(F.col("right_row_pos").alias("row_pos"), F.col("left_row_pos").alias("previous"), "similarity", "n")

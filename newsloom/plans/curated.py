@@ -173,13 +173,11 @@ def k06_refreshed_summaries(spark, sf):
 
 @query("SELECT row_pos::BIGINT AS row_pos, round(list_avg(sims[1:5]), 6) AS top5 FROM pagg", "pagg")
 def w18_top5_similarity(spark, sf):
-    from newsloom.functions import vector as V
+    from newsloom.operators import tiles
 
-    rows = news(spark, sf).withColumn("unit", V.unit(F.col("embedding"))).join(materialise(final(spark, sf)).select("row_pos", "cluster"), "row_pos")
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("cluster").orderBy("published_at", "row_pos"))).select("cluster", "pos", "row_pos", "unit")
-    p = rows.join(rows.toDF("cluster", "p_pos", "p_row", "p_unit"), "cluster").where("p_pos < pos").withColumn("sim", V.dot(F.col("unit"), F.col("p_unit")))
-    best = p.withColumn("n", F.row_number().over(Window.partitionBy("row_pos").orderBy(F.col("sim").desc()))).where("n <= 5")
-    return best.groupBy("row_pos").agg(r6(F.avg("sim"), "top5"))
+    rows = news(spark, sf).join(materialise(final(spark, sf)).select("row_pos", "cluster"), "row_pos")
+    x = tiles.best_earlier(rows, 36500, 5, ["cluster"])
+    return x.select("row_pos", r6(F.aggregate("tops.s", F.lit(0.0), lambda s, x: s + x) / F.size("tops"), "top5"))
 
 
 @query("SELECT DISTINCT id::BIGINT AS id FROM (SELECT doc_id AS id FROM labels UNION SELECT item_id FROM benchmark UNION SELECT page_id FROM pages)")

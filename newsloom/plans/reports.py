@@ -555,12 +555,10 @@ def t11_contiguous_split(spark, sf):
 
 @query("SELECT a::BIGINT AS a, b::BIGINT AS b FROM band ORDER BY round(abs(0.25 - sim), 9), days, a, b LIMIT 30", "band")
 def t13_nearest_to_threshold(spark, sf):
-    from newsloom.functions import vector as V
-    from newsloom.operators import pairs as P
+    from newsloom.operators import tiles
 
-    units = news(spark, sf).withColumn("unit", V.unit(F.col("embedding")))
-    p = P.in_band(units, 14, ["unit"]).withColumn("gap", F.round(F.abs(F.lit(0.25) - V.dot(F.col("left_unit"), F.col("right_unit"))), 9))
-    return p.orderBy("gap", "days_diff", "left_row_pos", "right_row_pos").limit(30).select(F.col("left_row_pos").alias("a"), F.col("right_row_pos").alias("b"))
+    p = tiles.similar(news(spark, sf), -2.0, 14).withColumn("gap", F.round(F.abs(F.lit(0.25) - F.col("similarity")), 9))
+    return p.orderBy("gap", "days_diff", "a", "b").limit(30).select("a", "b")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM labels)")

@@ -14,6 +14,7 @@ from newsloom.operators import novelty as N
 from newsloom.operators import pairs as P
 from newsloom.operators import search as S
 from newsloom.operators import summary as Y
+from newsloom.operators import tiles
 from newsloom.operators.components import materialise
 
 from .base import CALIBRATED, clusters, edges, feature_rows, final, near, news, query, r6, selected, stamp
@@ -34,9 +35,9 @@ def j02_candidate_pairs(spark, sf):
 
 @query("SELECT topic, count(*) AS pairs, round(max(sim), 6) AS top FROM band GROUP BY topic", "band")
 def j03_pairs_in_window(spark, sf):
-    units = news(spark, sf).withColumn("unit", V.unit(F.col("embedding")))
-    p = P.in_band(units, 14, ["unit"]).withColumn("sim", V.dot(F.col("left_unit"), F.col("right_unit")))
-    return p.groupBy("topic").agg(F.count("*").alias("pairs"), r6(F.max("sim"), "top"))
+    n = news(spark, sf)
+    p = tiles.similar(n, -2.0, 14).join(n.select(F.col("row_pos").alias("a"), "topic"), "a")
+    return p.groupBy("topic").agg(F.count("*").alias("pairs"), r6(F.max("similarity"), "top"))
 
 
 @query("SELECT least(a, b)::BIGINT AS a, greatest(a, b)::BIGINT AS b, round(sim, 6) AS similarity FROM band WHERE sim >= 0.22 AND days <= 7", "band")
@@ -300,20 +301,16 @@ def p27_edge_blockers(spark, sf):
 @query("SELECT a::BIGINT AS a, b::BIGINT AS b, round(sim, 6) AS similarity FROM (SELECT a, b, sim, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, a, b) AS n FROM (SELECT band.* FROM band JOIN comp x ON x.row_pos = a JOIN comp y ON y.row_pos = b WHERE x.component <> y.component AND sim >= 0.18)) WHERE n <= 20", "band comp")
 def j28_hard_negatives(spark, sf):
     base = materialise(clusters(spark, sf)).select("row_pos", "component")
-    units = news(spark, sf).join(base, "row_pos").withColumn("unit", V.unit(F.col("embedding")))
-    p = P.in_band(units, 14, ["unit", "component"]).where("left_component <> right_component").withColumn("s", V.dot(F.col("left_unit"), F.col("right_unit"))).where("s >= 0.18")
-    best = F.row_number().over(Window.partitionBy("topic").orderBy(F.col("s").desc(), "left_row_pos", "right_row_pos"))
-    return p.withColumn("n", best).where("n <= 20").select(F.col("left_row_pos").alias("a"), F.col("right_row_pos").alias("b"), r6("s", "similarity"))
+    n = news(spark, sf)
+    side = lambda c, *more: base.select(F.col("row_pos").alias(c), F.col("component").alias(f"{c}_component"), *more)
+    p = tiles.similar(n, 0.18, 14).join(side("a"), "a").join(side("b"), "b").where("a_component <> b_component").join(n.select(F.col("row_pos").alias("a"), "topic"), "a")
+    best = F.row_number().over(Window.partitionBy("topic").orderBy(F.round("similarity", 12).desc(), "a", "b"))
+    return p.withColumn("n", best).where("n <= 20").select("a", "b", r6("similarity"))
 
 
 @query("SELECT row_pos::BIGINT AS row_pos, array_to_string(list(p_row::VARCHAR ORDER BY p_pos), ' ') AS context FROM (SELECT prev.*, row_number() OVER (PARTITION BY row_pos ORDER BY sim DESC, p_pos) AS n, row_number() OVER (PARTITION BY row_pos ORDER BY p_pos DESC) AS m FROM prev) WHERE n <= 3 OR m = 1 GROUP BY 1", "prev")
 def w21_previous_context(spark, sf):
-    rows = P.vectorised(news(spark, sf)).join(materialise(final(spark, sf)).select("row_pos", "cluster"), "row_pos")
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("cluster").orderBy("published_at", "row_pos")))
-    x, y = rows.select("cluster", "row_pos", "pos", "unit"), rows.select("cluster", F.col("row_pos").alias("p_row"), F.col("pos").alias("p_pos"), F.col("unit").alias("p_unit"))
-    p = x.join(y, "cluster").where("p_pos < pos").select("row_pos", "p_row", "p_pos", V.dot(F.col("unit"), F.col("p_unit")).alias("sim"))
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("row_pos").orderBy(F.col("sim").desc(), "p_pos"))).withColumn("m", F.row_number().over(Window.partitionBy("row_pos").orderBy(F.col("p_pos").desc()))).where("n <= 3 OR m = 1")
-    order = F.array_sort(F.collect_list(F.struct("p_pos", F.col("p_row").cast("string").alias("id"))))
-    return p.groupBy("row_pos").agg(F.concat_ws(" ", F.transform(order, lambda s: s["id"])).alias("context"))
-
-
+    rows = news(spark, sf).join(materialise(final(spark, sf)).select("row_pos", "cluster"), "row_pos")
+    x = tiles.best_earlier(rows, 36500, 3, ["cluster"])
+    own = F.array_distinct(F.concat(F.transform("tops", lambda t: F.struct((-t["d"]).alias("d"), t["key"].alias("key"))), F.array(F.struct((-F.col("last.d")).alias("d"), F.col("last.key").alias("key")))))
+    return x.select("row_pos", F.concat_ws(" ", F.transform(F.array_sort(own), lambda t: t["key"].cast("string"))).alias("context"))

@@ -62,5 +62,5 @@ def by_stream(news: DataFrame, c: I.Config, folder: str, step_days: int = 7, boo
         both = materialise(full(news.where(F.col("published_at") < F.lit(b)), c).join(now, "news_id"))
         m = M.pairwise(both, "cluster", "cluster_id").first()
         n, clusters = both.agg(F.count("*"), F.countDistinct("cluster_id")).first()
-        rows.append((b, n, clusters, m.precision, m.recall, m.f1))
+        rows.append((b.to_pydatetime(), n, clusters, m.precision, m.recall, m.f1))
     return spark.createDataFrame(rows, "upto timestamp, rows long, clusters long, precision double, recall double, f1 double")
