@@ -1,12 +1,18 @@
-"""TF-IDF over word n-grams as relational algebra: weights are joined on terms, never densified."""
+"""TF-IDF over word n-grams as relational algebra, never densified; similar rows by prefixes of rare terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
+from .pairs import in_band
+
 
 def weights(rows: DataFrame, key: str, text: str, sublinear: bool = False, min_df: int = 1, max_share: float = 1.0, prefix: int | None = None) -> DataFrame:
     """(key, term, w): tf * (ln((1 + n) / (1 + df)) + 1), rows of unit length; terms are words and pairs of words."""
@@ -22,7 +28,52 @@ def weights(rows: DataFrame, key: str, text: str, sublinear: bool = False, min_d
     return x.join(size, key).select(key, "term", (F.col("w") / F.col("size")).alias("w"))
 
 
-def cosines(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
-    """(left_id, right_id, similarity) for weights (id, term, w) that share a term."""
-    x = left.select(F.col("id").alias("left_id"), "term", F.col("w").alias("a")).join(right.select(F.col("id").alias("right_id"), "term", F.col("w").alias("b")), "term")
-    return x.groupBy("left_id", "right_id").agg(F.sum(F.col("a") * F.col("b")).alias("similarity")).where(F.col("similarity") >= least)
+def prefixes(weights: DataFrame, least: float) -> DataFrame:
+    """(id, term): the rarest terms of each row, without which no cosine of ``least`` is reached.
+
+    Terms are passed by falling frequency. As long as the row's weights so far, against the
+    highest weight that each term has anywhere, or against any unit vector, give less than
+    ``least``, the terms are left out. Both rows of a pair leave out a head of the same
+    order, and neither head gives ``least``, so the pair shares a term that both keep.
+    """
+    stats = weights.groupBy("term").agg(F.count("*").alias("df"), F.max("w").alias("most"))
+    upto = Window.partitionBy("id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    bound = F.least(F.sum(F.col("w") * F.col("most")).over(upto), F.sqrt(F.sum(F.col("w") * F.col("w")).over(upto)))
+    return weights.join(stats, "term").withColumn("bound", bound).where(F.col("bound") >= least - 1e-9).select("id", "term")
+
+
+def candidates(news: DataFrame, weights: DataFrame, least: float, days: float) -> DataFrame:
+    """(a, b): rows of one topic at most ``days`` apart, a first, that share a term of both prefixes; row_pos are the ids of weights.
+
+    Rows meet by topic, time bucket and term, so a frequent term or topic is split by the others.
+    """
+    kept = prefixes(weights, least).withColumnRenamed("id", "row_pos").join(news.select("row_pos", "news_id", "topic", "published_at"), "row_pos")
+    return in_band(kept, days, [], ["topic", "term"]).select(F.col("left_row_pos").alias("a"), F.col("right_row_pos").alias("b")).distinct()
+
+
+def similar(news: DataFrame, weights: DataFrame, least: float = 0.42, days: float = 14) -> DataFrame:
+    """(a, b, similarity) with a cosine of at least ``least``: exact products of the candidates alone.
+
+    A candidate goes to its earlier row's weights and brings the later row's, each as one row of terms and weights.
+    """
+    rows = weights.groupBy("id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws"))
+    pairs = candidates(news, weights, least, days)
+    left = rows.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "terms", "ws")
+    right = pairs.join(rows.withColumnRenamed("id", "b"), "b").select("a", "b", "terms", "ws")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, float] = {}
+        for batch in batches:
+            a, b, s = [], [], []
+            for x, y, terms, ws in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "terms", "ws")], strict=True):
+                if y is None:
+                    own = dict(zip(terms, ws, strict=True))
+                    continue
+                a.append(x)
+                b.append(y)
+                s.append(math.fsum(own[t] * w for t, w in zip(terms, ws, strict=True) if t in own))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    met = left.join(pairs.select("a").distinct(), "a", "left_semi").union(right)
+    out = met.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInArrow(products, "a long, b long, similarity double")
+    return out.where(F.col("similarity") >= least)

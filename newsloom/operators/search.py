@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import vector as V
 
+from .components import materialise, ranked
+
 
 def visible(organization: str | None = None, language: str | None = None, source: str | None = None, published_from: str | None = None, published_to: str | None = None, min_novelty: float | None = None) -> Column:
     """The conjunction of the filters that are given; both ends of the period are included."""
@@ -27,6 +31,11 @@ def candidate_limit(k: int) -> int:
     return min(max(10 * k, 100), 1000)
 
 
+def candidate_limits(k: Column) -> Column:
+    """candidate_limit of a column."""
+    return F.least(F.greatest(10 * k, F.lit(100)), F.lit(1000)).cast("long")
+
+
 def nearest(articles: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
     """The first candidate_limit(k) rows by cosine with score and 1-based rank; rank is given before any relevance cut."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -35,32 +44,56 @@ def nearest(articles: DataFrame, query: list[float], k: int, where: Column | Non
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("news_id").asc())))
 
 
-def nearest_of_many(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """(query_id, news_id, score, rank) for a stated set of queries (query_id, query) against all rows.
+QUERIES = 4096  # that a task compares its rows with at once
 
-    Each task keeps the best k of its rows for each query before anything is shuffled;
-    rows with equal scores go by news_id, in a task as in the result.
-    """
-    import numpy as np
-    import pandas as pd
 
-    asked = queries.select("query_id", V.doubles(F.col("query")).alias("query")).collect()  # the stated queries, not the data
+def _block(asked: list, corpus: DataFrame, k: int, kind: str) -> DataFrame:
+    """(query_id, news_id, score): of each task's rows the best k for each of at most QUERIES queries."""
     ids, q = [r.query_id for r in asked], np.array([r.query for r in asked], float)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(ids) else q
 
     def best(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # (names, scores) of each query so far
+
+        def top(name: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.lexsort((name, -np.round(s, 9)))[:k]
+            return name[order], s[order]
+
         for pdf in batches:
             if not len(pdf) or not ids:
                 continue
             x = np.array(pdf["embedding"].tolist(), float)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s, name = q @ x.T, pdf["news_id"].to_numpy()
-            by_name = np.argsort(name.astype(str), kind="stable")
-            top = by_name[np.argsort(-np.round(s[:, by_name], 9), axis=1, kind="stable")[:, :k]]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "news_id": name[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
+            s, name = q @ x.T, pdf["news_id"].to_numpy().astype(str)
+            found = []
+            for row in s:
+                cut = np.round(row, 9)
+                some = np.flatnonzero(cut >= np.partition(cut, -k)[-k]) if len(row) > k else np.arange(len(row))
+                found.append((name[some], row[some]))
+            held = [top(*(np.concatenate(p) for p in zip(a, b, strict=True))) for a, b in zip(held, found, strict=True)] if held else [top(*f) for f in found]
+        if held:
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(n) for n, _ in held]), "news_id": np.concatenate([n for n, _ in held]), "score": np.concatenate([s for _, s in held])})
+
+    return corpus.select("news_id", V.doubles(F.col("embedding")).alias("embedding")).mapInPandas(best, f"query_id {kind}, news_id string, score double")
 
-    kind = dict(queries.dtypes)["query_id"]
-    found = corpus.select("news_id", V.doubles(F.col("embedding")).alias("embedding")).mapInPandas(best, f"query_id {kind}, news_id string, score double")
+
+def nearest_of_many(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(query_id, news_id, score, rank) for a stated set of queries (query_id, query) against all rows.
+
+    Queries are taken in blocks of QUERIES, so what reaches the driver and each task is
+    bounded. Each task keeps the best k of its rows for each query of a block before
+    anything is shuffled; rows with equal scores go by news_id, in a task as in the result.
+    """
+    own, kind = queries.select("query_id", V.doubles(F.col("query")).alias("query")), dict(queries.dtypes)["query_id"]
+    n = own.count()
+    if n <= QUERIES:
+        found = _block(own.collect(), corpus, k, kind)
+    else:
+        placed, found = materialise(ranked(own, F.col("query_id"), name="place")), None
+        for at in range(0, n, QUERIES):
+            asked = placed.where((F.col("place") >= at) & (F.col("place") < at + QUERIES)).collect()
+            part = materialise(_block(asked, corpus, k, kind))
+            found = part if found is None else found.union(part)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("news_id").asc()))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

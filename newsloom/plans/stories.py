@@ -73,10 +73,8 @@ def v08_tfidf_weights(spark, sf):
 
 @query("SELECT x.id::BIGINT AS a, y.id::BIGINT AS b, round(sum(x.w * y.w), 5) AS similarity FROM wts x JOIN wts y ON x.term = y.term JOIN news a ON a.row_pos = x.id JOIN news b ON b.row_pos = y.id AND a.topic = b.topic AND (a.published_at < b.published_at OR (a.published_at = b.published_at AND a.row_pos < b.row_pos)) AND date_diff('hour', a.published_at, b.published_at) <= 14 * 24 GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.3", "news", _TFIDF)
 def j07_tfidf_band_join(spark, sf):
-    w = materialise(_weights(spark, sf))
-    band = P.in_band(news(spark, sf), 14, []).select(F.col("left_row_pos").alias("a"), F.col("right_row_pos").alias("b"))
-    x = band.join(w.toDF("a", "term", "x"), "a").join(w.toDF("b", "term", "y"), ["b", "term"])
-    return x.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where("s >= 0.3").select("a", "b", F.round("s", 5).alias("similarity"))
+    found = X.similar(news(spark, sf), materialise(_weights(spark, sf)), 0.3, 14)
+    return found.select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
 @query("SELECT row_pos::BIGINT AS row_pos, previous::BIGINT AS previous, round(sim, 6) AS similarity, n::BIGINT AS n FROM (SELECT y.row_pos, x.row_pos AS previous, list_dot_product(x.unit, y.unit) AS sim, row_number() OVER (PARTITION BY y.row_pos ORDER BY list_dot_product(x.unit, y.unit) DESC, x.row_pos) AS n FROM u x JOIN u y ON x.topic = y.topic AND x.published_at < y.published_at AND y.published_at - x.published_at <= INTERVAL 30 DAY JOIN comp cx ON cx.row_pos = x.row_pos JOIN comp cy ON cy.row_pos = y.row_pos WHERE cx.component <> cy.component AND list_dot_product(x.unit, y.unit) >= 0.2) WHERE n <= 10", "u comp")
