@@ -709,30 +709,50 @@ def st10_import_progress(spark, sf):
     return J.progress(spark, "job", told).where("stage <> 'finishing'").select("stage", F.col("percent").cast("long").alias("percent"), "rows")
 
 
-def _message_log(spark, sf):
-    """All events as messages, read as a stream and dispatched by type; one type fails."""
-    from newsloom.streaming import stream as Z
-
-    path = folder(spark)
-    kinds = F.when(F.col("event_type") == "view", "import").when(F.col("event_type") == "click", "broken").otherwise("run")
-    K.messages(table(spark, sf, "events").select(kinds.alias("type"), F.col("event_id").cast("string").alias("job_id")).coalesce(1), f"{path}/queue")
-    log = Z.StateTable(spark, f"{path}/log", Z.JOBS_SCHEMA)
+def _job_queue(spark, sf, meter=None):
+    """All events as messages of a queue: views are imports, clicks always fail, purchases fail once, the rest has no handler."""
+    from newsloom.streaming import queue as Q
 
     def broken(batch, n):
-        raise ValueError("no handler")
+        raise ValueError("no model")
+
+    def flaky(batch, n):
+        if batch.where("attempt = 0").limit(1).count():
+            raise ValueError("no connection yet")
+
+    kinds = F.when(F.col("event_type") == "view", "import").when(F.col("event_type") == "click", "broken").when(F.col("event_type") == "purchase", "flaky").otherwise("odd")
+    q = Q.JobQueue(spark, folder(spark), {"import": lambda batch, n: batch.count(), "broken": broken, "flaky": flaky}, meter=meter)
+    q.publish(table(spark, sf, "events").select(kinds.alias("type"), F.col("event_id").cast("string").alias("job_id")).repartition(8))
+    q.drain()
+    return q
+
 
-    Z.jobs(I.queue(spark, f"{path}/queue"), {"import": lambda batch, n: None, "run": lambda batch, n: None, "broken": broken}, log, f"{path}/checkpoint").awaitTermination()
-    return log.read()
+_KIND = "CASE event_type WHEN 'view' THEN 'import' WHEN 'click' THEN 'broken' WHEN 'purchase' THEN 'flaky' ELSE 'odd' END"
 
 
-@query("SELECT CASE event_type WHEN 'view' THEN 'import' WHEN 'click' THEN 'broken' ELSE 'run' END AS type, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT type, status, attempts::BIGINT AS attempts, count(*) AS n FROM (SELECT {_KIND} AS type, CASE event_type WHEN 'view' THEN 'done' WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'failed' ELSE 'unknown' END AS status, CASE event_type WHEN 'click' THEN 3 WHEN 'purchase' THEN 2 ELSE 1 END AS attempts FROM events) GROUP BY 1, 2, 3")
 def s16_queue(spark, sf):
-    return _message_log(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+    return _job_queue(spark, sf).status().groupBy("type", "status", F.col("attempts").cast("long").alias("attempts")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT CASE event_type WHEN 'click' THEN 'failed' ELSE 'done' END AS status, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT {_KIND} AS type, CASE event_type WHEN 'click' THEN 'no model' ELSE 'no handler' END AS error, event_id::BIGINT AS job_id FROM events WHERE event_type NOT IN ('view', 'purchase')")
 def st01_dispatched_batches(spark, sf):
-    return _message_log(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
+    """The dead letters: jobs that have failed too often, and those of unknown types."""
+    return _job_queue(spark, sf).dead().select("type", "error", F.col("job_id").cast("long").alias("job_id"))
+
+
+_ATTEMPTS = f"att AS (SELECT {_KIND} AS mode, event_type FROM events)"
+
+
+@query("SELECT mode, status, articles::BIGINT AS articles, seen::BIGINT AS seen FROM (SELECT 'import' AS mode, 'done' AS status, count(*) FILTER (mode = 'import') AS articles, count(*) FILTER (mode = 'import') AS seen FROM att UNION ALL SELECT 'broken', 'failed', 0, 3 * count(*) FILTER (mode = 'broken') FROM att UNION ALL SELECT 'flaky', 'failed', 0, 2 * count(*) FILTER (mode = 'flaky') FROM att UNION ALL SELECT 'flaky', 'done', count(*) FILTER (mode = 'flaky'), 2 * count(*) FILTER (mode = 'flaky') FROM att)", extra=_ATTEMPTS)
+def st12_job_metrics(spark, sf):
+    """Counters of a drained queue: articles of done jobs, and the messages of that mode that the stream observed, each attempt once."""
+    from newsloom.streaming import metrics as Z
+
+    with Z.Meter(spark, folder(spark)) as meter:
+        _job_queue(spark, sf, meter)
+    seen = meter.observed().where("name = 'messages'").groupBy(F.col("metric").alias("mode")).agg(F.sum("value").cast("long").alias("seen"))
+    return Z.counters(meter.jobs()).join(seen, "mode").select("mode", "status", "articles", "seen")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1")

@@ -58,11 +58,12 @@ def assign(articles: DataFrame, state: StateTable, checkpoint: str, config: I.Co
 
 
 def jobs(messages: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], log: StateTable, checkpoint: str) -> StreamingQuery:
-    """Dispatch each micro-batch by message type; a failing type is marked and the rest goes on."""
+    """Dispatch each micro-batch by message type; a failing or unknown type is marked and the rest goes on. ``queue.JobQueue`` also retries."""
 
     def step(batch: DataFrame, n: int) -> None:
         batch = batch.persist()
-        marks = None
+        lost = batch.where(~F.coalesce(F.col("type").isin(*handlers), F.lit(False)))
+        marks = lost.select("job_id", "type", F.lit("unknown").alias("status"), F.lit("no handler").alias("error"))
         for kind, handle in handlers.items():
             own = batch.where(F.col("type") == kind)
             try:
@@ -71,7 +72,7 @@ def jobs(messages: DataFrame, handlers: dict[str, Callable[[DataFrame, int], Non
             except Exception as e:  # noqa: BLE001  a failed job is recorded, and the queue goes on
                 status, error = "failed", str(e)[:500]
             mark = own.select("job_id", F.lit(kind).alias("type"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"))
-            marks = mark if marks is None else marks.unionByName(mark)
+            marks = marks.unionByName(mark)
         log.write(upserted(log.read(before=n), marks.dropDuplicates(["job_id"]), ["job_id"]), n)
         batch.unpersist()
 

@@ -241,3 +241,51 @@ def test_keyed_stream_equals_the_batch_and_restarts(spark, tmp_path):
     assert all(sizes[r.topic, r.cluster_id] == r.size for r in closed)
     state = spark.read.format("statestore").option("path", str(tmp_path / "ck2")).option("stateVarName", "rows").load()
     assert state.count() < 60
+
+
+def test_queue_retries_and_keeps_dead_letters(spark, tmp_path):
+    from newsloom.streaming import metrics, queue
+
+    calls = []
+
+    def flaky(batch, n):
+        calls.append(sorted(r.job_id for r in batch.collect()))
+        if len(calls) == 1:
+            raise RuntimeError("try again")
+
+    def broken(batch, n):
+        raise RuntimeError("never")
+
+    rows = [("full", f"f{i}") for i in range(20)] + [("flaky", "a"), ("flaky", "b"), ("broken", "c"), ("odd", "d"), (None, "e")]
+    messages = spark.createDataFrame(rows, "type string, job_id string")
+    with metrics.Meter(spark, str(tmp_path / "m")) as meter:
+        first = queue.JobQueue(spark, str(tmp_path / "q"), {"full": lambda b, n: b.count(), "flaky": flaky, "broken": broken}, attempts=2, meter=meter)
+        first.publish(messages.repartition(3))
+        assert len(list((tmp_path / "q" / "in").glob("part-*"))) > 1
+        first.start().awaitTermination()
+        assert {r.job_id: r.status for r in first.status().collect()} | {"a": "failed"} == {r.job_id: r.status for r in first.status().collect()}
+        again = queue.JobQueue(spark, str(tmp_path / "q"), first.handlers, attempts=2, meter=meter)  # restarted: goes on from its folder
+        again.drain()
+    got = {r.job_id: (r.status, r.attempts) for r in again.status().collect()}
+    assert got == {**{f"f{i}": ("done", 1) for i in range(20)}, "a": ("done", 2), "b": ("done", 2), "c": ("failed", 2), "d": ("unknown", 1), "e": ("unknown", 1)}
+    assert calls == [["a", "b"], ["a", "b"]]
+    assert {(r.job_id, r.error) for r in again.dead().collect()} == {("c", "never"), ("d", "no handler"), ("e", "no handler")}
+    again.drain()  # nothing waits
+    assert again.log().count() == 20 + 4 + 2 + 2
+    counted = {(r["mode"], r.status): (r.jobs, r.articles) for r in metrics.counters(meter.jobs()).collect()}
+    assert counted == {("full", "done"): (1, 20), ("flaky", "failed"): (1, 0), ("flaky", "done"): (1, 2), ("broken", "failed"): (2, 0)}
+    seen = {r.metric: r.n for r in meter.observed().groupBy("metric").agg(F.sum("value").alias("n")).collect()}
+    assert seen == {"all": 25 + 3, "full": 20, "flaky": 4, "broken": 2}
+    assert {r.le: r.n for r in metrics.buckets(meter.jobs()).where("mode = 'broken'").collect()}[float("inf")] == 2
+    assert {r["mode"]: r.last_status for r in metrics.gauges(meter.jobs()).collect()} == {"full": "done", "flaky": "done", "broken": "failed"}
+
+
+def test_timed_batch_jobs(spark, tmp_path):
+    from newsloom.streaming import metrics
+
+    meter = metrics.Meter(spark, str(tmp_path / "m"))
+    assert meter.timed("full", spark.range(70), lambda df: df.collect()[-1].id) == 69
+    with pytest.raises(ZeroDivisionError):
+        meter.timed("full", spark.range(5), lambda df: 1 / 0)
+    meter.flush()
+    assert sorted((r.status, r.rows) for r in meter.jobs().collect()) == [("done", 70), ("failed", 0)]
