@@ -85,10 +85,25 @@ def s05_decoded_import(spark, sf):
     return good.select("title", F.date_format("published_at", "yyyy-MM-dd").alias("day"), "topic")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT source) AS topics FROM documents")
+@query("SELECT 'u' || doc_id AS url, coalesce(text, '') AS text, source AS topic FROM documents")
+def s06_zip_import(spark, sf):
+    """All documents as ZIPs of CSV files and read back, whole texts included."""
+    from newsloom.sources import archives
+
+    path = folder(spark)
+    archives.zipped(files(spark, sf).repartition(4), path)
+    return archives.read(spark, path, "url string, text string, topic string")
+
+
+@query("SELECT kind, source AS topic, count(*) AS n, sum(length(coalesce(text, '')))::BIGINT AS length FROM documents, (VALUES ('article_csv'), ('article_files'), ('csv')) k(kind) GROUP BY 1, 2")
 def s07_importer_registry(spark, sf):
-    raw = I.read(spark, "csv", saved(files(spark, sf), folder(spark)))
-    return raw.agg(F.count("*").alias("n"), F.countDistinct("topic").alias("topics"))
+    """The same files through each registered format."""
+    path, out = saved(files(spark, sf), folder(spark)), None
+    for kind in I.READERS:
+        raw = I.read(spark, kind, path)
+        part = raw.groupBy(F.lit(kind).alias("kind"), "topic").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("text", F.lit("")))).cast("long").alias("length"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _articles(spark, sf):
@@ -698,12 +713,12 @@ def x12_most_important_feature(spark, sf):
 # --- streams and jobs -------------------------------------------------------------------------
 
 
-@query("SELECT stage, percent::BIGINT AS percent, CASE stage WHEN 'reading' THEN 0 ELSE (SELECT count(*) FROM documents) END::BIGINT AS rows FROM (VALUES ('reading', 5), ('parsing', 25), ('matching', 55), ('inserting', 85), ('completed', 100)) t(stage, percent)")
+@query("SELECT stage, percent::BIGINT AS percent, CASE stage WHEN 'reading' THEN 0 WHEN 'parsing' THEN (SELECT count(*) FROM documents) ELSE (SELECT count(*) FROM documents WHERE regexp_matches(text, '[^ ]')) END::BIGINT AS rows FROM (VALUES ('reading', 5), ('parsing', 25), ('matching', 55), ('inserting', 85), ('completed', 100)) t(stage, percent)")
 def st10_import_progress(spark, sf):
     from newsloom.sources import jobs as J
 
     path, told = folder(spark), []
-    saved(files(spark, sf).withColumn("text", F.lit("text")), path)
+    saved(files(spark, sf), path)
     known = docs(spark, sf).limit(0).select(F.col("doc_id").cast("string").alias("news_id"), F.lit("").alias("canonical_url"), F.lit("").alias("content_hash"))
     J.import_job(spark, "article_csv", f"{path}/*.csv", known, lambda *x: told.append(x), 10**9)
     return J.progress(spark, "job", told).where("stage <> 'finishing'").select("stage", F.col("percent").cast("long").alias("percent"), "rows")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,7 @@ from newsloom.operators.prepare import import_row
 RAW = "url string, title string, text string, topic string, tags string, date string"
 MAX_ROWS, MAX_BYTES, MAX_ERRORS = 50_000, 200 << 20, 20
 ENCODINGS = ("utf-8-sig", "cp1251")
+csv.field_size_limit(sys.maxsize)  # texts may be longer than the module's default
 
 
 def csv_table(spark: SparkSession, path: str, schema: str = RAW, limit: int | None = None) -> DataFrame:
@@ -122,7 +124,13 @@ def imported(rows: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFrame, Data
     return good, errors
 
 
-READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"article_csv": import_files, "csv": csv_table}
+def _article_files(spark: SparkSession, path: str) -> DataFrame:
+    from . import archives
+
+    return archives.read(spark, path)
+
+
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"article_csv": import_files, "article_files": _article_files, "csv": csv_table}
 
 
 def read(spark: SparkSession, kind: str, path: str) -> DataFrame:

@@ -289,3 +289,33 @@ def test_timed_batch_jobs(spark, tmp_path):
         meter.timed("full", spark.range(5), lambda df: 1 / 0)
     meter.flush()
     assert sorted((r.status, r.rows) for r in meter.jobs().collect()) == [("done", 70), ("failed", 0)]
+
+
+def test_article_files_as_a_data_source(spark, tmp_path):
+    from newsloom.sources import archives
+
+    long = "word " * 60_000
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.csv").write_bytes("﻿".encode() + f'title,text,date,extra\nA,"{long}",2020/01/02,x\n"B ""q""","two\nlines",2020-01-03,\nshort\n'.encode())
+    with zipfile.ZipFile(tmp_path / "in" / "sub" / "b.ZIP", "w") as z:
+        z.writestr("in/one.CSV", "title,text,published_at\nЗаголовок,текст,2020-01-01T12:30:00+03:00\n".encode("cp1251"))
+        z.writestr("two.csv", "published_at,text,title\n2020-01-05,t,T\n")
+        z.writestr("readme.txt", "x")
+    df = archives.read(spark, str(tmp_path / "in"))
+    assert df.rdd.getNumPartitions() == 3
+    got = {r.title: r for r in df.collect()}
+    assert set(got) == {"A", 'B "q"', "short", "Заголовок", "T"}
+    assert got["A"].text == long and got['B "q"'].text == "two\nlines" and got["short"].text is None and got["T"].file == "two.csv" and got["T"].line == 2
+    some = archives.read(spark, str(tmp_path / "in"), "text string, title string", preferred="two.csv")
+    assert some.columns == ["text", "title"] and {r.title for r in some.collect()} == {"A", 'B "q"', "short", "T"}
+    (tmp_path / "bad").mkdir()
+    for name, content in (("a.csv", b""), ("b.csv", b"title,body\nx,y\n"), ("c.txt", b"x")):
+        for f in (tmp_path / "bad").iterdir():
+            f.unlink()
+        (tmp_path / "bad" / name).write_bytes(content)
+        with pytest.raises(Exception, match="is empty|lacks title|no CSV"):
+            archives.read(spark, str(tmp_path / "bad")).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("cast(doc_id AS string) title", "coalesce(text, '') text", "'2020-01-01' date")
+    archives.zipped(docs.repartition(3), str(tmp_path / "z"), 40)
+    back = archives.read(spark, f"file://{tmp_path}/z", "title string, text string, date string")
+    assert back.rdd.getNumPartitions() >= 6 and sorted(back.collect()) == sorted(docs.collect())
