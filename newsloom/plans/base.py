@@ -8,6 +8,7 @@ the operators keep their own defaults.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import attach as A
 from newsloom.operators import features as W
 from newsloom.operators import pairs as P
-from newsloom.operators.components import labelled, materialise
+from newsloom.operators.components import checkpoint_root, labelled, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share."""
+    return f"{checkpoint_root(spark).rstrip('/')}/newsloom-{uuid.uuid4().hex}"
+
+
 def news(spark: SparkSession, sf: str) -> DataFrame:
     e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
     at = F.expr("timestampadd(HOUR, CAST((vec_id * 7) % 1440 AS INT), TIMESTAMP '2024-01-01 00:00:00')")

@@ -163,11 +163,12 @@ def a51_effective_weights(spark, sf):
     return x.groupBy(F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("weight"), r6(F.avg("w"), "mean"))
 
 
-@query("SELECT s.cluster::BIGINT AS cluster, CASE WHEN a.cluster IS NULL THEN 'old' ELSE 'new' END AS version FROM (SELECT DISTINCT cluster FROM fin) s LEFT JOIN (SELECT DISTINCT cluster FROM fin WHERE row_pos < 40) a USING (cluster)", "fin")
+@query("SELECT s.cluster::BIGINT AS cluster, CASE WHEN a.cluster IS NULL THEN 'old' ELSE 'new' END AS version FROM (SELECT DISTINCT cluster FROM fin) s LEFT JOIN (SELECT DISTINCT cluster FROM fin JOIN news USING (row_pos) WHERE published_at >= TIMESTAMP '2024-02-15') a USING (cluster)", "fin")
 def k06_refreshed_summaries(spark, sf):
     f = materialise(final(spark, sf))
     old = f.select("cluster").distinct().withColumn("version", F.lit("old"))
-    hit = f.where("row_pos < 40").select("cluster").distinct()
+    late = news(spark, sf).where("published_at >= '2024-02-15'").select("row_pos")
+    hit = f.join(late, "row_pos", "left_semi").select("cluster").distinct()
     return Y.refreshed(old, hit.withColumn("version", F.lit("new")), hit, ["cluster"])
 
 

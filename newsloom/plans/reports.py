@@ -14,7 +14,7 @@ from newsloom.operators import prepare as R
 from newsloom.operators import search as S
 from newsloom.operators.components import materialise
 
-from .base import NUM, TOK, clusters, edges, feature_rows, final, news, query, r6, stamp, table
+from .base import NUM, TOK, clusters, edges, feature_rows, final, folder, news, query, r6, stamp, table
 
 TS = "strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
@@ -96,17 +96,17 @@ def _articles(spark, sf):
     return d.select(F.col("doc_id").cast("long").alias("news_id"), F.element_at(F.array(F.lit("draft"), F.lit("public"), F.lit("archived")), (F.col("doc_id") % 3 + 1).cast("int")).alias("visibility"), F.when(F.col("doc_id") % 2 == 0, "not_started").otherwise("processed").alias("status"))
 
 
-@query("SELECT doc_id::BIGINT AS news_id, CASE WHEN doc_id % 6 = 0 AND doc_id < 60 THEN 'public' ELSE visibility END AS visibility, CASE WHEN doc_id % 6 = 0 AND doc_id < 60 THEN 'pending' ELSE status END AS status FROM art", extra=_LIFE)
+@query("SELECT doc_id::BIGINT AS news_id, CASE WHEN visibility = 'draft' AND status = 'not_started' THEN 'public' ELSE visibility END AS visibility, CASE WHEN visibility = 'draft' AND status = 'not_started' THEN 'pending' ELSE status END AS status FROM art", extra=_LIFE)
 def p33_lifecycle_publish(spark, sf):
     a = _articles(spark, sf)
-    out, _ = L.changed(a.where("news_id % 6 = 0 AND news_id < 60").select("news_id"), a, L.may_publish(), {"visibility": F.lit("public"), "status": F.lit("pending")})
+    out, _ = L.changed(a.where("visibility = 'draft' AND status <> 'processed'").select("news_id"), a, L.may_publish(), {"visibility": F.lit("public"), "status": F.lit("pending")})
     return out
 
 
-@query("SELECT doc_id::BIGINT AS news_id FROM art WHERE doc_id < 30 AND NOT (visibility = 'draft' AND status IN ('not_started', 'error'))", extra=_LIFE)
+@query("SELECT doc_id::BIGINT AS news_id FROM art WHERE NOT (visibility = 'draft' AND status IN ('not_started', 'error'))", extra=_LIFE)
 def p33_lifecycle_rejected(spark, sf):
     a = _articles(spark, sf)
-    _, bad = L.changed(a.where("news_id < 30").select("news_id"), a, L.may_publish(), {"visibility": F.lit("public")})
+    _, bad = L.changed(a.select("news_id"), a, L.may_publish(), {"visibility": F.lit("public")})
     return bad
 
 
@@ -593,19 +593,29 @@ def u07_affected_clusters(spark, sf):
 # --- keyed writes ------------------------------------------------------------------------------
 
 
+def _written(spark, schema, state, new, how):
+    """state as a bucketed table by doc_id, changed by new and read back."""
+    from newsloom.sources.keyed import KeyedTable
+
+    t = KeyedTable(spark, folder(spark), schema, ["doc_id"], 8)
+    t.replace(state)
+    getattr(t, how)(new)
+    return t.read()
+
+
 @query("SELECT doc_id::BIGINT AS doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE lang END AS value FROM documents UNION ALL SELECT 1000000 + doc_id, 'new' FROM documents WHERE doc_id % 100 = 0")
 def k03_k10_upsert(spark, sf):
     d = table(spark, sf, "documents")
     state = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("value"))
     new = d.where("doc_id % 4 = 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("new").alias("value")).union(d.where("doc_id % 100 = 0").select((F.col("doc_id") + 1000000).cast("long"), F.lit("new")))
-    return L.upserted(state, new, ["doc_id"])
+    return _written(spark, "doc_id long, value string", state, new, "upsert")
 
 
 @query("SELECT doc_id::BIGINT AS doc_id, coalesce(l.quality, CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS quality, lang FROM documents LEFT JOIN labels l USING (doc_id)")
 def k04_merge_state(spark, sf):
     state = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("lang") == "en", 1).otherwise(0).cast("long").alias("quality"), "lang")
     new = table(spark, sf, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality"))
-    return L.merged(state, new, ["doc_id"])
+    return _written(spark, "doc_id long, quality long, lang string", state, new, "merge")
 
 
 @query("SELECT doc_id::BIGINT AS doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) / 100)::BIGINT AS batch FROM documents")

@@ -5,8 +5,6 @@ Files that a query writes go below the session's checkpoint folder.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -22,19 +20,15 @@ from newsloom.operators import pairs as P
 from newsloom.operators import prepare as R
 from newsloom.operators import search as S
 from newsloom.operators import training as X
-from newsloom.operators.components import checkpoint_root, materialise
+from newsloom.operators.components import materialise
 from newsloom.sources import readers as I
 from newsloom.sources import sinks as K
 
-from .base import CALIBRATED, clusters, edges, feature_rows, final, near, news, query, r6, stamp, table
+from .base import CALIBRATED, clusters, edges, feature_rows, final, folder, near, news, query, r6, stamp, table
 
 TS = "strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
 
-def folder(spark) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/newsloom-{uuid.uuid4().hex}"
-
-
 def docs(spark, sf):
     return table(spark, sf, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
 
@@ -230,7 +224,12 @@ def k05_article_status(spark, sf):
 def k08_job_updates(spark, sf):
     jobs = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("job_id"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"))
     failed = jobs.where("job_id % 3 = 0").select("job_id", F.lit("failed").alias("status"), F.lit("no rows").alias("error"))
-    return L.upserted(jobs, failed, ["job_id"])
+    from newsloom.sources.keyed import KeyedTable
+
+    t = KeyedTable(spark, folder(spark), "job_id long, status string, error string", ["job_id"], 8)
+    t.replace(jobs)
+    t.upsert(failed)
+    return t.read()
 
 
 @query("SELECT doc_id::BIGINT AS doc_id, min(doc_id) OVER (PARTITION BY text) % 5 = 0 OR EXISTS (SELECT 1 FROM documents b WHERE b.text = d.text AND b.doc_id % 5 = 0) AS is_duplicate FROM documents d WHERE doc_id % 5 <> 0".replace("min(doc_id) OVER (PARTITION BY text) % 5 = 0 OR ", ""))

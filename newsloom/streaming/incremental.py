@@ -276,12 +276,16 @@ def checked(history: DataFrame, new: DataFrame) -> None:
         raise ValueError("new rows are stored already")
 
 
+def moved(history: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of the state that changes add or change."""
+    first = new.select(*STATE[:6]).unionByName(history.select(*STATE[:6]))
+    return changes.select("news_id", *STATE[6:]).join(first, "news_id").select(*STATE)
+
+
 def applied(history: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
     """The state after changes."""
-    first = new.select(*STATE[:6]).unionByName(history.select(*STATE[:6]))
     kept = history.join(changes.select("news_id"), "news_id", "left_anti")
-    moved = changes.select("news_id", *STATE[6:]).join(first, "news_id")
-    return kept.select(*STATE).unionByName(moved.select(*STATE))
+    return kept.select(*STATE).unionByName(moved(history, new, changes))
 
 
 def recomputed(state: DataFrame, changes: DataFrame) -> DataFrame:

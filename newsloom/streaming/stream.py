@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsloom.operators.components import materialise
 from newsloom.operators.ledger import upserted
+from newsloom.sources.keyed import KeyedTable
 
 from . import incremental as I
 
@@ -44,14 +46,19 @@ class StateTable:
 STATE_SCHEMA = "news_id string, topic string, published_at timestamp, title string, text string, embedding array<double>, cluster_id string, component_id string, assignment_method string, assignment_parent_news_id string, assignment_similarity double, attached_to_component_id string"
 
 
-def assign(articles: DataFrame, state: StateTable, checkpoint: str, config: I.Config = I.Config(), available_now: bool = True) -> StreamingQuery:  # noqa: B008
-    """Run the incremental step for each micro-batch of an article stream."""
+def assign(articles: DataFrame, state: StateTable | KeyedTable, checkpoint: str, config: I.Config = I.Config(), available_now: bool = True) -> StreamingQuery:  # noqa: B008
+    """Run the incremental step for each micro-batch of an article stream; a KeyedTable by news_id rewrites only the buckets of rows that change."""
 
     def step(batch: DataFrame, n: int) -> None:
         history = state.read(before=n)
         new = batch.dropDuplicates(["news_id"]).join(history.select("news_id"), "news_id", "left_anti")
         changes = I.assigned(history, new, config)
-        state.write(I.applied(history, new.withColumn("embedding", F.col("embedding").cast("array<double>")), changes), n)
+        new = new.withColumn("embedding", F.col("embedding").cast("array<double>"))
+        if isinstance(state, KeyedTable):
+            changes = materialise(changes)
+            state.upsert(I.moved(history, new, changes), n)
+        else:
+            state.write(I.applied(history, new, changes), n)
 
     w = articles.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -319,3 +319,49 @@ def test_article_files_as_a_data_source(spark, tmp_path):
     archives.zipped(docs.repartition(3), str(tmp_path / "z"), 40)
     back = archives.read(spark, f"file://{tmp_path}/z", "title string, text string, date string")
     assert back.rdd.getNumPartitions() >= 6 and sorted(back.collect()) == sorted(docs.collect())
+
+
+def test_keyed_table_rewrites_what_it_touches(spark, tmp_path):
+    from newsloom.sources.keyed import KeyedTable
+
+    table = lambda: KeyedTable(spark, str(tmp_path / "t"), "id long, a string, b long", ["id"], 8)
+    assert table().read().collect() == []
+    rows = spark.range(800).selectExpr("id", "'x' a", "id * 2 b")
+    table().replace(rows)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    before = files()
+    own = F.pmod(F.xxhash64("id"), F.lit(8)) == 3
+    table().upsert(rows.where(own).limit(1).selectExpr("id", "'y' a", "cast(NULL AS long) b"))
+    new = set(files()) - set(before)
+    assert len(new) == 1 and "bucket=3" in str(next(iter(new))) and {p: t for p, t in files().items() if p in before} == before
+    assert table().read().count() == 800 and table().read().where("a = 'y' AND b IS NULL").count() == 1
+    table().merge(spark.createDataFrame([(5, None, 7), (9000, "z", None)], "id long, a string, b long"))
+    got = {r.id: (r.a, r.b) for r in table().read().where("id IN (5, 6, 9000)").collect()}
+    assert got[6] == ("x", 12) and got[9000] == ("z", None) and got[5][1] == 7 and got[5][0] is not None
+    table().delete(spark.range(100))
+    assert table().read().count() == 701
+    t = table()
+    n = t.versions()[-1] + 1
+    t.upsert(spark.createDataFrame([(7000, "q", 1)], "id long, a string, b long"), n)
+    t.upsert(spark.createDataFrame([(7000, "r", 2)], "id long, a string, b long"), n)  # a batch that is run again
+    assert t.read().where("id = 7000").first().a == "r" and t.read(n).count() == 701 and t.read().count() == 702
+    (tmp_path / "t" / "data" / "version=99" / "bucket=1").mkdir(parents=True)  # a write that died
+    assert table().read().count() == 702
+    assert table().vacuum(1) > 0 and table().read().count() == 702
+    with pytest.raises(ValueError):
+        t.upsert(spark.createDataFrame([(1, "q", 1), (1, "r", 1)], "id long, a string, b long"))
+    t.delete(spark.range(10_000))
+    assert t.read().count() == 0
+
+
+def test_stream_into_a_keyed_table(spark, tmp_path):
+    from newsloom.sources.keyed import KeyedTable
+
+    rows = [("1", "2024-01-01", [1.0, 0.0], "t"), ("2", "2024-01-02", [0.9, 0.1], "t"), ("3", "2024-01-03", [0.0, 1.0], "t")]
+    for i, r in enumerate(rows):
+        fresh(spark, [r]).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+    articles = spark.readStream.schema(fresh(spark, rows).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    state = KeyedTable(spark, str(tmp_path / "state"), stream.STATE_SCHEMA, ["news_id"], 4)
+    stream.assign(articles, state, str(tmp_path / "ck")).awaitTermination()
+    got = {r.news_id: r.cluster_id for r in KeyedTable(spark, str(tmp_path / "state"), stream.STATE_SCHEMA, ["news_id"], 4).read().collect()}
+    assert len(got) == 3 and got["1"] == got["2"] != got["3"]
