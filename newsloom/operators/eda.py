@@ -115,10 +115,21 @@ def contiguous(rows: DataFrame, n: int, *order: Column) -> DataFrame:
 def budgeted(clusters: DataFrame, least: int, most: int, *order: Column) -> DataFrame:
     """Clusters taken in order while their sizes fit ``most``, until ``least`` is reached.
 
-    A greedy fold over one small row for each cluster that could fit.
+    A cluster has a row at least, so ``most`` candidates decide as long as all of them fit
+    the room that is left; if some don't, those behind them that do are read next. The
+    driver never sees more than ``most`` clusters at once.
     """
-    rows = clusters.where(F.col("size") <= most).agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col("cluster").alias("cluster"), F.col("size").cast("long").alias("size")))).alias("a"))
-    kind = dict(clusters.dtypes)["cluster"]
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast(f"array<{kind}>").alias("taken"))
-    fold = F.aggregate("a", zero, lambda s, x: F.when((s["n"] < least) & (s["n"] + x["size"] <= most), F.struct((s["n"] + x["size"]).alias("n"), F.array_append(s["taken"], x["cluster"]).alias("taken"))).otherwise(s))
-    return rows.select(F.explode(fold["taken"]).alias("cluster"))
+    from .components import ranked
+
+    placed = ranked(clusters.where((F.col("size") > 0) & (F.col("size") <= most)).select("cluster", "size"), *order, name="_place")
+    taken, n, at = [], 0, -1
+    while n < least:
+        rows = placed.where((F.col("_place") > at) & (F.col("size") <= most - n)).orderBy("_place").limit(most).collect()
+        for r in rows:
+            at = r["_place"]
+            if n < least and n + r["size"] <= most:
+                n += r["size"]
+                taken.append((r["cluster"],))
+        if len(rows) < most:
+            break
+    return clusters.sparkSession.createDataFrame(taken, clusters.select("cluster").schema)

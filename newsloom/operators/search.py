@@ -112,13 +112,20 @@ def grouped(items: DataFrame, k: int | None = None) -> DataFrame:
 
 def search(articles: DataFrame, summaries: DataFrame, query: list[float], k: int = 10, where: Column | None = None, min_relevance: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(clusters, items): the k best stories, expanded to all their processed and public members."""
-    where = visible() if where is None else where
     rich = articles.withColumn("cluster_id", F.coalesce("cluster_id", "news_id")).join(summaries, ["organization_id", "cluster_id"], "left")
+    return _search(rich, query, k, visible() if where is None else where, min_relevance)
+
+
+def _search(rich: DataFrame, query: list[float], k: int, where: Column, min_relevance: float) -> tuple[DataFrame, DataFrame]:
     matched = nearest(rich, query, k, where).where(F.col("score") >= min_relevance)
     best = grouped(matched, k).select("cluster_id", F.col("best_rank").alias("cluster_order"), F.col("score").alias("cluster_score"))
     members = rich.where(visible()).join(best, "cluster_id").join(matched.select("news_id", "score"), "news_id", "left")
-    order = Window.orderBy("cluster_order", "published_at", "news_id")
-    items = members.withColumn("rank", F.row_number().over(order))
+    # Ranks go story by story: a story's first rank is what the stories before it hold, of which there are k at most.
+    members = materialise(members)
+    before = F.sum("n").over(Window.orderBy("cluster_order")) - F.col("n")
+    starts = members.groupBy("cluster_order").agg(F.count("*").alias("n")).select("cluster_order", before.alias("_before"))
+    own = Window.partitionBy("cluster_order").orderBy("published_at", "news_id")
+    items = members.join(F.broadcast(starts), "cluster_order").withColumn("rank", (F.col("_before") + F.row_number().over(own)).cast("int")).drop("_before")
     clusters = grouped(items).drop("score").join(best.select("cluster_id", F.col("cluster_score").alias("score")), "cluster_id")
     return clusters, items
 
@@ -149,3 +156,14 @@ def adjacent_dates(articles: DataFrame, start: str, end: str) -> DataFrame:
     """(previous, next): the closest instants outside [start, end), in one pass."""
     ts, a, b = F.col("published_at"), F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     return articles.agg(F.max(F.when(ts < a, ts)).alias("previous"), F.min(F.when(ts >= b, ts)).alias("next"))
+
+
+def stored(articles: DataFrame, summaries: DataFrame, path: str) -> None:
+    """Articles with their story and its summary, written once for many searches: by language, so that a filter reads its own part."""
+    rich = articles.withColumn("cluster_id", F.coalesce("cluster_id", "news_id")).join(summaries, ["organization_id", "cluster_id"], "left")
+    rich.repartition("language", "cluster_id").sortWithinPartitions("language", "cluster_id").write.mode("overwrite").partitionBy("language").parquet(path)
+
+
+def search_stored(rich: DataFrame, query: list[float], k: int = 10, where: Column | None = None, min_relevance: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """``search`` over the table that ``stored`` has written."""
+    return _search(rich, query, k, visible() if where is None else where, min_relevance)

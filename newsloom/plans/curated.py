@@ -90,9 +90,10 @@ def p35_visible_items(spark, sf):
     from newsloom.operators import novelty as N
 
     x = N.rule_labels(feature_rows(spark, sf), 0.27, 0.33)
-    items = x.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("row_pos", F.col("novelty_label").alias("label")))).alias("items"))
-    top = S.shown(F.col("items"))
-    return items.where(F.size(top) > 0).select("cluster", F.concat_ws(" ", F.transform(top, lambda s: s["row_pos"].cast("string"))).alias("shown"))
+    first = F.row_number().over(Window.partitionBy("cluster").orderBy("row_pos"))
+    top = x.where("novelty_label <> 'duplicate'").withColumn("n", first).where("n <= 3")
+    ids = F.transform(F.array_sort(F.collect_list("row_pos")), lambda i: i.cast("string"))  # three at most
+    return top.groupBy("cluster").agg(F.concat_ws(" ", ids).alias("shown"))
 
 
 @query("SELECT c_custkey::BIGINT AS id FROM customer WHERE contains(lower(c_name), '00001') AND c_mktsegment = 'BUILDING'")

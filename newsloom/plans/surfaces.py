@@ -24,7 +24,7 @@ from newsloom.operators.components import materialise
 from newsloom.sources import readers as I
 from newsloom.sources import sinks as K
 
-from .base import CALIBRATED, clusters, edges, feature_rows, final, folder, near, news, query, r6, stamp, table
+from .base import CALIBRATED, CTE, ORACLE_SQL, clusters, edges, feature_rows, final, folder, near, news, query, r6, stamp, table
 
 TS = "strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
@@ -127,11 +127,13 @@ def s10_aligned_vectors(spark, sf):
     return I.aligned(n.select("news_id", "row_pos"), n.select("news_id", "embedding")).select("row_pos", r6(F.col("embedding")[1], "second"))
 
 
-@query("SELECT row_pos::BIGINT AS row_pos, row_pos = n - 1 AS same FROM (SELECT row_pos, row_number() OVER (ORDER BY row_pos) AS n FROM news)", "news")
+@query("SELECT row_pos::BIGINT AS row_pos, (row_number() OVER (ORDER BY news_id) - 1)::BIGINT AS place, round(embedding[1], 6) AS first FROM news", "news")
 def s11_strict_order(spark, sf):
-    n = news(spark, sf).select("news_id", "row_pos")
-    mine, cache = C.ranked(n, F.col("row_pos")), C.ranked(n.select("news_id", "row_pos"), F.col("row_pos").cast("long"), name="place")
-    return mine.join(cache.select("news_id", "place"), "news_id").select("row_pos", ((F.col("rank") == F.col("place")) & (F.col("row_pos") == F.col("rank"))).alias("same"))
+    """A stored cache whose vectors must stand in the order of the ids; a swapped one is an error."""
+    n, path = news(spark, sf), folder(spark)
+    C.ranked(n.select("news_id", "embedding"), F.col("news_id"), name="place").write.parquet(path)
+    ids = C.ranked(n.select("news_id", "row_pos"), F.col("news_id"), name="place")
+    return I.strictly_aligned(ids, spark.read.parquet(path)).select("row_pos", "place", r6(F.col("embedding")[0], "first"))
 
 
 _LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE)"
@@ -160,12 +162,14 @@ def s12_completed_cache(spark, sf):
     return out.select("row_pos", F.round(F.col("embedding")[4].cast("double"), 4).alias("e"), F.round(F.col("embedding")[25].cast("double"), 4).alias("z"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (p) AS stored FROM (SELECT row_pos % 3 = 0 AS p FROM news)", "news")
+@query(_ENCODED.replace("row_pos, round(v[5]", "row_pos, row_pos % 3 = 0 AS stored, round(v[5]"), "news")
 def j34_missing_vectors(spark, sf):
-    n = news(spark, sf)
-    cache = n.where("row_pos % 3 = 0").select("news_id", "embedding", F.lit(True).alias("stored"))
-    made = I.completed(n.select("news_id"), cache, lambda rows: rows.select("news_id", F.array(F.lit(1.0)).alias("embedding"), F.lit(False).alias("stored")))
-    return made.agg(F.count("*").alias("n"), F.count_if("stored").alias("stored"))
+    """The vectors of a stored third of the ids, and those that the encoder makes for the ids without one."""
+    n, path = news(spark, sf), folder(spark)
+    _encoded(spark, sf, n.where("row_pos % 3 = 0")).withColumn("stored", F.lit(True)).write.parquet(path)
+    made = I.completed(n.select("news_id", "text"), spark.read.parquet(path), lambda rows: _encoded(spark, sf, rows).withColumn("stored", F.lit(False)))
+    out = made.join(n.select("news_id", "row_pos"), "news_id")
+    return out.select("row_pos", "stored", F.round(F.col("embedding")[4].cast("double"), 4).alias("e"), F.round(F.col("embedding")[25].cast("double"), 4).alias("z"))
 
 
 @query("SELECT doc_id::VARCHAR AS news_id, CASE quality WHEN 1 THEN 'significant' ELSE 'minor' END AS novelty_label, length(text)::BIGINT AS text_length FROM labels JOIN documents USING (doc_id)")
@@ -690,23 +694,23 @@ def x10_experiment_table(spark, sf):
 
 
 def _two_sources(spark, sf):
-    f = feature_rows(spark, sf).select("row_pos", "max_prev_similarity", "days_since_previous", "text_length")
-    truth = F.when(F.col("max_prev_similarity") >= 0.2, 0).otherwise(1).alias("target")
-    return X.weighted_union(f.where("row_pos % 4 = 0").select("*", truth), f.where("row_pos % 4 < 3").select("*", truth))
+    """Rows with a label of the labels table, and all rows with one by rule."""
+    f = materialise(feature_rows(spark, sf).select("row_pos", "max_prev_similarity", "days_since_previous", "text_length"))
+    gold = f.join(table(spark, sf, "labels").select(F.col("doc_id").alias("row_pos"), F.col("quality").cast("int").alias("target")), "row_pos")
+    return X.weighted_union(gold, f.withColumn("target", F.when(F.col("max_prev_similarity") >= 0.27, 0).otherwise(1)))
 
 
-@query("SELECT CASE WHEN row_pos % 4 = 0 THEN 1.0 ELSE 0.35 END::DOUBLE AS weight, count(*) AS n FROM news WHERE row_pos % 4 < 3 GROUP BY 1", "news")
+@query("SELECT CASE WHEN l.doc_id IS NULL THEN 0.35 ELSE 1.0 END::DOUBLE AS weight, CASE WHEN l.doc_id IS NULL THEN (mx < 0.27)::INT ELSE quality END::BIGINT AS target, count(*) AS n FROM feat LEFT JOIN labels l ON l.doc_id = row_pos GROUP BY 1, 2", "feat")
 def x11_weighted_union(spark, sf):
-    return _two_sources(spark, sf).groupBy(F.col("weight")).agg(F.count("*").alias("n"))
+    return _two_sources(spark, sf).groupBy("weight", F.col("target").cast("long").alias("target")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 1::BIGINT AS place, 'max_prev_similarity' AS feature")
-def x12_most_important_feature(spark, sf):
-    """Of three features, the one that the target was made from is the most important."""
+@query()
+def x12_feature_importances(spark, sf):
+    """Of trees that were trained on both sources, from the most important feature on."""
     rows = materialise(_two_sources(spark, sf))
     columns = ["max_prev_similarity", "days_since_previous", "text_length"]
-    x = X.importances(X.fitted(rows, columns, "trees"), columns, spark)
-    return x.limit(1).select(F.lit(1).cast("long").alias("place"), "feature")
+    return X.importances(X.fitted(rows, columns, "trees"), columns, spark)
 
 
 # --- streams and jobs -------------------------------------------------------------------------
@@ -769,38 +773,43 @@ def st12_job_metrics(spark, sf):
     return Z.counters(meter.jobs()).join(seen, "mode").select("mode", "status", "articles", "seen")
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def st08_windowed_counts(spark, sf):
-    """Counts of a stream by hour and type, added up over the hours: no row is dropped as late."""
+    """Hourly counts of a stream in the windows that the watermark has closed; rows that come again 60 days late are dropped."""
     from newsloom.streaming import stream as Z
 
-    path = folder(spark)
-    table(spark, sf, "events").select("ts", "event_type", "value").write.parquet(f"{path}/in")
-    live = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{path}/in")
-    counts = Z.event_counts(live).select("window.start", "event_type", "n", "value")
-    out = Z.StateTable(spark, f"{path}/out", "start timestamp, event_type string, n long, value double")
-    counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: out.write(b, n)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return out.read().groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    path, e = folder(spark), table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    e.coalesce(1).write.parquet(f"{path}/in")
+    e.where("false").coalesce(1).write.mode("append").parquet(f"{path}/in")  # rows are late by the watermark of the batch before
+    e.withColumn("ts", F.col("ts") - F.expr("INTERVAL 60 DAYS")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    live = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    counts = Z.event_counts(live, late="1 day").select(F.col("window.start").alias("start"), "event_type", "n", "value")
+    counts.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long, value double").parquet(f"{path}/out").select(stamp("start"), "event_type", "n", F.round("value", 2).alias("value"))
+
 
+_STORIES = "fin AS (SELECT row_pos, component, component AS cluster FROM comp)"
 
-@query("SELECT TRUE AS some, 0::BIGINT AS different")
+
+@query("SELECT row_pos::BIGINT AS row_pos, pos::BIGINT AS position, round(mx, 6) AS top, round(cen, 6) AS centroid, round(since_start, 6) AS since_start, shared::BIGINT AS shared FROM feat WHERE row_pos % 3 = 0", "feat")
 def st06_recomputed_history(spark, sf):
-    """Features of affected rows after an increment, against the features of all rows after it."""
-    from newsloom.operators import features as W
+    """Features of the rows of an increment, a third of all, in stories that it joins, bridges and opens; without attachment they are components."""
     from newsloom.streaming import incremental as Z
 
     c = CALIBRATED
     text = lambda x: F.concat(F.lit("c_"), F.col(x).cast("string"))
     names = {"cluster_id": text("component"), "component_id": text("component"), "assignment_method": F.lit("baseline"), "assignment_parent_news_id": F.lit(None).cast("string"), "assignment_similarity": F.lit(None).cast("double"), "attached_to_component_id": F.lit(None).cast("string")}
-    old = news(spark, sf).where("row_pos % 3 <> 0").join(clusters(spark, sf).select("row_pos", "component"), "row_pos").withColumns(names).select(*Z.STATE)
-    new = news(spark, sf).where("row_pos % 3 = 0")
-    changes = materialise(Z.assigned(old, new, Z.Config(c["strong"], c["attach"], c["days"], c["attach_days"], c["title_jaccard"], c["shared_numbers"], c["margin"])))
+    n = news(spark, sf)
+    stored = n.where("row_pos % 3 <> 0")
+    old = stored.join(C.labelled(stored.select("row_pos"), P.edges(stored, c["strong"], c["days"]), "row_pos"), "row_pos").withColumns(names).select(*Z.STATE)
+    new = n.where("row_pos % 3 = 0")
+    changes = materialise(Z.assigned(old, new, Z.Config(c["strong"], 2.0, c["days"])))
     state = materialise(Z.applied(old, new, changes))
-    some = materialise(Z.recomputed(state, changes)).select("news_id", *W.COLUMNS)
-    rows = state.withColumn("row_pos", F.col("news_id").cast("long"))
-    all_ = W.previous_only(rows, rows.select("row_pos", F.col("cluster_id").alias("cluster"))).select(F.col("row_pos").cast("string").alias("news_id"), *[F.col(x).alias(f"_{x}") for x in W.COLUMNS])
-    differs = F.greatest(*[F.abs(F.col(x) - F.col(f"_{x}")).cast("double") for x in W.COLUMNS]) > 1e-9
-    return some.join(all_, "news_id").agg((F.count("*") > 0).alias("some"), F.count_if(differs).alias("different"))
+    f = Z.recomputed(state, changes).withColumn("row_pos", F.col("news_id").cast("long")).join(new.select("row_pos"), "row_pos", "left_semi")
+    return f.select("row_pos", F.col("position_in_cluster").alias("position"), r6("max_prev_similarity", "top"), r6("previous_centroid_similarity", "centroid"), r6("days_since_cluster_start", "since_start"), F.col("shared_numbers_count").alias("shared"))
+
+
+ORACLE_SQL["st06_recomputed_history"] = ORACLE_SQL["st06_recomputed_history"].replace(CTE["fin"], _STORIES)
 
 
 def _keyed_stream(spark, sf):

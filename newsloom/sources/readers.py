@@ -162,6 +162,15 @@ def aligned(ids: DataFrame, cache: DataFrame) -> DataFrame:
     return out.withColumn("embedding", F.coalesce("embedding", F.raise_error(F.concat(F.lit("no vector for "), F.col("news_id"))).cast(cache.schema["embedding"].dataType)))
 
 
+def strictly_aligned(ids: DataFrame, cache: DataFrame) -> DataFrame:
+    """ids with the vectors at their ``place``; an error if the cache has another id there, none, or places beyond the ids'."""
+    c = cache.select("place", F.col("news_id").alias("_id"), "embedding")
+    out = ids.join(c, "place", "full_outer")
+    same = F.col("news_id").isNotNull() & (F.col("news_id") == F.col("_id"))
+    what = F.concat(F.lit("place "), F.col("place").cast("string"), F.lit(" has "), F.coalesce("_id", F.lit("no id")), F.lit(" for "), F.coalesce("news_id", F.lit("no id")))
+    return out.withColumn("embedding", F.when(F.coalesce(same, F.lit(False)), F.col("embedding")).otherwise(F.raise_error(what).cast(cache.schema["embedding"].dataType))).drop("_id")
+
+
 def completed(ids: DataFrame, cache: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The cache with vectors for ids that it lacks; encode gives (news_id, embedding) for rows."""
     return cache.unionByName(encode(ids.join(cache.select("news_id"), "news_id", "left_anti")))

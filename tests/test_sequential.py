@@ -123,6 +123,35 @@ def test_trained_classifier(spark):
         assert np.mean(by[1]) > np.mean(by[0])
 
 
+def test_feature_importances(spark):
+    out = entry.queries()["x12_feature_importances"](spark, SF).collect()
+    assert {r.feature for r in out} == {"max_prev_similarity", "days_since_previous", "text_length"}
+    assert [r.importance for r in out] == sorted((r.importance for r in out), reverse=True) and abs(sum(r.importance for r in out) - 1) < 1e-6
+
+
+def test_strict_order(spark):
+    ids = spark.createDataFrame([("a", 0), ("b", 1)], "news_id string, place long")
+    cache = spark.createDataFrame([("a", 0, [1.0]), ("b", 1, [2.0])], "news_id string, place long, embedding array<double>")
+    assert {r.news_id: r.embedding for r in readers.strictly_aligned(ids, cache).collect()} == {"a": [1.0], "b": [2.0]}
+    swapped = cache.withColumn("place", 1 - F.col("place"))
+    longer = cache.union(spark.createDataFrame([("c", 2, [3.0])], cache.schema))
+    for bad in (swapped, longer, cache.limit(1)):
+        with pytest.raises(Exception, match="place "):
+            readers.strictly_aligned(ids, bad).collect()
+
+
+def test_budget_skips_what_does_not_fit(spark):
+    from newsloom.operators import eda
+
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([9, 5, 5, 0, 4, 3, 1, 1, 1, 1])], "cluster long, size long")
+    for least, most in ((8, 10), (10, 10), (12, 13), (20, 21), (3, 2), (100, 100)):
+        n, want = 0, []
+        for r in df.collect():
+            if 0 < r.size and n < least and n + r.size <= most:
+                n, want = n + r.size, [*want, r.cluster]
+        assert [r.cluster for r in eda.budgeted(df, least, most, F.col("cluster")).collect()] == want
+
+
 def test_weighted_training_and_importances(spark):
     rng = np.random.default_rng(3)
     data = [(i, float(a), float(b), int(a > 0.5)) for i, (a, b) in enumerate(rng.random((120, 2)))]
