@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ledger as L
+from . import metrics as M
 
 
 def assembled(features: DataFrame, labels: DataFrame, held_out: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -54,3 +58,46 @@ def importances(model, columns: list[str], spark) -> DataFrame:
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
     return spark.createDataFrame([(c, float(x)) for c, x in zip(columns, values, strict=True)], "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
+
+
+@dataclass
+class Classifier:
+    """A fitted pipeline with the threshold above which a row counts as significant."""
+
+    model: object
+    columns: list[str]
+    threshold: float
+
+    def predicted(self, rows: DataFrame) -> DataFrame:
+        """rows with p_significant and predicted (0 or 1)."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.model.transform(rows)
+        p = vector_to_array("probability")[1]
+        return out.select(*rows.columns, p.alias("p_significant"), (p >= self.threshold).cast("int").alias("predicted"))
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(json.dumps(self.columns), float(self.threshold))], "columns string, threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> Classifier:
+        from pyspark.ml import PipelineModel
+
+        r = spark.read.schema("columns string, threshold double").json(f"{path}/settings").first()
+        return Classifier(PipelineModel.load(f"{path}/model"), json.loads(r["columns"]), r["threshold"])
+
+
+def tuned(rows: DataFrame, columns: list[str], kind: str = "logistic", fold: int = 5, steps: int = 99, seed: int = 42) -> tuple[Classifier, DataFrame]:
+    """(classifier, sweep): fitted without one row in ``fold``, its threshold the first of the best F1 on those, then fitted anew on all rows.
+
+    rows: (row_pos, *columns, target, weight); which rows validate is a hash of row_pos. The
+    sweep (threshold, precision, recall, f1) is one pass over the validation rows, in steps of 1 / (steps + 1).
+    """
+    held = F.pmod(F.xxhash64("row_pos"), F.lit(fold)) == 0
+    first = Classifier(fitted(rows.where(~held), columns, kind, seed), columns, 0.5)
+    seen = first.predicted(rows.where(held)).select("p_significant", "target")
+    cuts = [(i + 1) / (steps + 1) for i in range(steps)]
+    x = M.sweep(seen, "target", "p_significant", cuts)
+    best = x.orderBy(F.col("f1").desc(), "threshold").first()
+    return Classifier(fitted(rows, columns, kind, seed), columns, best.threshold), x

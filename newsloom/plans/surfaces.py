@@ -664,6 +664,25 @@ def v09_projection_adapter(spark, sf):
     return E.adapted(n, layers).join(n.select("news_id", "row_pos"), "news_id").select("row_pos", F.round(F.col("embedding")[2].cast("double"), 4).alias("third"))
 
 
+@query()
+def x07_trained_adapter(spark, sf):
+    """Mean cosine of pairs of one story and of hard negatives, before and after an adapter was trained on them."""
+    from newsloom.operators import adapter as A
+    from newsloom.operators import tiles
+    from newsloom.sources import encoders as E
+
+    n, base = news(spark, sf), materialise(clusters(spark, sf)).select("row_pos", "component")
+    side = lambda c: base.select(F.col("row_pos").alias(c), F.col("component").alias(f"_{c}"))
+    hard = tiles.similar(n, 0.18, 14).join(side("a"), "a").join(side("b"), "b").where("_a <> _b").select("a", "b")
+    pairs = materialise(A.pairs_of(n.join(base, "row_pos"), "component", hard))
+    w, told = A.trained(pairs, rounds=12)
+    ids = n.select("news_id", "row_pos")
+    after = E.adapted(n, A.layers(w)).join(ids, "news_id").select("row_pos", V.doubles(F.col("embedding")).alias("v"))
+    x = pairs.select("id_a", "id_b", "same", V.cosine(F.col("a"), F.col("b")).alias("before"))
+    x = x.join(after.toDF("id_a", "va"), "id_a").join(after.toDF("id_b", "vb"), "id_b").withColumn("after", V.cosine(F.col("va"), F.col("vb")))
+    return x.groupBy("same").agg(F.count("*").alias("pairs"), F.avg("before").alias("before"), F.avg("after").alias("after")).withColumn("rounds", F.lit(len(told)))
+
+
 @query("SELECT row_pos::BIGINT AS row_pos, round(1 / (1 + exp(-(2 * mx - 0.5 * since_start / 10 + 0.1))), 6) AS p FROM feat", "feat")
 def x02_pluggable_scorer(spark, sf):
     f = feature_rows(spark, sf)

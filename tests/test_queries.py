@@ -17,6 +17,7 @@ BY_HAND = {
     "g09_nearest_topic": "test_sequential.py::test_nearest_topic",
     "st02_incremental_assignment": "test_streaming.py",
     "x12_feature_importances": "test_sequential.py::test_feature_importances",
+    "x07_trained_adapter": "test_sequential.py::test_trained_adapter",
     "x06_trained_classifier": "test_sequential.py::test_trained_classifier",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

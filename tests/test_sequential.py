@@ -123,6 +123,53 @@ def test_trained_classifier(spark):
         assert np.mean(by[1]) > np.mean(by[0])
 
 
+def test_threshold_on_a_validation_fold_and_stored_models(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 2))
+    data = [(i, float(a), float(b), int(a + 0.2 * b > 0.9), 1.0) for i, (a, b) in enumerate(x)]  # one in five
+    df = spark.createDataFrame(data, "row_pos long, a double, b double, target int, weight double")
+    model, sweep = training.tuned(df, ["a", "b"])
+    f1 = {r.threshold: r.f1 for r in sweep.collect()}
+    assert model.threshold == min(t for t, v in f1.items() if v == max(f1.values())) and max(f1.values()) > 0.85
+    model.save(str(tmp_path / "m"), spark)
+    again = training.Classifier.load(str(tmp_path / "m"), spark)
+    first, second = (sorted(map(tuple, m.predicted(df).select("row_pos", "predicted", "p_significant").collect())) for m in (model, again))
+    assert first == second and again.columns == ["a", "b"]
+    right = {i: t for i, _, _, t, _ in data}
+    assert np.mean([right[i] == p for i, p, _ in first]) > 0.9
+
+
+def test_trained_adapter(spark):
+    from newsloom.operators import adapter
+
+    rng = np.random.default_rng(9)
+    story = np.arange(240) % 40
+    x = np.concatenate([rng.normal(size=(40, 4))[story] + 0.2 * rng.normal(size=(240, 4)), 1.5 * rng.normal(size=(240, 12))], 1)  # four places tell, twelve are noise
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, int(s), v.tolist()) for i, (s, v) in enumerate(zip(story, x, strict=True))], "row_pos long, story int, embedding array<double>")
+    train = rows.where("story < 25")
+    other = [(int(a), int(b)) for a, b in rng.integers(0, 240, (900, 2)) if story[a] != story[b] and max(story[a], story[b]) < 25]
+    pairs = adapter.pairs_of(train, "story", spark.createDataFrame(other, "a long, b long"))
+    assert pairs.where("same").count() == 25 * 15
+    w, told = adapter.trained(pairs, rounds=25)
+    assert told[-1][0] < told[0][0]
+    w2, _ = adapter.trained(pairs.repartition(7), rounds=25)
+    assert np.array_equal(w, w2)  # however pairs are dealt
+
+    def recall(v):  # of the five mates of rows whose stories were not trained on, among the five nearest
+        own = np.flatnonzero(story >= 25)
+        s = v[own] @ v[own].T
+        np.fill_diagonal(s, -2)
+        return np.mean([(story[own][np.argsort(-r)[:5]] == story[own][i]).mean() for i, r in enumerate(s)])
+
+    z = x @ w
+    assert recall(z / np.linalg.norm(z, axis=1, keepdims=True)) > recall(x) + 0.1
+    out = {r.same: r for r in entry.queries()["x07_trained_adapter"](spark, SF).collect()}
+    assert out[True].after - out[False].after >= out[True].before - out[False].before - 1e-6
+    with pytest.raises(ValueError):
+        adapter.trained(pairs.where("false"))
+
+
 def test_feature_importances(spark):
     out = entry.queries()["x12_feature_importances"](spark, SF).collect()
     assert {r.feature for r in out} == {"max_prev_similarity", "days_since_previous", "text_length"}
