@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
+from . import quantiles as Q
+
 
 def quality(rows: DataFrame, min_words: int = 20) -> DataFrame:
     """One row: blanks, duplicates by text and url, short texts."""
@@ -22,14 +24,14 @@ def missing_share(rows: DataFrame) -> DataFrame:
 
 
 def described(rows: DataFrame, value: str, quantiles: tuple[float, ...]) -> DataFrame:
-    q = F.percentile(value, F.array(*[F.lit(x) for x in quantiles]))
-    out = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"), q.alias("q"))
-    return out.select("n", "mean", "std", "low", "high", *[F.col("q")[i].alias(f"q{int(1000 * x)}") for i, x in enumerate(quantiles)])
+    wanted = {f"q{int(1000 * x)}": x for x in quantiles}
+    out = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("low"), F.max(value).cast("double").alias("high"))
+    return out.crossJoin(F.broadcast(Q.exact(rows, F.col(value), wanted)))  # one row
 
 
 def after_quantile(rows: DataFrame, share: float) -> DataFrame:
     """Rows dated at or after the given quantile of all dates; the quantile is one value."""
-    cut = rows.agg(F.percentile(F.unix_micros("published_at"), F.lit(share)).alias("cut"))
+    cut = Q.exact(rows, F.unix_micros("published_at"), {"cut": share})
     return rows.crossJoin(F.broadcast(cut)).where(F.unix_micros("published_at") >= F.col("cut")).drop("cut")
 
 
@@ -47,8 +49,17 @@ def shares(rows: DataFrame, by: str) -> DataFrame:
 
 
 def lengths(rows: DataFrame, by: Column, name: str, value: Column) -> DataFrame:
-    x = rows.select(by.alias(name), value.alias("v"))
-    return x.groupBy(name).agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.9)).alias("p90"), F.percentile("v", F.lit(0.99)).alias("p99"))
+    return with_quantiles(rows, {name: by}, value, {"median": 0.5, "p90": 0.9, "p99": 0.99}, F.avg("v").alias("mean"))
+
+
+def with_quantiles(rows: DataFrame, by: dict[str, Column], value: Column, wanted: dict[str, float], *aggregates: Column) -> DataFrame:
+    """(*by, *aggregates, *wanted): aggregates are over v, the value, and the columns of rows."""
+    out = rows.withColumn("v", value).groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(by.values())]).agg(*aggregates)
+    q = Q.exact(rows, value, wanted, by)
+    same = F.lit(True)
+    for i, n in enumerate(by):
+        same = same & out[f"_k{i}"].eqNullSafe(q[n])
+    return out.join(q, same).drop(*[f"_k{i}" for i in range(len(by))])
 
 
 def cluster_stats(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from newsloom.operators import ledger as L
 from newsloom.operators import metrics as M
 from newsloom.operators import novelty as N
 from newsloom.operators import prepare as R
+from newsloom.operators import quantiles as Q
 from newsloom.operators import search as S
 from newsloom.operators.components import materialise
 
@@ -320,9 +321,10 @@ def a17_cluster_structure(spark, sf):
 
 @query("SELECT round(avg(CASE WHEN mx >= 0.33 THEN 1 ELSE 0 END), 6) AS agreement, round(avg(abs(mx - mean)), 6) AS mae, round(quantile_cont(abs(mx - mean), 0.95), 6) AS p95 FROM feat WHERE pos > 0", "feat")
 def a18_probability_errors(spark, sf):
-    f = feature_rows(spark, sf).where("position_in_cluster > 0")
+    f = materialise(feature_rows(spark, sf).where("position_in_cluster > 0"))
     e = F.abs(F.col("max_prev_similarity") - F.col("mean_prev_similarity"))
-    return f.agg(r6(F.avg((F.col("max_prev_similarity") >= 0.33).cast("double")), "agreement"), r6(F.avg(e), "mae"), r6(F.percentile(e, F.lit(0.95)), "p95"))
+    x = f.agg(r6(F.avg((F.col("max_prev_similarity") >= 0.33).cast("double")), "agreement"), r6(F.avg(e), "mae"))
+    return x.crossJoin(F.broadcast(Q.exact(f, e, {"p95": 0.95}).select(r6("p95"))))  # one row
 
 
 @query("SELECT count(*) AS rows, count(*) FILTER (trim(title) = '') AS blank_titles, (count(text) - count(DISTINCT text))::BIGINT AS duplicate_texts, count(*) FILTER (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 20) AS short_texts FROM (SELECT substring(text, 1, 80) AS title, text FROM documents)")
@@ -452,7 +454,9 @@ def a37_attach_sweep(spark, sf):
 
 @query("SELECT round(avg(CASE WHEN n_chars > 4000 THEN 1 ELSE 0 END), 6) AS over_limit, round(quantile_cont(n_chars, 0.95), 4) AS p95 FROM documents")
 def a41_length_coverage(spark, sf):
-    return table(spark, sf, "documents").agg(r6(F.avg((F.col("n_chars") > 4000).cast("double")), "over_limit"), F.round(F.percentile("n_chars", F.lit(0.95)), 4).alias("p95"))
+    d = table(spark, sf, "documents")
+    over = d.agg(r6(F.avg((F.col("n_chars") > 4000).cast("double")), "over_limit"))
+    return over.crossJoin(F.broadcast(Q.exact(d, F.col("n_chars"), {"p95": 0.95}).select(F.round("p95", 4).alias("p95"))))  # one row
 
 
 @query("SELECT le::DOUBLE AS le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([1, 5, 10, 50, 100]) AS le) GROUP BY 1")
@@ -475,7 +479,8 @@ def a47_error_pivot(spark, sf):
 @query("SELECT lang, quality::BIGINT AS quality, count(*) AS n, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.5), 4) AS median FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
 def a48_feature_medians(spark, sf):
     x = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return x.groupBy("lang", F.col("quality").cast("long").alias("quality")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.percentile("n_chars", F.lit(0.5)), 4).alias("median"))
+    out = E.with_quantiles(x, {"lang": F.col("lang"), "quality": F.col("quality").cast("long")}, F.col("n_chars"), {"median": 0.5}, F.count("*").alias("n"), F.avg("v").alias("mean"))
+    return out.select("lang", "quality", "n", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"))
 
 
 @query("SELECT topic, count(*) AS pairs, count(DISTINCT a) AS left_rows, round(quantile_cont(sim, 0.5), 6) AS median, round(max(days), 6) AS max_days FROM pairs GROUP BY 1", "pairs")
@@ -484,8 +489,9 @@ def a49_pairs_by_topic(spark, sf):
 
     from .base import CALIBRATED as c
 
-    p = P.candidate_pairs(news(spark, sf), c["attach"], c["days"])
-    return p.groupBy("topic").agg(F.count("*").alias("pairs"), F.countDistinct("left_row_pos").alias("left_rows"), r6(F.percentile("similarity", F.lit(0.5)), "median"), r6(F.max("days_diff"), "max_days"))
+    p = materialise(P.candidate_pairs(news(spark, sf), c["attach"], c["days"]))
+    x = E.with_quantiles(p, {"topic": F.col("topic")}, F.col("similarity"), {"median": 0.5}, F.count("*").alias("pairs"), F.countDistinct("left_row_pos").alias("left_rows"), F.max("days_diff").alias("max_days"))
+    return x.select("topic", "pairs", "left_rows", r6("median"), r6("max_days"))
 
 
 @query("SELECT b.o::BIGINT AS bin_order, b.name AS bin, count(d.doc_id) AS n FROM (VALUES (0, '<=0', 0), (1, '<=1000', 1000), (2, 'over', 1000000000)) b(o, name, hi) LEFT JOIN documents d ON (CASE WHEN n_chars <= 0 THEN 0 WHEN n_chars <= 1000 THEN 1 ELSE 2 END) = b.o GROUP BY 1, 2")

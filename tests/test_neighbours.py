@@ -74,3 +74,17 @@ def test_tfidf_prefixes_find_every_pair(spark, least):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     met = lexical.candidates(news, w, least, 14).count()
     assert met >= len(want) and lexical.prefixes(w, least).count() < w.count()
+
+
+def test_quantiles_equal_percentile(spark):
+    from newsloom.operators import quantiles
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *[x / 7 for x in range(40)]])) for _ in range(900)] + [("c", None), ("d", 2.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    wanted = {"low": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "high": 1.0}
+    got = sorted(map(tuple, quantiles.exact(df, F.col("v"), wanted, {"g": F.col("g")}).collect()), key=repr)
+    want = sorted(map(tuple, df.groupBy("g").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in wanted.items()]).collect()), key=repr)
+    assert got == want
+    assert tuple(quantiles.exact(df, F.col("v"), wanted).first()) == tuple(df.agg(*[F.percentile("v", F.lit(q)) for q in wanted.values()]).first())
+    assert quantiles.exact(df.where("false"), F.col("v"), wanted).first().mid is None
