@@ -15,8 +15,9 @@ opens a plane when it first needs it. Spark writes the files, one shard for each
 file, so any store that Spark can write to will do, and a lost task is simply run again.
 
 Defined results: a null text is empty and has the end id alone; documents with equal
-doc_ids stay apart, in the order of their texts; an empty table gives no shard and no row;
-a document longer than a shard is a shard of its own; rows without doc_id are left out.
+doc_ids stay apart, in the order of a hash of their texts; an empty table gives no shard
+and no row; a document longer than a shard is a shard of its own; rows without doc_id come
+last (the index has NONE for them, so a doc_id of 2^63 - 1 reads as none); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .common import materialise, partitions, shared_folder, slices
 from .tokens import PieceEncoder
 
 MAGIC, BLOCK, SHARD = b"NLW2", 512, 1 << 20
+NONE = 2**63 - 1
 
 
 def _bools(bits: np.ndarray, n: int) -> pa.Array:
@@ -256,14 +258,15 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard: i
                     if held and size + n > shard:
                         yield out()
                         ids, lengths, held, size, number = [], [], [], 0, number + 1
-                    ids.append(doc)
+                    ids.append(NONE if doc is None else doc)
                     lengths.append(n)
                     held += [all_[a:z], end]
                     size += n
         if held:
             yield out()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]  # the hash splits rows that share a doc_id or have none
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
     files = ordered.mapInArrow(encode, "part int, shard int, first_doc long, n_tokens long, file binary")
     files.write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
@@ -280,7 +283,7 @@ def read(spark, path: str) -> DataFrame:
                 ends = s.ends.astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(ids[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(ends), pa.int32()), "shard": pa.array([number] * len(ends), pa.int32()), "doc_id": s.doc_ids, "at": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(ends), pa.int32()), "shard": pa.array([number] * len(ends), pa.int32()), "doc_id": pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == NONE), "at": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(crc, pa.int64())})
 
     docs = shards.select("part", "shard", "file").mapInArrow(decode, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # Ids before each shard: of the range partitions before its own, and of the shards before it in that.
