@@ -8,8 +8,8 @@ every constraint, the one with the best score gets it: the weighted dot product
 and residual, or the weighted norm of what would be left. A weight on tokens makes either
 one best fit. Every bin with room can win: reading stops only where a bound on the score proves it.
 The bins that a block leaves less than GOOD full are opened again and packed in fewer
-blocks, round by round, until one block is left or a round would take more than half of
-the pieces (then they don't fit together any better). No task ever holds more than a block.
+blocks, round by round, until one block is left or a round has freed less than GAIN of the
+bins that came into it. No task ever holds more than a block.
 
 Defined results: a null or empty text is the end id alone; repeated rows (equal doc_id)
 are documents of their own, told apart by the column ``copy``, and so are rows without
@@ -31,6 +31,7 @@ from .common import in_runs, materialise, slices
 from .tokens import PieceEncoder
 
 CAPACITY, BLOCK, GOOD = 2048, 50_000, 0.97
+GAIN = 0.001  # of its bins that a round has to free for another one
 KNOWN = 300_000  # pieces that a worker remembers
 
 
@@ -130,7 +131,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, max_documents: int | None
         yield from out.combine_chunks().to_batches()
 
     done: DataFrame | None = None
-    left, level = parts, 0
+    left, level, before = parts, 0, 0
     n = left.count()
     while True:
         blocks = max(1, -(-n // block))
@@ -139,7 +140,10 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, max_documents: int | None
         now = materialise(now)
         loose = now.where(F.col("fill") < GOOD * capacity)
         m = loose.count()
-        last = blocks == 1 or m == 0 or 2 * m > n  # another round would free too little
+        bins = loose.select("_block", "bin").distinct().count()
+        freed = before - now.select("_block", "bin").distinct().count() if before else None
+        last = blocks == 1 or m == 0 or freed is not None and freed <= GAIN * before  # of the bins that came into this round
+        before = bins
         good = now if last else now.where(F.col("fill") >= GOOD * capacity)
         good = good.select(*columns, ((F.lit(level).cast("long") * F.lit(1 << 56)) + F.col("_block").cast("long") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
         done = good if done is None else done.union(good)
