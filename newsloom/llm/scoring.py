@@ -98,7 +98,7 @@ class Tokens:
 
 
 def scored(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score) of every document; the last is that of the spelling alone."""
     chunks, _, size = chunked(docs, 4 << 20, least=8)
     n = partitions(docs.sparkSession)
     parts = max(16, size // (64 << 20))
@@ -150,7 +150,7 @@ def scored(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, rate: float =
         known = np.bincount(doc, (c > 0)[w.index], len(doc_ids)).astype(np.int64)
         base = np.bincount(doc, np.log10((c.astype(np.float64) + 1) / (tokens + distinct + 1))[w.index], len(doc_ids))
         ids, lengths = w.spelling(encoder)
-        starts, lm = np.cumsum(lengths) - lengths, np.zeros(len(doc_ids))
+        starts, lm, alone = np.cumsum(lengths) - lengths, np.zeros(len(doc_ids)), np.zeros(len(doc_ids))
         for at in range(0, len(doc_ids), 200):
             sizes = w.sizes[at : at + 200]
             a = w.first[at]
@@ -169,10 +169,11 @@ def scored(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, rate: float =
             with np.errstate(divide="ignore"):
                 shared = first + np.log(own) - ln_class[y[end - n]]
             lm[at : at + 200] = np.bincount(token_doc, np.logaddexp(spelled, shared) - np.log(2), len(sizes)) / np.log(10)
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": [held_out(d) for d in doc_ids], "n_tokens": w.sizes, "n_known": known, "train_tokens": pa.array([tokens] * len(doc_ids), pa.int64()), "base_score": base, "score": lm})
+            alone[at : at + 200] = np.bincount(token_doc, spelled, len(sizes)) / np.log(10)
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": [held_out(d) for d in doc_ids], "n_tokens": w.sizes, "n_known": known, "train_tokens": pa.array([tokens] * len(doc_ids), pa.int64()), "base_score": base, "score": lm, "spelled_score": alone})
 
     replies = answers.where("chunk >= 0").select("chunk", "part", "data")
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, spelled_score double"
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, kinds)
 
 

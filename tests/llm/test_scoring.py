@@ -171,3 +171,61 @@ def test_learns_every_id_once(spark, monkeypatch):
     encoder = WordEncoder.of(BYTE, special=False)
     want = Counter(int(i) for d, t in rows if not scoring.held_out(d) for i in [*encoder.ids(t.encode().split()), encoder.end])
     assert {i: seen[0][i] for i in np.flatnonzero(seen[0])} == want
+
+
+def plain_scores(classes, weights, first, train, encoder, texts):
+    """log10 of each text, and of its spelling alone: forward pass, class softmax and mixture written out for one place at a time."""
+    p = {k: v.astype(float) for k, v in attention.views(weights).items()}
+    size, window, stride = attention.SIZE, attention.WINDOW, attention.STRIDE
+
+    def softmax(z):
+        e = [math.exp(x) for x in z]
+        return [x / sum(e) for x in e]
+
+    def hidden(seen):  # the state after the last of the inputs
+        e = [p["emb"][c] + p["pos"][i] for i, c in enumerate(seen)]
+        q, k, v = np.split(e[-1] @ p["qkv"], 3)[0], [np.split(x @ p["qkv"], 3)[1] for x in e], [np.split(x @ p["qkv"], 3)[2] for x in e]
+        a = softmax([float(q @ x) / attention.DIM**0.5 for x in k])
+        h = e[-1] + sum(w * x for w, x in zip(a, v, strict=True)) @ p["o"]
+        return h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+
+    out = []
+    for text in texts:
+        words = [*[w.lower() for w in (text or "").encode().split()], None]
+        spelled = [[encoder.end] if w is None else [int(i) for i in encoder.ids([w])] for w in words]
+        y = [int(classes.of[i]) for ids in spelled for i in ids]
+        x = [classes.end, *y[:-1]]
+        logs = []
+        for t, c in enumerate(y):
+            k = 0 if t < window else 1 + (t - window) // stride  # the window that scores this place
+            h = hidden(x[k * stride : t + 1])
+            groups = softmax(h @ p["gw"] + p["gb"])
+            inside = softmax(h @ p["cw"][c // size] + p["cb"][c // size])
+            logs.append((math.log(groups[c // size]) + math.log(inside[c % size]), math.log(sum(groups[: attention.GROUPS // 2]))))
+        at, total, alone = 0, 0.0, 0.0
+        for n, (w, ids) in enumerate(zip(words, spelled, strict=True)):
+            start = logs[at][0] - logs[at][1]  # a word begins where one can
+            rest = sum(logs[at + j][0] for j in range(1, len(ids))) + sum(float(classes.within[i]) for i in ids)
+            end = logs[at + len(ids)][1] if n + 1 < len(words) else 0.0
+            by_letters = start + rest + end
+            count = train[w]
+            by_count = start + math.log(count / max(first[classes.of[ids[0]]], 1)) if count else -math.inf
+            total += math.log((math.exp(by_letters) + math.exp(by_count)) / 2)
+            alone += by_letters
+            at += len(ids)
+        out.append((total / math.log(10), alone / math.log(10)))
+    return out
+
+
+def test_scores_against_a_plain_version(spark, monkeypatch):
+    """Of short texts, one of several windows, unknown words, and nothing at all."""
+    got, fit = [], scoring.fit
+    monkeypatch.setattr(scoring, "fit", lambda *a: got.append(fit(*a)) or got[-1])
+    rng = np.random.default_rng(11)
+    words = ["the", "cat", "sat", "internationalisation", "mat", "naïve", "x1", "ha"]
+    rows = [(d, " ".join(rng.choice(words, rng.integers(0, 60)))) for d in range(60)] + [(60, None), (61, "unseenword of The cat <|endoftext|>"), (62, "the " * 70)]
+    out = {r.doc_id: r for r in scoring.scored(spark.createDataFrame(rows, "doc_id long, text string"), BYTE).collect()}
+    train = Counter(w for d, t in rows if not scoring.held_out(d) for w in [*[x.lower() for x in (t or "").encode().split()], None])
+    want = plain_scores(*got[0], train, WordEncoder.of(BYTE, special=False), [t for _, t in rows])
+    for (d, _), (score, alone) in zip(rows, want, strict=True):
+        assert out[d].score == pytest.approx(score, rel=1e-3, abs=1e-3) and out[d].spelled_score == pytest.approx(alone, rel=1e-3, abs=1e-3)
