@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from newsloom.llm import counting, forest, licenses, mixing, packing, quality, scoring, substrings, wavelet
+from newsloom.llm import counting, forest, licenses, mixing, naming, packing, quality, repair, scoring, subspaces, substrings, wand, wavelet
 from newsloom.llm.common import materialise
 from newsloom.llm.tokens import vocabulary
 
@@ -70,7 +70,7 @@ def test_token_ids_of_odd_texts(odd):
     ids = {t: library.encode(t or "", add_special_tokens=False).ids for _, t in ROWS}
     assert by_text([(r.doc_id, r.n_tokens) for r in counting.counted(odd, BYTE).collect()], [(d, len(ids[t])) for d, t in ROWS])
     crc = lambda x: zlib.crc32(np.array([*x, 0], "<u4").tobytes())
-    assert by_text([(r.doc_id, r.n_tokens, r.ids_crc32) for r in wavelet.stored(odd, BYTE).collect()], [(d, len(ids[t]) + 1, crc(ids[t])) for d, t in ROWS if d is not None])
+    assert by_text([(r.doc_id, r.n_tokens, r.ids_crc32) for r in wavelet.stored(odd, BYTE).collect()], [(d, len(ids[t]) + 1, crc(ids[t])) for d, t in ROWS])
     rows = packing.packed(materialise(packing.pieces(odd, WORDS))).collect()
     pieces = []
     for d, t in ROWS:
@@ -96,3 +96,29 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {d for d, _ in ROWS} and out
+
+
+def test_naming_keeps_one_row_of_each_text(odd):
+    rows = naming.deduplicated(odd).collect()
+    assert by_text([(r.doc_id, r.group_size) for r in rows], [(d, sum((u or "") == (t or "") for _, u in ROWS)) for d, t in ROWS])
+    assert sum(r.kept for r in rows) == len({t or "" for _, t in ROWS})
+
+
+def test_search_among_odd_rows(odd, spark):
+    items = spark.createDataFrame([(1, "identical words: one text", 7), (1, None, 7), (None, "quite another", 7)], "item_id long, text string, score int")
+    out = wand.ranked_documents(odd, items).collect()
+    assert {r.item_id for r in out} == {1, None} and all(r.score > 0 for r in out)
+    assert sorted(r.rank for r in out if r.item_id is None)[:1] == [1]
+
+
+def test_vectors_with_clashing_names(spark):
+    v = [1.0, 0.0] * 8
+    rows = [(1, v, "a"), (2, v, "a"), (2, v, "b"), (None, v, "a"), (3, None, "a"), (4, [0.0] * 16, "a"), (5, [float("nan"), *v[1:]], "a"), (6, v, None)]
+    df = spark.createDataFrame([(*r, 7, "x", True) for r in rows], "vec_id long, embedding array<double>, label string, n_links int, cell string, kept boolean")
+    out = sorted(((r.vec_id, r.n_links, r.component_id) for r in subspaces.linked(df).collect() if r.vec_id is not None))
+    assert (1, 0, 1) not in out and {x[2] for x in out if x[0] in (1,)} == {1} and (3, 0, 3) in out and (4, 0, 4) in out and (5, 0, 5) in out and (6, 0, 6) in out
+
+
+def test_repair_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, 0, "user", "Hi?", 1, "x", 2), (None, None, None, None, 1, "x", 2)], "conv_id long, turn long, role string, text string, cost int, seen string, mark int")
+    assert {r.conv_id for r in repair.repairs(df).collect()} == {1, None}
