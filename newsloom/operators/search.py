@@ -158,10 +158,11 @@ def adjacent_dates(articles: DataFrame, start: str, end: str) -> DataFrame:
     return articles.agg(F.max(F.when(ts < a, ts)).alias("previous"), F.min(F.when(ts >= b, ts)).alias("next"))
 
 
-def stored(articles: DataFrame, summaries: DataFrame, path: str) -> None:
+def stored(articles: DataFrame, summaries: DataFrame, path: str) -> DataFrame:
     """Articles with their story and its summary, written once for many searches: by language, so that a filter reads its own part."""
     rich = articles.withColumn("cluster_id", F.coalesce("cluster_id", "news_id")).join(summaries, ["organization_id", "cluster_id"], "left")
     rich.repartition("language", "cluster_id").sortWithinPartitions("language", "cluster_id").write.mode("overwrite").partitionBy("language").parquet(path)
+    return articles.sparkSession.read.schema(rich.schema).parquet(path)
 
 
 def search_stored(rich: DataFrame, query: list[float], k: int = 10, where: Column | None = None, min_relevance: float = 0.5) -> tuple[DataFrame, DataFrame]:

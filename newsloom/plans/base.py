@@ -42,6 +42,12 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stated(rows: DataFrame, row_pos: int) -> list[float]:
+    """The vector of a stated query; of an empty table, or one without that row, a single 0."""
+    found = [r.embedding for r in rows.where(F.col("row_pos") == row_pos).select("embedding").collect()]
+    return found[0] if found else [0.0]
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     return P.edges(news(spark, sf), CALIBRATED["strong"], CALIBRATED["days"])
 

@@ -666,6 +666,8 @@ def x06_trained_classifier(spark, sf):
     from newsloom.operators import training as X
 
     rows = materialise(feature_rows(spark, sf).withColumn("target", (F.col("max_prev_similarity") < 0.27).cast("int")).withColumn("weight", F.lit(1.0)))
+    if not rows.limit(1).count():
+        return rows.select("row_pos", "target", F.lit(0).alias("predicted"), F.lit(0.0).alias("p"))
     model, _ = X.tuned(rows, W.COLUMNS)
     path = folder(spark)
     model.save(path, spark)

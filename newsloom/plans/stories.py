@@ -17,7 +17,7 @@ from newsloom.operators import summary as Y
 from newsloom.operators import tiles
 from newsloom.operators.components import materialise
 
-from .base import CALIBRATED, clusters, edges, feature_rows, final, folder, near, news, query, r6, selected, stamp
+from .base import CALIBRATED, clusters, edges, feature_rows, final, folder, near, news, query, r6, selected, stamp, stated
 
 TS = "strftime({x}, '%Y-%m-%d %H:%M:%S')"
 
@@ -241,11 +241,8 @@ def no_summaries(spark):
 
 def searched(spark, sf):
     """A search over stories that are stored first, as a server's would be."""
-    path = folder(spark)
-    S.stored(articles(spark, sf), no_summaries(spark), path)
-    rich = spark.read.parquet(path)
-    q = [r.embedding for r in news(spark, sf).where("row_pos = 0").select("embedding").collect()]  # the stated query
-    return S.search_stored(rich if q else rich.limit(0), q[0] if q else [0.0], 10, S.visible(language="en"), 0.1)
+    rich = S.stored(articles(spark, sf), no_summaries(spark), folder(spark))
+    return S.search_stored(rich, stated(news(spark, sf), 0), 10, S.visible(language="en"), 0.1)
 
 
 @query("SELECT m.row_pos::BIGINT AS row_pos, b.cluster_id::VARCHAR AS cluster_id, row_number() OVER (ORDER BY b.o, m.published_at, m.news_id) AS rank, round(h.score, 6) AS score FROM best b JOIN art m ON m.cluster_id = b.cluster_id AND m.status = 'processed' AND m.visibility = 'public' LEFT JOIN hit h ON h.row_pos = m.row_pos", "u comp", _ART)

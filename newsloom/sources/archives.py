@@ -139,7 +139,7 @@ def read(spark: SparkSession, path: str, schema: str | None = None, **options: s
 
 
 def zipped(df: DataFrame, path: str, rows: int = 10_000) -> None:
-    """Write df as ZIP files of CSV files of at most ``rows`` rows, one ZIP for each partition that has any.
+    """Write df as ZIP files of CSV files of at most ``rows`` rows, one ZIP for each partition that has any, and for the first.
 
     Rows stream into their file, and a ZIP appears under its name when it is whole.
     """
@@ -150,7 +150,7 @@ def zipped(df: DataFrame, path: str, rows: int = 10_000) -> None:
 
         parts = (b.slice(a, 1000) for b in batches for a in range(0, b.num_rows, 1000))
         first = next(parts, None)
-        if first is None:
+        if first is None and TaskContext.get().partitionId():
             return
         fs, top = opened(path)
         fs.create_dir(top, recursive=True)
@@ -159,7 +159,7 @@ def zipped(df: DataFrame, path: str, rows: int = 10_000) -> None:
         part = first
         with fs.open_output_stream(temporary) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
             member = 0
-            while part is not None:
+            while part is not None or member == 0:
                 held = 0
                 with z.open(f"rows-{member}.csv", "w", force_zip64=True) as m, io.TextIOWrapper(m, "utf-8", newline="") as text:
                     out = csv.writer(text)

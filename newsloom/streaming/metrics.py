@@ -81,11 +81,16 @@ class Meter(StreamingQueryListener):
             if rows[name]:
                 self.spark.createDataFrame(rows[name], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
+    def _table(self, name: str, schema: str) -> DataFrame:
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        there = top.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(top)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+
     def jobs(self) -> DataFrame:
-        return self.spark.read.schema(JOBS).parquet(f"{self.path}/jobs")
+        return self._table("jobs", JOBS)
 
     def observed(self) -> DataFrame:
-        return self.spark.read.schema(OBSERVED).parquet(f"{self.path}/observed")
+        return self._table("observed", OBSERVED)
 
 
 def counters(jobs: DataFrame) -> DataFrame:
