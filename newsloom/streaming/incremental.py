@@ -319,6 +319,11 @@ def segmented(news: DataFrame, days: float) -> DataFrame:
     return x.join(marked, ["topic", "micros"])
 
 
+def _unit_rows(rows: pd.DataFrame) -> np.ndarray:
+    x = np.array(rows["embedding"].tolist(), float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 def lifecycle(news: DataFrame, threshold: float = 0.75, days: float = 14, centroid_share: float = 0.6) -> DataFrame:
     """(news_id, cluster): online clusters that close after ``days`` without a row; similarity mixes centroid and closest member.
 
@@ -326,27 +331,29 @@ def lifecycle(news: DataFrame, threshold: float = 0.75, days: float = 14, centro
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        open_: list[dict] = []
-        out = []
-        for r in rows.sort_values(["micros", "row_pos"]).itertuples(index=False):
-            v = np.asarray(r.embedding, float)
-            v = v / max(float(np.linalg.norm(v)), 1e-12)
-            open_ = [c for c in open_ if r.micros - c["last"] <= days * DAY]
-            best = None
-            for c in open_:
-                mean = c["sum"] / max(float(np.linalg.norm(c["sum"])), 1e-12)
-                s = centroid_share * float(mean @ v) + (1 - centroid_share) * float(max(x @ v for x in c["members"]))
-                if s >= threshold and (best is None or s > best[0]):
-                    best = (s, c)
-            if best is None:
-                c = {"id": f"{key[0]}_{r.news_id}", "sum": np.zeros_like(v), "members": [], "last": r.micros}
-                open_.append(c)
-            else:
-                c = best[1]
-            c["sum"], c["last"] = c["sum"] + v, r.micros
-            c["members"].append(v)
-            out.append((str(r.news_id), c["id"]))
-        return pd.DataFrame(out, columns=["news_id", "cluster"])
+        rows = rows.sort_values(["micros", "row_pos"])
+        units, at, names = _unit_rows(rows), rows["micros"].to_numpy(), rows["news_id"].astype(str).tolist()
+        n = len(units)
+        owner, sums, last, first = np.empty(n, np.int64), np.empty_like(units), np.empty(n, np.int64), np.empty(n, np.int64)
+        clusters = low = 0  # clusters before ``low`` are closed
+        for r, v in enumerate(units):
+            while low < clusters and at[r] - last[low] > days * DAY:
+                low += 1
+            best = -1
+            if low < clusters:
+                begin = int(first[low])
+                closest = np.full(clusters - low, -np.inf)
+                own = owner[begin:r] - low
+                np.maximum.at(closest, own[own >= 0], (units[begin:r] @ v)[own >= 0])
+                mean = sums[low:clusters] @ v / np.maximum(np.linalg.norm(sums[low:clusters], axis=1), 1e-12)
+                s = np.where(at[r] - last[low:clusters] <= days * DAY, centroid_share * mean + (1 - centroid_share) * closest, -np.inf)
+                best = low + int(s.argmax()) if s.max() >= threshold else -1
+            if best < 0:
+                best, clusters = clusters, clusters + 1
+                sums[best], first[best] = 0, r
+            owner[r], last[best] = best, at[r]
+            sums[best] += v
+        return pd.DataFrame({"news_id": names, "cluster": [f"{key[0]}_{names[first[k]]}" for k in owner]})
 
     return segmented(news, days).groupBy("topic", "segment").applyInPandas(run, "news_id string, cluster string")
 
@@ -358,17 +365,15 @@ def nearest_topic(news: DataFrame, threshold: float = 0.75, days: float = 5) ->
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        seen: list[tuple[int, np.ndarray, str]] = []
-        out = []
-        for r in rows.sort_values(["micros", "row_pos"]).itertuples(index=False):
-            v = np.asarray(r.embedding, float)
-            v = v / max(float(np.linalg.norm(v)), 1e-12)
-            seen = [x for x in seen if r.micros - x[0] <= days * DAY]
-            best = max(((float(x[1] @ v), -i) for i, x in enumerate(seen)), default=(-2.0, 0))
-            name = seen[-best[1]][2] if best[0] >= threshold else f"{key[0]}_{r.news_id}"
-            seen.append((r.micros, v, name))
-            out.append((str(r.news_id), name))
-        return pd.DataFrame(out, columns=["news_id", "cluster"])
+        rows = rows.sort_values(["micros", "row_pos"])
+        units, at, ids = _unit_rows(rows), rows["micros"].to_numpy(), rows["news_id"].astype(str).tolist()
+        names: list[str] = []
+        begin = np.searchsorted(at, at - int(days * DAY), side="left")
+        for r, v in enumerate(units):
+            s = units[begin[r] : r] @ v
+            near = int(s.argmax()) if len(s) else -1
+            names.append(names[begin[r] + near] if near >= 0 and s[near] >= threshold else f"{key[0]}_{ids[r]}")
+        return pd.DataFrame({"news_id": ids, "cluster": names})
 
     return segmented(news, days).groupBy("topic", "segment").applyInPandas(run, "news_id string, cluster string")
 

@@ -65,7 +65,7 @@ class Meter(StreamingQueryListener):
             self.flush()
 
     def timed(self, mode: str, rows: DataFrame, run: Callable[[DataFrame], object]) -> object:
-        """Run a batch job over rows, which are counted as they pass, and record it, failed or done."""
+        """Run a batch job over rows, which are counted as they pass, and record it, failed or done. The job must read the rows: their count is waited for."""
         seen, began, status = Observation(), monotonic(), "failed"
         try:
             out = run(rows.observe(seen, F.count("*").alias("rows")))
