@@ -93,6 +93,13 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(n).drop("_h")
 
 
+def error_sample(pairs: DataFrame, truth: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
+    """At most n of the pairs (a, b) whose rows have different truths (row_pos, truth), in the order of a seeded md5, so that other engines draw the same."""
+    side = lambda c: truth.select(F.col("row_pos").alias(c), F.col("truth").alias(f"truth_{c}"))
+    wrong = pairs.join(side("a"), "a").join(side("b"), "b").where("truth_a <> truth_b")
+    return wrong.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "a", "b")), "a", "b").limit(n)
+
+
 def split(rows: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """``is_validation`` by a hash of a group key, so that a group is never divided."""
     return rows.withColumn("is_validation", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10_000)) < int(share * 10_000))
