@@ -9,11 +9,12 @@ the vectors as given, in double precision.
 A block's range join is dealt by grid cells: the signs of its first coordinates, as many
 as the largest label needs for cells of about CELL vectors. A vector is at home in its
 cell and also visits each cell that its ball of the budget's radius reaches. Within a
-task, distances in the block are one matrix product. A pair is counted once: in the home
-cell of its smaller id, in the first block whose budget it meets. Cells with more rows
-than WIDE are split by a hash, and each part of the homes meets each part of the rows, so
-no task holds a whole cell. Vectors that are equal with equal labels
-are one class before all that.
+task, distances in the block are matrix products of bounded size; a cell is as large as
+its vectors' memory allows, as each further sign sends about 1.43 times the rows. A pair
+is counted once: in the home cell of its smaller id, in the first block whose budget it
+meets. Cells with more rows than WIDE are split by a hash, and each part of the homes
+meets each part of the rows, so no task holds a whole cell. Vectors that are equal with
+equal labels are one class before all that.
 
 Cells hold the rotated vectors in single precision. They tell the cosine to better than
 CLOSE; only pairs within CLOSE of the wanted one are sent on and decided by the vectors as
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import in_runs, materialise, min_labels
 
-COSINE, BLOCKS, CELL, WIDE, SEED, CLOSE = 0.98, 8, 2000, 3000, 20, 2e-6
+COSINE, BLOCKS, CELL, WIDE, SEED, CLOSE = 0.98, 8, 65_536, 131_072, 20, 2e-6
+AT_ONCE = 1 << 22  # distances that a task holds at once
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -77,7 +79,12 @@ def classes(rows: DataFrame) -> DataFrame:
     return own.mapInArrow(read, "vec_id long, label string, raw binary")
 
 
-def dealt(reps: DataFrame, signs: int, cosine: float) -> DataFrame:
+def signs(most: int) -> int:
+    """How many signs deal a label of that many vectors to cells of CELL or fewer at home."""
+    return max(0, (-(-most // CELL) - 1).bit_length())
+
+
+def dealt(reps: DataFrame, count: int, cosine: float) -> DataFrame:
     """A row for each vector, block and cell that it lives in or visits."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +100,7 @@ def dealt(reps: DataFrame, signs: int, cosine: float) -> DataFrame:
                 y = (y / np.sqrt((y * y).sum(1, keepdims=True))).astype(np.float32)
                 turned = pa.array([r.tobytes() for r in y], pa.binary())
                 for k, (a, z) in enumerate(cuts(d)):
-                    part = y[:, a : min(z, a + signs)].astype(np.float64)
+                    part = y[:, a : min(z, a + count)].astype(np.float64)
                     home = ((part >= 0) << np.arange(part.shape[1])).sum(1)
                     near = np.abs(part) <= budget(d, a, z, cosine) ** 0.5
                     row, cell = np.arange(len(y)), home
@@ -131,14 +138,15 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
         own = cuts(dim)
         a, z = own[block]
         part, limit = y[:, a:z], budget(dim, a, z, cosine)
-        square = (part * part).sum(1)
+        square, one = (part * part).sum(1, keepdims=True), np.ones((len(rep), 1), np.float32)
+        left, right = np.concatenate([-2 * part, square, one], 1), np.concatenate([part, one, square], 1)[probe].T  # their product is the squared distance
         n, at = np.zeros(len(rep), np.int64), np.flatnonzero(home)
         pairs, close = [], []
-        for h in np.array_split(at, -(-len(at) // 256)) if len(at) else []:
-            near = square[h, None] + square[None, probe] - 2 * (part[h] @ part[probe].T) <= limit + 1e-5
-            near &= rep[h, None] < rep[None, probe]
-            i, j = np.nonzero(near)
+        step = max(AT_ONCE // max(len(probe), 1), 1)
+        for h in (at[k : k + step] for k in range(0, len(at), step)):
+            i, j = np.nonzero(left[h] @ right <= limit + 1e-5)
             i, j = h[i], probe[j]
+            i, j = i[rep[i] < rep[j]], j[rep[i] < rep[j]]
             for s in range(0, len(i), 1 << 16):
                 p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 first = np.full(len(p), -1)
@@ -154,9 +162,9 @@ def verified(rows: DataFrame, cosine: float) -> DataFrame:
                 np.add.at(n, p, copies[q])
                 np.add.at(n, q, copies[p])
                 pairs.append((p, q))
-        if close and len(left := np.concatenate([x for x, _ in close])):
-            none = pa.nulls(len(left), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(left), none, none, pa.array(np.concatenate([x for _, x in close]))], schema=schema)
+        if close and len(ends := np.concatenate([x for x, _ in close])):
+            none = pa.nulls(len(ends), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ends), none, none, pa.array(np.concatenate([x for _, x in close]))], schema=schema)
         if n.any():
             p, q = (np.concatenate(x) for x in zip(*pairs, strict=True))
             order = np.argsort(rep, kind="stable")
@@ -190,11 +198,10 @@ def linked(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     reps = read.where("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     reps = materialise(reps.orderBy("low", "label", "raw").withColumn("rep", F.monotonically_increasing_id()))
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    signs = max(0, (-(-most // CELL) - 1).bit_length())
-    cells = dealt(reps, signs, cosine)
+    cells = dealt(reps, signs(most), cosine)
     key = ["label", "dim", "block", "cell"]
     wide = cells.groupBy(*key).count().where(F.col("count") > WIDE).select(*key, F.ceil(F.col("count") / F.lit(WIDE)).cast("int").alias("parts"))
-    split = cells.join(wide, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    split = cells.join(F.broadcast(wide), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     # Of a wide cell each part of its homes meets each part of all its rows.
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     role = lambda i, j, home, probe: F.struct(i.alias("i"), j.alias("j"), home.alias("as_home"), probe.alias("as_probe"))

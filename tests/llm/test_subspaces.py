@@ -69,3 +69,13 @@ def test_pairs_at_the_limit_are_decided_exactly(spark):
         rows += [(2 * i, v, i % 4), (2 * i + 1, [c * a + math.sqrt(1 - c * c) * b / n for a, b in zip(v, u, strict=True)], i % 4)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in subspaces.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == brute(rows)
+
+
+def test_a_large_label_is_sent_once_for_each_block(spark, monkeypatch):
+    """Rows sent grow with the table, not with the number of cells."""
+    n, sent = 9000, []
+    df = spark.range(n).selectExpr("id AS vec_id", "transform(sequence(1, 16), i -> randn(7) + sin(id * i)) AS embedding", "'x' AS label")
+    whole = subspaces.verified
+    monkeypatch.setattr(subspaces, "verified", lambda rows, cosine: [sent.append(rows.count()), whole(rows, cosine)][1])
+    subspaces.linked(df).count()
+    assert sent == [8 * n]
