@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import components as C
 from . import pairs as P
+from .components import materialise
 
 
 def baseline(news: DataFrame, threshold: float = 0.82, days: float = 14) -> DataFrame:
@@ -25,6 +26,12 @@ def numbered(clusters: DataFrame, news: DataFrame, prefix: str = "exp00b", digit
     return clusters.join(rank.select("component", F.concat(F.lit(prefix + "_"), F.lpad(F.col("rank").cast("string"), digits, "0")).alias("cluster_id")), "component")
 
 
+def sources(clusters: DataFrame, source_max: int = 2) -> DataFrame:
+    """(row_pos) of the clusters that may join another; selection takes pairs of these rows alone."""
+    small = clusters.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") <= source_max)
+    return materialise(clusters.join(small, "component", "left_semi").select("row_pos"))
+
+
 def selection(pairs: DataFrame, clusters: DataFrame, min_similarity: float = 0.75, days: float = 7, source_max: int = 2, title_jaccard: float = 0.15, shared_numbers: int = 1, margin: float = 0.03, require_evidence: bool = True) -> DataFrame:
     """(source, target, ...): each small cluster's accepted target."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))

@@ -96,7 +96,12 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def error_sample(pairs: DataFrame, truth: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
     """At most n of the pairs (a, b) whose rows have different truths (row_pos, truth), in the order of a seeded md5, so that other engines draw the same."""
     side = lambda c: truth.select(F.col("row_pos").alias(c), F.col("truth").alias(f"truth_{c}"))
-    wrong = pairs.join(side("a"), "a").join(side("b"), "b").where("truth_a <> truth_b")
+    return error_sample_of(pairs.join(side("a"), "a").join(side("b"), "b"), n, seed)
+
+
+def error_sample_of(pairs: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
+    """The same of pairs (a, b, truth_a, truth_b)."""
+    wrong = pairs.where("truth_a <> truth_b")
     return wrong.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "a", "b")), "a", "b").limit(n)
 
 

@@ -1,9 +1,10 @@
 """Previous-only features of each row within its cluster, in (published_at, row_pos) order.
 
-Vectors cannot be folded in a window frame, so a cluster is cut into blocks of BLOCK rows
-by position, and each pair of blocks is one piece of work: similarities are one matrix
-product, common tokens another. What leaves it is one row of partial results for each row
-of the later block, never a row for each pair. The running centroid needs no vectors at
+Vectors cannot be folded in a window frame, so a cluster is cut into a few blocks by
+position and bytes, and each pair of blocks is one piece of work: similarities are matrix
+products, common tokens are counted by lists of the rows that hold them. What leaves it is
+one row of partial results for each row of the later block and piece of the earlier one,
+never a row for each pair. The running centroid needs no vectors at
 all: with r = sum of similarities to the earlier rows and S = sum over earlier rows of
 (1 + 2 r), the similarity to their centroid is r / sqrt(S).
 """
@@ -30,53 +31,77 @@ def _top_mean(sims: str, k: int):
     return F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top)
 
 
-BLOCK = 256
+BLOCK, PIECE = 256, 4096  # rows of the later and of the earlier block that are compared at once
+PARTS, LEAST, MOST = 4, 1 << 18, 1 << 26  # blocks of a cluster; bytes of a block
 _PARTS = "row_pos long, top double, least double, total double, n long, tops array<double>, last double, last_pos int, best_pos int, best_row long, tj double, xj double"
 
 
-def _jaccards(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarities of sets of token hashes, a row for each of right; 0 where both are empty."""
-    sets = left + right
-    sizes = np.array([len(x) for x in sets], np.int64)
-    common = np.zeros((len(right), len(left)))
-    if sizes.sum():
-        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        number = np.cumsum(times > 1) - 1  # of the tokens that can be common
-        shared = times[token] > 1
-        owner, token = owner[shared], number[token[shared]]
-        for at in range(0, int((times > 1).sum()), 4096):
-            here = (token >= at) & (token < at + 4096)
-            x = np.zeros((len(sets), 4096), np.float32)
-            x[owner[here], token[here] - at] = 1
-            common += x[len(left) :] @ x[: len(left)].T
-    either = sizes[len(left) :, None] + sizes[None, : len(left)] - common
-    return np.where(either > 0, common / np.maximum(either, 1), 0.0)
+class _Sets:
+    """Sets of token hashes, by token the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        token = np.concatenate([*sets, np.empty(0, np.int64)])
+        order = np.argsort(token, kind="stable")
+        self.owner, token = np.repeat(np.arange(len(sets)), self.sizes)[order], token[order]
+        first = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
+        self.token, self.ends = token[first], np.append(first, len(token))
+
+    def jaccards(self, others: list[np.ndarray]) -> np.ndarray:
+        """Jaccard similarities, a row for each of others; 0 where both sets are empty."""
+        common = np.zeros((len(others), len(self.sizes)))
+        for row, x in zip(common, others, strict=True):
+            at = np.searchsorted(self.token, x) if len(self.token) else np.empty(0, np.int64)
+            at = at[self.token[np.minimum(at, len(self.token) - 1)] == x[: len(at)]]
+            if len(at):
+                held = np.concatenate([self.owner[a:z] for a, z in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)])
+                row[:] = np.bincount(held, minlength=len(row))
+        either = np.array([len(x) for x in others])[:, None] + self.sizes[None, :] - common
+        return np.where(either > 0, common / np.maximum(either, 1), 0.0)
 
 
 def _compared(t: pd.DataFrame) -> pd.DataFrame:
-    """Partial results of the rows of the later of two blocks (or of one with itself), sorted by position."""
-    right, left = t[t["blk"] == t["j"].iloc[0]], t[t["blk"] == t["i"].iloc[0]]
-    s = np.stack(right["unit"].to_numpy()) @ np.stack(left["unit"].to_numpy()).T
-    earlier = left["pos"].to_numpy()[None, :] < right["pos"].to_numpy()[:, None]
-    some = earlier.any(1)
-    right, s, earlier = right[some], s[some], earlier[some]
-    low, n = np.where(earlier, s, -np.inf), earlier.sum(1)
-    tops = -np.sort(-low, axis=1)[:, :3]
-    best = low.argmax(1)
-    near = lambda c: np.where(earlier, _jaccards(left[c].tolist(), right[c].tolist()), 0.0).max(1, initial=0.0)
-    pos, row = left["pos"].to_numpy(), left["row_pos"].to_numpy()
-    return pd.DataFrame({
-        "row_pos": right["row_pos"].to_numpy(), "top": low.max(1, initial=-np.inf), "least": np.where(earlier, s, np.inf).min(1, initial=np.inf), "total": np.where(earlier, s, 0.0).sum(1), "n": n,
-        "tops": [x[: min(k, 3)].tolist() for x, k in zip(tops, n.tolist(), strict=True)], "last": s[np.arange(len(s)), n - 1], "last_pos": pos[n - 1], "best_pos": pos[best], "best_row": row[best], "tj": near("title"), "xj": near("text"),
-    })
+    """Partial results of the rows of the later of two blocks (or of one with itself), sorted by position: a row for each piece of the earlier one."""
+    later, whole = t[t["blk"] == t["j"].iloc[0]], t[t["blk"] == t["i"].iloc[0]]
+    out = []
+    for k in range(0, len(whole), PIECE):
+        left = whole.iloc[k : k + PIECE]
+        pos, row, units = left["pos"].to_numpy(), left["row_pos"].to_numpy(), np.stack(left["unit"].to_numpy())
+        sets = {c: _Sets(left[c].tolist()) for c in ("title", "text")}
+        after = later[later["pos"] > pos[0]]
+        for m in range(0, len(after), BLOCK):
+            right = after.iloc[m : m + BLOCK]
+            s = np.stack(right["unit"].to_numpy()) @ units.T
+            earlier = pos[None, :] < right["pos"].to_numpy()[:, None]
+            low, n = np.where(earlier, s, -np.inf), earlier.sum(1)
+            tops = -np.sort(np.partition(-low, min(2, low.shape[1] - 1), axis=1)[:, :3], axis=1)
+            best = low.argmax(1)
+            near = {c: np.where(earlier, x.jaccards(right[c].tolist()), 0.0).max(1) for c, x in sets.items()}
+            out.append(pd.DataFrame({
+                "row_pos": right["row_pos"].to_numpy(), "top": low.max(1), "least": np.where(earlier, s, np.inf).min(1), "total": np.where(earlier, s, 0.0).sum(1), "n": n,
+                "tops": [x[: min(k, 3)].tolist() for x, k in zip(tops, n.tolist(), strict=True)], "last": s[np.arange(len(s)), n - 1], "last_pos": pos[n - 1], "best_pos": pos[best], "best_row": row[best], "tj": near["title"], "xj": near["text"],
+            }))
+    return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _PARTS.split(", ")})
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """A row for each pair of blocks that a row of (cluster, pos, row_pos, unit, title_tokens, text_tokens) meets.
+
+    A cluster has about PARTS blocks, so a row is sent that often whatever its cluster's size; only beyond PARTS * MOST bytes there are more.
+    """
+    marks = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    own = Window.partitionBy("cluster")
+    weight = (F.lit(64) + 8 * F.greatest(F.lit(0), F.size("unit") + F.size("title_tokens") + F.size("text_tokens"))).cast("long")
+    x = rows.select("cluster", "pos", "row_pos", "unit", marks("title_tokens").alias("title"), marks("text_tokens").alias("text"), weight.alias("_w"))
+    x = x.withColumns({"_n": F.count("*").over(own), "_all": F.sum("_w").over(own), "_upto": F.sum("_w").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))}).where("_n > 1")
+    x = x.withColumn("_step", F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.ceil(F.col("_all") / F.lit(PARTS)))))
+    block = lambda upto: F.floor((F.col(upto) - 1) / F.col("_step")).cast("int")
+    x = x.select("cluster", "pos", "row_pos", "unit", "title", "text", block("_upto").alias("blk"), F.explode(F.sequence(F.lit(0), block("_all"))).alias("other"))
+    return x.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cluster", "blk", "pos", "row_pos", "unit", "title", "text")
 
 
 def _previous(rows: DataFrame) -> DataFrame:
-    """The partial results of all pairs of blocks of rows (cluster, pos, row_pos, unit, title_tokens, text_tokens)."""
-    marks = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    x = rows.withColumn("_n", F.count("*").over(Window.partitionBy("cluster"))).where("_n > 1").select("cluster", "pos", "row_pos", "unit", marks("title_tokens").alias("title"), marks("text_tokens").alias("text"), F.floor(F.col("pos") / BLOCK).cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int") - 1)).alias("other"))
-    x = x.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "cluster", "blk", "pos", "row_pos", "unit", "title", "text")
+    """The partial results of all pairs of blocks of rows."""
     key = ["cluster", "i", "j"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +125,7 @@ def _previous(rows: DataFrame) -> DataFrame:
         if held:
             yield _compared(pd.concat(held))
 
-    return x.repartition(*key).sortWithinPartitions(*key, "pos").mapInPandas(compare, _PARTS)
+    return _sent(rows).repartition(*key).sortWithinPartitions(*key, "pos").mapInPandas(compare, _PARTS)
 
 
 def previous_only(news: DataFrame, clusters: DataFrame) -> DataFrame:

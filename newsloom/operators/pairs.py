@@ -67,11 +67,15 @@ def edges(news: DataFrame, threshold: float = 0.82, days: float = 14, by: list[s
     return out.where(score(F.col("similarity"), F.col("days_diff")) >= threshold) if score else out
 
 
-def candidate_pairs(news: DataFrame, min_similarity: float = 0.75, days: float = 14) -> DataFrame:
-    """Pairs with evidence: similarity, days, Jaccard of titles and texts, shared numbers."""
+def candidate_pairs(news: DataFrame, min_similarity: float = 0.75, days: float = 14, of: DataFrame | None = None) -> DataFrame:
+    """Pairs with evidence: similarity, days, Jaccard of titles and texts, shared numbers.
+
+    of (row_pos): only pairs with one of these rows, as left; a pair of two of them stands in both orders.
+    """
     sets = news.select("news_id", "row_pos", "topic", T.tokens(F.col("title")).alias("title_tokens"), T.tokens(F.col("text")).alias("text_tokens"), T.numbers(F.col("title"), F.col("text")).alias("numbers"))
     side = lambda p, *more: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in ("row_pos", "news_id", "title_tokens", "text_tokens", "numbers")], *more)
-    near = materialise(tiles.similar(news, min_similarity, days).withColumnsRenamed({"a": "left_row_pos", "b": "right_row_pos"}))
+    found = tiles.similar(news, min_similarity, days).toDF("left_row_pos", "right_row_pos", "similarity", "days_diff") if of is None else tiles.similar_to(news.join(of.select("row_pos"), "row_pos", "left_semi"), news, min_similarity, days, key="row_pos").toDF("left_row_pos", "right_row_pos", "similarity", "days_diff").where("left_row_pos <> right_row_pos")
+    near = materialise(found)
     out = near.join(side("left", "topic"), "left_row_pos").join(side("right"), "right_row_pos")
     return out.select(
         "left_row_pos", "right_row_pos", "left_news_id", "right_news_id", "topic", "similarity", "days_diff",

@@ -5,8 +5,10 @@ to their vector and the angle to it, and cut into blocks of BLOCK rows. A block
 span of time and the least and greatest angle to each of PIVOTS pivots. Angles obey the
 triangle inequality, so two blocks whose angles to a pivot are farther apart than the
 angle of the cut hold no pair, and are ruled out, like blocks whose times are too far apart.
-Each pair of blocks left over is one tile: a task gets the rows of both, and gives
-(left, right, similarity, days) or what a reducer makes of them. No row of a pair carries a
+Blocks next to each other are sent together: the pairs of blocks left over of two runs of
+SPAN blocks are one tile, so a row is sent once for each run that it meets. A task gets
+the rows of both runs, and gives (left, right, similarity, days) or what a reducer makes of
+them, some rows of the tile at a time. No row of a pair carries a
 vector, and a topic with most of all rows is as many tiles as any other rows.
 
 Rows without a vector, a time or a value of ``by``, and vectors with a component that is not
@@ -30,6 +32,8 @@ from .components import materialise
 
 DAY = 86_400_000_000
 BLOCK, PIVOTS = 512, 8
+SPAN = 32  # blocks that are sent together
+AT_ONCE = 1 << 21  # cosines that a task holds at once
 #: (ids of left rows, of right rows, similarities, days) of a tile to columns of its result.
 Reducer = Callable[[pa.Array, pa.Array, np.ndarray, np.ndarray], pa.Table]
 
@@ -102,6 +106,8 @@ def _cut(rows: DataFrame, by: list[str], most: int) -> DataFrame:
                 if held and group != now:
                     yield from block()
                     count, held[:] = count + 1, []
+                if group != now:  # SPAN blocks from a multiple of it are of one group
+                    count = -(-count // SPAN) * SPAN
                 now = group
                 while i < j:
                     room = most - sum(x.num_rows for x in held)
@@ -148,22 +154,29 @@ class Join:
     def result(self, schema: str, reduce: Reducer) -> DataFrame:
         """What reduce makes of each tile. Left is the earlier row, or the one of side 0 if sides meet."""
         width, threshold, sides = self.width, self.threshold, self.sides
-        tiles = self.pairs.where("NOT by_time AND NOT by_angle")
-        both = tiles.select("tile", F.col("a_block").alias("block"), F.lit(0).alias("part")).union(tiles.where("a_block <> b_block").select("tile", F.col("b_block").alias("block"), F.lit(1).alias("part")))
-        dealt = self.rows.join(both, "block").select("tile", "part", "key", "at", "unit", "side")
+        run = lambda c: F.floor(F.col(c) / F.lit(SPAN))
+        tiles = self.pairs.where("NOT by_time AND NOT by_angle").select(F.array("a_block", "b_block").alias("blocks"), F.least(run("a_block"), run("b_block")).alias("i"), F.greatest(run("a_block"), run("b_block")).alias("j"))
+        both = materialise(tiles.select("i", "j", F.explode("blocks").alias("block")).distinct().withColumn("part", (run("block") > F.col("i")).cast("int")))
+        few = both.count() <= 200_000  # else the rows are shuffled
+        dealt = self.rows.join(F.broadcast(both) if few else both, "block").select("i", "j", "part", "key", "at", "unit", "side")
 
-        def tile(t: pa.Table) -> pa.Table:
+        def tile(t: pa.Table) -> Iterator[pa.RecordBatch]:
             part, at, side, keys = t.column("part").to_numpy(), t.column("at").to_numpy(), t.column("side").to_numpy(), t.column("key").combine_chunks()
             units = _matrix(t.column("unit").combine_chunks())
             m = int((part == 0).sum())
             one = m == len(part)
-            a, b = (units, units) if one else (units[:m], units[m:])
+            step = max(AT_ONCE // max(m if one else len(part) - m, 1), 1)
+            for k in range(0, m, step):
+                other = k if one else m
+                yield from piece(units[k : min(k + step, m)], units[other:], k, other, one, at, side, keys).to_batches()
+
+        def piece(a: np.ndarray, b: np.ndarray, k: int, other: int, one: bool, at: np.ndarray, side: np.ndarray, keys: pa.Array) -> pa.Table:
             s = a @ b.T
             x, y = np.nonzero(s >= threshold)
             if one:
                 x, y = x[x < y], y[x < y]
             sim = s[x, y]
-            y = y if one else y + m
+            x, y = x + k, y + other
             if sides:
                 swap = side[x] > side[y]
             else:  # within a tile rows stand by part, time and key
@@ -179,22 +192,24 @@ class Join:
             left, right, sim, apart = left[near], right[near], sim[near], apart[near]
             return reduce(keys.take(pa.array(left)), keys.take(pa.array(right)), sim, apart / float(DAY))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
+            now = None
             for b in batches:
-                ids = b.column("tile").to_numpy()
-                starts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), b.num_rows]
-                for i, j in zip(starts, starts[1:], strict=False):
-                    if i == j:
+                i, j = b.column("i").to_numpy(), b.column("j").to_numpy()
+                starts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), b.num_rows]
+                for x, y in zip(starts, starts[1:], strict=False):
+                    if x == y:
                         continue
-                    if held and held[-1].column("tile")[0].as_py() != int(ids[i]):
-                        yield from tile(pa.Table.from_batches(held)).to_batches()
+                    if held and now != (i[x], j[x]):
+                        yield from tile(pa.Table.from_batches(held))
                         held = []
-                    held.append(b.slice(i, j - i))
+                    now = (i[x], j[x])
+                    held.append(b.slice(x, y - x))
             if held:
-                yield from tile(pa.Table.from_batches(held)).to_batches()
+                yield from tile(pa.Table.from_batches(held))
 
-        return dealt.repartition("tile").sortWithinPartitions("tile", "part", "at", "key").mapInArrow(run, schema)
+        return dealt.repartition("i", "j").sortWithinPartitions("i", "j", "part", "at", "key").mapInArrow(each, schema)
 
 
 def prepared(news: DataFrame, by: list[str], key: str, side: int = 0) -> DataFrame:

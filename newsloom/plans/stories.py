@@ -125,7 +125,8 @@ def g04_two_pass_edges(spark, sf):
 
 @query("SELECT source::BIGINT AS source, target::BIGINT AS target, source_size::BIGINT AS source_size, target_size::BIGINT AS target_size, pair, round(best, 6) AS best_similarity, round(min_days, 6) AS min_days_diff, round(max_tj, 6) AS max_title_jaccard, max_shared::BIGINT AS max_shared_numbers, round(second, 6) AS second_best, round(best - second, 6) AS margin FROM sel", "sel")
 def g06_best_candidate_attach(spark, sf):
-    s = selected(near(spark, sf), materialise(clusters(spark, sf)))
+    base = materialise(clusters(spark, sf))
+    s = selected(near(spark, sf, base), base)
     return s.select("source", "target", "source_size", "target_size", F.concat_ws(" ", "source_news_id", "target_news_id").alias("pair"), r6("best_similarity"), r6("min_days_diff"), r6("max_title_jaccard"), F.col("max_shared_numbers_count").alias("max_shared_numbers"), r6("second_best_similarity", "second_best"), r6("margin"))
 
 

@@ -17,7 +17,7 @@ from . import keyed
 def full(news: DataFrame, c: I.Config) -> DataFrame:
     """(row_pos, news_id, cluster) of the batch pipeline."""
     base = materialise(A.baseline(news, c.strong, c.days))
-    chosen = A.selection(P.candidate_pairs(news, c.attach, c.days), base, c.attach, c.attach_days, 2, c.title_jaccard, c.shared_numbers, c.margin)
+    chosen = A.selection(P.candidate_pairs(news, c.attach, min(c.days, c.attach_days), A.sources(base)), base, c.attach, c.attach_days, 2, c.title_jaccard, c.shared_numbers, c.margin)
     return A.attached(base, chosen).select("row_pos", "news_id", "cluster", "baseline_component")
 
 

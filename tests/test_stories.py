@@ -97,6 +97,31 @@ def test_previous_only_features(spark):
     assert got[2].days_since_cluster_start == 3.0
 
 
+def test_a_large_cluster_is_sent_a_few_times(spark, monkeypatch):
+    """Rows sent grow with the table, and small blocks and pieces give the same features."""
+    n = 3000
+    rows = spark.range(n).selectExpr("0L AS cluster", "CAST(id AS INT) AS pos", "id AS row_pos", "array(1.0D, id / 10) AS unit", "array('a', CAST(id % 7 AS STRING)) AS title_tokens", "transform(sequence(0, 40), i -> CAST(i * id % 97 AS STRING)) AS text_tokens")
+    assert W._sent(rows).count() <= (W.PARTS + 1) * n
+    few = rows.where("pos < 60").withColumn("text_tokens", F.array_distinct("text_tokens"))
+    plain = lambda: sorted((r.row_pos, r.n, round(r.total, 9), r.tj, r.xj, [round(x, 9) for x in r.tops]) for r in W._previous(few).groupBy("row_pos").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("tj").alias("tj"), F.max("xj").alias("xj"), F.slice(F.sort_array(F.flatten(F.collect_list("tops")), False), 1, 3).alias("tops")).collect())
+    want = plain()
+    own = {r.pos: r for r in few.collect()}
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    assert [(r[0], r[1], r[4]) for r in want] == [(i, i, max(jaccard(own[i].text_tokens, own[j].text_tokens) for j in range(i))) for i in range(1, 60)]
+    for name, value in {"LEAST": 600, "MOST": 900, "BLOCK": 3, "PIECE": 5}.items():
+        monkeypatch.setattr(W, name, value)
+    assert plain() == want
+
+
+def test_pairs_of_small_clusters_are_enough(spark):
+    rows = [(i, f"2024-01-{1 + i % 9:02d}", [1.0, (i * 7 % 11) / 4], f"growth {i % 3}", "x") for i in range(40)]
+    df = frame(spark, rows)
+    base = A.baseline(df, 0.9995, 14)
+    all_, few = P.candidate_pairs(df, 0.9, 7), P.candidate_pairs(df, 0.9, 7, A.sources(base))
+    plain = lambda p: sorted(map(tuple, A.selection(p, base, 0.9, margin=0.0).collect()))
+    assert plain(all_) == plain(few) and few.count() < all_.count()
+
+
 def test_labels(spark):
     f = spark.createDataFrame([(0, 0, 0, 0.0), (1, 0, 1, 0.95), (2, 0, 2, 0.5)], "row_pos long, cluster long, position_in_cluster long, max_prev_similarity double")
     got = {r.row_pos: r for r in N.labelled(f, F.when(F.col("row_pos") == 2, 0.45).otherwise(0.1)).collect()}

@@ -55,6 +55,15 @@ def test_blocks_are_ruled_out_and_pairs_carry_no_vector(spark):
     assert tiles.similar(news, 0.9, 7).columns == ["a", "b", "similarity", "days_diff"]
 
 
+def test_runs_of_blocks_are_sent_together(spark, monkeypatch):
+    rows = made(np.random.default_rng(5), 300, 0.5)
+    want = brute(rows, 0.4, 7)
+    for span, at_once in ((1, 1 << 21), (3, 40)):
+        monkeypatch.setattr(tiles, "SPAN", span)
+        monkeypatch.setattr(tiles, "AT_ONCE", at_once)
+        assert {(r.a, r.b) for r in tiles.similar(frame(spark, rows), 0.4, 7, block=5).collect()} == set(want)
+
+
 def test_two_tables(spark):
     rows = made(np.random.default_rng(3), 200, 0.4)
     news = frame(spark, rows)
