@@ -88,3 +88,15 @@ def test_quantiles_equal_percentile(spark):
     assert got == want
     assert tuple(quantiles.exact(df, F.col("v"), wanted).first()) == tuple(df.agg(*[F.percentile("v", F.lit(q)) for q in wanted.values()]).first())
     assert quantiles.exact(df.where("false"), F.col("v"), wanted).first().mid is None
+
+
+def test_an_exact_check_finds_what_walks_miss(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(500, 12))
+    corpus = frame(spark, np.concatenate([x, x[:40]]))  # equal scores too
+    graph.built(corpus, 200).write.parquet(str(tmp_path / "g"))
+    asked = corpus.where("news_id % 20 = 0").selectExpr("news_id AS query_id", "embedding AS query")
+    index = spark.read.parquet(str(tmp_path / "g")).withColumn("links", F.unhex(F.repeat(F.lit("FFFFFFFF"), F.col("n") * 2 * graph.LINKS)))  # no links at all
+    plain = lambda df: sorted((r.query_id, r["rank"], r.news_id, round(r.score, 9)) for r in df.collect())
+    truth = plain(search.nearest_of_many(asked, corpus, 5))
+    assert plain(graph.nearest(asked, index, 5)) != truth
+    assert plain(graph.nearest(asked, index, 5, exact=True)) == truth
