@@ -100,3 +100,15 @@ def test_an_exact_check_finds_what_walks_miss(spark, tmp_path, monkeypatch):
     truth = plain(search.nearest_of_many(asked, corpus, 5))
     assert plain(graph.nearest(asked, index, 5)) != truth
     assert plain(graph.nearest(asked, index, 5, exact=True)) == truth
+
+
+def test_quantiles_by_bins(spark):
+    from newsloom.operators import quantiles
+
+    rng = random.Random(8)
+    rows = [(g, round(rng.uniform(-1, 1), 3)) for g, n in (("a", 400), ("b", 401), ("c", 1), ("d", 2)) for _ in range(n)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for share in (0.5, 0.25, 0.0, 1.0):
+        for bins in (4, 1 << 16):
+            got = {r.g: r.q for r in quantiles.by_bins(df, F.col("v"), share, ["g"], "q", bins).collect()}
+            assert {g: round(q, 9) for g, q in got.items()} == {g: round(float(np.quantile([v for h, v in rows if h == g and v is not None], share)), 9) for g in "abcd"}
