@@ -365,3 +365,10 @@ def test_stream_into_a_keyed_table(spark, tmp_path):
     stream.assign(articles, state, str(tmp_path / "ck")).awaitTermination()
     got = {r.news_id: r.cluster_id for r in KeyedTable(spark, str(tmp_path / "state"), stream.STATE_SCHEMA, ["news_id"], 4).read().collect()}
     assert len(got) == 3 and got["1"] == got["2"] != got["3"]
+
+
+def test_import_files_are_streamed(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes("title,text,date\r\nX,\"one\ntwo\",2024/01/01\r\n".encode("cp1251"))
+    df = readers.import_files(spark, str(tmp_path))
+    assert [(r.line, r.title, r.text) for r in df.collect()] == [(2, "X", "one\ntwo")]
+    assert "content:binary" not in df._jdf.queryExecution().executedPlan().toString()
