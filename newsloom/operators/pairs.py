@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from newsloom.functions import text as T
 from newsloom.functions import vector as V
 
 from . import tiles
-from .components import materialise
+from .sets import Sets, marks
 
 DAY = 86_400_000_000
 
@@ -70,19 +72,37 @@ def edges(news: DataFrame, threshold: float = 0.82, days: float = 14, by: list[s
 def candidate_pairs(news: DataFrame, min_similarity: float = 0.75, days: float = 14, of: DataFrame | None = None) -> DataFrame:
     """Pairs with evidence: similarity, days, Jaccard of titles and texts, shared numbers.
 
-    of (row_pos): only pairs with one of these rows, as left; a pair of two of them stands in both orders.
+    Evidence is taken where the cosines are, from marks of the words that go to the tiles with each row, so no
+    pair is sent with words. of (row_pos): only pairs with one of these rows, as left; a pair of two of them stands in both orders.
     """
-    sets = news.select("news_id", "row_pos", "topic", T.tokens(F.col("title")).alias("title_tokens"), T.tokens(F.col("text")).alias("text_tokens"), T.numbers(F.col("title"), F.col("text")).alias("numbers"))
-    side = lambda p, *more: sets.select(*[F.col(c).alias(f"{p}_{c}") for c in ("row_pos", "news_id", "title_tokens", "text_tokens", "numbers")], *more)
-    found = tiles.similar(news, min_similarity, days).toDF("left_row_pos", "right_row_pos", "similarity", "days_diff") if of is None else tiles.similar_to(news.join(of.select("row_pos"), "row_pos", "left_semi"), news, min_similarity, days, key="row_pos").toDF("left_row_pos", "right_row_pos", "similarity", "days_diff").where("left_row_pos <> right_row_pos")
-    near = materialise(found)
-    out = near.join(side("left", "topic"), "left_row_pos").join(side("right"), "right_row_pos")
-    return out.select(
-        "left_row_pos", "right_row_pos", "left_news_id", "right_news_id", "topic", "similarity", "days_diff",
-        T.jaccard(F.col("left_title_tokens"), F.col("right_title_tokens")).alias("title_jaccard"),
-        T.jaccard(F.col("left_text_tokens"), F.col("right_text_tokens")).alias("text_jaccard"),
-        F.size(F.array_intersect("left_numbers", "right_numbers")).cast("long").alias("shared_numbers_count"),
+    own = {"title_jaccard": T.tokens(F.col("title")), "text_jaccard": T.tokens(F.col("text")), "shared_numbers_count": T.numbers(F.col("title"), F.col("text"))}
+    sets = news.select(F.col("row_pos").alias("key"), F.col("news_id").alias("_id"), F.col("topic").alias("_topic"), *[marks(x).alias(c) for c, x in own.items()])
+    size = news.agg(F.avg(F.length("title") + F.length("text"))).first()[0] or 0  # words are shorter than 8 bytes, but repeat
+    rows = tiles.prepared(news, ["topic"], "row_pos", int(of is not None))
+    if of is not None:
+        rows = tiles.prepared(news.join(of.select("row_pos"), "row_pos", "left_semi"), ["topic"], "row_pos").union(rows)
+    join = tiles.Join(rows, days, ["topic"], min_similarity, sides=of is not None)
+    key = join.key_type
+
+    def look(t: pa.Table, start: int) -> tuple[None, tiles.Also]:
+        held = {c: Sets(t.column(c), start) for c in ("title_jaccard", "text_jaccard", "shared_numbers_count")}
+        ids, topics = t.column("_id").combine_chunks(), t.column("_topic").combine_chunks()
+
+        def evidence(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict[str, pa.Array]:
+            return {
+                "left_news_id": ids.take(pa.array(left)), "right_news_id": ids.take(pa.array(right)), "topic": topics.take(pa.array(left)),
+                "title_jaccard": pa.array(held["title_jaccard"].jaccards(x, y)), "text_jaccard": pa.array(held["text_jaccard"].jaccards(x, y)), "shared_numbers_count": pa.array(held["shared_numbers_count"].common(x, y)),
+            }
+
+        return None, evidence
+
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
+    found = join.result(
+        f"left_row_pos {key}, right_row_pos {key}, similarity double, days_diff double, left_news_id {kinds['_id']}, right_news_id {kinds['_id']}, topic {kinds['_topic']}, title_jaccard double, text_jaccard double, shared_numbers_count long",
+        lambda a, b, s, d: pa.table({"left_row_pos": a, "right_row_pos": b, "similarity": s, "days_diff": d}), sets, size, look,
     )
+    found = found if of is None else found.where("left_row_pos <> right_row_pos")
+    return found.select("left_row_pos", "right_row_pos", "left_news_id", "right_news_id", "topic", "similarity", "days_diff", "title_jaccard", "text_jaccard", "shared_numbers_count")
 
 
 def mutual_neighbours(news: DataFrame, k: int, days: float, threshold: float) -> DataFrame:

@@ -34,8 +34,15 @@ DAY = 86_400_000_000
 BLOCK, PIVOTS = 512, 8
 SPAN = 32  # blocks that are sent together
 AT_ONCE = 1 << 21  # cosines that a task holds at once
+RUN = 1 << 26  # bytes of further columns in the blocks that are sent together
 #: (ids of left rows, of right rows, similarities, days) of a tile to columns of its result.
 Reducer = Callable[[pa.Array, pa.Array, np.ndarray, np.ndarray], pa.Table]
+#: Similarities of the rows from one place to another with all rows of the tile's second part, instead of cosines.
+Scores = Callable[[int, int], np.ndarray]
+#: Further columns of pairs: places in the first part (ascending), in the second part, of left rows, of right rows.
+Also = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, pa.Array]]
+#: A tile's rows with their further columns, and where its second part begins (0: it is the first one), to both.
+Look = Callable[[pa.Table, int], tuple[Scores | None, Also | None]]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -129,7 +136,7 @@ class Join:
 
     def __init__(self, rows: DataFrame, days: float, by: list[str], threshold: float, block: int = BLOCK, sides: bool = False):
         """rows: (*by, key, at, unit, side); sides: only rows of different sides meet."""
-        self.width, self.threshold, self.sides = int(days * DAY), threshold, sides
+        self.width, self.threshold, self.sides, self.block = int(days * DAY), threshold, sides, block
         bucket = F.floor(F.col("at") / F.lit(max(self.width, 1))).cast("long")
         rows = rows.where("unit IS NOT NULL AND at IS NOT NULL").dropna(subset=by) if by else rows.where("unit IS NOT NULL AND at IS NOT NULL")
         self.by, self.key_type = [*by], rows.schema["key"].dataType.simpleString()
@@ -151,14 +158,22 @@ class Join:
         by_time, by_angle = F.col("by_time"), ~F.col("by_time") & F.col("by_angle")
         return self.pairs.agg(F.count("*").alias("block_pairs"), F.count_if(by_time).alias("ruled_out_by_time"), F.count_if(by_angle).alias("ruled_out_by_angle"), F.count_if(~by_time & ~F.col("by_angle")).alias("tiles"))
 
-    def result(self, schema: str, reduce: Reducer) -> DataFrame:
-        """What reduce makes of each tile. Left is the earlier row, or the one of side 0 if sides meet."""
+    def result(self, schema: str, reduce: Reducer, more: DataFrame | None = None, size: float = 0, look: Look | None = None) -> DataFrame:
+        """What reduce makes of each tile. Left is the earlier row, or the one of side 0 if sides meet.
+
+        more: (key, further columns) of the rows, those of about ``size`` bytes; rows without any meet
+        nothing. They go to the tiles with their row, and look makes columns of pairs of them there.
+        """
         width, threshold, sides = self.width, self.threshold, self.sides
-        run = lambda c: F.floor(F.col(c) / F.lit(SPAN))
+        span = SPAN
+        while span > 1 and span % 2 == 0 and span * self.block * size > RUN:  # a half, as groups start at multiples of SPAN
+            span //= 2
+        run = lambda c: F.floor(F.col(c) / F.lit(span))
         tiles = self.pairs.where("NOT by_time AND NOT by_angle").select(F.array("a_block", "b_block").alias("blocks"), F.least(run("a_block"), run("b_block")).alias("i"), F.greatest(run("a_block"), run("b_block")).alias("j"))
         both = materialise(tiles.select("i", "j", F.explode("blocks").alias("block")).distinct().withColumn("part", (run("block") > F.col("i")).cast("int")))
         few = both.count() <= 200_000  # else the rows are shuffled
-        dealt = self.rows.join(F.broadcast(both) if few else both, "block").select("i", "j", "part", "key", "at", "unit", "side")
+        rows, further = (self.rows.join(more, "key"), [c for c in more.columns if c != "key"]) if more is not None else (self.rows, [])
+        dealt = rows.join(F.broadcast(both) if few else both, "block").select("i", "j", "part", "key", "at", "unit", "side", *further)
 
         def tile(t: pa.Table) -> Iterator[pa.RecordBatch]:
             part, at, side, keys = t.column("part").to_numpy(), t.column("at").to_numpy(), t.column("side").to_numpy(), t.column("key").combine_chunks()
@@ -166,12 +181,13 @@ class Join:
             m = int((part == 0).sum())
             one = m == len(part)
             step = max(AT_ONCE // max(m if one else len(part) - m, 1), 1)
+            scores, also = look(t, 0 if one else m) if look else (None, None)
             for k in range(0, m, step):
-                other = k if one else m
-                yield from piece(units[k : min(k + step, m)], units[other:], k, other, one, at, side, keys).to_batches()
+                other, upto = k if one else m, min(k + step, m)
+                s = scores(k, upto)[:, k if one else 0 :] if scores else units[k:upto] @ units[other:].T
+                yield from piece(s, k, other, one, at, side, keys, also).to_batches()
 
-        def piece(a: np.ndarray, b: np.ndarray, k: int, other: int, one: bool, at: np.ndarray, side: np.ndarray, keys: pa.Array) -> pa.Table:
-            s = a @ b.T
+        def piece(s: np.ndarray, k: int, other: int, one: bool, at: np.ndarray, side: np.ndarray, keys: pa.Array, also: Also | None) -> pa.Table:
             x, y = np.nonzero(s >= threshold)
             if one:
                 x, y = x[x < y], y[x < y]
@@ -190,7 +206,10 @@ class Join:
             apart = np.abs(at[right] - at[left])
             near = (apart <= width) & (side[left] != side[right] if sides else True)
             left, right, sim, apart = left[near], right[near], sim[near], apart[near]
-            return reduce(keys.take(pa.array(left)), keys.take(pa.array(right)), sim, apart / float(DAY))
+            out = reduce(keys.take(pa.array(left)), keys.take(pa.array(right)), sim, apart / float(DAY))
+            for name, column in also(x[near], y[near], left, right).items() if also else ():
+                out = out.append_column(name, column)
+            return out
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []

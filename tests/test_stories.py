@@ -122,6 +122,33 @@ def test_pairs_of_small_clusters_are_enough(spark):
     assert plain(all_) == plain(few) and few.count() < all_.count()
 
 
+@pytest.mark.parametrize("span,at_once,block", [(32, 1 << 21, 512), (2, 30, 4)])
+def test_evidence_is_taken_in_the_tiles(spark, monkeypatch, span, at_once, block):
+    """The same as of all pairs, and no join brings words to a pair."""
+    texts = ["growth of 12 percent", "Growth, 12,5 percent and 3", None, "", "other words 3 and 12 here", "ночь и день 7"]
+    rows = [(i, f"2024-01-{1 + i * 5 % 23:02d}", [1.0, (i * 7 % 11) / 4], texts[i % 6], "xy"[i % 5 == 0]) for i in range(70)]
+    df = frame(spark, rows).withColumn("text", F.concat_ws(" ", "text", F.col("row_pos") % 9))
+    for name, value in {"SPAN": span, "AT_ONCE": at_once, "RUN": 1000}.items():
+        monkeypatch.setattr(P.tiles, name, value)
+    monkeypatch.setattr(P.tiles.Join.__init__, "__defaults__", (block, False))
+    own = {r.row_pos: r for r in P.vectorised(df).select("*", F.unix_micros("published_at").alias("at")).collect()}
+    jaccard = lambda a, b: len(set(a) & set(b)) / max(len(set(a) | set(b)), 1)
+    want = {}
+    for a in own.values():
+        for b in own.values():
+            s = sum(x * y for x, y in zip(a.unit, b.unit, strict=True))
+            if a.topic == b.topic and (a.at, a.row_pos) < (b.at, b.row_pos) and b.at - a.at <= 5 * P.DAY and s >= 0.9:
+                want[a.row_pos, b.row_pos] = (a.news_id, b.news_id, a.topic, round(s, 9), round((b.at - a.at) / P.DAY, 9), jaccard(a.title_tokens, b.title_tokens), jaccard(a.text_tokens, b.text_tokens), len(set(a.numbers) & set(b.numbers)))
+    plain = lambda p: {(r[0], r[1]): (*r[2:5], round(r[5], 9), round(r[6], 9), *r[7:]) for r in p.collect()}
+    pairs = P.candidate_pairs(df, 0.9, 5)
+    assert plain(pairs) == want and len(want) > 100
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join")
+    few = plain(P.candidate_pairs(df, 0.9, 5, df.where("row_pos % 7 = 0")))
+    both = want | {(b, a): (v[1], v[0], *v[2:]) for (a, b), v in want.items()}
+    assert few == {k: v for k, v in both.items() if k[0] % 7 == 0}
+
+
 def test_labels(spark):
     f = spark.createDataFrame([(0, 0, 0, 0.0), (1, 0, 1, 0.95), (2, 0, 2, 0.5)], "row_pos long, cluster long, position_in_cluster long, max_prev_similarity double")
     got = {r.row_pos: r for r in N.labelled(f, F.when(F.col("row_pos") == 2, 0.45).otherwise(0.1)).collect()}
