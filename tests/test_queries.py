@@ -4,9 +4,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from newsloom.plans import catalogue
+from newsloom.plans import base, catalogue
 
 SF = "/root/testdata/sf0.001"
 #: Queries without SQL, and the test that holds their results against a plain version.
@@ -52,6 +53,16 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_only_texts_with_a_vector_are_joined(spark, monkeypatch):
+    """Before the join the documents are cut to those with a vector, so no other text is shuffled."""
+    kept = base.news(spark, SF)
+    assert "LeftSemi" in kept._jdf.queryExecution().optimizedPlan().toString()
+    hashed = lambda df: sorted(r[0] for r in df.select(F.xxhash64(*df.columns)).collect())
+    want = hashed(kept)
+    monkeypatch.setattr(base, "FEW", -1)
+    assert hashed(base.news(spark, SF)) == want and want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
