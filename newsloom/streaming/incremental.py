@@ -50,6 +50,7 @@ class Item:
     cluster: str = ""
     component: str = ""
     stored: bool = False
+    affected: bool = False  # by a row that was added
     method: str = "baseline"
     parent: str | None = None
     similarity: float | None = None
@@ -197,8 +198,11 @@ class Topic:
         late = now.cluster in self.last and now.at < self.last[now.cluster]
         stored = [x for x in self.members.get(now.cluster, []) if x.stored and (merged or x.at > now.at)] if merged or late else []
         later = sum(x.at > now.at for x in stored)
+        first = sorted((x for x in stored if not x.affected), key=lambda x: (x.at, x.news_id))
+        for x in first:
+            x.affected = True
         self._hold(now)
-        return {"item": now, "update_method": update, "second_best_similarity": second, "assignment_margin": margin, "assignment_needs_review": review, "late_arrival": late, "affected_historical_count": later, "affected": [x.news_id for x in sorted(stored, key=lambda x: (x.at, x.news_id))], "merged_cluster_ids": merged[0] if merged else [], "merged_component_ids": merged[1] if merged else []}
+        return {"item": now, "update_method": update, "second_best_similarity": second, "assignment_margin": margin, "assignment_needs_review": review, "late_arrival": late, "affected_historical_count": later, "affected": [x.news_id for x in first], "merged_cluster_ids": merged[0] if merged else [], "merged_component_ids": merged[1] if merged else []}
 
     def closed(self, before: int) -> list[tuple[str, int, int]]:
         """Forget rows and stories whose latest row is earlier; (story, size, latest) of those stories."""
@@ -233,6 +237,8 @@ def assigned(history: DataFrame, new: DataFrame, config: Config = Config()) -> D
 
     history holds STATE, new the first six columns. One task handles a segment, as a row's
     place depends on all rows of its segment before it; segments run in parallel.
+    affected names the stored rows that no new row before affected, so each stands in one list
+    and all lists together are no longer than the history; affected_historical_count counts all later ones.
     """
 
     def run(key: tuple, stored: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:

@@ -75,6 +75,12 @@ def test_late_arrival(spark):
     assert not run(spark, old, [("n", "2024-01-05", [1.0, 0.0], "t", "other")])["n"].late_arrival
 
 
+def test_a_row_affected_twice_is_named_once(spark):
+    old = [("past", "2024-01-01", [0.0, 1.0], "e1", "b1", "t"), ("future", "2024-01-10", [1.0, 0.0], "e1", "b1", "t"), ("last", "2024-01-11", [1.0, 0.0], "e1", "b1", "t")]
+    got = run(spark, old, [(f"late-{d}", f"2024-01-0{d}", [1.0, 0.0], "t") for d in (4, 5, 6)])
+    assert [(got[f"late-{d}"].affected_historical_count, got[f"late-{d}"].affected) for d in (4, 5, 6)] == [(2, ["future", "last"]), (2, []), (2, [])]
+
+
 def test_checked(spark):
     h = history(spark, [("o", "2024-01-01", [1.0, 0.0], "e", "b", "t")])
     with pytest.raises(ValueError):
