@@ -82,6 +82,7 @@ class Words:
         edge = np.flatnonzero(space[1:] != space[:-1])  # begins and ends in turn, as raw ends with white space
         self.start, self.end = edge[::2], edge[1::2]
         self._eight = np.ndarray((len(self.raw) + 1,), "<u8", self.raw + bytes(8), strides=(1,))
+        self._head = self._lane(np.arange(len(self.start)), 0)
         self.hash = self._hashes()
         self.sizes = np.array([len(x) for x in parts], np.int64)
         limits = np.cumsum(self.sizes + 1)
@@ -97,7 +98,7 @@ class Words:
         h = mixed(n.astype(U64) * U64(0x9E3779B97F4A7C15))
         live, k = np.flatnonzero(n <= _LONG), 0
         while len(live):
-            h[live] = mixed(h[live] ^ self._lane(live, k))
+            h[live] = mixed(h[live] ^ (self._lane(live, k) if k else self._head[live]))
             k += 1
             live = live[n[live] > 8 * k]
         for i in np.flatnonzero(n > _LONG).tolist():
@@ -107,8 +108,8 @@ class Words:
     def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the words i and the words j have the same bytes, pair by pair."""
         n = self.end[i] - self.start[i]
-        out = n == self.end[j] - self.start[j]
-        live, k = np.flatnonzero(out & (i != j) & (n <= _LONG)), 0
+        out = (n == self.end[j] - self.start[j]) & (self._head[i] == self._head[j])
+        live, k = np.flatnonzero(out & (i != j) & (n > 8) & (n <= _LONG)), 1
         while len(live):
             equal = self._lane(i[live], k) == self._lane(j[live], k)
             out[live[~equal]] = False

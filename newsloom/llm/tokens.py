@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from .common import U64, Words
 
@@ -115,7 +116,8 @@ class PieceEncoder(dict):
             lead, word, signs = plain.groups()
             if signs and signs not in self.signs:
                 self.signs[signs] = self._unit(signs)
-            return self._unit(lead + (word.lower() if self.by_word else word)) + (self.signs[signs] if signs else b"")
+            known = self.get(piece[: -len(signs)]) if signs else None  # signs are ASCII
+            return (known or self._unit(lead + (word.lower() if self.by_word else word))) + (self.signs[signs] if signs else b"")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -148,7 +150,8 @@ class PieceEncoder(dict):
         inner = w.start > 0
         spaced[inner] = a[w.start[inner] - 1] == 32
         key = w.hash if self.by_word else w.hash ^ (spaced.astype(U64) * U64(0xA0761D6478BD642F))
-        _, some, index = np.unique(key, return_index=True, return_inverse=True)
+        index = pa.array(key).dictionary_encode().indices.to_numpy().astype(np.int64)  # numbered by first place
+        some = np.flatnonzero(np.diff(np.maximum.accumulate(index), prepend=-1))
         first = some[index]
         if not (w.same(first, np.arange(n)) & (self.by_word | (spaced[first] == spaced))).all():  # equal hashes of different pieces
             known: dict[bytes, int] = {}
@@ -157,7 +160,8 @@ class PieceEncoder(dict):
         from_ = w.start[some] if self.by_word else w.start[some] - spaced[some]
         pieces = [raw[a:z] for a, z in zip(from_.tolist(), w.end[some].tolist(), strict=True)]
         items = list(map(self.get, pieces))
-        for i in [i for i, x in enumerate(items) if x is None]:
+        new = [i for i, x in enumerate(items) if x is None]
+        for i in sorted(new, key=pieces.__getitem__):  # a word comes before itself with signs
             items[i] = self[pieces[i]] = self._piece(pieces[i])
         if len(self) > self.limit:
             self.clear()
@@ -192,14 +196,10 @@ class PieceEncoder(dict):
                 rank = np.lexsort((np.concatenate([np.ones(len(at), int), np.zeros(len(tail), int)]), owner, place))
                 order = np.insert(index, place[rank], number[rank])
                 doc = np.insert(doc, place[rank], owner[rank])
-        lengths = np.fromiter(map(len, items), np.int64, len(items)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(items), self.dtype)
-        starts = np.cumsum(lengths) - lengths
-        size = lengths[order]
-        total = int(size.sum())
-        shift = starts[order] - (np.cumsum(size) - size)
-        ids = flat[np.repeat(shift, size) + np.arange(total)] if total else np.empty(0, self.dtype)
-        return ids, np.bincount(doc, size, len(texts)).astype(np.int64) if len(doc) else np.zeros(len(texts), np.int64)
+        joined = pa.array(items, pa.large_binary()).take(pa.array(order))
+        at = np.frombuffer(joined.buffers()[1], np.int64, len(order) + 1) // self.dtype.itemsize if len(order) else np.zeros(1, np.int64)
+        ids = np.frombuffer(joined.buffers()[2], self.dtype, int(at[-1])) if at[-1] else np.empty(0, self.dtype)
+        return ids, np.diff(at[np.searchsorted(doc, np.arange(len(texts) + 1))])
 
 
 class WordEncoder(PieceEncoder):

@@ -194,3 +194,13 @@ def test_the_best_of_all_bins_is_taken(norm, limits):
             assert got == len(left)
             left.append(limits)
         left[got] = tuple(a - b for a, b in zip(left[got], need, strict=True))
+
+
+def test_a_known_word_with_signs_is_not_encoded_again():
+    encoder = PieceEncoder(BYTE)
+    asked, unit = [], encoder._unit
+    encoder._unit = lambda x: asked.append(x) or unit(x)
+    text = "one word, a word. the word; word"
+    ids, counts = encoder.many([text])
+    assert ids.tolist() == encoder.library.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert asked.count(" word") == 1
