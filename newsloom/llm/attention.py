@@ -72,116 +72,162 @@ def start(counts: np.ndarray, seed: int = 5) -> np.ndarray:
 
 
 _mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_SCALE = DIM**-0.5
+
+
+def _scaled(qkv: np.ndarray) -> np.ndarray:
+    """The weights of queries, keys and values, those of queries scaled, so that their products need not be."""
+    out = qkv.copy()
+    out[:, :DIM] *= _SCALE
+    return out
 
 
 def _attend(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What each place of inputs (batch, WINDOW) reads: embeddings, queries, keys, values, weights, context."""
+    """What each place of inputs (batch, WINDOW) reads: embeddings, scaled queries, keys, values, weights, context."""
     b = len(x)
     e = p["emb"][x]
     e += p["pos"]
     e = e.reshape(-1, DIM)
-    qkv = (e @ p["qkv"]).reshape(b, WINDOW, 3 * DIM)
+    qkv = (e @ _scaled(p["qkv"])).reshape(b, WINDOW, 3 * DIM)
     q, k, v = qkv[:, :, :DIM], qkv[:, :, DIM : 2 * DIM], qkv[:, :, 2 * DIM :]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= DIM**-0.5
     np.minimum(a, 30, out=a)
     np.exp(a, out=a)
     a *= _mask
-    a /= a.sum(-1, keepdims=True)
+    a *= 1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(b, WINDOW, 1)
     return e, q, k, v, a, np.matmul(a, v).reshape(-1, DIM)
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The last hidden state of each place of inputs (batch, WINDOW)."""
-    h, *_, c = _attend(p, x)
-    h += c @ p["o"]
+def _and_one(m: np.ndarray) -> np.ndarray:
+    """m with a column of ones, the input of a bias."""
+    out = np.ones((len(m), m.shape[1] + 1), m.dtype)
+    out[:, :-1] = m
+    return out
+
+
+def _biased(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights with their biases as a last row."""
+    return np.concatenate([w, b[..., None, :]], axis=-2)
+
+
+def _mixed(p: dict[str, np.ndarray], e: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The states after attention, the first layer after it and the last states, of places with embeddings e and context c."""
+    h = c @ p["o"]
+    h += e
     u = h @ p["w1"]
     u += p["b1"]
     np.maximum(u, 0, out=u)
-    h += u @ p["w2"]
-    return h
+    m = u @ p["w2"]
+    m += h
+    return h, u, m
+
 
+def forward(p: dict[str, np.ndarray], x: np.ndarray, places: np.ndarray | slice = np.s_[:]) -> np.ndarray:
+    """The last hidden state of places of inputs (batch, WINDOW), of all of them if none are given."""
+    e, *_, c = _attend(p, x)
+    return _mixed(p, e[places], c[places])[2]
 
-def _softmax(z: np.ndarray) -> np.ndarray:
+
+def _exp(z: np.ndarray) -> np.ndarray:
     np.minimum(z, 60, out=z)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True) + 1e-30
-    return z
+    return np.exp(z, out=z)
 
 
-def _class_softmax(p: dict[str, np.ndarray], m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-    """Places in the order of the groups of y, (group, from, to) in it, and for them hidden states and P(class | group)."""
-    g = y // SIZE
-    order = np.argsort(g, kind="stable")
-    g, m = g[order], m[order]
+def _by_group(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Places in the order of the groups of y, their groups, and (group, from, to) in them."""
+    g = (y // SIZE).astype(np.uint8)
+    order = np.argsort(g, kind="stable")  # of bytes: a radix sort
+    g = g[order]
     edge = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
-    runs = [(k, a, z) for k, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
-    c = p["cb"][g]
+    return order, g.astype(np.int64), [(k, a, z) for k, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
+
+
+def _class_exp(p: dict[str, np.ndarray], m: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """P(class | group) up to a factor of each place, for states with a column of ones in the order of groups."""
+    c, w = np.empty((len(m), SIZE), m.dtype), _biased(p["cw"], p["cb"])
     for k, a, z in runs:
-        c[a:z] += m[a:z] @ p["cw"][k]
-    return order, runs, m, _softmax(c)
+        np.matmul(m[a:z], w[k], out=c[a:z])
+    return _exp(c)
 
 
 def log_probabilities(p: dict[str, np.ndarray], m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """ln P(class y) for hidden states m, and ln P(a class that begins a word)."""
-    z, at = _softmax(m @ p["gw"] + p["gb"]), np.arange(len(m))
-    hit = z[at, y // SIZE].astype(np.float64)
-    begins = z[:, : GROUPS // 2].sum(1).astype(np.float64)
-    order, _, _, c = _class_softmax(p, m, y)
-    hit[order] *= c[at, y[order] % SIZE]
+    order, g, runs = _by_group(y)
+    m, row = _and_one(m[order]), np.arange(len(m)) * SIZE
+    z = _exp(m @ _biased(p["gw"], p["gb"]))
+    both = z @ np.stack([np.ones(GROUPS, z.dtype), (np.arange(GROUPS) < GROUPS // 2).astype(z.dtype)], axis=1)
+    total = both[:, 0] + 1e-30
+    c = _class_exp(p, m, runs)
+    inside = c.reshape(-1)[row + y[order] % SIZE] / (c @ np.ones(SIZE, c.dtype) + 1e-30)
+    hit, begins = np.empty(len(m)), np.empty(len(m))
+    hit[order] = (z.reshape(-1)[row + g] / total).astype(np.float64) * inside
+    begins[order] = both[:, 1] / total
     return np.log(np.maximum(hit, 1e-30)), np.log(np.maximum(begins, 1e-30))
 
 
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, g: dict[str, np.ndarray]) -> float:
-    """Mean loss over places with weight w; its gradient is written into g."""
+    """Mean loss over places with weight w; its gradient is written into g.
+
+    Places without weight are read as context; what follows attention is not taken for them.
+    """
     b = len(x)
     e, q, k, v, a, c = _attend(p, x)
-    h = e + c @ p["o"]
-    u = h @ p["w1"]
-    u += p["b1"]
-    np.maximum(u, 0, out=u)
-    m = h + u @ p["w2"]
-    y, w = y.ravel(), (w.ravel() / max(w.sum(), 1)).astype(m.dtype)
-    at = np.arange(len(m))
-    z = _softmax(m @ p["gw"] + p["gb"])
-    hit = z[at, y // SIZE]
-    z[at, y // SIZE] -= 1
-    z *= w[:, None]
-    g["gw"][:] = m.T @ z
-    g["gb"][:] = z.sum(0)
+    y, w = y.ravel(), w.ravel()
+    need = np.flatnonzero(w)
+    order, group, runs = _by_group(y[need])
+    need = need[order]
+    w, row, inside = (w[need] / max(w.sum(), 1)).astype(e.dtype), np.arange(len(need)) * SIZE, y[need] % SIZE
+    cn = c[need]
+    h, u, m = _mixed(p, e[need], cn)
+    m = _and_one(m)
+
+    def against(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """P(at) of each place; z, up to a factor a distribution, becomes the gradient of its inputs."""
+        flat, total = z.reshape(-1), z @ np.ones(z.shape[1], z.dtype) + z.dtype.type(1e-30)
+        hit = flat[at] / total
+        z *= (w / total)[:, None]
+        flat[at] -= w
+        return hit
+
+    z = _exp(m @ _biased(p["gw"], p["gb"]))
+    hit = against(z, row + group)
+    gm = m.T @ z
+    g["gw"][:], g["gb"][:] = gm[:-1], gm[-1]
     dm = z @ p["gw"].T
-    order, runs, ms, z = _class_softmax(p, m, y)
-    cell = (at, y[order] % SIZE)
-    hit[order] *= z[cell]
-    z[cell] -= 1
-    z *= w[order, None]
-    g["cw"][:] = 0
-    g["cb"][:] = 0
-    g["cb"][[i for i, _, _ in runs]] = np.add.reduceat(z, [s for _, s, _ in runs], axis=0)
-    back = np.empty_like(ms)
+    z = _class_exp(p, m, runs)
+    hit *= against(z, row + inside)
+    gm, back = np.zeros((GROUPS, DIM + 1, SIZE), m.dtype), np.empty_like(dm)
     for i, s, t in runs:
-        g["cw"][i] = ms[s:t].T @ z[s:t]
+        np.matmul(m[s:t].T, z[s:t], out=gm[i])
         np.matmul(z[s:t], p["cw"][i].T, out=back[s:t])
-    dm[order] += back
+    g["cw"][:], g["cb"][:] = gm[:, :-1], gm[:, -1]
+    dm += back
     g["w2"][:] = u.T @ dm
     du = dm @ p["w2"].T
     du *= u > 0
     g["w1"][:] = h.T @ du
-    g["b1"][:] = du.sum(0)
-    dh = dm
-    dh += du @ p["w1"].T
-    g["o"][:] = c.T @ dh
-    dc = (dh @ p["o"].T).reshape(b, WINDOW, DIM)
+    g["b1"][:] = np.ones(len(du), du.dtype) @ du
+    dm += du @ p["w1"].T
+    g["o"][:] = cn.T @ dm
+    dh, dc = np.zeros_like(e), np.zeros_like(c)
+    dh[need] = dm
+    dc[need] = dm @ p["o"].T
+    along = ((dc * c) @ np.ones(DIM, c.dtype)).reshape(b, WINDOW, 1)  # of each place, the sum of its weights' gradients
+    dc = dc.reshape(b, WINDOW, DIM)
     ds = np.matmul(dc, v.transpose(0, 2, 1))
-    ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+    ds -= along
     ds *= a
-    ds *= DIM**-0.5
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dc)], axis=2).reshape(-1, 3 * DIM)
-    g["qkv"][:] = e.T @ dqkv
-    dh += dqkv @ p["qkv"].T
+    dqkv = np.empty((b, WINDOW, 3 * DIM), e.dtype)
+    np.matmul(ds, k, out=dqkv[:, :, :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[:, :, 2 * DIM :])
+    dqkv = dqkv.reshape(-1, 3 * DIM)
+    g["qkv"][:] = _scaled(e.T @ dqkv)
+    dh += dqkv @ _scaled(p["qkv"]).T
     g["pos"][:] = dh.reshape(b, WINDOW, DIM).sum(0)
-    order = np.argsort(x, axis=None, kind="stable")
-    ids = x.ravel()[order]
+    ids = x.ravel().astype(np.uint16)
+    order = np.argsort(ids, kind="stable")  # of two bytes: a radix sort
+    ids = ids[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     g["emb"][:] = 0
     g["emb"][ids[first]] = np.add.reduceat(dh[order], first, axis=0)
@@ -244,6 +290,6 @@ def score(flat: np.ndarray, classes: Classes, y: np.ndarray, lengths: np.ndarray
         real = at < lengths[d][:, None]
         at = (starts[d][:, None] + np.where(real, at, 0)).ravel()
         need = np.flatnonzero((real & (place >= s[:, None])).ravel())
-        m = forward(p, x[at].reshape(-1, WINDOW))
-        out[at[need]], begins[at[need]] = log_probabilities(p, m[need], y[at[need]])
+        m = forward(p, x[at].reshape(-1, WINDOW), need)
+        out[at[need]], begins[at[need]] = log_probabilities(p, m, y[at[need]])
     return out, begins

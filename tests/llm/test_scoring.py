@@ -141,6 +141,23 @@ def test_gradient():
         assert g[k][i] == pytest.approx((near[0] - near[1]) / 2e-3, rel=5e-2, abs=1e-6), k
 
 
+def test_places_without_weight_are_only_read():
+    """What stands at places without weight is context; no class is predicted there, and the rest is as if all were."""
+    classes, p, _ = small_model()
+    p = attention.views(p.astype(np.float64))
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, classes.n, (2, 5, attention.WINDOW))
+    w = rng.random((5, attention.WINDOW)) < 0.7
+    w[:, : attention.WINDOW - attention.STRIDE] = False
+    a, b = np.zeros((2, attention.WEIGHTS))
+    loss = attention.gradient(p, x, y, w, attention.views(a))
+    assert attention.gradient(p, x, np.where(w, y, 10**6), w, attention.views(b)) == loss and (a == b).all() and a.any()
+    need = np.flatnonzero(w)
+    m = attention.forward(p, x)
+    assert np.allclose(attention.forward(p, x, need), m[need], rtol=1e-12, atol=1e-12)
+    assert -attention.log_probabilities(p, m[need], y.ravel()[need])[0].mean() == pytest.approx(loss, rel=1e-9)
+
+
 def test_training_learns():
     classes, p, _ = small_model()
     x = np.tile(np.arange(attention.WINDOW + 1) % 4, (1024, 1))
