@@ -17,42 +17,34 @@ def marks(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(x))
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(values, ends) of a list column; null is an empty list."""
     a = column.combine_chunks()
     return a.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
 class Sets:
-    """Rows from ``start`` on by mark; rows before it are only asked for. weights: of each mark in its row."""
+    """Rows from ``start`` on by mark; rows before it are only asked for."""
 
-    def __init__(self, column: pa.ChunkedArray, start: int, weights: pa.ChunkedArray | None = None):
-        self.own, self.ends = _lists(column)
+    def __init__(self, column: pa.ChunkedArray, start: int):
+        self.own, self.ends = lists(column)
         self.sizes, self.start = np.diff(self.ends), start
-        self.weights = _lists(weights)[0] if weights is not None else None
         first = self.ends[start]
         order = np.argsort(self.own[first:], kind="stable")
         self.owner = np.repeat(np.arange(len(self.sizes) - start), self.sizes[start:])[order]
-        self.by_mark = self.weights[first:][order] if weights is not None else None
         mark = self.own[first:][order]
         new = np.flatnonzero(np.append(True, mark[1:] != mark[:-1])) if len(mark) else np.empty(0, np.int64)
         self.mark, self.bounds = mark[new], np.append(new, len(mark))
 
     def with_all(self, row: int) -> np.ndarray:
-        """Of a row with each from start on: how many marks are common, or the sum of their products of weights."""
-        n, x = len(self.sizes) - self.start, slice(self.ends[row], self.ends[row + 1])
-        own = self.own[x]
+        """Of a row with each from start on: how many marks are common."""
+        n, own = len(self.sizes) - self.start, self.own[self.ends[row] : self.ends[row + 1]]
         if not len(own) or not len(self.mark):
             return np.zeros(n)
         at = np.minimum(np.searchsorted(self.mark, own), len(self.mark) - 1)
-        hit = self.mark[at] == own
-        lists = [slice(a, z) for a, z in zip(self.bounds[at[hit]].tolist(), self.bounds[at[hit] + 1].tolist(), strict=True)]
-        if not lists:
-            return np.zeros(n)
-        owners = np.concatenate([self.owner[s] for s in lists])
-        if self.weights is None:
-            return np.bincount(owners, minlength=n)
-        return np.bincount(owners, np.concatenate([self.by_mark[s] * w for s, w in zip(lists, self.weights[x][hit].tolist(), strict=True)]), n)
+        at = at[self.mark[at] == own]
+        held = [self.owner[a:z] for a, z in zip(self.bounds[at].tolist(), self.bounds[at + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate(held), minlength=n) if held else np.zeros(n)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """For pairs of rows, sorted by x, y from start on: how many marks they share."""

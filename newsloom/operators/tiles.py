@@ -9,7 +9,8 @@ Blocks next to each other are sent together: the pairs of blocks left over of tw
 SPAN blocks are one tile, so a row is sent once for each run that it meets. A task gets
 the rows of both runs, and gives (left, right, similarity, days) or what a reducer makes of
 them, some rows of the tile at a time. No row of a pair carries a
-vector, and a topic with most of all rows is as many tiles as any other rows.
+vector, and a topic with most of all rows is as many tiles as any other rows. Where angles
+rule out nothing, rows are sorted by time instead, so that more blocks are too far apart.
 
 Rows without a vector, a time or a value of ``by``, and vectors with a component that is not
 a number, meet nothing; vectors meet those of their length.
@@ -37,7 +38,7 @@ AT_ONCE = 1 << 21  # cosines that a task holds at once
 RUN = 1 << 26  # bytes of further columns in the blocks that are sent together
 #: (ids of left rows, of right rows, similarities, days) of a tile to columns of its result.
 Reducer = Callable[[pa.Array, pa.Array, np.ndarray, np.ndarray], pa.Table]
-#: Similarities of the rows from one place to another with all rows of the tile's second part, instead of cosines.
+#: Similarities of the rows from one place to another, instead of cosines, with all rows of the tile's second part, or with those from the first place on if there is one part (only pairs in order count).
 Scores = Callable[[int, int], np.ndarray]
 #: Further columns of pairs: places in the first part (ascending), in the second part, of left rows, of right rows.
 Also = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict[str, pa.Array]]
@@ -50,6 +51,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _one(t: pa.Table) -> bool:
+    """Whether a tile is of one run with itself; of two runs, either may have no row left."""
+    return t.column("i")[0] == t.column("j")[0]
+
+
 def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Of each row to each pivot; 0 everywhere for vectors of another length than the pivots', which rules out nothing."""
     if units.shape[1] != pivots.shape[1]:
@@ -64,9 +70,9 @@ def _pivots(rows: DataFrame) -> np.ndarray:
     return np.array([r.unit for r in found if len(r.unit) == size]).reshape(-1, size)
 
 
-def _cut(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-    """The rows with their block, and a row of bounds (n set) for each block."""
-    pivots = _pivots(rows)
+def _cut(rows: DataFrame, by: list[str], most: int, in_time: bool) -> DataFrame:
+    """The rows with their block, and a row of bounds (n set) for each block; in_time: blocks follow each other in (at, key)."""
+    pivots = np.empty((0, 0)) if in_time else _pivots(rows)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,7 +83,7 @@ def _cut(rows: DataFrame, by: list[str], most: int) -> DataFrame:
             yield b.append_column("cell", pa.array(a.argmin(1).astype(np.int32))).append_column("angle", pa.array(a.min(1)))
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    placed = rows.mapInArrow(place, ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", cell int, angle double")
+    placed = rows if in_time else rows.mapInArrow(place, ", ".join(f"`{n}` {k}" for n, k in kinds.items()) + ", cell int, angle double")
     groups = [*by, "dim", "bucket", "side"]
     out = ", ".join(f"`{n}` {kinds[n]}" for n in [*groups, "key", "at", "unit"]) + ", block long, n int, low long, high long, least array<double>, most array<double>"
 
@@ -126,7 +132,7 @@ def _cut(rows: DataFrame, by: list[str], most: int) -> DataFrame:
         if held:
             yield from block()
 
-    order = [*groups, "cell", "angle", "key"]
+    order = [*groups, *(["at"] if in_time else ["cell", "angle"]), "key"]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(cut, out)
 
@@ -134,18 +140,18 @@ def _cut(rows: DataFrame, by: list[str], most: int) -> DataFrame:
 class Join:
     """A join in blocks, up to its tiles; ``report`` counts the pairs of blocks."""
 
-    def __init__(self, rows: DataFrame, days: float, by: list[str], threshold: float, block: int = BLOCK, sides: bool = False):
-        """rows: (*by, key, at, unit, side); sides: only rows of different sides meet."""
+    def __init__(self, rows: DataFrame, days: float, by: list[str], threshold: float, block: int = BLOCK, sides: bool = False, *, in_time: bool = False):
+        """rows: (*by, key, at, unit, side); sides: only rows of different sides meet; in_time: no angle is used, and a tile's first part stands before its second in (at, key)."""
         self.width, self.threshold, self.sides, self.block = int(days * DAY), threshold, sides, block
         bucket = F.floor(F.col("at") / F.lit(max(self.width, 1))).cast("long")
         rows = rows.where("unit IS NOT NULL AND at IS NOT NULL").dropna(subset=by) if by else rows.where("unit IS NOT NULL AND at IS NOT NULL")
         self.by, self.key_type = [*by], rows.schema["key"].dataType.simpleString()
-        cut = materialise(_cut(rows.withColumn("bucket", bucket).withColumn("dim", F.size("unit")), by, block))
+        cut = materialise(_cut(rows.withColumn("bucket", bucket).withColumn("dim", F.size("unit")), by, block, in_time))
         self.rows, bounds = cut.where("n IS NULL").select("block", "key", "at", "unit", "side"), cut.where("n IS NOT NULL")
         keys = [*by, "dim"]
-        a = bounds.select(*keys, F.explode(F.array("bucket", F.col("bucket") + 1)).alias("meet"), *[F.col(c).alias(f"a_{c}") for c in ("bucket", "side", "block", "low", "high", "least", "most")])
+        a = bounds.select(*keys, F.explode(F.array("bucket", F.col("bucket") + 1)).alias("meet"), *[F.col(c).alias(f"a_{c}") for c in ("bucket", "side", "block", "n", "low", "high", "least", "most")])
         b = bounds.select(*keys, F.col("bucket").alias("meet"), *[F.col(c).alias(f"b_{c}") for c in ("bucket", "side", "block", "low", "high", "least", "most")])
-        pairs = a.join(b, [*keys, "meet"]).where("a_bucket < b_bucket OR a_block <= b_block")
+        pairs = a.join(b, [*keys, "meet"]).where("a_bucket < b_bucket OR a_block < b_block OR a_block = b_block AND a_n > 1")
         if sides:
             pairs = pairs.where("a_side <> b_side")
         apart = F.greatest(F.col("b_low") - F.col("a_high"), F.col("a_low") - F.col("b_high")) > self.width
@@ -165,26 +171,18 @@ class Join:
         nothing. They go to the tiles with their row, and look makes columns of pairs of them there.
         """
         width, threshold, sides = self.width, self.threshold, self.sides
-        span = SPAN
-        while span > 1 and span % 2 == 0 and span * self.block * size > RUN:  # a half, as groups start at multiples of SPAN
-            span //= 2
-        run = lambda c: F.floor(F.col(c) / F.lit(span))
-        tiles = self.pairs.where("NOT by_time AND NOT by_angle").select(F.array("a_block", "b_block").alias("blocks"), F.least(run("a_block"), run("b_block")).alias("i"), F.greatest(run("a_block"), run("b_block")).alias("j"))
-        both = materialise(tiles.select("i", "j", F.explode("blocks").alias("block")).distinct().withColumn("part", (run("block") > F.col("i")).cast("int")))
-        few = both.count() <= 200_000  # else the rows are shuffled
-        rows, further = (self.rows.join(more, "key"), [c for c in more.columns if c != "key"]) if more is not None else (self.rows, [])
-        dealt = rows.join(F.broadcast(both) if few else both, "block").select("i", "j", "part", "key", "at", "unit", "side", *further)
 
         def tile(t: pa.Table) -> Iterator[pa.RecordBatch]:
             part, at, side, keys = t.column("part").to_numpy(), t.column("at").to_numpy(), t.column("side").to_numpy(), t.column("key").combine_chunks()
             units = _matrix(t.column("unit").combine_chunks())
-            m = int((part == 0).sum())
-            one = m == len(part)
+            m, one = int((part == 0).sum()), _one(t)
+            if not m:
+                return
             step = max(AT_ONCE // max(m if one else len(part) - m, 1), 1)
             scores, also = look(t, 0 if one else m) if look else (None, None)
             for k in range(0, m, step):
                 other, upto = k if one else m, min(k + step, m)
-                s = scores(k, upto)[:, k if one else 0 :] if scores else units[k:upto] @ units[other:].T
+                s = scores(k, upto) if scores else units[k:upto] @ units[other:].T
                 yield from piece(s, k, other, one, at, side, keys, also).to_batches()
 
         def piece(s: np.ndarray, k: int, other: int, one: bool, at: np.ndarray, side: np.ndarray, keys: pa.Array, also: Also | None) -> pa.Table:
@@ -211,6 +209,20 @@ class Join:
                 out = out.append_column(name, column)
             return out
 
+        return self.tiled(schema, tile, more, size)
+
+    def tiled(self, schema: str, tile: Callable[[pa.Table], Iterator[pa.RecordBatch]], more: DataFrame | None = None, size: float = 0) -> DataFrame:
+        """What ``tile`` makes of the rows of each tile, sorted by part, time and key; more and size as for result."""
+        span = SPAN
+        while span > 1 and span % 2 == 0 and span * self.block * size > RUN:  # a half, as groups start at multiples of SPAN
+            span //= 2
+        run = lambda c: F.floor(F.col(c) / F.lit(span))
+        tiles = self.pairs.where("NOT by_time AND NOT by_angle").select(F.array("a_block", "b_block").alias("blocks"), F.least(run("a_block"), run("b_block")).alias("i"), F.greatest(run("a_block"), run("b_block")).alias("j"))
+        both = materialise(tiles.select("i", "j", F.explode("blocks").alias("block")).distinct().withColumn("part", (run("block") > F.col("i")).cast("int")))
+        few = both.count() <= 200_000  # else the rows are shuffled
+        rows, further = (self.rows.join(more, "key"), [c for c in more.columns if c != "key"]) if more is not None else (self.rows, [])
+        dealt = rows.join(F.broadcast(both) if few else both, "block").select("i", "j", "part", "key", "at", "unit", "side", *further)
+
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
             now = None

@@ -73,7 +73,7 @@ def v08_tfidf_weights(spark, sf):
 
 @query("SELECT x.id::BIGINT AS a, y.id::BIGINT AS b, round(sum(x.w * y.w), 5) AS similarity FROM wts x JOIN wts y ON x.term = y.term JOIN news a ON a.row_pos = x.id JOIN news b ON b.row_pos = y.id AND a.topic = b.topic AND (a.published_at < b.published_at OR (a.published_at = b.published_at AND a.row_pos < b.row_pos)) AND date_diff('hour', a.published_at, b.published_at) <= 14 * 24 GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.3", "news", _TFIDF)
 def j07_tfidf_band_join(spark, sf):
-    found = X.similar(news(spark, sf), materialise(_weights(spark, sf)), 0.3, 14)
+    found = X.similar_texts(news(spark, sf), 0.3, 14, min_df=2, max_share=0.9)
     return found.select("a", "b", F.round("similarity", 5).alias("similarity"))
 
 
