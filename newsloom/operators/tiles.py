@@ -267,27 +267,50 @@ def best_earlier(news: DataFrame, days: float, k: int = 3, by: list[str] | None
     """(key, n, tops, last): for each row that has earlier rows in the window their number, the k most similar ones and the latest.
 
     tops holds (similarity, days, key), most similar first, equal ones (to 12 digits) by time and key;
-    last is (days, key). Pairs stay in their tile, which gives a row for each later row.
+    last is (days, key). Pairs stay in their tile, which gives a row for each later row: blocks follow each other in time,
+    so the earlier rows of a row are a stretch of the tile's first part, and only its k best are told apart.
     """
     by = ["topic"] if by is None else by
-    join = Join(prepared(news, by, key), days, by, -2.0, block)
-    kind = join.key_type
-
-    def partial(a: pa.Array, b: pa.Array, s: np.ndarray, d: np.ndarray) -> pa.Table:
-        codes = b.dictionary_encode()
-        row, left = codes.indices.to_numpy(), a.to_numpy(zero_copy_only=False)
-        order = np.lexsort((left, -d, -np.round(s, 12), row))
-        first = np.flatnonzero(np.diff(row[order], prepend=-1))
-        n = np.diff(np.append(first, len(row)))
-        take = np.concatenate([order[i : i + min(m, k)] for i, m in zip(first.tolist(), n.tolist(), strict=True)]) if len(first) else order
-        ends = np.concatenate([[0], np.cumsum(np.minimum(n, k))]).astype(np.int32)
-        tops = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(s[take]), pa.array(d[take]), a.take(pa.array(take))], ["s", "d", "key"]))
-        latest = np.lexsort((left, -d, row))[np.append(first[1:], len(row)) - 1] if len(first) else order
-        last = pa.StructArray.from_arrays([pa.array(d[latest]), a.take(pa.array(latest))], ["d", "key"])
-        return pa.table({"key": codes.dictionary.take(pa.array(row[order][first])), "n": n.astype(np.int64), "tops": tops, "last": last})
-
-    parts = join.result(f"key {kind}, n long, tops array<struct<s: double, d: double, key: {kind}>>, last struct<d: double, key: {kind}>", partial)
-    best = F.array_sort(F.transform(F.flatten(F.collect_list("tops")), lambda x: F.struct((-F.round(x["s"], 12)).alias("_s"), (-x["d"]).alias("_d"), x["key"].alias("key"), x["s"].alias("s"), x["d"].alias("d"))))
-    tops = F.transform(F.slice(best, 1, k), lambda x: F.struct(x["s"].alias("s"), x["d"].alias("d"), x["key"].alias("key")))
+    join = Join(prepared(news, by, key), days, by, -2.0, block, in_time=True)
+    kind, width = join.key_type, join.width
+
+    def tile(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        at, keys, units = t.column("at").to_numpy(), t.column("key").combine_chunks(), _matrix(t.column("unit").combine_chunks())
+        m, one = int((t.column("part").to_numpy() == 0).sum()), _one(t)
+        step = max(AT_ONCE // max(m, 1), 1)
+        for x in range(0 if one else m, len(at) if m else 0, step):  # later rows
+            yield from best(at, keys, units, np.arange(x, min(x + step, len(at))), m, one)
+
+    def best(at: np.ndarray, keys: pa.Array, units: np.ndarray, rows: np.ndarray, m: int, one: bool) -> Iterator[pa.RecordBatch]:
+        upto = rows if one else np.full(len(rows), m)
+        since = np.searchsorted(at[:m], at[rows] - width)
+        low, high = int(since.min()), int(upto.max())
+        s = units[rows] @ units[low:high].T
+        own = s >= -2.0
+        if one or (since > low).any():
+            place = np.arange(low, high)
+            own &= (place >= since[:, None]) & (place < upto[:, None])
+        n = own.sum(1)
+        if not n.any():
+            return
+        rows, s, own, n = (x[n > 0] for x in (rows, s, own, n))
+        r, few = np.where(own, np.round(s, 12), -np.inf), min(k, s.shape[1])
+        edge = np.partition(r, -few, axis=1)[:, -few, None]
+        taken = (r >= edge) & own
+        if (taken.sum(1) > few).any():  # of those equal to the last one taken, the first
+            over = r > edge
+            taken = over | (taken & (np.cumsum(taken & ~over, axis=1) <= few - over.sum(1, keepdims=True)))
+        x, y = np.nonzero(taken)
+        order = np.lexsort((y, -r[x, y], x))
+        x, y = x[order], y[order]
+        ends = np.append(0, np.cumsum(np.bincount(x, minlength=len(rows)))).astype(np.int32)
+        last = low + own.shape[1] - 1 - own[:, ::-1].argmax(1)
+        days_to = lambda later, earlier: pa.array((at[later] - at[earlier]) / float(DAY))
+        tops = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(s[x, y]), days_to(rows[x], y + low), keys.take(pa.array(y + low))], ["s", "d", "key"]))
+        yield from pa.table({"key": keys.take(pa.array(rows)), "n": n.astype(np.int64), "tops": tops, "last": pa.StructArray.from_arrays([days_to(rows, last), keys.take(pa.array(last))], ["d", "key"])}).to_batches()
+
+    parts = join.tiled(f"key {kind}, n long, tops array<struct<s: double, d: double, key: {kind}>>, last struct<d: double, key: {kind}>", tile)
+    best_of = F.array_sort(F.transform(F.flatten(F.collect_list("tops")), lambda x: F.struct((-F.round(x["s"], 12)).alias("_s"), (-x["d"]).alias("_d"), x["key"].alias("key"), x["s"].alias("s"), x["d"].alias("d"))))
+    tops = F.transform(F.slice(best_of, 1, k), lambda x: F.struct(x["s"].alias("s"), x["d"].alias("d"), x["key"].alias("key")))
     latest = F.max_by("last", F.struct(-F.col("last.d"), "last.key"))
     return parts.groupBy("key").agg(F.sum("n").alias("n"), tops.alias("tops"), latest.alias("last")).withColumnRenamed("key", key)
